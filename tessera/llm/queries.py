@@ -3,13 +3,34 @@
 from __future__ import annotations
 
 from .common import table
+from .mixing import mix_sources
 from .ngram_jaccard import jaccard_components
+from .preference import format_preferences, neighbour_pairs
+from .substring_dedup import remove_repeats
+from .warc import archive_pages
 
 
 def op1_ngram_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_warc(spark, sf_dir):
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_substring_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), window=50).drop("text")
+
+
+def op8_chat_preference(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return format_preferences(turns, neighbour_pairs(turns))
+
+
+def op9_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -28,9 +49,72 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+x AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+49], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS lo FROM x) WHERE lo < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM r),
+k AS (
+  SELECT t.doc_id, count(*) AS n_words, count(c.i) AS n_removed, coalesce(string_agg(t.word, ' ' ORDER BY t.i) FILTER (c.i IS NULL), '') AS kept
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) t LEFT JOIN c ON c.doc_id = t.doc_id AND c.i = t.i
+  GROUP BY t.doc_id
+)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS i, role, text FROM conversations
+  WHERE conv_id IS NOT NULL
+), h AS (SELECT conv_id, row_number() OVER (ORDER BY role NULLS FIRST, text NULLS FIRST, conv_id) - 1 AS rank FROM t WHERE i = 1),
+p AS (
+  SELECT rank // 2 AS pair, max(conv_id) FILTER (rank % 2 = 0) AS chosen_id, max(conv_id) FILTER (rank % 2 = 1) AS rejected_id FROM h GROUP BY 1
+), c AS (SELECT pair, i, role, text FROM p JOIN t ON conv_id = chosen_id), r AS (SELECT pair, i, role, text FROM p JOIN t ON conv_id = rejected_id),
+m AS (
+  SELECT pair, min(i) AS differ FROM (
+    SELECT coalesce(c.pair, r.pair) AS pair, coalesce(c.i, r.i) AS i FROM c FULL JOIN r ON c.pair = r.pair AND c.i = r.i
+    WHERE c.i IS NULL OR r.i IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text
+  ) GROUP BY pair
+), n AS (SELECT p.pair, p.chosen_id, p.rejected_id, coalesce(m.differ - 1, (SELECT count(*) FROM c WHERE c.pair = p.pair)) AS n_common FROM p LEFT JOIN m USING (pair)),
+u AS (
+  SELECT s.*, s.i > n.n_common AS later, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown,
+    13 + length(coalesce(role, '')) AS lead
+  FROM (SELECT 'chosen' AS side, * FROM c UNION ALL SELECT 'rejected', * FROM r) s JOIN n USING (pair)
+), v AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair, side, later ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM u),
+o AS (
+  SELECT pair, coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'chosen' AND NOT later), '') AS prompt,
+    coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'chosen' AND later), '') AS chosen,
+    coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'rejected' AND later), '') AS rejected,
+    coalesce(string_agg((pos + lead)::BIGINT || '-' || (pos + length(shown))::BIGINT, ',' ORDER BY i) FILTER (side = 'chosen' AND later AND role = 'assistant'), '') AS chosen_mask,
+    coalesce(string_agg((pos + lead)::BIGINT || '-' || (pos + length(shown))::BIGINT, ',' ORDER BY i) FILTER (side = 'rejected' AND later AND role = 'assistant'), '') AS rejected_mask
+  FROM v GROUP BY pair
+)
+SELECT chosen_id, rejected_id, n_common::INTEGER AS n_common, prompt, chosen, rejected, chosen_mask, rejected_mask FROM n JOIN o USING (pair)
+"""
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_warc": op2_warc,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op8_chat_preference": op8_chat_preference,
+    "op9_mixing": op9_mixing,
 }
 ORACLE_SQL = {
     "op1_ngram_jaccard": OP1_SQL,
+    "op2_warc": OP2_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op8_chat_preference": OP8_SQL,
 }
