@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from .common import table
+import public_tokenizers
+
+from .common import new_path, table
+from .decontaminate import find_leaks
+from .flac import encode_column, media_features
+from .language_id import identify
 from .mixing import mix_sources
 from .ngram_jaccard import jaccard_components
 from .preference import format_preferences, neighbour_pairs
 from .substring_dedup import remove_repeats
+from .token_count import count_tokens
+from .token_store import read_store, write_store
 from .warc import archive_pages
 
 
@@ -18,10 +25,28 @@ def op2_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_flac(spark, sf_dir):
+    return media_features(encode_column(table(spark, sf_dir, "documents")))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), window=50).drop("text")
 
 
+def op5_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_token_store(spark, sf_dir):
+    path = new_path(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_store(spark, path)
+
+
 def op8_chat_preference(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return format_preferences(turns, neighbour_pairs(turns))
@@ -31,6 +56,10 @@ def op9_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
 
 
+def op10_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -108,9 +137,14 @@ SELECT chosen_id, rejected_id, n_common::INTEGER AS n_common, prompt, chosen, re
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_warc": op2_warc,
+    "op3_flac": op3_flac,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_token_counts": op6_token_counts,
+    "op7_token_store": op7_token_store,
     "op8_chat_preference": op8_chat_preference,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {
     "op1_ngram_jaccard": OP1_SQL,
