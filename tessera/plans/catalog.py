@@ -1 +1,3 @@
-"""Queries of the catalog operators."""
+"""Loads all modules that register queries."""
+
+from . import q_search  # noqa: F401
