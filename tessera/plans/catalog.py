@@ -1,3 +1,3 @@
 """Loads all modules that register queries."""
 
-from . import q_search  # noqa: F401
+from . import q_search, q_tables  # noqa: F401
