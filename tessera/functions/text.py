@@ -251,15 +251,22 @@ def token_kind(token: Column, language: str) -> Column:
     return kind.otherwise(first[F.substring(token, 1, 1)])
 
 
+def _tokens_of(text: Column, language: str) -> Column:
+    stop = r"。.$" if language in ("ja", "zh-Hans") else r"\..$"
+    rows = F.transform(F.regexp_extract_all(text, F.lit(token_pattern(language)), 0), lambda t: F.struct(t.alias("text"), token_kind(t, language).alias("kind")))
+
+    def prose(r: Column) -> Column:
+        ends = r["text"].rlike(stop)
+        return F.coalesce(r["kind"] == "mention", F.lit(True)) & (ends | r["text"].contains(",") if language == "zh-Hans" else ends)
+
+    return F.transform(F.filter(rows, lambda r: ~prose(r)), lambda r, i: F.struct(i.alias("index"), r["text"].alias("text"), r["kind"].alias("kind")))
+
+
 def extract_tokens(text: Column, language: Column, languages: Sequence[str] = ("ja", "en", "zh-Hans", "ko")) -> Column:
     """Bracketed tokens of a text in order, with their index and kind. Mentions and unknown ones that end a sentence are dropped."""
-    out = None
-    for name in languages:
-        stop = r"。.$" if name in ("ja", "zh-Hans") else r"\..$"
-        rows = F.transform(F.regexp_extract_all(text, F.lit(token_pattern(name)), 0), lambda t, n=name: F.struct(t.alias("text"), token_kind(t, n).alias("kind")))
-        prose = lambda r, n=name, p=stop: F.coalesce(r["kind"] == "mention", F.lit(True)) & (r["text"].rlike(p) | (F.lit(n == "zh-Hans") & r["text"].contains(",")))
-        rows = F.transform(F.filter(rows, lambda r, p=prose: ~p(r)), lambda r, i: F.struct(i.alias("index"), r["text"].alias("text"), r["kind"].alias("kind")))
-        out = F.when(language == name, rows) if out is None else out.when(language == name, rows)
+    out = F.when(language == languages[0], _tokens_of(text, languages[0]))
+    for name in languages[1:]:
+        out = out.when(language == name, _tokens_of(text, name))
     return out
 
 
