@@ -1,10 +1,74 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over documents: language, near copies, benchmark leaks, mixing, token files.
+
+Each stage takes what its predecessor kept, written as Parquet in the shared folder. Stages before the last return the columns
+of documents; the last returns what the token store's files hold.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import bounded, kept, new_path, scratch, table
+from tessera.llm.decontaminate import drop_leaks
+from tessera.llm.language_id import UNDETERMINED, fit_languages, predict_languages
+from tessera.llm.mixing import mix_sources
+from tessera.llm.ngram_jaccard import jaccard_components
+from tessera.llm.token_store import read_store, write_store
+
+#: A text whose best language scores less is of none of them (the score is 0.5 on a language's border).
+LEAST_SCORE = 0.25
+#: Words of a shingle and percent of similarity of near copies.
+SHINGLE, PERCENT = 5, 80
+WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from the labelled ones; those without a letter, or far from all, go."""
+    found = predict_languages(docs, fit_languages(docs))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id. Documents without an id stay."""
+    found = jaccard_components(docs, k=SHINGLE, percent=PERCENT)
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (0 to 2 times). Documents without an id, or without words, stay once."""
+    with scratch(spark):
+        mixed = mix_sources(docs, WEIGHTS, SHARE, MOST).where("size > 0 and doc_id is not null")
+        times = mixed.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times <> 1")
+        times = kept(times, "times")
+    rows = docs.join(bounded(times), "doc_id", "left").where("coalesce(times, 1) > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1))))).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in a content-addressed store; returns doc_id, start, n_tokens and ids_crc32 as read back."""
+    path = new_path(spark, "token-store")
+    write_store(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_store(spark, path)
+
+
+STAGES = [
+    ("language_id", language_id), ("ngram_jaccard", near_copies), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output),
+]
+
+#: SQL can express neither the classifier nor the mix's random rounding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +37,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside go when it ends; what is returned from it has to be kept()."""
+    path = new_path(spark, "scratch")
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        store, root = fs.FileSystem.from_uri(path)
+        if store.get_file_info(root).type != fs.FileType.NotFound:
+            store.delete_dir(root)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: the lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = _scratch.get()
+    return _written(df, f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(df.sparkSession, name))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same, to stay when the scratch tables go."""
+    return _written(df, new_path(df.sparkSession, name))
+
+
+def bounded(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """df, for a join: marked to be broadcast if it has at most so many rows (of a few numbers each), else left to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

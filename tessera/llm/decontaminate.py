@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bitmap, bitmap_slot, in_bitmap, lists, materialize, pieces, rolling, utf8
+from .common import Words, bitmap, bitmap_slot, bounded, in_bitmap, kept, lists, materialize, pieces, rolling, scratch, utf8
 
 #: Words of a seed, and bits of the bitmaps of seeds and of candidate documents.
 SEED, SEED_BITS, DOC_BITS = 3, 22, 22
@@ -116,6 +116,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     seeds of that passage. Items of fewer than `seed` words can't be told from chance and match nothing, as do null and empty
     texts; rows without an id are left out. Repeated rows give one result. Very long texts are searched whole.
     """
+    with scratch(docs.sparkSession):
+        return kept(_leaks(docs, benchmark, threshold, seed), "leaks")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -> DataFrame:
     key = F.xxhash64("text").alias("text_key")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", key)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).select("*", key).distinct()
@@ -193,4 +198,5 @@ def _scores(batches: Iterator[pa.RecordBatch]):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that copy a benchmark item; rows without doc_id stay."""
-    return docs.join(find_leaks(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    leaks = find_leaks(docs, benchmark, threshold).select("doc_id").distinct()
+    return docs.join(bounded(leaks), "doc_id", "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize
+from .common import WORD, kept, materialize, scratch
 
 #: Rows of one bucket, on average, at each level of the tree.
 FAN_IN = 512
@@ -134,6 +134,11 @@ def mix_sources(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float
     that is a whole number. A null source is a source of its own; documents of size 0 are taken 0 words. Rows that agree in
     doc_id, source and size are interchangeable. An empty table gives no rows.
     """
+    with scratch(docs.sparkSession):
+        return kept(_mix(docs, weights, share, most), "mixed")
+
+
+def _mix(docs: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     sized = materialize(sized, "sized")
     targets = materialize(source_targets(sized, list(weights), share, most), "targets")

@@ -1,14 +1,16 @@
 """Exact Jaccard join of documents on word shingles, by a token-group matrix.
 
-1. Every document's shingles are ordered by (count in a fixed-size sketch of all shingles, hash), rarest first. Two sets of
-   Jaccard >= t share at least `overlap` of the first n - ceil(t n) + overlap shingles in that order (prefix filter), so only
-   these prefixes are shuffled. Copies of one set are one node.
-2. Similar documents are partitioned into groups: each node is verified against a few pivots of the prefix shingles it has,
-   and verified links make components. A group of near copies costs rows in proportion to its size, not to its square.
-3. The matrix (token, group) holds the union of each group's prefix shingles with its smallest and largest set size. A query
-   node's overlap with a group is bounded by its count of matching matrix rows; groups below `overlap`, or without a set of
-   fitting size, stay closed.
-4. Open groups are searched for members that share enough prefix shingles, and these pairs are verified on whole sets.
+1. Every document's shingles are ordered by (count in a fixed-size sketch of all shingles, hash), rarest first; a prefix of
+   n - ceil(t n) + l of them is kept, so only prefixes are shuffled. Copies of one set are one node. If the prefix of x ends no
+   later in the order than that of y, every prefix shingle of x that y has is in y's prefix: with c of p in common, the whole
+   overlap is at most n - p + c. That is the bound used below; a pair is looked at from the side whose prefix ends first.
+2. Similar documents are partitioned into groups: each node is verified against a pivot of the prefix shingles it has (the
+   node with the fewest shingles of its own), and verified links make components. A group of near copies costs rows in
+   proportion to its size, not to its square.
+3. The matrix (token, group, set size) holds the union of each group's prefix shingles. A query node's overlap with a group is
+   bounded by its count of matching rows; groups that can't reach the similarity stay closed. A node with many shingles that
+   nobody else has can only link to sets of few sizes; under frequent tokens rows meet by size, so that it doesn't meet others.
+4. Open groups are searched for members that reach the bound, and these pairs are verified on whole sets.
 
 Links inside a group are implied, so every link between different groups is found: the components are exact.
 """
@@ -19,19 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bitmap, bitmap_slot, in_bitmap, lists, materialize, mix, pieces, utf8
+from .common import Words, bitmap, bitmap_slot, in_bitmap, kept, lists, materialize, mix, pieces, scratch, utf8
 from .components import components
 
 #: Counters of the sketch that orders shingles: 2^SKETCH_BITS, whatever the input.
 SKETCH_BITS = 18
-#: Shared prefix shingles that a pair or an open group must have.
-OVERLAP = 4
 #: Pivots that a node is held against before groups are built.
-PIVOTS = 3
+PIVOTS = 2
+#: Bits of the bitmap of shared tokens.
+TOKEN_BITS = 25
+#: Groups under a token from which on they meet by size.
+FREQUENT = 64
 #: Bits of the bitmap that thins out documents without candidates before their sets are shuffled.
 NODE_BITS = 22
 
@@ -82,15 +86,20 @@ def least_overlap(size, percent: int):
     return -(-size * percent // 100)
 
 
+def _prefix_size(size: int, percent: int) -> int:
+    """What a linked set must leave out at most, and some more: each makes the bound sharper."""
+    return size - least_overlap(size, percent) + 4 + size // 40
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), fp (128-bit fingerprint of the set), prefix (shingles that candidates must share)."""
-    order = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 2**31 else counts)
+    """doc_id, n (set size), fp (128-bit fingerprint of the set), prefix (its first shingles) and last (the last one's place)."""
+    order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.int32))
 
     def run(batches):
         table = order.value
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            n = np.zeros(len(batch), np.int64)
+            n, last = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             marks: list[bytes | None] = [None] * len(batch)
             first: list[np.ndarray] = []
             for at, sets in _sets(batch, k):
@@ -98,14 +107,40 @@ def _prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Data
                     n[r] = size = len(s)
                     if size:
                         marks[r] = np.array([size + (mix(s).sum()), mix(s ^ np.uint64(0xA0761D6478BD642F)).sum()], np.uint64).tobytes()
-                    take = size - least_overlap(size, percent) + OVERLAP
-                    first.append(s[np.argsort(table[s >> shift], kind="stable")[:take]] if size >= 10 else s[:0])
+                    if size * 100 < percent * (size + 1):  # links to equal sets only
+                        first.append(s[:0])
+                        continue
+                    count = table[s >> shift]
+                    own = np.argsort(count, kind="stable")[: _prefix_size(size, percent)]
+                    first.append(s[own])
+                    last[r] = int(count[own[-1]]) << 38 | int(s[own[-1]] >> np.uint64(26))
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n": pa.array(n), "fp": pa.array(marks, pa.binary()),
+                "doc_id": batch.column("doc_id"), "n": pa.array(n), "fp": pa.array(marks, pa.binary()), "last": pa.array(last),
                 "prefix": lists(np.concatenate(first).view(np.int64), np.array([len(x) for x in first], np.int64), pa.int64()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, last long, prefix array<long>")
+
+
+def _sets_of(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents that pairs (a, b) name; their texts stay where they are."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    slot = bitmap_slot(F.col("doc_id"), NODE_BITS)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(bitmap_slot(F.col("node"), NODE_BITS).alias("slot")), "slot", NODE_BITS))
+
+    def full(batches):
+        for batch in batches:
+            keep = in_bitmap(bits.value, batch.column("slot").to_numpy(zero_copy_only=False))
+            for at, sets in _sets(batch, k, keep):
+                rows = [r for r in range(len(sets)) if keep[at + r] and len(sets[r])]
+                if rows:
+                    yield pa.record_batch({
+                        "node": batch.column("doc_id").take(pa.array([at + r for r in rows])),
+                        "shingles": lists(np.concatenate([sets[r] for r in rows]).view(np.int64), np.array([len(sets[r]) for r in rows], np.int64), pa.int64()),
+                    })
+
+    sets = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(full, "node long, shingles array<long>")
+    return materialize(sets.join(wanted, "node", "left_semi"), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -116,76 +151,98 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(F.col("both") * 100 >= percent * union).select("a", "b")
 
 
+def _least(n, m, percent: int) -> Column:
+    """Overlap of linked sets of sizes n and m."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _shared_posts(nodes: DataFrame) -> DataFrame:
+    """(token, node) of the prefix shingles that two nodes or more have."""
+    tokens = nodes.select(F.explode("prefix").alias("token"), "node")
+    shared = materialize(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token"), "shared")
+    bits = nodes.sparkSession.sparkContext.broadcast(bitmap(shared.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("slot")), "slot", TOKEN_BITS))
+
+    def some(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            token = prefix.flatten().to_numpy(zero_copy_only=False)
+            keep = in_bitmap(bits.value, (token.view(np.uint64) >> np.uint64(64 - TOKEN_BITS)).astype(np.int64))
+            node = np.repeat(batch.column("node").to_numpy(), prefix.value_lengths().to_numpy())
+            yield pa.record_batch({"token": pa.array(token[keep]), "node": pa.array(node[keep])})
+
+    return materialize(nodes.select("node", "prefix").mapInArrow(some, "token long, node long").join(shared, "token"), "shared-posts")
+
+
+def _step(n: Column) -> Column:
+    """Set sizes in steps of less than a hundredth."""
+    width = F.greatest(F.lit(1), F.shiftright(F.pow(F.lit(2), F.floor(F.log2(n))).cast("long"), 7))
+    return n - n % width
+
+
+def _across(posts: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups that may reach the similarity, by the matrix of tokens and groups."""
+    posts = posts.join(group.select("node", F.col("component").alias("g")), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    posts = materialize(posts, "grouped")
+    matrix = posts.groupBy("token", "g", "n").agg(F.max("last").alias("last"))
+    split = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("rows")).where("x < y")
+    split = materialize(split.select("token", (F.col("rows") >= FREQUENT).alias("frequent")), "split")
+    by_size = lambda c: F.when(F.col("frequent"), _step(c)).otherwise(F.lit(-1))
+    matrix = matrix.join(split, "token").select("token", by_size(F.col("n")).alias("step"), F.col("g").alias("m_g"), F.col("n").alias("m_n"), F.col("last").alias("m_last"))
+    least = F.ceil(F.col("n") * percent / 100)
+    sizes = F.array_distinct(F.transform(F.sequence(least, F.col("most"), F.greatest(F.lit(1), F.floor(least / 256)).cast("long")), _step))
+    sizes = F.array_distinct(F.concat(sizes, F.array(_step(F.col("most")))))
+    asked = posts.where(F.col("most") >= least).join(split, "token").withColumn("step", F.explode(F.when(F.col("frequent"), sizes).otherwise(F.array(F.lit(-1).cast("long")))))
+    met = asked.join(matrix, ["token", "step"]).where((F.col("m_g") != F.col("g")) & (F.col("m_last") >= F.col("last")) & F.col("m_n").between(least, F.col("most")))
+    bound = met.groupBy("node", "n", "p", "last", "m_g", "m_n").agg(F.count("*").alias("c"))
+    reaches = F.col("n") - F.col("p") + F.col("c") >= _least(F.col("n"), F.col("m_n"), percent)
+    opened = materialize(bound.where(reaches).drop("c"), "opened")
+    # members of the open groups
+    mine = posts.select(F.col("node").alias("b"), F.col("g").alias("m_g"), F.col("n").alias("m_n"), "token", F.col("last").alias("b_last"))
+    asked = opened.join(posts.select("node", "token"), "node")
+    pairs = asked.join(mine, ["m_g", "m_n", "token"]).where("b_last >= last").groupBy("node", "n", "p", "b", "m_n").agg(F.count("*").alias("c"))
+    return pairs.where(reaches).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
 
     Words are lower-cased in A-Z only. component_id: smallest doc_id reachable by links of Jaccard >= percent / 100, its own
     where it has none. A null or wordless text has 0 shingles and no links; a null doc_id gets its shingle count and, where
     the set also belongs to a named document, that one's component (else null). Repeated rows stay repeated. Other columns
-    are ignored. Sets of under 10 shingles can only link to equal sets when percent is 90 or more; below that, `percent`
-    must leave them a prefix of their own, so smaller similarities than 0.9 are refused.
+    are ignored.
     """
-    if not 90 <= percent <= 100:
-        raise ValueError("percent is from 90 to 100")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = materialize(_prefixes(docs, k, percent, _sketch(docs, k)), "prefixes")
-    nodes = (
-        known.where("n > 0 and doc_id is not null")
-        .groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    )
-    tokens = materialize(nodes.where("size(prefix) > 0").select(F.explode("prefix").alias("token"), "node", "n"), "tokens")
-
-    # only shingles that two nodes have; their pivot is one of these nodes, another one for another shingle
-    pivot = F.struct(F.xxhash64("node", "token").alias("h"), F.col("node"), F.col("n"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(pivot).alias("p")).where("lo < hi")
-    posts = materialize(tokens.join(shared.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "token"), "posts")
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    tried = (
-        posts.where("node <> pivot").where(fits("n", "pivot_n"))
-        .groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"))
-        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PIVOTS).select("a", "b")
-    )
-    tried = materialize(tried, "tried")
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is from 50 to 100")
+    with scratch(docs.sparkSession):
+        return kept(_components(docs, k, percent), "jaccard")
 
-    # sets of the documents that have any shared prefix shingle
-    slot = bitmap_slot(F.col("doc_id"), NODE_BITS)
-    wanted = posts.select("node").distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(bitmap_slot(F.col("node"), NODE_BITS).alias("slot")), "slot", NODE_BITS))
 
-    def full(batches):
-        for batch in batches:
-            keep = in_bitmap(bits.value, batch.column("slot").to_numpy(zero_copy_only=False))
-            for at, sets in _sets(batch, k, keep):
-                rows = [r for r in range(len(sets)) if keep[at + r] and len(sets[r])]
-                if rows:
-                    yield pa.record_batch({
-                        "node": batch.column("doc_id").take(pa.array([at + r for r in rows])),
-                        "shingles": lists(np.concatenate([sets[r] for r in rows]).view(np.int64), np.array([len(sets[r]) for r in rows], np.int64), pa.int64()),
-                    })
-
-    sets = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(full, "node long, shingles array<long>")
-    sets = materialize(sets.join(wanted, "node", "left_semi"), "sets")
-    links = materialize(_verify(tried, sets, percent), "links")
-
-    # the token-group matrix of what is not linked yet
-    group = components(links).select("node", F.col("component").alias("g"))
-    mine = materialize(posts.select("token", "node", "n").join(group, "node", "left").withColumn("g", F.coalesce("g", "node")), "grouped")
-    matrix = mine.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    split = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("token")
-    matrix = materialize(matrix.join(split, "token", "left_semi"), "matrix")
-    bound = (
-        mine.alias("q").join(matrix.alias("m"), (F.col("q.token") == F.col("m.token")) & (F.col("m.g") < F.col("q.g")))
-        .where((F.col("m.hi") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("m.lo") * percent))
-        .groupBy(F.col("q.node").alias("a"), F.col("m.g").alias("g")).agg(F.count("*").alias("bound")).where(F.col("bound") >= OVERLAP)
-    )
-    opened = materialize(bound.select("a", "g"), "opened")
-    asked = opened.join(mine.select(F.col("node").alias("a"), "token", F.col("n").alias("an")), "a")
-    pairs = (
-        asked.join(mine.select("g", "token", F.col("node").alias("b"), "n"), ["g", "token"]).where(fits("n", "an"))
-        .groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= OVERLAP).select("a", "b")
-    )
-    links = links.union(_verify(materialize(pairs, "pairs"), sets, percent))
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = materialize(_prefixes(docs, k, percent, _sketch(docs, k)), "prefixes")
+    nodes = known.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "last", "prefix")])
+    nodes = materialize(nodes, "nodes")
+    posts = _shared_posts(nodes)
+    shared = posts.groupBy("node").agg(F.count("*").alias("s"))
+    # own: prefix shingles that no other node has; most: the largest set that can still link, from the side that ends first
+    facts = nodes.select("node", "n", "last", F.size("prefix").alias("p")).join(shared, "node").withColumn("own", F.col("p") - F.col("s")).drop("s")
+    facts = facts.withColumn("most", F.least(F.floor(F.col("n") * 100 / percent), F.floor(((F.col("n") - F.col("own")) * 100 - F.col("own") * percent) / percent)))
+    posts = materialize(posts.join(facts, "node"), "posts")
+
+    pivot = F.struct((F.col("own") / F.col("p")).alias("o"), F.xxhash64("node").alias("h"), "node", "n", "last", "p")
+    pivots = posts.groupBy("token").agg(F.min(pivot).alias("v")).select("token", *[F.col(f"v.{c}").alias(f"v_{c}") for c in ("node", "n", "last", "p")])
+    tried = posts.join(pivots, "token").where("node <> v_node").groupBy("node", "n", "p", "last", "v_node", "v_n", "v_p", "v_last").agg(F.count("*").alias("c"))
+    reach = F.when(F.col("last") <= F.col("v_last"), F.col("n") - F.col("p")).otherwise(F.col("v_n") - F.col("v_p")) + F.col("c")
+    tried = tried.where(reach >= _least(F.col("n"), F.col("v_n"), percent)).where((F.col("n") * 100 >= F.col("v_n") * percent) & (F.col("v_n") * 100 >= F.col("n") * percent))
+    best = Window.partitionBy("node").orderBy(F.desc("c"), "v_node")
+    tried = tried.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PIVOTS)
+    # one of (a, b) and (b, a) is enough
+    tried = materialize(tried.select(F.least("node", "v_node").alias("a"), F.greatest("node", "v_node").alias("b")).distinct(), "tried")
+    links = materialize(_verify(tried, _sets_of(docs, k, tried), percent), "links")
+
+    pairs = materialize(_across(posts, components(links), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        links = links.union(_verify(pairs, _sets_of(docs, k, pairs), percent))
     label = components(links)
 
     named = nodes.select(F.col("fp").alias("nfp"), "node")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap, bitmap_slot, in_bitmap, lists, materialize, mix, new_path, pieces, powers, rolling, utf8
+from .common import Words, bitmap, in_bitmap, kept, lists, materialize, mix, new_path, pieces, powers, rolling, scratch, utf8
 
 #: Bits of the bitmap of repeated marks that thins out blocks before they are shuffled.
 MARK_BITS = 24
@@ -184,7 +184,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, batches: int = 2) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
-    spans = repeated_passages(docs, window, batches)
+    with scratch(docs.sparkSession):
+        spans = kept(repeated_passages(docs, window, batches), "spans")
 
     def run(rows: Iterator[pa.RecordBatch]):
         for batch in rows:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lists, materialize, mix, pieces, rolling, utf8
+from .common import kept, lists, materialize, mix, pieces, rolling, scratch, utf8
 from .encoding import word_encoder
 from .ranks import running
 
@@ -114,6 +114,11 @@ def top_hash(tree: DataFrame) -> str | None:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode docs(doc_id, text) into a store under path. Ties in doc_id stand in order of their contents; null ids come first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        _write(docs, path, tokenizer, end_id)
+
+
+def _write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     encoded = materialize(encode_chunks(docs, tokenizer, end_id), "encoded")
     chunks = encoded.select(F.explode(F.arrays_zip("digests", "chunks")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.chunks").alias("ids"))
     unique = chunks.groupBy("digest").agg(F.first("ids").alias("ids"))
@@ -195,7 +200,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest")).join(read, "digest")
     docs = parts.groupBy("start", "doc_id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc", "digest"))).alias("parts"))
-    docs = materialize(docs.mapInArrow(whole, "doc_id long, start long, n_tokens long, root binary, ids_crc32 long"), "documents")
+    docs = kept(docs.mapInArrow(whole, "doc_id long, start long, n_tokens long, root binary, ids_crc32 long"), "documents")
     if top_hash(manifest(docs)) != top_hash(spark.read.parquet(f"{path}/manifest")):
         raise ValueError("the documents read don't have the manifest's Merkle root")
     return docs.drop("root")
