@@ -136,7 +136,7 @@ def learn_translations(tokens: DataFrame, groups: DataFrame, seeds: DataFrame) -
     taught = unknown.join(japanese, ["group", "field", "index"]).where(F.col("ja_kind").isin("timing", "precondition"))
     lesson = F.min(F.struct("rank", "field", "index", F.col("ja_kind").alias("learned")))
     first = taught.groupBy("text").agg(lesson.alias("l")).select("text", F.col("l.rank").alias("from_rank"), "l.learned")
-    known = first.join(seeds.select("text"), "text", "left_anti").union(seeds.select("text", F.lit(-1).alias("from_rank"), F.col("kind").alias("learned")))
+    known = first.join(seeds.select("text"), "text", "left_anti").union(seeds.select("text", F.lit("-1").cast(groups.schema["rank"].dataType).alias("from_rank"), F.col("kind").alias("learned")))
     marked = placed.join(known, "text", "left")
     use = (F.col("language") == "en") & F.col("kind").isNull() & (F.col("from_rank") <= F.col("rank"))
     return marked.select(*tokens.columns, F.when(use, F.col("learned")).alias("learned"))
