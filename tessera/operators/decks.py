@@ -30,9 +30,14 @@ def _bytes(code: Column) -> Column:
     return F.when(F.length(hexed) > 0, F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.conv(F.substr(hexed, i, F.lit(2)), 16, 10).cast("int")))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column from a generator: the optimiser then can't write a long expression into each of its uses."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _put(s: Column, **new) -> Column:
     names = ("mode", "set", "padding", "left", "count", "variant", "value", "shift", "last", "cards")
-    return F.struct(*[(new[n] if isinstance(new[n], Column) else F.lit(new[n])).alias(n) if n in new else s[n].alias(n) for n in names]).cast(_STATE)
+    return F.struct(*[(new[n] if isinstance(new[n], Column) else F.lit(new[n])).alias(n) if n in new else s[n].alias(n) for n in names])
 
 
 def _step(version: Column):
@@ -52,7 +57,7 @@ def _step(version: Column):
         return b.bitwiseAND(1 << (bits - 1)) != 0
 
     def counted(s: Column, n: Column, padding: Column) -> Column:
-        return _put(s, mode=F.when(n > 0, _CARD).otherwise(_SET), set=F.when(n > 0, s["set"]).otherwise(F.lit("")), padding=padding, left=n, last=F.lit(0), value=F.lit(0))
+        return _put(s, mode=F.when(n > 0, _CARD).otherwise(_SET), set=F.when(n > 0, s["set"]).otherwise(F.lit("")), padding=padding, left=n, last=F.lit(0).cast("long"), value=F.lit(0).cast("long"))
 
     def step(s: Column, b: Column) -> Column:
         old = version == 0
@@ -87,7 +92,7 @@ def parse_decks(df: DataFrame, column: str) -> DataFrame:
     error is "prefix", "base64", "version", "checksum" or "cards"; null where all is well.
     """
     at = lambda b, i: F.try_element_at(b, F.lit(i + 1))
-    out = df.withColumn("__b", F.when(F.col(column).startswith(PREFIX), _bytes(F.col(column))))
+    out = _once(df, "__b", F.when(F.col(column).startswith(PREFIX), _bytes(F.col(column))))
     b = F.col("__b")
     out = out.withColumn("version", F.shiftright(at(b, 0), 4))
     version = F.col("version")
@@ -103,7 +108,7 @@ def parse_decks(df: DataFrame, column: str) -> DataFrame:
     skip = F.when(version >= 2, 1).otherwise(0)
     cards_bytes = F.slice(body, skip + 1, F.greatest(F.size(body) - skip, F.lit(0)))
     start = F.struct(*[x for x in (F.lit(_SET).alias("mode"), F.lit("").alias("set"), F.lit(0).alias("padding"), F.lit(0).cast("long").alias("left"), F.lit(0).alias("count"), F.lit(0).alias("variant"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("last"), F.array().cast("array<struct<number:string,count:int,parallel_id:int>>").alias("cards"))]).cast(_STATE)
-    out = out.withColumn("__sum", total == at(b, 1)).withColumn("__s", F.aggregate(cards_bytes, start, _step(version)))
+    out = _once(out.withColumn("__sum", total == at(b, 1)), "__s", F.aggregate(cards_bytes, start, _step(version)))
     whole = (F.col("__s.mode") == _SET) & (F.col("__s.set") == "") & (F.size("__s.cards") >= F.col("__eggs") + F.col("__side"))
     error = (
         F.when(~F.col(column).startswith(PREFIX) | F.col(column).isNull(), "prefix").when(b.isNull() | (F.size(b) < 3), "base64").when(version > VERSION, "version")
@@ -113,7 +118,7 @@ def parse_decks(df: DataFrame, column: str) -> DataFrame:
     name = F.when(F.col("__name") > 0, F.decode(F.unhex(hexed), "UTF-8")).otherwise(F.lit(""))
     cards, n = F.col("__s.cards"), F.size("__s.cards")
     main = F.greatest(n - F.col("__eggs") - F.col("__side"), F.lit(0))
-    out = out.withColumn("error", error).withColumn("__text", name)
+    out = _once(out, "error", error).withColumn("__text", name)
     ok = F.col("error").isNull()
     return out.select(
         *df.columns, F.when(ok, version).alias("version"), F.when(ok, F.trim(F.when(F.col("__icon"), F.substring("__text", 9, 1 << 20)).otherwise(F.col("__text")))).alias("name"),
@@ -190,12 +195,12 @@ def encode_decks(decks: DataFrame, version: int = VERSION) -> DataFrame:
     eggs = size("digi_eggs")
     first = version * 16 + eggs + (language * 8 if 3 <= version <= 4 else F.lit(0))
     side = F.concat(_hex(size("sideboard") + (F.when(icon.isNotNull(), 128).otherwise(0) if version >= 4 else F.lit(0)))) if version >= 2 else F.lit("")
-    out = decks.withColumn("__body", F.concat(side, *sections)).withColumn("__name", name_hex)
+    out = _once(decks, "__body", F.concat(side, *sections)).withColumn("__name", name_hex)
     length = F.length("__name") / 2 + (language * 64 if version >= 5 else F.lit(0))
     total = F.when(F.length("__body") > 0, F.aggregate(F.sequence(F.lit(1), F.length("__body"), F.lit(2)), F.lit(0), lambda a, i: a + F.conv(F.substr(F.col("__body"), i, F.lit(2)), 16, 10).cast("int"))).otherwise(0)
     whole = F.concat(_hex(first), _hex(total.bitwiseAND(255)), _hex(length), F.col("__body"), F.col("__name"))
     code = F.concat(F.lit(PREFIX), F.rtrim(F.translate(F.base64(F.unhex(whole)), "+/=\r\n", "-_ ")))
-    return out.select(*decks.columns, code.alias("code"))
+    return _once(out, "code", code).select(*decks.columns, "code")
 
 
 def validate_decks(cards: DataFrame, decks: DataFrame | None = None, deck: str = "deck_id") -> DataFrame:

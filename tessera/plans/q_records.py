@@ -230,7 +230,7 @@ def _(spark, d):
 
 
 @register("q3_audit_translation", """WITH s AS (SELECT source AS number, lang AS language, arg_max(substr(text, 1, 2), doc_id) AS value FROM documents GROUP BY ALL), p AS (SELECT s.*, b.value AS base FROM s JOIN s b ON b.number = s.number AND b.language = 'en' WHERE s.language <> 'en'),
-u AS (SELECT language, value, base AS expected FROM (SELECT language, value, base, row_number() OVER (PARTITION BY language, value ORDER BY count(*) DESC, base) AS r FROM p GROUP BY ALL) WHERE r = 1)
+u AS (SELECT language, value, base AS expected FROM (SELECT language, value, base, row_number() OVER (PARTITION BY language, value ORDER BY count(*) DESC, base) AS r FROM p GROUP BY language, value, base) WHERE r = 1)
 SELECT number, language, value, expected, base AS found FROM p JOIN u USING (language, value) WHERE base <> expected""")
 def _(spark, d):
     return Q.audit_translation(_docs(spark, d).withColumn("parallel_id", c("card_id")), "lead", base="en")
@@ -259,7 +259,7 @@ def _(spark, d):
     return Q.audit_presence(rows, ["effect", "notes"]).select("card_id", F.array_join("missing", ",").alias("missing"))
 
 
-@register("q9_audit_majority", """WITH u AS (SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents GROUP BY ALL) WHERE r = 1) SELECT d.source AS number, d.doc_id AS card_id, d.lang AS value, u.lang AS majority FROM documents d JOIN u USING (source) WHERE d.lang <> u.lang""")
+@register("q9_audit_majority", """WITH u AS (SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents GROUP BY source, lang) WHERE r = 1) SELECT d.source AS number, d.doc_id AS card_id, d.lang AS value, u.lang AS majority FROM documents d JOIN u USING (source) WHERE d.lang <> u.lang""")
 def _(spark, d):
     return Q.audit_majority(_docs(spark, d), "language")
 

@@ -47,7 +47,7 @@ def vote_windows(matches: DataFrame, window: str = "1 hour", late: str = "10 min
 class Votes(StatefulProcessor):
     """Collects a session's matches until there are enough, gives the winner and begins anew; a timer drops what stays idle."""
 
-    def __init__(self, votes: int = VOTES, reset_ms: int = 1000):
+    def __init__(self, votes: int = VOTES, reset_ms: int | None = 1000):
         self.votes, self.reset_ms = votes, reset_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -70,10 +70,11 @@ class Votes(StatefulProcessor):
         self.seen.clear()
         for candidate, (n, total) in held.items():
             self.seen.updateValue((candidate,), (n, total))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.reset_ms)
+        if self.reset_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if held:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.reset_ms)
         yield pd.DataFrame(out, columns=["session", "candidate", "votes", "score"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -84,8 +85,11 @@ class Votes(StatefulProcessor):
         pass
 
 
-def vote_stream(matches: DataFrame, votes: int = VOTES, reset_ms: int = 1000) -> DataFrame:
-    """(session, candidate, votes, score) whenever a session has enough matches; needs the RocksDB state store."""
+def vote_stream(matches: DataFrame, votes: int = VOTES, reset_ms: int | None = 1000) -> DataFrame:
+    """(session, candidate, votes, score) whenever a session has enough matches; needs the RocksDB state store.
+
+    A session that has been idle for reset_ms begins anew (None: it waits for ever, and no timers are kept).
+    """
     return matches.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=Votes(votes, reset_ms), outputStructType=WINNER, outputMode="append", timeMode="processingTime"
+        statefulProcessor=Votes(votes, reset_ms), outputStructType=WINNER, outputMode="append", timeMode="none" if reset_ms is None else "processingTime"
     )
