@@ -407,3 +407,22 @@ def _(spark, d):
 def _(spark, d):
     h = vector_signature(c("embedding"))
     return _t(spark, d, "embeddings").where(from_unsigned(unsigned(h)) == h).select("vec_id")
+
+
+@register("e11_build_catalog")
+def _(spark, d):
+    from .build import build_catalog
+
+    docs = _t(spark, d, "documents")
+    made = {
+        "card_id": F.lpad(c("doc_id").cast("string"), 12, "0"), "number": F.concat(F.lit("BT"), F.floor(c("doc_id") / 40).cast("string"), F.lit("-"), F.lpad((c("doc_id") % 10).cast("string"), 3, "0")),
+        "language": F.element_at(F.array(*[F.lit(x) for x in ("ja", "en", "zh-Hans", "ko")]), (F.floor(c("doc_id") / 10) % 4 + 1).cast("int")), "name": F.substring_index("text", " ", 2), "level": (c("doc_id") % 7),
+        "form": F.when(c("doc_id") % 3 == 0, "F1"), "type": F.lit("T1/T2"), "effect": F.concat(c("text"), F.when(c("doc_id") % 10 == 0, " Name: [X] Trait: [T1]").otherwise(" [Your Turn]")), "play_cost": F.when(c("doc_id") % 2 == 0, c("n_chars") % 10),
+    }
+    schema = IO.empty(spark, "card").schema
+    card = docs.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    release = card.select(c("number").alias("release_id")).distinct().select("release_id", F.date_add(F.to_date(F.lit("2024-01-01")), (F.crc32(c("release_id").cast("binary")) % 300).cast("int")).alias("date"))
+    out = build_catalog({"card": card, "release": release, "card_release": card.select("card_id", c("number").alias("release_id"))})
+    icons = out["icon"].groupBy("card_id").agg(F.count("*").alias("icons"))
+    rules = out["rule"].groupBy("card_id").agg(F.count("*").alias("rules"))
+    return out["card"].join(icons, "card_id", "left").join(rules, "card_id", "left").select("card_id", "number", "language", "parallel_id", "level", "play_cost", "icons", "rules")
