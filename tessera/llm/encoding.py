@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +11,16 @@ import numpy as np
 MOST_WORDS = 600_000
 
 
+def _byte_characters() -> list[str]:
+    """Byte-level tokenizers write a byte as a character: itself where it is printable, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -28,48 +39,49 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        probe = "One two,\tthreeé 'tis it's  4five\nÉé ́x <|y|> six."
+        self.stems: dict[str, bytes] = {}
+        probe = "One two,\tthreeé 'tis it's  4five\nÉé ́x <|y|> six."
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         if whole != [x for w in probe.encode().split() for x in self._ids(w.decode())]:
             raise ValueError("this tokenizer's ids depend on more than single words")
+        # letters can go to the model directly where it takes lower-cased bytes as characters
+        self.direct = all(self._ids(w) == self._direct(w) for w in ("One", "Éétés", "straßE", "日本"))
 
     def _ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if w.isalpha()]  # ASCII letters only, in bytes
-        rest = [w for w in words if not w.isalpha()]
-        if plain:
-            low = [w.lower().decode() for w in plain]
-            if plain[0] and self._ids(low[0]) == [t.id for t in self.model.tokenize(low[0])]:
-                for w, x in zip(plain, low, strict=True):
-                    self.known[w] = np.array([t.id for t in self.model.tokenize(x)], self.kind).tobytes()
-            else:
-                rest += plain
-        for w in rest:
-            self.known[w] = self._pieces(w)
+    def _direct(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join(map(BYTE_CHARACTERS.__getitem__, word.lower().encode())))]
+
+    def _part(self, part: str, ids) -> bytes:
+        packed = self.stems.get(part)
+        if packed is None:
+            packed = self.stems[part] = np.array(ids(part), self.kind).tobytes()
+        return packed
 
     def _pieces(self, word: bytes) -> bytes:
-        """A word of letters with ASCII punctuation at its end is looked up in two parts, which pre-tokenizers split anyway."""
-        stem = word.rstrip(b".,;:!?")
-        if stem != word and stem.isalpha():
-            tail = word[len(stem) :]
-            for part in (stem, tail):
-                if part not in self.known:
-                    self.known[part] = np.array(self._ids(part.decode()), self.kind).tobytes()
-            return self.known[stem] + self.known[tail]
-        return np.array(self._ids(word.decode()), self.kind).tobytes()
+        """A word of letters with punctuation at its end is looked up in two parts, which the tokenizer splits anyway."""
+        text = word.decode()
+        stem = text.rstrip(".,;:!?")
+        low = stem.lower()
+        if self.direct and low.isalpha() and "Σ" not in stem and (stem.isascii() or unicodedata.is_normalized("NFC", stem)):
+            tail = text[len(stem) :]
+            return self._part(low, self._direct) + (self._part(tail, self._ids) if tail else b"")
+        return np.array(self._ids(text), self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, packed."""
-        split = [t.split() for t in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        missing = new.difference(self.known)
-        if len(self.known) + len(missing) > MOST_WORDS:
-            self.known.clear()
-            missing = new
-        self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        known, out = self.known, []
+        for text in texts:
+            words = text.split()
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:
+                if len(known) > MOST_WORDS:
+                    known.clear()
+                    self.stems.clear()
+                for word in words:
+                    if word not in known:
+                        known[word] = self._pieces(word)
+                out.append(b"".join(map(known.__getitem__, words)))
+        return out
