@@ -7,8 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Different words that a worker remembers; beyond it, it begins anew. About 200 bytes each.
-MOST_WORDS = 600_000
+#: Different words, and runs of letters in them, that a worker remembers; beyond it, it begins anew. About 200 bytes each.
+MOST_WORDS, MOST_STEMS = 500_000, 600_000
 
 
 def _byte_characters() -> list[str]:
@@ -79,6 +79,7 @@ class WordEncoder:
             except KeyError:
                 if len(known) > MOST_WORDS:
                     known.clear()
+                if len(self.stems) > MOST_STEMS:
                     self.stems.clear()
                 for word in words:
                     if word not in known:

@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, lists, materialize, mix, pieces, rolling, scratch, utf8
+from .common import kept, lists, materialize, pieces, scratch, utf8
 from .encoding import word_encoder
 from .ranks import running
 
 SPAN, AVERAGE, LEAST, MOST = 16, 256, 64, 4096
+#: A random number per id: the rolling hash is the sum of the last SPAN ones, spread by a multiplication.
+_GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_ODD, _BELOW = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) // AVERAGE)
 
 
 def cut(ids: np.ndarray) -> list[int]:
@@ -34,8 +37,9 @@ def cut(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    h = rolling(mix(ids.astype(np.uint64) + np.uint64(1)), SPAN)
-    places = (np.flatnonzero(h & np.uint64(AVERAGE - 1) == 0) + SPAN).tolist()
+    total = np.cumsum(_GEAR[ids & 0xFFFF])  # modulo 2^64
+    h = (total[SPAN - 1 :] - np.append(np.uint64(0), total[:-SPAN])) * _ODD
+    places = (np.flatnonzero(h < _BELOW) + SPAN).tolist()
     ends, last = [], 0
     for p in [*places, n]:
         while p - last > MOST:
