@@ -149,7 +149,7 @@ def predict_languages(docs: DataFrame, model: KernelClassifier) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, len(whole), 512)):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.record_batch({**{c: batch.column(c) for c in columns}, "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
 

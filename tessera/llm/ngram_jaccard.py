@@ -74,7 +74,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
         step = 4096
         yield pa.record_batch({"at": pa.array(range(0, len(total), step), pa.int32()), "n": lists(total, np.full(len(total) // step, step), pa.int64())})
 
-    rows = docs.select("text").mapInArrow(count, "at int, n array<long>")
+    rows = materialize(docs.select("text").mapInArrow(count, "at int, n array<long>"), "sketch")
     summed = rows.select("at", F.posexplode("n")).groupBy((F.col("at") + F.col("pos")).alias("at")).agg(F.sum("col").alias("n")).toPandas()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[summed["at"].to_numpy()] = summed["n"].to_numpy()
@@ -229,11 +229,14 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     facts = facts.withColumn("most", F.least(F.floor(F.col("n") * 100 / percent), F.floor(((F.col("n") - F.col("own")) * 100 - F.col("own") * percent) / percent)))
     posts = materialize(posts.join(facts, "node"), "posts")
 
-    pivot = F.struct((F.col("own") / F.col("p")).alias("o"), F.xxhash64("node").alias("h"), "node", "n", "last", "p")
-    pivots = posts.groupBy("token").agg(F.min(pivot).alias("v")).select("token", *[F.col(f"v.{c}").alias(f"v_{c}") for c in ("node", "n", "last", "p")])
-    tried = posts.join(pivots, "token").where("node <> v_node").groupBy("node", "n", "p", "last", "v_node", "v_n", "v_p", "v_last").agg(F.count("*").alias("c"))
+    pivot = F.struct((F.col("own") / F.col("p")).alias("o"), F.xxhash64("node").alias("h"), "node", "n", "last", "p", "most")
+    pivots = posts.groupBy("token").agg(F.min(pivot).alias("v")).select("token", *[F.col(f"v.{c}").alias(f"v_{c}") for c in ("node", "n", "last", "p", "most")])
+    size = F.when(F.col("last") <= F.col("v_last"), F.col("v_n") <= F.col("most")).otherwise(F.col("n") <= F.col("v_most"))
+    fits = (F.col("n") * 100 >= F.col("v_n") * percent) & (F.col("v_n") * 100 >= F.col("n") * percent)
+    tried = posts.join(pivots, "token").where((F.col("node") != F.col("v_node")) & fits & size)
+    tried = tried.groupBy("node", "n", "p", "last", "v_node", "v_n", "v_p", "v_last").agg(F.count("*").alias("c"))
     reach = F.when(F.col("last") <= F.col("v_last"), F.col("n") - F.col("p")).otherwise(F.col("v_n") - F.col("v_p")) + F.col("c")
-    tried = tried.where(reach >= _least(F.col("n"), F.col("v_n"), percent)).where((F.col("n") * 100 >= F.col("v_n") * percent) & (F.col("v_n") * 100 >= F.col("n") * percent))
+    tried = tried.where(reach >= _least(F.col("n"), F.col("v_n"), percent))
     best = Window.partitionBy("node").orderBy(F.desc("c"), "v_node")
     tried = tried.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PIVOTS)
     # one of (a, b) and (b, a) is enough

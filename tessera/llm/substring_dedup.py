@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap, in_bitmap, kept, lists, materialize, mix, new_path, pieces, powers, rolling, scratch, utf8
+from .common import Words, bitmap, in_bitmap, kept, lists, materialize, mix, new_path, pieces, powers, rolling, scratch, small_batches, utf8
 
 #: Bits of the bitmap of repeated marks that thins out blocks before they are shuffled.
 MARK_BITS = 24
@@ -37,7 +37,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         run = f"{self.path}/run-{self.written:05d}"
         self.written += 1
-        rows.sortWithinPartitions("mark").write.option("compression", "zstd").parquet(run)
+        with small_batches(self.spark):
+            rows.sortWithinPartitions("mark").write.option("compression", "zstd").parquet(run)
         return run
 
     def read(self, run: str) -> DataFrame:
@@ -144,8 +145,8 @@ def _repeated_blocks(docs: DataFrame, window: int, gram: int, marks: DataFrame)
 
 
 def _earlier(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that more than one document has, with the smallest doc_id."""
-    return rows.groupBy(key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(key, "lo")
+    """Keys that more than one document has, with the smallest doc_id; written, so that a join with it can split a frequent key."""
+    return materialize(rows.groupBy(key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(key, "lo"), "earlier")
 
 
 def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> DataFrame:
