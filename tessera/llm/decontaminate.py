@@ -1,10 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find passages that may copy a test item, Smith-Waterman alignment judges them.
+"""Benchmark decontamination: pairs of near words find passages that may copy a test item, Smith-Waterman alignment judges them.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased in A-Z, so that other punctuation doesn't hide a copy.
 
-1. One pass over all texts finds every n-gram that is also in a test item (a bounded bitmap ahead of an exact join).
-2. Seeds are the rarer half of each item's n-grams by the number of documents that have them.
-3. Seeds on neighbouring diagonals (place in the document less place in the item) make a candidate passage.
+A pair is two words of a text in order, next to each other or with one between. Say an alignment of an item of m words has M
+matches and E errors (substitutions, gaps) and scores 2 M - E >= s. At most E / 2 of its M - 1 steps from match to match have two
+errors or more, and each other step is a pair of the item and a pair of the passage; these are M - 1 - floor(E / 2) >=
+ceil(s / 2) - 1 =: t. Diagonals (place in the document less place in the item) of one alignment differ by E <= 2 m - s at most.
+
+1. One pass over all texts counts the pairs that are also in a test item.
+2. The pairs from m - 1 - t + k of an item's m - 1 places are its seeds, rarest first; as t places have a hit, k seeds do. Counts
+   only order the places: with any other order the results would be the same.
+3. k seeds in a band of diagonals (bands overlap, so that every alignment is whole in one) make a candidate passage.
 4. Item and passage are aligned by words; the score is a share of the best possible one.
 """
 
@@ -18,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bitmap, bitmap_slot, bounded, in_bitmap, kept, lists, materialize, pieces, rolling, scratch, utf8
+from .common import Words, bitmap, bitmap_slot, bounded, in_bitmap, kept, lists, materialize, mix, pieces, powers, scratch, utf8
 
-#: Words of a seed, and bits of the bitmaps of seeds and of candidate documents.
+#: Least words of an item, and bits of the bitmaps of pairs and of candidate documents.
 SEED, SEED_BITS, DOC_BITS = 3, 22, 22
-#: Seeds that a candidate has (all of them in an item with fewer).
-LEAST_SEEDS = 2
+#: Seeds that a candidate has (k), where alignments are sure to hold as many.
+LEAST_SEEDS = 4
 #: Alignment scores, and the share of the best possible score from which a passage is a copy.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 #: Cells of the alignment matrix that are worked on at one time.
@@ -39,16 +45,23 @@ def _fold(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
-def _grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each n-gram inside a row, and the place of its first word among all words."""
-    g = rolling(w.hash, n)
+def _pairs(w: Words, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each pair (of those in the bitmap) inside a row, and the place of its first word among all words."""
     row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    inside = np.flatnonzero(row[: len(g)] == row[n - 1 :]) if len(g) else np.zeros(0, np.int64)
-    return g[inside], inside
+    grams, places = [], []
+    for gap in (1, 2):
+        place = np.flatnonzero(row[:-gap] == row[gap:])
+        gram = mix(w.hash[place] + w.hash[place + gap] * powers(2)[1])
+        if bits is not None:
+            keep = in_bitmap(bits, (gram >> np.uint64(64 - SEED_BITS)).astype(np.int64))
+            gram, place = gram[keep], place[keep]
+        grams.append(gram)
+        places.append(place)
+    return np.concatenate(grams), np.concatenate(places)
 
 
-def _gram_rows(df: DataFrame, key: str, n: int, bits=None) -> DataFrame:
-    """(key, text_key, size in words, gram, place in its row) of each n-gram of df(key, text_key, text), or of those in the bitmap."""
+def _pair_rows(df: DataFrame, key: str, bits=None) -> DataFrame:
+    """(key, text_key, size in words, gram, place in its row) of each pair of df(key, text_key, text), or of those in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -56,10 +69,7 @@ def _gram_rows(df: DataFrame, key: str, n: int, bits=None) -> DataFrame:
             for i, j in pieces(at):
                 lo = int(at[i])
                 w = Words(_fold(data[lo : int(at[j])]), at[i : j + 1] - lo, fold=False)
-                gram, place = _grams(w, n)
-                if bits is not None:
-                    keep = in_bitmap(bits.value, (gram >> np.uint64(64 - SEED_BITS)).astype(np.int64))
-                    gram, place = gram[keep], place[keep]
+                gram, place = _pairs(w, bits and bits.value)
                 row = np.searchsorted(w.first, place, "right") - 1
                 own = pa.array(row + i)
                 yield pa.record_batch({
@@ -70,6 +80,20 @@ def _gram_rows(df: DataFrame, key: str, n: int, bits=None) -> DataFrame:
     return df.select(key, "text_key", "text").mapInArrow(run, f"{key} long, text_key long, size long, gram long, place long")
 
 
+def _pair_counts(docs: DataFrame, bits) -> DataFrame:
+    """(gram, n): how often docs(text) have each pair of the bitmap; summed up in each piece first."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            for i, j in pieces(at):
+                lo = int(at[i])
+                gram, n = np.unique(_pairs(Words(_fold(data[lo : int(at[j])]), at[i : j + 1] - lo, fold=False), bits.value)[0], return_counts=True)
+                yield pa.record_batch({"gram": pa.array(gram.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each pair of word hash sequences; all pairs advance together, a row of a at a time."""
     if not a:
@@ -91,31 +115,43 @@ def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return best
 
 
+def _seeds(pairs: DataFrame, counts: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """(gram, item_id, item_key, size, item_place, least, width): the pairs of each item that alignments are looked for by."""
+    pairs = pairs.where(F.col("size") >= seed).join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    score = F.ceil(F.col("size") * F.lit(MATCH * threshold) - F.lit(1e-9))
+    sure = F.ceil(score / MATCH) - 1
+    least = F.least(F.lit(LEAST_SEEDS), sure)
+    mine = Window.partitionBy("item_id", "item_key").orderBy("cost", "place")
+    places = pairs.groupBy("item_id", "item_key", "size", "place").agg(F.sum("n").alias("cost")).withColumn("rank", F.row_number().over(mine))
+    places = places.where(F.col("rank") <= F.col("size") - 1 - sure + least).select("item_id", "item_key", "place")
+    # a pair that no document has can't be hit
+    found = pairs.where("n > 0").join(places, ["item_id", "item_key", "place"])
+    width = F.greatest(F.col("size") * MATCH - score + 1, F.lit(8))
+    return found.select("gram", "item_id", "item_key", "size", F.col("place").alias("item_place"), least.alias("least"), width.alias("width"))
+
+
 def _candidates(hits: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item, size, from, to, seeds): passages with enough seeds of an item on near diagonals."""
-    width = F.greatest(F.col("size"), F.lit(8))
-    joined = hits.drop("size").join(seeds.select("gram", "item_id", "item_key", "size", "least", F.col("place").alias("item_place")), "gram")
-    start = F.col("place") - F.col("item_place")
-    # bands of two item lengths that overlap by half
-    bands = F.explode(F.array(F.floor(start / width), F.floor(start / width) - 1)).alias("band")
-    rows = joined.select("doc_id", "text_key", "item_id", "item_key", "size", "least", "gram", "place", start.alias("start"), bands)
-    found = rows.groupBy("doc_id", "text_key", "item_id", "item_key", "size", "least", "band").agg(
-        F.countDistinct("gram").alias("seeds"), F.min("start").alias("from"), F.max("start").alias("to")
-    )
-    found = found.where(F.col("seeds") >= F.col("least"))
-    return found.select(
-        "doc_id", "text_key", "item_id", "item_key", "size", F.greatest(F.col("from") - F.floor(width / 2), F.lit(0)).alias("from"),
-        (F.col("to") + F.col("size") + F.floor(width / 2)).alias("to"), "seeds",
+    """(doc_id, text_key, item_id, item_key, from, to, seeds): passages with enough seeds of an item on near diagonals."""
+    joined = hits.drop("size").join(bounded(seeds), "gram")
+    start = F.floor((F.col("place") - F.col("item_place")) / F.col("width"))
+    # bands of two widths that overlap by half: diagonals up to a width apart are in one of them
+    rows = joined.withColumn("band", F.explode(F.array(start, start - 1)))
+    found = rows.groupBy("doc_id", "text_key", "item_id", "item_key", "size", "width", "least", "band").agg(F.countDistinct("item_place").alias("seeds"))
+    at = F.col("band") * F.col("width")
+    return found.where(F.col("seeds") >= F.col("least")).select(
+        "doc_id", "text_key", "item_id", "item_key", F.greatest(at, F.lit(0)).alias("from"), (at + 2 * F.col("width") + F.col("size")).alias("to"), "seeds",
     )
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
     """(doc_id, item_id, n_seeds, score) of each document of docs(doc_id, text) with a copy of an item of benchmark(item_id, text).
 
-    score is the best alignment of any passage over the best possible one (0 to 1), at least `threshold`; n_seeds are the
-    seeds of that passage. Items of fewer than `seed` words can't be told from chance and match nothing, as do null and empty
+    score is the best alignment of any passage over the best possible one (0 to 1), at least `threshold` (0.5 or more); n_seeds are
+    the seeds of that passage. Items of fewer than `seed` words can't be told from chance and match nothing, as do null and empty
     texts; rows without an id are left out. Repeated rows give one result. Very long texts are searched whole.
     """
+    if threshold < THRESHOLD or seed < SEED:
+        raise ValueError(f"below a score of {THRESHOLD} or {SEED} words an alignment may hold no seed")
     with scratch(docs.sparkSession):
         return kept(_leaks(docs, benchmark, threshold, seed), "leaks")
 
@@ -125,19 +161,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", key)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).select("*", key).distinct()
     context = docs.sparkSession.sparkContext
-    grams = materialize(_gram_rows(items, "item_id", seed).withColumnRenamed("text_key", "item_key"), "item-grams")
-    bits = context.broadcast(bitmap(grams.select(F.shiftrightunsigned("gram", 64 - SEED_BITS).alias("slot")), "slot", SEED_BITS))
-    hits = _gram_rows(docs, "doc_id", seed, bits).join(grams.select("gram").distinct(), "gram", "left_semi")
-    hits = materialize(hits, "hits")
-    common = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count("*").alias("documents"))
-    # an item's n-grams from rarest to commonest; windows are over one item
-    mine = Window.partitionBy("item_id", "item_key")
-    own = grams.groupBy("item_id", "item_key", "size", "gram").agg(F.min("place").alias("place")).join(common, "gram")
-    order = mine.orderBy("documents", "gram")
-    half = F.greatest(F.ceil(F.col("grams") / 2), F.lit(8))
-    seeds = own.withColumn("grams", F.count("*").over(mine)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= half)
-    seeds = seeds.withColumn("least", F.least(F.lit(LEAST_SEEDS), F.col("size") - F.lit(seed - 1)))
-    found = materialize(_candidates(hits, seeds), "candidates")
+    pairs = materialize(_pair_rows(items, "item_id").withColumnRenamed("text_key", "item_key"), "item-pairs")
+    slots_of = lambda df: context.broadcast(bitmap(df.select(F.shiftrightunsigned("gram", 64 - SEED_BITS).alias("slot")), "slot", SEED_BITS))
+    counts = _pair_counts(docs, slots_of(pairs)).join(bounded(pairs.select("gram").distinct()), "gram", "left_semi")
+    seeds = materialize(_seeds(pairs, materialize(counts, "pair-counts"), threshold, seed), "seeds")
+    found = materialize(_candidates(_pair_rows(docs, "doc_id", slots_of(seeds)), seeds), "candidates")
 
     slots = context.broadcast(bitmap(found.select(bitmap_slot(F.col("doc_id"), DOC_BITS).alias("slot")), "slot", DOC_BITS))
 
@@ -150,7 +178,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -
     texts = docs.withColumn("slot", bitmap_slot(F.col("doc_id"), DOC_BITS)).mapInArrow(some, "doc_id long, text_key long, text string").distinct()
     spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "item_key", "from", "to", "seeds")).alias("spans"))
     passages = texts.join(spans, ["doc_id", "text_key"]).select("doc_id", "text", "spans").mapInArrow(_passages, "doc_id long, item_id long, item_key long, seeds long, passage array<long>")
-    rows = passages.join(items.select("item_id", F.col("text_key").alias("item_key"), "text"), ["item_id", "item_key"])
+    rows = passages.join(bounded(items.select("item_id", F.col("text_key").alias("item_key"), "text"), 1 << 16), ["item_id", "item_key"])
     scored = rows.select("doc_id", "item_id", "seeds", "passage", "text").mapInArrow(_scores, "doc_id long, item_id long, n_seeds long, score double")
     best = scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "n_seeds")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_seeds").alias("n_seeds"), F.col("b.score").alias("score"))

@@ -240,6 +240,47 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     assert decontaminate.find_leaks(empty, empty.withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
+def _best_score(item, doc):
+    above, best = [0] * (len(doc) + 1), 0
+    for x in item:
+        row = [0]
+        for j, y in enumerate(doc):
+            row.append(max(0, above[j] + (2 if x == y else -1), above[j + 1] - 1, row[j] - 1))
+        above, best = row, max(best, *row)
+    return best / (2 * len(item))
+
+
+def test_leaks_are_those_of_brute_force_alignment(spark):
+    r = random.Random(11)
+    words = lambda n: [f"{r.choice('abcdefgh')}{r.choice('aeiou')}{r.randint(0, 40)}" for _ in range(n)]
+    items = {i: words(n) for i, n in enumerate([36, 36, 36, 36, 20, 7, 5, 4, 3])} | {9: ["a", "b"] * 10}
+    docs, around = [], lambda w: words(r.randint(0, 90)) + w + words(r.randint(0, 90))
+    for _ in range(150):  # a large group of part copies, and one whole one: what is copied often isn't lost
+        docs.append(around(items[0][:20]))
+    docs.append(around(items[0]))
+    for i in items:
+        for step in (2, 3, 4, 5):
+            docs.append(around([f"z{k}" if k % step == step - 1 else w for k, w in enumerate(items[i])]))
+            docs.append(around([x for k, w in enumerate(items[i]) for x in ([w, f"y{k}"] if k % step == 0 else [w])]))
+            docs.append(around([w for k, w in enumerate(items[i]) if k % step]))
+        docs.append(around([x for w in items[i] for x in (w, "y")]))
+        for _ in range(12):
+            edited = []
+            for w in items[i]:
+                kind = r.random()
+                edited += [w] if kind < 0.6 else [] if kind < 0.75 else ["q"] if kind < 0.9 else [w, "q"]
+            docs.append(around(edited))
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in items.items():
+            if (score := _best_score(item, doc)) >= 0.5:
+                want[d, i] = score
+    make = lambda rows, key: spark.createDataFrame([(k, " ".join(v)) for k, v in rows], f"{key} long, text string")
+    found = decontaminate.find_leaks(make(list(enumerate(docs)), "doc_id"), make(items.items(), "item_id")).collect()
+    assert {(x.doc_id, x.item_id): x.score for x in found} == want
+    assert all((d, 0) in want for d in range(151)) and len(want) > 250
+
+
 def test_alignment_scores():
     a = [np.arange(1, 9, dtype=np.uint64)] * 3
     b = [np.array(x, np.uint64) for x in ([90, *range(1, 9), 91], [1, 2, 3, 77, 5, 6, 7, 8], [1, 2, 3, 4, 55, 5, 6, 7, 8])]
