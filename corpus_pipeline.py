@@ -17,17 +17,15 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_jaccard import jaccard_components
 from tessera.llm.token_store import read_store, write_store
 
-#: A text whose best language scores less is of none of them (the score is 0.5 on a language's border).
-LEAST_SCORE = 0.25
 #: Words of a shingle and percent of similarity of near copies.
 SHINGLE, PERCENT = 5, 80
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled ones; those without a letter, or far from all, go."""
+    """Documents in one of the languages learned from the labelled ones; those without a letter, or strange to all, go."""
     found = predict_languages(docs, fit_languages(docs))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("strange")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

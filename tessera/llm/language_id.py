@@ -6,6 +6,10 @@ root of both numbers. Nystroem: a few training texts are landmarks; a text becom
 of the landmarks' own kernel matrix. On these, one kernel ridge regression per language against the rest is fitted.
 
 Scoring a batch is a product of its presence matrix with the landmarks', scaled, times the weights.
+
+Far from all languages the outputs are near 0 and the score near 0.5, so that it doesn't tell strange texts. These show in the
+share of their n-grams that any training text has, counted with repeats so that it doesn't fall with length. The limit comes
+from the training texts' own shares, each measured by the others.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ LONGEST, FEATURES = 3, 1 << 13
 #: isn't needed for the fit; every row is predicted.
 PER_LANGUAGE, MOST_LANGUAGES, MOST_CHARS = 200, 64, 20_000
 LANDMARKS, RIDGE = 128, 1e-2
+#: Slots of n-grams known from training; the quantile of the training texts' shares of known n-grams that is still a language's;
+#: the part of that share under which a text is strange; n-grams of that share that every text is given, for very short ones.
+KNOWN, CLEAN, STRANGE, GIVEN = 1 << 20, 0.05, 0.75, 2
 UNDETERMINED = "und"
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -54,8 +61,8 @@ def code_points(text: str) -> np.ndarray:
     return out
 
 
-def features(c: np.ndarray, row: np.ndarray) -> None:
-    """Set the places of row that c's n-grams have; runs of blanks count as one."""
+def grams(c: np.ndarray) -> Iterator[np.ndarray]:
+    """32-bit hashes of c's n-grams, for each n; runs of blanks count as one."""
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
     c = c[keep]
@@ -65,14 +72,28 @@ def features(c: np.ndarray, row: np.ndarray) -> None:
             return
         h = (h[: len(c) - n + 1] + c[n - 1 :] + np.uint32(n)) * _A
         g = h ^ (h >> np.uint32(15))
-        row[(g * _B) >> np.uint32(32 - FEATURES.bit_length() + 1)] = 1
+        yield g * _B
+
+
+def slots(g: np.ndarray, size: int) -> np.ndarray:
+    return g >> np.uint32(32 - size.bit_length() + 1)
+
+
+def features(c: np.ndarray, row: np.ndarray, known: np.ndarray | None = None) -> tuple[int, int]:
+    """Set the places of row that c's n-grams have; returns how many n-grams are known, and how many there are."""
+    hits = total = 0
+    for g in grams(c):
+        row[slots(g, FEATURES)] = 1
+        if known is not None:
+            hits, total = hits + int(np.count_nonzero(known[slots(g, KNOWN)])), total + len(g)
+    return hits, total
 
 
 class KernelClassifier:
-    """Fitted weights; plain arrays, so that it can be broadcast: FEATURES x LANDMARKS bytes and little more."""
+    """Fitted weights; plain arrays, so that it can be broadcast: FEATURES x LANDMARKS + KNOWN bytes and little more."""
 
-    def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray):
-        self.languages, self.landmarks, self.weights = languages, landmarks, weights
+    def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray, known: np.ndarray, clean: float):
+        self.languages, self.landmarks, self.weights, self.known, self.clean = languages, landmarks, weights, known, clean
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str]) -> KernelClassifier:
@@ -90,16 +111,28 @@ class KernelClassifier:
         z = cls._kernel(x, marks) @ root
         y = np.array([[1.0 if label == language else -1.0 for language in languages] for label in labels])
         w = np.linalg.solve(z.T @ z + RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y) if len(z) else np.zeros((0, 0))
-        return cls(languages, marks.astype(np.uint8), (root @ w).astype(np.float32))
+        return cls(languages, marks.astype(np.uint8), (root @ w).astype(np.float32), *cls._known(texts))
+
+    @staticmethod
+    def _known(texts: list[str]) -> tuple[np.ndarray, float]:
+        """Which n-grams the texts have, and the share of known n-grams from which a text is sure to be clean."""
+        counts = np.zeros(KNOWN, np.int32)
+        for text in texts:
+            counts[np.unique(np.concatenate([slots(g, KNOWN) for g in grams(code_points(text))]))] += 1
+        shares = []
+        for text in texts:
+            own = np.concatenate([slots(g, KNOWN) for g in grams(code_points(text))])
+            shares.append(np.count_nonzero(counts[own] > 1) / len(own))
+        return counts > 0, float(np.quantile(shares, CLEAN)) if len(texts) > 1 else 0.0
 
     @staticmethod
     def _kernel(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
         size = lambda m: np.sqrt(np.maximum(m.sum(axis=1), 1, dtype=np.float32))
         return (x @ marks.T.astype(np.float32)) / size(x)[:, None] / size(marks.astype(np.float32))[None, :]
 
-    def predict(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], np.ndarray]:
-        """Language and score (0 to 1) of each text."""
-        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score (0 to 1), and whether it is strange to all languages, of each text."""
+        names, scores, strange = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         x = np.zeros((min(batch, max(1, len(texts))), FEATURES), np.float32)
         for lo in range(0, len(texts), batch):
             rows = []
@@ -107,13 +140,14 @@ class KernelClassifier:
             for i, text in enumerate(texts[lo : lo + batch]):
                 c = code_points(text) if text else np.zeros(0, np.uint32)
                 if c.any():
-                    features(c, x[i])
+                    hits, total = features(c, x[i], self.known)
+                    strange[lo + i] = hits + GIVEN * self.clean < STRANGE * self.clean * (total + GIVEN)
                     rows.append(i)
             if rows and self.languages:
                 f = self._kernel(x[rows], self.landmarks) @ self.weights
                 for i, k, s in zip(rows, f.argmax(axis=1).tolist(), ((f.max(axis=1) + 1) / 2).clip(0, 1).tolist(), strict=True):
                     names[lo + i], scores[lo + i] = self.languages[k], s
-        return names, scores
+        return names, scores, strange
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
@@ -141,20 +175,20 @@ def fit_languages(docs: DataFrame) -> KernelClassifier:
 
 
 def predict_languages(docs: DataFrame, model: KernelClassifier) -> DataFrame:
-    """docs(doc_id, text, ...) with lang_pred and score; only the text is looked at. All columns stay, in order.
+    """docs(doc_id, text, ...) with lang_pred, score and strange; only the text is looked at. All columns stay, in order.
 
-    A null text, or one without a letter, is `und` with score 0, as is every text where nothing could be learned.
+    A null text, or one without a letter, is `und` with score 0 and strange. Where nothing could be learned, every text is `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "strange")]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, len(whole), 512)):
-            names, scores = shared.value.predict(batch.column("text").to_pylist())
-            yield pa.record_batch({**{c: batch.column(c) for c in columns}, "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
+            names, scores, strange = shared.value.predict(batch.column("text").to_pylist())
+            yield pa.record_batch({**{c: batch.column(c) for c in columns}, "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "strange": pa.array(strange)})
 
     docs = docs.select(*columns)
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("strange", T.BooleanType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 

@@ -167,6 +167,26 @@ def test_language_odd_rows(spark, odd, none):
     assert language_id.identify(unlabelled.selectExpr("doc_id", "text", "cast(null as string) as lang")).first().lang_pred == "und"
 
 
+def test_language_stage_drops_foreign_scripts_and_junk(spark, sf):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = [x.text for x in docs.where("length(text) > 400").orderBy("doc_id").limit(40).collect()]
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(3, 8)))
+    strange, clean = [], []
+    for n in (1, 3, 10, 100, 3000):
+        for letters in ("абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", [chr(c) for c in range(0x4E00, 0x9000)], "אבגדהוזחטיכלמנסעפצקרשת"):
+            strange.append(" ".join(word(letters) for _ in range(n)))
+        if n > 3:
+            strange.append(" ".join(word("bcdfghjklmnpqrstvwxz") for _ in range(n)))
+        clean += [" ".join(t.split()[:n]) for t in some]
+    clean += [" ".join(some[k:] + some[:k]) * 4 for k in range(3)]
+    added = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate([*strange, *clean])], docs.schema)
+    kept = {x.doc_id - 10**6 for x in corpus_pipeline.language_id(spark, docs.union(added), sf).where("doc_id >= 1000000").select("doc_id").collect()}
+    assert kept == set(range(len(strange), len(strange) + len(clean)))
+
+
 def test_token_count_odd_rows(spark, odd, none):
     import public_tokenizers
 
