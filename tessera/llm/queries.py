@@ -6,7 +6,7 @@ import public_tokenizers
 
 from .common import new_path, table
 from .decontaminate import find_leaks
-from .flac import encode_column, media_features
+from .flac import archive_media
 from .language_id import identify
 from .mixing import mix_sources
 from .ngram_jaccard import jaccard_components
@@ -26,7 +26,7 @@ def op2_warc(spark, sf_dir):
 
 
 def op3_flac(spark, sf_dir):
-    return media_features(encode_column(table(spark, sf_dir, "documents")))
+    return archive_media(table(spark, sf_dir, "documents"))
 
 
 def op4_substring_dedup(spark, sf_dir):

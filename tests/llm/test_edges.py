@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, flac, language_id, mixing, preference, substring_dedup, token_count, token_store, warc
+from tessera.llm import decontaminate, flac, language_id, mixing, preference, queries, substring_dedup, token_count, token_store, warc
 from tessera.llm.components import components
 from tessera.llm.ngram_jaccard import jaccard_components
 
@@ -148,6 +148,20 @@ def test_flac_odd_rows(spark, odd, none):
     assert flac.media_features(flac.encode_column(none)).count() == 0
 
 
+def test_flac_query_stores_streams_and_blocks(spark, odd, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr("tessera.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = queries.op3_flac(spark, sf).collect()
+    (streams,), (blocks,) = (list(tmp_path.glob(f"{name}-*")) for name in ("flac-streams", "pcm-blocks"))
+    media = {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in spark.read.parquet(str(streams)).collect()}
+    pcm = {r.doc_id: r.blocks for r in spark.read.parquet(str(blocks)).collect()}
+    assert {r.doc_id: r.media_sha256 for r in rows} == media
+    for r in rows:
+        assert hashlib.sha256(b"".join(b.pcm for b in pcm[r.doc_id])).hexdigest() == r.payload_sha256
+        assert [b.first_sample for b in pcm[r.doc_id]] == list(range(0, r.payload_bytes, flac.BLOCK))
+    stored, direct = flac.archive_media(odd), flac.media_features(flac.encode_column(odd))
+    assert sorted(map(str, stored.collect())) == sorted(map(str, direct.collect()))
+
+
 def test_warc_odd_rows(spark):
     page = "<p>é</p>" * 20
     schema = "page_id long, url string, html string, offset long, payload string"
