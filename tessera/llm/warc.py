@@ -162,8 +162,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     read = materialize(read, "warc-read")
     # what a revisit has is what was read of its response
     response = (
-        read.where("record_type = 'response' and page_id is not null").groupBy("page_id")
-        .agg(F.min(F.struct("payload_digest", "payload_bytes")).alias("r")).select(F.col("page_id").alias("refers_to"), "r.*")
+        read.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
+        .agg(F.min("payload_bytes").alias("payload_bytes"))
     )
     revisits = read.where("record_type = 'revisit'").drop("payload_bytes")
     revisits = revisits.join(response, ["refers_to", "payload_digest"])

@@ -173,6 +173,15 @@ def test_warc_odd_rows(spark):
     assert warc.archive_pages(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_warc_revisits_of_two_payloads_under_one_page_id(spark):
+    a, b = "<p>a</p>" * 20, "<p>b</p>" * 30
+    rows = [(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", b), (1, "u", a)]
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    of = lambda page, kind, first, text: (page, kind, first, len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert got[3:] == [of(2, "revisit", 1, a), of(3, "revisit", 1, b)]
+    assert sorted(map(str, got[:3])) == sorted(map(str, [of(1, "response", None, a), of(1, "response", None, a), of(1, "response", None, b)]))
+
+
 def test_language_odd_rows(spark, odd, none):
     rows = {r.doc_id: r for r in language_id.identify(odd).collect()}
     assert rows[1].lang_pred == rows[2].lang_pred == rows[3].lang_pred == "und" and rows[1].score == 0
