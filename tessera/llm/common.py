@@ -11,25 +11,27 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of characters other than these: 0x09-0x0D and 0x20.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_POW = {}
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Text that is hashed at one time, in bytes; a longer document is a piece of its own.
-PIECE_BYTES = 1 << 20
-#: Most of a batch that goes to a Python worker while a table is written: rows, and bytes.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+PIECE_BYTES = 1 << 18
+#: Most of a batch that goes to a Python worker: rows, and bytes; with Spark's own defaults, which it takes the place of.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(2 << 20))}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one; others must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,46 +41,63 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+def drop(path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        store.delete_dir(root)
+
+
+_scratch: ContextVar[tuple[str, list[Broadcast]] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialized inside go when it ends; what is returned from it has to be kept()."""
-    path = new_path(spark, "scratch")
-    token = _scratch.set(path)
+    """Tables that are materialized and values that are shared inside go when it ends; what is returned from it has to be kept()."""
+    path, values = new_path(spark, "scratch"), []
+    token = _scratch.set((path, values))
     try:
         yield
     finally:
         _scratch.reset(token)
-        store, root = fs.FileSystem.from_uri(path)
-        if store.get_file_info(root).type != fs.FileType.NotFound:
-            store.delete_dir(root)
+        drop(path)
+        for value in values:
+            value.destroy()
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Batches of BATCH instead of the session's, so that a worker's memory doesn't hang on the length of texts."""
-    before = {k: spark.conf.get(k) for k in BATCH}
-    try:
-        for k, v in BATCH.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+def shared(spark: SparkSession, value) -> Broadcast:
+    """A value for all tasks; inside scratch() it goes with the tables there."""
+    out = spark.sparkContext.broadcast(value)
+    if _scratch.get():
+        _scratch.get()[1].append(out)
+    return out
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of BATCH, unless the session sets others, so that a worker's memory doesn't hang on the length
+    of texts; and what a task leaves in Arrow's pool goes back to the system when it ends."""
+    for key, (default, value) in BATCH.items():
+        if df.sparkSession.conf.get(key).rstrip("b") == default:
+            df.sparkSession.conf.set(key, value)
+
+    def task(batches: Iterator[pa.RecordBatch]):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: the lineage ends there, and lost executors cost nothing."""
-    folder = _scratch.get()
-    return _written(df, f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(df.sparkSession, name))
+    inside = _scratch.get()
+    return _written(df, f"{inside[0]}/{name}-{uuid.uuid4().hex}" if inside else new_path(df.sparkSession, name))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -127,13 +146,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """1, m, m^2, ... modulo 2^64, or those of m's inverse."""
-    if len(_POW.get(inverse, ())) < n:
-        out = np.full(max(n, 4096), pow(int(_MULT), -1, 1 << 64) if inverse else int(_MULT), np.uint64)
-        out[0] = 1
-        _POW[inverse] = np.multiply.accumulate(out)
-    return _POW[inverse][:n]
+_FIRST_PLACES = mix((np.arange(4096, dtype=np.uint64) + np.uint64(1)) * _A) | np.uint64(1)
+
+
+def _places(n: int) -> np.ndarray:
+    """A random odd factor for each place in a word; words differ in a sum of bytes' numbers times these by chance 2^-63."""
+    return mix((np.arange(n, dtype=np.uint64) + np.uint64(1)) * _A) | np.uint64(1) if n > len(_FIRST_PLACES) else _FIRST_PLACES
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +192,7 @@ class Words:
             np.cumsum(size[:-1], out=heads[1:])
             place = np.arange(len(own), dtype=np.int32) - np.repeat(heads.astype(np.int32), size)
             value = _BYTE[own]
-            value *= powers(int(size.max()))[place]
+            value *= _places(int(size.max()))[place]
             self.hash = mix(np.add.reduceat(value, heads) + size.astype(np.uint64))
 
     def row(self, i: int) -> slice:
@@ -190,15 +208,30 @@ def pieces(at: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    h = left * _B
+    h += right
+    h ^= h >> np.uint64(32)
+    h *= _C
+    return h
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive entries of h."""
+    """A hash of each k consecutive entries of h: a tree over runs of powers of two. Nothing in it is linear, so that no pattern
+    of words (as Thue and Morse's, with polynomials modulo 2^64) makes different runs equal."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(len(h)), out=total[1:])
-    # scaled back to the same power everywhere, so that equal runs have equal values
-    return mix((total[k:] - total[:-k]) * powers(n, inverse=True))
+    out, at, run, size = None, 0, h, 1
+    while True:
+        if k & size:
+            part = run[at : at + n]
+            out = part if out is None else joined(out, part)
+            at += size
+        if at == k:
+            return mix(out)
+        run, size = joined(run[:-size], run[size:]), 2 * size
 
 
 def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bitmap, bitmap_slot, bounded, in_bitmap, kept, lists, materialize, mix, pieces, powers, scratch, utf8
+from .common import Words, bitmap, bitmap_slot, bounded, in_bitmap, joined, kept, lists, mapped, materialize, mix, pieces, rolling, scratch, shared, utf8
 
 #: Least words of an item, and bits of the bitmaps of pairs and of candidate documents.
 SEED, SEED_BITS, DOC_BITS = 3, 22, 22
@@ -51,7 +51,7 @@ def _pairs(w: Words, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     grams, places = [], []
     for gap in (1, 2):
         place = np.flatnonzero(row[:-gap] == row[gap:])
-        gram = mix(w.hash[place] + w.hash[place + gap] * powers(2)[1])
+        gram = mix(joined(w.hash[place], w.hash[place + gap]))
         if bits is not None:
             keep = in_bitmap(bits, (gram >> np.uint64(64 - SEED_BITS)).astype(np.int64))
             gram, place = gram[keep], place[keep]
@@ -77,7 +77,25 @@ def _pair_rows(df: DataFrame, key: str, bits=None) -> DataFrame:
                     "gram": pa.array(gram.view(np.int64)), "place": pa.array(place - w.first[row]),
                 })
 
-    return df.select(key, "text_key", "text").mapInArrow(run, f"{key} long, text_key long, size long, gram long, place long")
+    return mapped(df.select(key, "text_key", "text"), run, f"{key} long, text_key long, size long, gram long, place long")
+
+
+def _whole_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, whole): a hash of all words of each text of 1 to seed - 1 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            for i, j in pieces(at):
+                lo = int(at[i])
+                w = Words(_fold(data[lo : int(at[j])]), at[i : j + 1] - lo, fold=False)
+                size = np.diff(w.first)
+                rows = np.flatnonzero((size > 0) & (size < seed))
+                if len(rows):
+                    whole = np.array([rolling(w.hash[w.row(r)], int(size[r]))[0] for r in rows.tolist()], np.uint64)
+                    yield pa.record_batch({key: batch.column(key).take(pa.array(rows + i)), "whole": pa.array(whole.view(np.int64))})
+
+    return mapped(df.select(key, "text"), run, f"{key} long, whole long").distinct()
 
 
 def _pair_counts(docs: DataFrame, bits) -> DataFrame:
@@ -91,7 +109,7 @@ def _pair_counts(docs: DataFrame, bits) -> DataFrame:
                 gram, n = np.unique(_pairs(Words(_fold(data[lo : int(at[j])]), at[i : j + 1] - lo, fold=False), bits.value)[0], return_counts=True)
                 yield pa.record_batch({"gram": pa.array(gram.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -147,8 +165,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """(doc_id, item_id, n_seeds, score) of each document of docs(doc_id, text) with a copy of an item of benchmark(item_id, text).
 
     score is the best alignment of any passage over the best possible one (0 to 1), at least `threshold` (0.5 or more); n_seeds are
-    the seeds of that passage. Items of fewer than `seed` words can't be told from chance and match nothing, as do null and empty
-    texts; rows without an id are left out. Repeated rows give one result. Very long texts are searched whole.
+    the seeds of that passage. Inside a text, items of fewer than `seed` words can't be told from chance: they match (with 0 seeds)
+    the texts that have just their words. Null and empty texts match nothing; rows without an id are left out. Repeated rows give one result. Very long texts are searched whole.
     """
     if threshold < THRESHOLD or seed < SEED:
         raise ValueError(f"below a score of {THRESHOLD} or {SEED} words an alignment may hold no seed")
@@ -160,14 +178,14 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -
     key = F.xxhash64("text").alias("text_key")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", key)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).select("*", key).distinct()
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     pairs = materialize(_pair_rows(items, "item_id").withColumnRenamed("text_key", "item_key"), "item-pairs")
-    slots_of = lambda df: context.broadcast(bitmap(df.select(F.shiftrightunsigned("gram", 64 - SEED_BITS).alias("slot")), "slot", SEED_BITS))
+    slots_of = lambda df: shared(spark, bitmap(df.select(F.shiftrightunsigned("gram", 64 - SEED_BITS).alias("slot")), "slot", SEED_BITS))
     counts = _pair_counts(docs, slots_of(pairs)).join(bounded(pairs.select("gram").distinct()), "gram", "left_semi")
     seeds = materialize(_seeds(pairs, materialize(counts, "pair-counts"), threshold, seed), "seeds")
     found = materialize(_candidates(_pair_rows(docs, "doc_id", slots_of(seeds)), seeds), "candidates")
 
-    slots = context.broadcast(bitmap(found.select(bitmap_slot(F.col("doc_id"), DOC_BITS).alias("slot")), "slot", DOC_BITS))
+    slots = shared(spark, bitmap(found.select(bitmap_slot(F.col("doc_id"), DOC_BITS).alias("slot")), "slot", DOC_BITS))
 
     def some(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -175,11 +193,14 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -
             if keep.any():
                 yield batch.filter(pa.array(keep)).select(["doc_id", "text_key", "text"])
 
-    texts = docs.withColumn("slot", bitmap_slot(F.col("doc_id"), DOC_BITS)).mapInArrow(some, "doc_id long, text_key long, text string").distinct()
+    texts = mapped(docs.withColumn("slot", bitmap_slot(F.col("doc_id"), DOC_BITS)), some, "doc_id long, text_key long, text string").distinct()
     spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "item_key", "from", "to", "seeds")).alias("spans"))
-    passages = texts.join(spans, ["doc_id", "text_key"]).select("doc_id", "text", "spans").mapInArrow(_passages, "doc_id long, item_id long, item_key long, seeds long, passage array<long>")
+    passages = texts.join(spans, ["doc_id", "text_key"]).select("doc_id", "text", "spans")
+    passages = mapped(passages, _passages, "doc_id long, item_id long, item_key long, seeds long, passage array<long>")
     rows = passages.join(bounded(items.select("item_id", F.col("text_key").alias("item_key"), "text"), 1 << 16), ["item_id", "item_key"])
-    scored = rows.select("doc_id", "item_id", "seeds", "passage", "text").mapInArrow(_scores, "doc_id long, item_id long, n_seeds long, score double")
+    scored = mapped(rows.select("doc_id", "item_id", "seeds", "passage", "text"), _scores, "doc_id long, item_id long, n_seeds long, score double")
+    short = _whole_rows(items, "item_id", seed).join(_whole_rows(docs, "doc_id", seed), "whole")
+    scored = scored.union(short.select("doc_id", "item_id", F.lit(0).cast("long"), F.lit(1.0)))
     best = scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "n_seeds")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_seeds").alias("n_seeds"), F.col("b.score").alias("score"))
 
@@ -225,6 +246,10 @@ def _scores(batches: Iterator[pa.RecordBatch]):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that copy a benchmark item; rows without doc_id stay."""
-    leaks = find_leaks(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(bounded(leaks), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that copy a benchmark item, whatever their doc_id; all columns stay, and repeated rows.
+
+    Rows are judged by a number that equal texts share, so that null and repeated ids neither hide nor condemn a text.
+    """
+    number = F.xxhash64(F.col("text").cast("string"))
+    leaks = find_leaks(docs.select(number.alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(bounded(leaks), number == F.col("__leak"), "left_anti")

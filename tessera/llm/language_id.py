@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import mapped
+
 #: Longest n-gram; hashed features (a power of two).
 LONGEST, FEATURES = 3, 1 << 13
 #: Training sample: texts per language, languages, and characters of a text that may be in it. The rest of the labelled rows
@@ -97,22 +99,27 @@ class KernelClassifier:
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str]) -> KernelClassifier:
-        """Landmarks are the first texts of each language in turn."""
+        """Landmarks are the first texts of each language in turn. Texts become features a block at a time."""
         languages = sorted(set(labels))
-        x = np.zeros((len(texts), FEATURES), np.float32)
-        for row, text in zip(x, texts, strict=True):
-            features(code_points(text), row)
         of = [[i for i, y in enumerate(labels) if y == language] for language in languages]
         turns = [rows[k] for k in range(max(map(len, of), default=0)) for rows in of if k < len(rows)]
-        marks = x[turns[:LANDMARKS]]
+        marks = cls._presence([texts[i] for i in turns[:LANDMARKS]])
         values, vectors = np.linalg.eigh(cls._kernel(marks, marks).astype(np.float64))
         good = values > 1e-6 * max(values.max(initial=0), 1e-12)
         root = vectors[:, good] / np.sqrt(values[good])
-        z = cls._kernel(x, marks) @ root
+        blocks = [cls._kernel(cls._presence(texts[lo : lo + 256]), marks) @ root for lo in range(0, len(texts), 256)]
+        z = np.concatenate(blocks) if blocks else np.zeros((0, 0))
         y = np.array([[1.0 if label == language else -1.0 for language in languages] for label in labels])
         w = np.linalg.solve(z.T @ z + RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y) if len(z) else np.zeros((0, 0))
         return cls(languages, marks.astype(np.uint8), (root @ w).astype(np.float32), *cls._known(texts))
 
+    @staticmethod
+    def _presence(texts: list[str]) -> np.ndarray:
+        x = np.zeros((len(texts), FEATURES), np.float32)
+        for row, text in zip(x, texts, strict=True):
+            features(code_points(text), row)
+        return x
+
     @staticmethod
     def _known(texts: list[str]) -> tuple[np.ndarray, float]:
         """Which n-grams the texts have, and the share of known n-grams from which a text is sure to be clean."""
@@ -151,15 +158,17 @@ class KernelClassifier:
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """(text, lang): at most PER_LANGUAGE labelled texts of each of the MOST_LANGUAGES first languages, by a hash of the id.
+    """(rank, lang, text): at most PER_LANGUAGE labelled texts a language, and PER_LANGUAGE x MOST_LANGUAGES in all, lowest ranks
+    first, so that each of very many languages has some. Ranks are by a hash of the id, texts above MOST_CHARS characters last;
+    these are cut there for the fit.
 
     Learns only from rows whose crc32(doc_id as text) mod 3 is not 1, with a text of letters and a lang.
     """
     rows = docs.where(~F.coalesce("held_out", F.lit(False)) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.where(F.length("text") <= MOST_CHARS)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    rows = rows.select("doc_id", "lang", (F.length("text") > MOST_CHARS).alias("long"), F.substring("text", 1, MOST_CHARS).alias("text"))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text")
     # the limit by rank is applied in each task before rows of a language meet
-    picked = rows.select("doc_id", "text", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE)
+    picked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE)
     return picked.orderBy("rank", "lang").limit(PER_LANGUAGE * MOST_LANGUAGES).select("rank", "lang", "text")
 
 
@@ -174,22 +183,27 @@ def fit_languages(docs: DataFrame) -> KernelClassifier:
     return KernelClassifier.fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def predict_languages(docs: DataFrame, model: KernelClassifier) -> DataFrame:
-    """docs(doc_id, text, ...) with lang_pred, score and strange; only the text is looked at. All columns stay, in order.
+def predict_languages(docs: DataFrame, model: KernelClassifier, added: str = "", texts: bool = True) -> DataFrame:
+    """docs(doc_id, text, ...) with lang_pred, score and strange, whose names begin with `added`; only the text is looked at.
 
-    A null text, or one without a letter, is `und` with score 0 and strange. Where nothing could be learned, every text is `und`.
+    All columns stay, in order, but for those of the same names, and the text where `texts` is false. A null text, or one without
+    a letter, is `und` with score 0 and strange; a text of any length is read whole. Where nothing could be learned, every text
+    is `und`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "strange")]
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [added + c for c in ("lang_pred", "score", "strange")]
+    stay = [c for c in docs.columns if c not in names and (texts or c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, len(whole), 512)):
-            names, scores, strange = shared.value.predict(batch.column("text").to_pylist())
-            yield pa.record_batch({**{c: batch.column(c) for c in columns}, "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "strange": pa.array(strange)})
+        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, len(whole), 256)):
+            found = sent.value.predict(batch.column("text").to_pylist())
+            kinds = (pa.string(), pa.float64(), pa.bool_())
+            yield pa.record_batch({**{c: batch.column(c) for c in stay}, **{c: pa.array(v, k) for c, v, k in zip(names, found, kinds, strict=True)}})
 
-    docs = docs.select(*columns)
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("strange", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    docs = docs.select(*stay, *([] if texts else ["text"]))
+    fields = [f for f in docs.schema.fields if f.name in stay]
+    fields += [T.StructField(c, t()) for c, t in zip(names, (T.StringType, T.DoubleType, T.BooleanType), strict=True)]
+    return mapped(docs, run, T.StructType(fields))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -197,4 +211,4 @@ def identify(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit_languages(docs)
     rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return predict_languages(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict_languages(rows, model, texts=False).select("doc_id", "held_out", "lang_pred", "score")

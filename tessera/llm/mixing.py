@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import WORD, kept, materialize, scratch
+from .ranks import running
 
 #: Rows of one bucket, on average, at each level of the tree.
 FAN_IN = 512
+#: Buckets of one task, on average; rows that agree in all that counts and are numbered at one time.
+TASK_BUCKETS, EQUAL = 16, 1 << 16
 #: Size classes: a size below 2^CLASSES words has its own power of two.
 CLASSES = 48
 
@@ -40,22 +43,18 @@ def source_targets(sized: DataFrame, weights: list[float], share: float, most: f
     times its source's size; the rest is shared again by weight until none is above. That is min(weight * level, most * size)
     with one level for all, found from running sums by cap per weight.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
-    rows = totals.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    everyone = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = everyone.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    rows = (
-        rows.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.sum("source_size").over(whole) * F.lit(float(share)) - F.col("capped")) / F.col("open"))
-        # the first source, in this order, that stays below its cap sets the level; later ones give smaller values
-        .withColumn("below", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
-        .withColumn("level", F.max("below").over(whole))
-    )
-    target = F.coalesce(F.least(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    ranked = running(totals, ["last", "source"], {"rank": None})
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = ranked.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    rows = materialize(running(rows, ["ratio", "last", "source"], {"capped": F.col("cap"), "before": F.col("weight")}), "capped")
+    total, weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    if total is None:
+        return rows.select("source", "source_size", F.col("cap").alias("target"))
+    level = (F.lit(total * float(share)) - F.col("capped")) / (F.lit(weight) - F.col("before"))
+    # the first source, in this order, that stays below its cap sets the level; later ones give smaller values
+    top = rows.where(level * F.col("weight") <= F.col("cap")).agg(F.max(level)).first()[0]
+    target = F.col("cap") if top is None else F.least(F.lit(top) * F.col("weight"), F.col("cap"))
     return rows.select("source", "source_size", target.alias("target"))
 
 
@@ -132,7 +131,7 @@ def mix_sources(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float
 
     size: words of the text, 0 for a null one. taken: copies of the document times its size, with at most `most` copies when
     that is a whole number. A null source is a source of its own; documents of size 0 are taken 0 words. Rows that agree in
-    doc_id, source and size are interchangeable. An empty table gives no rows.
+    doc_id, source and size are interchangeable; they are numbered, and each is rounded on its own. An empty table gives no rows.
     """
     with scratch(docs.sparkSession):
         return kept(_mix(docs, weights, share, most), "mixed")
@@ -140,7 +139,14 @@ def mix_sources(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float
 
 def _mix(docs: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = materialize(sized, "sized")
+    # equal rows are numbered, so that they have luck and buckets of their own
+    equal = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "sized")
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / EQUAL))).alias("part")
+    equal = equal.select("*", parts)
+    if not equal.where("part > 0").isEmpty():
+        equal = equal.repartition("doc_id", "source", "size", "part")
+    most_part = F.least(F.lit(EQUAL), F.col("rows") - F.col("part") * EQUAL)
+    sized = equal.select("doc_id", "source", "size", "part", F.explode(F.sequence(F.lit(1), most_part)).alias("number")).withColumn("number", F.col("part") * EQUAL + F.col("number")).drop("part")
     targets = materialize(source_targets(sized, list(weights), share, most), "targets")
     join = targets.withColumnRenamed("source", "s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -149,22 +155,21 @@ def _mix(docs: DataFrame, weights: list[float], share: float, most: float) -> Da
         sized.join(join, sized.source.eqNullSafe(join.s)).drop("s")
         .withColumn("whole", F.floor(near).cast("double")).withColumn("p", near - F.floor(near))
     )
-    # equal rows get numbers that only differ by their order in a bucket
-    key = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce("source", F.lit("\x00")), F.col("size")]
+    key = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce("source", F.lit("\x00")), F.col("size"), F.col("number")]
     rows = rows.withColumn("luck", F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / F.lit(float(1 << 40)))
     rows = rows.withColumn("class", F.least(F.floor(F.log2(F.greatest("size", F.lit(1)))), F.lit(CLASSES)).cast("int"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "luck", "class"]
+    columns = ["doc_id", "source", "size", "number", "source_size", "target", "whole", "p", "luck", "class"]
     settled = rows.where("size = 0 or p = 0").select(*columns)
-    schema = "doc_id long, source string, size long, source_size long, target double, whole double, p double, luck double, class int, bucket long"
+    schema = "doc_id long, source string, size long, number long, source_size long, target double, whole double, p double, luck double, class int, bucket long"
     live = rows.where("size > 0 and p > 0").select(*columns)
     parts = [settled]
     left, level = live.count(), 0
     buckets = -(-left // FAN_IN)
     while left:
         last = buckets <= 1
-        slot = F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.lit(max(buckets, 1)))
+        slot = F.pmod(F.xxhash64("doc_id", "size", "number", F.lit(level)), F.lit(max(buckets, 1)))
         group = F.xxhash64("source", "class", slot)
-        ready = live.select(*columns, group.alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "luck", "doc_id", "size")
+        ready = live.select(*columns, group.alias("bucket")).repartition(max(1, buckets // TASK_BUCKETS), "bucket").sortWithinPartitions("bucket", "luck", "doc_id", "size", "number")
         turned = materialize(_rounds(ready, schema, settle=False), "rounded")
         done = turned.where("p <= 0 or p >= 1").select(*columns)
         live = turned.where("p > 0 and p < 1").select(*columns)
@@ -174,7 +179,7 @@ def _mix(docs: DataFrame, weights: list[float], share: float, most: float) -> Da
             break
         buckets = buckets // FAN_IN
     if left:  # one document of each class is left to a source: CLASSES + 1 rows at most
-        ready = live.select(*columns, F.xxhash64("source").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "luck", "doc_id", "size")
+        ready = live.select(*columns, F.xxhash64("source").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "luck", "doc_id", "size", "number")
         parts.append(_rounds(ready, schema, settle=True).select(*columns))
     out = parts[0]
     for part in parts[1:]:

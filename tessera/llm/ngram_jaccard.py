@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bitmap, bitmap_slot, in_bitmap, kept, lists, materialize, mix, pieces, scratch, utf8
+from .common import Words, bitmap, bitmap_slot, in_bitmap, kept, lists, mapped, materialize, mix, pieces, scratch, shared, utf8
 from .components import components
 
 #: Counters of the sketch that orders shingles: 2^SKETCH_BITS, whatever the input.
@@ -74,7 +74,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
         step = 4096
         yield pa.record_batch({"at": pa.array(range(0, len(total), step), pa.int32()), "n": lists(total, np.full(len(total) // step, step), pa.int64())})
 
-    rows = materialize(docs.select("text").mapInArrow(count, "at int, n array<long>"), "sketch")
+    rows = materialize(mapped(docs.select("text"), count, "at int, n array<long>"), "sketch")
     summed = rows.select("at", F.posexplode("n")).groupBy((F.col("at") + F.col("pos")).alias("at")).agg(F.sum("col").alias("n")).toPandas()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[summed["at"].to_numpy()] = summed["n"].to_numpy()
@@ -93,7 +93,7 @@ def _prefix_size(size: int, percent: int) -> int:
 
 def _prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
     """doc_id, n (set size), fp (128-bit fingerprint of the set), prefix (its first shingles) and last (the last one's place)."""
-    order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.int32))
+    order = shared(docs.sparkSession, np.minimum(counts, (1 << 24) - 1).astype(np.int32))
 
     def run(batches):
         table = order.value
@@ -119,14 +119,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Data
                 "prefix": lists(np.concatenate(first).view(np.int64), np.array([len(x) for x in first], np.int64), pa.int64()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, last long, prefix array<long>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n long, fp binary, last long, prefix array<long>")
 
 
 def _sets_of(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
     """(node, shingles) of the documents that pairs (a, b) name; their texts stay where they are."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     slot = bitmap_slot(F.col("doc_id"), NODE_BITS)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(bitmap_slot(F.col("node"), NODE_BITS).alias("slot")), "slot", NODE_BITS))
+    bits = shared(docs.sparkSession, bitmap(wanted.select(bitmap_slot(F.col("node"), NODE_BITS).alias("slot")), "slot", NODE_BITS))
 
     def full(batches):
         for batch in batches:
@@ -139,7 +139,7 @@ def _sets_of(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
                         "shingles": lists(np.concatenate([sets[r] for r in rows]).view(np.int64), np.array([len(sets[r]) for r in rows], np.int64), pa.int64()),
                     })
 
-    sets = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(full, "node long, shingles array<long>")
+    sets = mapped(docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")), full, "node long, shingles array<long>")
     return materialize(sets.join(wanted, "node", "left_semi"), "sets")
 
 
@@ -159,8 +159,8 @@ def _least(n, m, percent: int) -> Column:
 def _shared_posts(nodes: DataFrame) -> DataFrame:
     """(token, node) of the prefix shingles that two nodes or more have."""
     tokens = nodes.select(F.explode("prefix").alias("token"), "node")
-    shared = materialize(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token"), "shared")
-    bits = nodes.sparkSession.sparkContext.broadcast(bitmap(shared.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("slot")), "slot", TOKEN_BITS))
+    common = materialize(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token"), "shared")
+    bits = shared(nodes.sparkSession, bitmap(common.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("slot")), "slot", TOKEN_BITS))
 
     def some(batches):
         for batch in batches:
@@ -170,7 +170,7 @@ def _shared_posts(nodes: DataFrame) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(), prefix.value_lengths().to_numpy())
             yield pa.record_batch({"token": pa.array(token[keep]), "node": pa.array(node[keep])})
 
-    return materialize(nodes.select("node", "prefix").mapInArrow(some, "token long, node long").join(shared, "token"), "shared-posts")
+    return materialize(mapped(nodes.select("node", "prefix"), some, "token long, node long").join(common, "token"), "shared-posts")
 
 
 def _step(n: Column) -> Column:
@@ -223,9 +223,9 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     nodes = known.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "last", "prefix")])
     nodes = materialize(nodes, "nodes")
     posts = _shared_posts(nodes)
-    shared = posts.groupBy("node").agg(F.count("*").alias("s"))
+    met = posts.groupBy("node").agg(F.count("*").alias("s"))
     # own: prefix shingles that no other node has; most: the largest set that can still link, from the side that ends first
-    facts = nodes.select("node", "n", "last", F.size("prefix").alias("p")).join(shared, "node").withColumn("own", F.col("p") - F.col("s")).drop("s")
+    facts = nodes.select("node", "n", "last", F.size("prefix").alias("p")).join(met, "node").withColumn("own", F.col("p") - F.col("s")).drop("s")
     facts = facts.withColumn("most", F.least(F.floor(F.col("n") * 100 / percent), F.floor(((F.col("n") - F.col("own")) * 100 - F.col("own") * percent) / percent)))
     posts = materialize(posts.join(facts, "node"), "posts")
 

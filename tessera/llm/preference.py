@@ -62,7 +62,7 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct("turn", "role", "text")).alias("t")
     heads = turns.where("conv_id is not null").groupBy("conv_id").agg(first).select("conv_id", F.col("t.role").alias("role"), F.col("t.text").alias("text"))
-    ranked = running(heads, ["role", "text", "conv_id"], None, "rank")
+    ranked = running(heads, ["role", "text", "conv_id"], {"rank": None})
     pair = F.floor(F.col("rank") / 2).alias("pair")
     even = F.col("rank") % 2 == 0
     return (

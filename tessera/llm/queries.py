@@ -30,7 +30,7 @@ def op3_flac(spark, sf_dir):
 
 
 def op4_substring_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents"), window=50).drop("text")
+    return remove_repeats(table(spark, sf_dir, "documents"), window=50, batches=5).drop("text")
 
 
 def op5_language_id(spark, sf_dir):

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize
 
 
-def running(df: DataFrame, order: list[str], value: str | None, out: str) -> DataFrame:
-    """df with `out`: the sum of value (rows, where it is None) over all rows before this one in the order.
+def running(df: DataFrame, order: list[str], sums: dict[str, Column | None]) -> DataFrame:
+    """df with a column for each of sums: its value's sum (of rows, where it is None) over all rows before this one in the order.
 
-    Rows are range-partitioned by the order and written once; only one sum per partition is gathered to place them. The
-    order should be total, else rows that tie take their places in an unspecified order.
+    Rows are range-partitioned by the order and written once; only sums per partition are gathered to place them. The order
+    should be total, else rows that tie take their places in an unspecified order.
     """
-    n = F.lit(1) if value is None else F.col(value)
-    placed = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
-    placed = placed.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).withColumn("__part", F.spark_partition_id())
+    by = [F.col(c).asc_nulls_first() for c in order]
+    values = {f"__value_{k}": F.lit(1) if v is None else v for k, v in sums.items()}
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({**values, "__part": F.spark_partition_id()})
     placed = materialize(placed, "ordered")
-    parts = placed.groupBy("__part").agg(F.sum(n).alias("__sum"))
+    parts = placed.groupBy("__part").agg(*[F.sum(v).alias(v) for v in values])
     # one row per partition of the range exchange
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast("long").alias("__before"))
-    inside = Window.partitionBy("__part").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("__own", F.coalesce(F.sum(n).over(inside), F.lit(0)).cast("long")).join(F.broadcast(parts), "__part")
-        .withColumn(out, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
-    )
+    zero = {v: F.lit(0).cast(placed.schema[v].dataType) for v in values}
+    parts = parts.select(F.col("__part"), *[F.coalesce(F.sum(v).over(before), zero[v]).alias(f"__before{v}") for v in values])
+    inside = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    own = {f"__own{v}": F.coalesce(F.sum(v).over(inside), zero[v]) for v in values}
+    out = {k: F.col(f"__before__value_{k}") + F.col(f"__own__value_{k}") for k in sums}
+    return placed.withColumns(own).join(F.broadcast(parts), "__part").select(*df.columns, *[v.alias(k) for k, v in out.items()])

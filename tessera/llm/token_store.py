@@ -6,6 +6,7 @@ Files under the store's path:
 - chunks: (digest, n, ids): each different chunk once, ids packed little-endian.
 - recipes: (doc_id, start, n_tokens, root, digests) in ascending doc_id order; start counts the ids of all documents before.
 - manifest: (level, node, hash): a Merkle tree over the recipes. A leaf covers the documents that start in the same 2^16 ids.
+- format: (width): bytes of an id.
 
 A reader verifies chunks by digest, documents by the Merkle root of their digests, and all documents by the top of the manifest.
 """
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, lists, materialize, pieces, scratch, utf8
+from .common import kept, lists, mapped, materialize, pieces, scratch, utf8
 from .encoding import word_encoder
 from .ranks import running
 
 SPAN, AVERAGE, LEAST, MOST = 16, 256, 64, 4096
+#: Text that is encoded at one time.
+ENCODED_BYTES = 2 << 20
 #: A random number per id: the rolling hash is the sum of the last SPAN ones, spread by a multiplication.
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _ODD, _BELOW = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) // AVERAGE)
@@ -67,20 +70,17 @@ def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         encoder = word_encoder(tokenizer)
-        end = np.array([end_id], encoder.kind).tobytes()
-        width = encoder.kind.itemsize
+        end, width = np.array([end_id], encoder.kind), encoder.kind.itemsize
         for batch in batches:
-            data, at = utf8(batch.column("text"))
-            for i, j in pieces(at):
-                raw = data[at[i] : at[j]].tobytes()
-                texts = [raw[at[r] - at[i] : at[r + 1] - at[i]] for r in range(i, j)]
+            for i, j in pieces(utf8(batch.column("text"))[1], ENCODED_BYTES):
+                all_ids, first = encoder.encode(batch.column("text").slice(i, j - i))
                 n, roots, sizes, digests, chunks = [], [], [], [], []
-                for ids in encoder.encode(texts):
-                    ids += end
-                    ends = cut(np.frombuffer(ids, encoder.kind))
-                    own = [ids[a * width : b * width] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+                    ids = np.concatenate([all_ids[a:b], end])
+                    ends, raw = cut(ids), ids.tobytes()
+                    own = [raw[a * width : b * width] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                     names = [digest(c) for c in own]
-                    n.append(len(ids) // width)
+                    n.append(len(ids))
                     roots.append(merkle(names))
                     sizes.append(len(own))
                     digests += names
@@ -91,7 +91,7 @@ def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 })
 
     schema = "doc_id long, n_tokens long, root binary, digests array<binary>, chunks array<binary>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -128,10 +128,16 @@ def _write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     unique = chunks.groupBy("digest").agg(F.first("ids").alias("ids"))
     zipped = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}")
     zipped(unique, "chunks")
-    recipes = running(encoded.select("doc_id", "n_tokens", "root", "digests"), ["doc_id", "root"], "n_tokens", "start")
+    recipes = running(encoded.select("doc_id", "n_tokens", "root", "digests"), ["doc_id", "root"], {"start": F.col("n_tokens")})
     recipes = recipes.repartitionByRange("start").sortWithinPartitions("start")
     zipped(recipes.select("doc_id", "start", "n_tokens", "root", "digests"), "recipes")
-    zipped(manifest(docs.sparkSession.read.parquet(f"{path}/recipes")), "manifest")
+    spark = docs.sparkSession
+    zipped(manifest(spark.read.parquet(f"{path}/recipes")), "manifest")
+    zipped(spark.range(1).select(F.lit(word_encoder(tokenizer).kind.itemsize).alias("width")), "format")
+
+
+def _width(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/format").first()["width"]
 
 
 @lru_cache(maxsize=1)
@@ -167,12 +173,13 @@ def join_crcs(crc: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarra
     return np.bitwise_xor.reduceat(crc, first)
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the store's files; raises where they don't verify.
 
     ids_crc32: CRC-32 of the ids as little-endian unsigned 32-bit integers. Chunks are read once each; documents join what
     was computed of them, not their bytes.
     """
+    width = _width(spark, path)
 
     def chunk(batches: Iterator[pa.RecordBatch]):
         kind = np.dtype(f"<u{width}")
@@ -200,18 +207,19 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             crcs = join_crcs(crc, n * 4, first) if len(first) else crc
             yield pa.record_batch({**{c: batch.column(c) for c in ("doc_id", "start")}, "n_tokens": pa.array(total), "root": pa.array(roots, pa.binary()), "ids_crc32": pa.array(crcs.astype(np.int64))})
 
-    read = spark.read.parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(chunk, "digest binary, n long, crc long")
+    read = mapped(spark.read.parquet(f"{path}/chunks").select("digest", "ids"), chunk, "digest binary, n long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest")).join(read, "digest")
     docs = parts.groupBy("start", "doc_id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc", "digest"))).alias("parts"))
-    docs = kept(docs.mapInArrow(whole, "doc_id long, start long, n_tokens long, root binary, ids_crc32 long"), "documents")
+    docs = kept(mapped(docs, whole, "doc_id long, start long, n_tokens long, root binary, ids_crc32 long"), "documents")
     if top_hash(manifest(docs)) != top_hash(spark.read.parquet(f"{path}/manifest")):
         raise ValueError("the documents read don't have the manifest's Merkle root")
     return docs.drop("root")
 
 
-def read_tokens(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) with the ids themselves, put together from recipes and chunks."""
+    width = _width(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -220,4 +228,4 @@ def read_tokens(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     parts = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
     parts = parts.join(spark.read.parquet(f"{path}/chunks"), "digest").groupBy("start", "doc_id")
-    return parts.agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts")).mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return mapped(parts.agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts")), run, "doc_id long, start long, ids array<int>")

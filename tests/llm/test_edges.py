@@ -151,14 +151,16 @@ def test_flac_odd_rows(spark, odd, none):
 def test_flac_query_stores_streams_and_blocks(spark, odd, sf, tmp_path, monkeypatch):
     monkeypatch.setattr("tessera.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
     rows = queries.op3_flac(spark, sf).collect()
-    (streams,), (blocks,) = (list(tmp_path.glob(f"{name}-*")) for name in ("flac-streams", "pcm-blocks"))
-    media = {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in spark.read.parquet(str(streams)).collect()}
-    pcm = {r.doc_id: r.blocks for r in spark.read.parquet(str(blocks)).collect()}
-    assert {r.doc_id: r.media_sha256 for r in rows} == media
+    (streams,) = tmp_path.glob("flac-streams-*")
+    media = {r.doc_id: r.media for r in spark.read.parquet(str(streams)).collect()}
+    assert {r.doc_id: r.media_sha256 for r in rows} == {d: hashlib.sha256(m).hexdigest() for d, m in media.items()}
     for r in rows:
-        assert hashlib.sha256(b"".join(b.pcm for b in pcm[r.doc_id])).hexdigest() == r.payload_sha256
-        assert [b.first_sample for b in pcm[r.doc_id]] == list(range(0, r.payload_bytes, flac.BLOCK))
-    stored, direct = flac.archive_media(odd), flac.media_features(flac.encode_column(odd))
+        payload = b"".join(b.pcm for b in r.blocks)
+        assert hashlib.sha256(payload).hexdigest() == r.payload_sha256
+        assert [b.first_sample for b in r.blocks] == list(range(0, r.payload_bytes, flac.BLOCK))
+        for first, n in ((0, 10), (4090, 20), (r.payload_bytes - 5, 50)):
+            assert flac.read_samples(media[r.doc_id], first, n) == payload[first : first + n]
+    stored, direct = flac.archive_media(odd).drop("blocks"), flac.media_features(flac.encode_column(odd))
     assert sorted(map(str, stored.collect())) == sorted(map(str, direct.collect()))
 
 
