@@ -9,8 +9,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import bounded, kept, new_path, scratch, table
+from tessera.llm.common import bounded, kept, materialize, new_path, scratch, table
 from tessera.llm.decontaminate import drop_leaks
 from tessera.llm.language_id import UNDETERMINED, fit_languages, predict_languages
 from tessera.llm.mixing import mix_sources
@@ -22,17 +23,45 @@ SHINGLE, PERCENT = 5, 80
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 
+#: What stages add to rows while they work; documents must not have columns of these names.
+NUMBER, ADDED = "__number", "__"
+
+
+def _numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with a number that only rows with equal values in the columns share, whether they have a doc_id or not."""
+    return docs.withColumn(NUMBER, F.xxhash64(*[F.col(c).cast("string") for c in columns]))
+
+
+def _one_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows of docs, but of those with a number that is in repeated only the first by doc_id. Each task finds its own first rows
+    before rows of a number meet."""
+    repeated = bounded(repeated.select(F.col(NUMBER).alias("__repeated")))
+    once = docs.join(repeated, F.col(NUMBER) == F.col("__repeated"), "left_anti")
+    several = docs.join(repeated, F.col(NUMBER) == F.col("__repeated"), "left_semi")
+    order = Window.partitionBy(NUMBER).orderBy(F.col("doc_id").asc_nulls_last())
+    return once.union(several.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; those without a letter, or strange to all, go."""
-    found = predict_languages(docs, fit_languages(docs))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("strange")).select(*docs.columns)
+    found = predict_languages(docs, fit_languages(docs), added=ADDED)
+    return found.where((F.col("__lang_pred") != UNDETERMINED) & ~F.col("__strange")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Documents without an id stay."""
-    found = jaccard_components(docs, k=SHINGLE, percent=PERCENT)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest doc_id, one without an id only where none has one.
+    Of repeated rows of that document one stays. Documents without words stay."""
+    rows = _numbered(docs, "text")
+    texts = rows.groupBy(NUMBER).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"), F.count("*").alias("rows"))
+    with scratch(spark):
+        found = jaccard_components(rows.select(F.col(NUMBER).alias("doc_id"), "text"), k=SHINGLE, percent=PERCENT)
+        groups = found.where("n_shingles > 0").select(F.col("doc_id").alias(NUMBER), "component_id").distinct()
+        texts = materialize(texts.join(groups, NUMBER), "texts")
+        stay = texts.groupBy("component_id").agg(F.min(F.struct("best", NUMBER)).alias("stay"))
+        texts = kept(texts.join(stay, "component_id").select(NUMBER, "rows", (F.col(NUMBER) == F.col(f"stay.{NUMBER}")).alias("stays")), "near-copies")
+    gone = bounded(texts.where("not stays").select(F.col(NUMBER).alias("__gone")))
+    rows = rows.join(gone, F.col(NUMBER) == F.col("__gone"), "left_anti")
+    return _one_each(rows, texts.where("stays and rows > 1")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +70,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 2 times). Documents without an id, or without words, stay once."""
+    """Each document as often as the mix takes it (0 to 2 times). Documents without words stay once. Rows that agree in doc_id,
+    source and text become as many as the mix takes of them all."""
+    rows = _numbered(docs, "doc_id", "source", "text")
     with scratch(spark):
-        mixed = mix_sources(docs, WEIGHTS, SHARE, MOST).where("size > 0 and doc_id is not null")
-        times = mixed.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times <> 1")
-        times = kept(times, "times")
-    rows = docs.join(bounded(times), "doc_id", "left").where("coalesce(times, 1) > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1))))).select(*docs.columns)
+        mixed = mix_sources(rows.select(F.col(NUMBER).alias("doc_id"), "text", "source"), WEIGHTS, SHARE, MOST).where("size > 0")
+        times = mixed.groupBy(F.col("doc_id").alias(NUMBER)).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).cast("int").alias("__times"), F.count("*").alias("__rows"))
+        times = kept(times.where("__times <> 1 or __rows > 1"), "times")
+    rows = _one_each(rows, times.where("__rows > 1")).join(bounded(times.drop("__rows")), NUMBER, "left").where("coalesce(__times, 1) > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__times", F.lit(1))))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
