@@ -17,6 +17,7 @@ Links inside a group are implied, so every link between different groups is foun
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,9 @@ from pyspark.sql.window import Window
 from .common import Words, bitmap, bitmap_slot, in_bitmap, kept, lists, mapped, materialize, mix, pieces, scratch, shared, utf8
 from .components import components
 
-#: Counters of the sketch that orders shingles: 2^SKETCH_BITS, whatever the input.
-SKETCH_BITS = 18
+#: Bytes of text for each counter of the sketch that orders shingles, and least and most bits of its size. With counters in
+#: proportion to the text, prefixes stay as rare as the input grows; at most 2^23 bytes go to each task.
+SKETCH_TEXT, SKETCH_BITS = 768, (18, 23)
 #: Pivots that a node is held against before groups are built.
 PIVOTS = 2
 #: Bits of the bitmap of shared tokens.
@@ -64,21 +66,39 @@ def _sets(batch: pa.RecordBatch, k: int, keep: np.ndarray | None = None) -> Iter
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents have a shingle, summed in fixed counters over all of them."""
+    """How many documents have a shingle, in steps of logarithms, in counters for its first bits summed over all documents.
+
+    Tasks sum up what they read, other tasks the parts of these sums, a slice of the counters each.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    bits = min(max(int(np.log2(size / SKETCH_TEXT)), SKETCH_BITS[0]), SKETCH_BITS[1])
+    step = 1 << 14
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total, held, waiting = np.zeros(1 << bits, np.int32), [], 0
         for batch in batches:
             for _, sets in _sets(batch, k):
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        step = 4096
-        yield pa.record_batch({"at": pa.array(range(0, len(total), step), pa.int32()), "n": lists(total, np.full(len(total) // step, step), pa.int64())})
+                held += [(s >> np.uint64(64 - bits)).astype(np.int32) for s in sets]
+                waiting += sum(map(len, sets))
+                if waiting >= 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+                    held, waiting = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+        at = range(0, len(total), step)
+        yield pa.record_batch({"at": pa.array(at, pa.int32()), "n": pa.array([zlib.compress(total[i : i + step].tobytes(), 1) for i in at], pa.binary())})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(n), np.int32).astype(np.int64)
+        for at, n in total.items():
+            yield pa.record_batch({"at": pa.array([at], pa.int32()), "n": pa.array([np.rint(16 * np.log2(1 + np.minimum(n, 1 << 14))).astype(np.uint8).tobytes()], pa.binary())})
 
-    rows = materialize(mapped(docs.select("text"), count, "at int, n array<long>"), "sketch")
-    summed = rows.select("at", F.posexplode("n")).groupBy((F.col("at") + F.col("pos")).alias("at")).agg(F.sum("col").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[summed["at"].to_numpy()] = summed["n"].to_numpy()
-    return out
+    parts = materialize(mapped(docs.select("text"), count, "at int, n binary"), "sketch")
+    rows = mapped(parts.repartition(min(1 << bits >> 14, 64), "at"), add, "at int, n binary").collect()
+    return np.frombuffer(b"".join(r["n"] for r in sorted(rows, key=lambda r: r["at"])), np.uint8)
 
 
 def least_overlap(size, percent: int):
@@ -93,11 +113,11 @@ def _prefix_size(size: int, percent: int) -> int:
 
 def _prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
     """doc_id, n (set size), fp (128-bit fingerprint of the set), prefix (its first shingles) and last (the last one's place)."""
-    order = shared(docs.sparkSession, np.minimum(counts, (1 << 24) - 1).astype(np.int32))
+    order = shared(docs.sparkSession, counts)
 
     def run(batches):
         table = order.value
-        shift = np.uint64(64 - SKETCH_BITS)
+        shift = np.uint64(65 - len(table).bit_length())
         for batch in batches:
             n, last = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             marks: list[bytes | None] = [None] * len(batch)

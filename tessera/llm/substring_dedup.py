@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Words, bitmap, bitmap_slot, drop, in_bitmap, joined, kept, lists, mapped, materialize, mix, new_path, pieces, rolling, scratch, shared, utf8
 
@@ -179,17 +180,15 @@ def _candidates(blocks: DataFrame, window: int) -> DataFrame:
         .select("doc_id", "text_key", (F.col("place") + F.col("i")).alias("place"), "hash"), "windows",
     )
     claims = found(judged.where(later), F.col("n")).union(found(single.join(_earlier(single, "hash"), "hash").where("doc_id > first.doc_id"), F.lit(1)))
-    where = ["doc_id", "text_key", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), (F.col("first.place") - F.col("from")).alias("shift")]
-    claims = claims.groupBy(*where).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
-    last = lambda acc: F.element_at(acc, -1)
-
-    def add(acc, span):  # to the last passage, if they meet
-        more = F.array(F.struct(last(acc)["from"].alias("from"), F.greatest(last(acc)["to"], span["to"]).alias("to")))
-        return F.when((F.size(acc) > 0) & (last(acc)["to"] >= span["from"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), more)).otherwise(F.concat(acc, F.array(span)))
-
-    spans = F.aggregate("spans", F.array().cast("array<struct<from:int,to:int>>"), add)
-    claims = claims.withColumn("span", F.explode(spans))
-    return claims.select("doc_id", "text_key", "span.from", "span.to", "first_id", "first_key", (F.col("span.from") + F.col("shift")).alias("first_from"))
+    by = ["doc_id", "text_key", "first_id", "first_key", "shift"]
+    claims = claims.select("from", "to", "doc_id", "text_key", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), (F.col("first.place") - F.col("from")).alias("shift"))
+    order = Window.partitionBy(*by).orderBy("from", "to")
+    reached = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # a passage begins where none before it reaches
+    claims = claims.withColumn("begins", F.coalesce(F.col("from") > reached, F.lit(True)).cast("int"))
+    claims = claims.withColumn("passage", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = claims.groupBy(*by, "passage").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return spans.select("doc_id", "text_key", "from", "to", "first_id", "first_key", (F.col("from") + F.col("shift")).alias("first_from"))
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
