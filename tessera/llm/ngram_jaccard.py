@@ -199,27 +199,32 @@ def _step(n: Column) -> Column:
     return n - n % width
 
 
-def _across(posts: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+def _across(nodes: DataFrame, posts: DataFrame, group: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different groups that may reach the similarity, by the matrix of tokens and groups."""
     posts = posts.join(group.select("node", F.col("component").alias("g")), "node", "left").withColumn("g", F.coalesce("g", "node"))
     posts = materialize(posts, "grouped")
-    matrix = posts.groupBy("token", "g", "n").agg(F.max("last").alias("last"))
+    matrix = posts.groupBy("token", "g", "n").agg(F.max("last").alias("last"), F.count("*").alias("members"))
     split = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("rows")).where("x < y")
     split = materialize(split.select("token", (F.col("rows") >= FREQUENT).alias("frequent")), "split")
     by_size = lambda c: F.when(F.col("frequent"), _step(c)).otherwise(F.lit(-1))
-    matrix = matrix.join(split, "token").select("token", by_size(F.col("n")).alias("step"), F.col("g").alias("m_g"), F.col("n").alias("m_n"), F.col("last").alias("m_last"))
+    matrix = matrix.join(split, "token").select("token", by_size(F.col("n")).alias("step"), F.col("g").alias("m_g"), F.col("n").alias("m_n"), F.col("last").alias("m_last"), "members")
     least = F.ceil(F.col("n") * percent / 100)
     sizes = F.array_distinct(F.transform(F.sequence(least, F.col("most"), F.greatest(F.lit(1), F.floor(least / 256)).cast("long")), _step))
     sizes = F.array_distinct(F.concat(sizes, F.array(_step(F.col("most")))))
     asked = posts.where(F.col("most") >= least).join(split, "token").withColumn("step", F.explode(F.when(F.col("frequent"), sizes).otherwise(F.array(F.lit(-1).cast("long")))))
     met = asked.join(matrix, ["token", "step"]).where((F.col("m_g") != F.col("g")) & (F.col("m_last") >= F.col("last")) & F.col("m_n").between(least, F.col("most")))
-    bound = met.groupBy("node", "n", "p", "last", "m_g", "m_n").agg(F.count("*").alias("c"))
-    reaches = F.col("n") - F.col("p") + F.col("c") >= _least(F.col("n"), F.col("m_n"), percent)
-    opened = materialize(bound.where(reaches).drop("c"), "opened")
+    bound = met.groupBy("node", "n", "p", "last", "m_g", "m_n").agg(F.collect_list(F.struct("members", "token")).alias("tokens")).withColumn("c", F.size("tokens"))
+    need = _least(F.col("n"), F.col("m_n"), percent) - F.col("n") + F.col("p")
+    reaches = F.col("c") >= need
+    # a member with `need` of the c tokens has one of any c - need + 1 of them: the ones that fewest members have are looked up
+    rare = F.slice(F.sort_array("tokens"), F.lit(1), F.least(F.col("c"), F.col("c") - need + 1).cast("int"))
+    opened = materialize(bound.where(reaches).select("node", "n", "p", "last", "m_g", "m_n", rare.alias("tokens")), "opened")
     # members of the open groups
     mine = posts.select(F.col("node").alias("b"), F.col("g").alias("m_g"), F.col("n").alias("m_n"), "token", F.col("last").alias("b_last"))
-    asked = opened.join(posts.select("node", "token"), "node")
-    pairs = asked.join(mine, ["m_g", "m_n", "token"]).where("b_last >= last").groupBy("node", "n", "p", "b", "m_n").agg(F.count("*").alias("c"))
+    asked = opened.select("node", "n", "p", "last", "m_g", "m_n", F.explode("tokens.token").alias("token"))
+    pairs = asked.join(mine, ["m_g", "m_n", "token"]).where("b_last >= last").select("node", "n", "p", "b", "m_n").distinct()
+    prefix = lambda c: nodes.select(F.col("node").alias(c), F.col("prefix").alias(f"prefix_{c}"))
+    pairs = pairs.join(prefix("node"), "node").join(prefix("b"), "b").withColumn("c", F.size(F.array_intersect("prefix_node", "prefix_b")))
     return pairs.where(reaches).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
@@ -263,7 +268,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     tried = materialize(tried.select(F.least("node", "v_node").alias("a"), F.greatest("node", "v_node").alias("b")).distinct(), "tried")
     links = materialize(_verify(tried, _sets_of(docs, k, tried), percent), "links")
 
-    pairs = materialize(_across(posts, components(links), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(_across(nodes, posts, components(links), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = links.union(_verify(pairs, _sets_of(docs, k, pairs), percent))
     label = components(links)
