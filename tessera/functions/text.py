@@ -198,14 +198,15 @@ def compact_json(value: Column) -> Column:
 
 def split_markers(text: Column, markers: Sequence[str], quoted: str = r"\"([^\"]+)\"") -> Column:
     """P25: cut text at the first of each marker, from the last marker of the list's place backwards: an array of
-    (marker, values), where values are the quoted parts between a marker and the cut before. Markers that a cut removed are gone.
+    (marker, values, before), where values are the quoted parts between a marker and the cut before, and `before` is the text that was
+    left when the marker was looked for. Markers that a cut removed are gone.
     """
-    start = F.struct(text.alias("rest"), F.expr("cast(array() as array<struct<marker:string,values:array<string>>>)").alias("out"))
+    start = F.struct(text.alias("rest"), F.expr("cast(array() as array<struct<marker:string,values:array<string>,before:string>>)").alias("out"))
 
     def cut(acc: Column, marker: Column) -> Column:
         at = F.call_function("instr", acc["rest"], marker)
         tail = F.call_function("substring", acc["rest"], at)
-        row = F.struct(marker.alias("marker"), F.array_distinct(F.regexp_extract_all(tail, F.lit(quoted), 1)).alias("values"))
+        row = F.struct(marker.alias("marker"), F.array_distinct(F.regexp_extract_all(tail, F.lit(quoted), 1)).alias("values"), acc["rest"].alias("before"))
         found = at > 0
         return F.struct(
             F.when(found, F.call_function("substring", acc["rest"], F.lit(1), at - 1)).otherwise(acc["rest"]).alias("rest"),

@@ -27,17 +27,28 @@ def audit_values(df: DataFrame, columns: Sequence[str], number: str = "number")
     return found.where("values > 1")
 
 
-def audit_translation(df: DataFrame, field: str, language: str = "language", base: str = "ja", number: str = "number", variant: str = "parallel_id", order: str = "number") -> DataFrame:
-    """Q3: a field whose translation disagrees with the majority; returns (number, language, value, expected, found).
+def audit_translation(df: DataFrame, field: str, language: str = "language", base: str = "ja", number: str = "number", variant: str = "parallel_id", key: str = "card_id", order: str = "number") -> DataFrame:
+    """Q3: rows whose field, in the base language, differs from the most of their number; returns (number, key, language, value,
+    found, expected).
 
-    Per number and language the highest variant speaks. The expected base value of a foreign one is the most common among the
-    numbers that have it.
+    Per number and language the highest variant speaks. A text of another language stands for the base text of the first number,
+    by `order`, that has both; a base text stands for itself. The most common base text of a number's rows is expected of all of
+    them; of equally common ones the smallest, null last.
     """
-    spoken = df.where(F.col(field).isNotNull()).groupBy(number, language).agg(F.max_by(field, variant).alias("value"))
-    own = spoken.where(F.col(language) == base).select(number, F.col("value").alias("base"))
-    pairs = spoken.where(F.col(language) != base).join(own, number)
-    usual = most_common(pairs, [language, "value"], "base").select(language, "value", F.col("base").alias("expected"))
-    return pairs.join(usual, [language, "value"]).where("base <> expected").select(number, language, "value", "expected", F.col("base").alias("found"))
+    spoken = df.groupBy(number, language).agg(F.max_by(field, variant).alias("value"), F.min(order).alias("order"))
+    own = spoken.where(F.col(language) == base).select(number, F.col("value").alias("base")).where("base is not null")
+    first = spoken.where(F.col(language) != base).join(own, number).groupBy(language, "value").agg(F.min_by("base", F.struct("order", "base")).alias("base"))
+    first = first.select(F.col(language).alias("__l"), F.col("value").alias("__v"), F.col("base").alias("__base"))
+    # a text that no number speaks in the base language stands for none
+    itself = F.col(language) == base
+    rows = df.select(number, key, language, F.col(field).alias("value"))
+    rows = rows.join(first, (F.col(language) == F.col("__l")) & F.col("value").eqNullSafe(F.col("__v")), "left")
+    heard = own.select(F.col("base").alias("__own")).distinct()
+    rows = rows.join(heard, itself & (F.col("value") == F.col("__own")), "left").withColumn("found", F.when(itself, F.col("__own")).otherwise(F.col("__base")))
+    counts = rows.groupBy(number, "found").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("found").isNull().alias("none"), "found")).alias("best")
+    usual = counts.groupBy(number).agg(best, F.count("*").alias("texts")).where("texts > 1").select(number, F.col("best.found").alias("expected"))
+    return rows.join(usual, number).where(~F.col("found").eqNullSafe(F.col("expected"))).select(number, key, language, "value", "found", "expected")
 
 
 def audit_missing_in_language(df: DataFrame, value: str, number: str = "number", language: str = "language") -> DataFrame:
@@ -76,11 +87,12 @@ def audit_majority(df: DataFrame, column: str, number: str = "number", key: str
 def audit_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Q10: errata no line of whose correction stands in any of the columns, lower-cased and with blanks folded."""
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    texts = df.groupBy(*keys).agg(F.collect_list(fold(F.concat_ws(" ", *columns))).alias("__texts"))
+    texts = df.select(*[F.col(k).alias(f"__{k}") for k in keys], fold(F.concat_ws(" ", *columns)).alias("__text"))
     lines = F.filter(F.transform(F.split("correction", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))), lambda x: x != "")
-    joined = errata.join(texts, list(keys)).withColumn("__lines", lines)
-    stands = F.exists("__lines", lambda line: F.exists("__texts", lambda t: t.contains(line)))
-    return joined.where(~stands).drop("__texts", "__lines")
+    known = errata.join(df.select(*keys).distinct(), list(keys), "left_semi").withColumn("__lines", lines)
+    stands = F.exists("__lines", lambda line: F.contains(F.col("__text"), line))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    return known.join(texts, [*same, stands], "left_anti").drop("__lines")
 
 
 def audit_requirements(df: DataFrame, key: str = "card_id") -> DataFrame:

@@ -63,19 +63,26 @@ def apply_revisions(df: DataFrame, revisions: DataFrame, keys: Sequence[str], co
     return joined.select(*[F.when(text.isNull(), text).otherwise(new).alias(c) if c == column else F.col(c) for c in df.columns])
 
 
-def extract_rules(df: DataFrame, markers: Mapping[str, str], dictionary: DataFrame, key: str = "card_id", text: str = "effect", quoted: str = r"[「\[]([^」\]]+)[」\]]") -> DataFrame:
-    """(key, index, type, value, allowance) of a text's rules.
+#: What stands in front of the rules of a text, by language (fixed values); the first that a text has counts.
+RULE_MARKS = {"ja": ("〈ルール〉",), "en": ("⟨Rule⟩",), "zh-Hans": ("〈规则〉",), "ko": ("〈룰〉", "〈규칙〉")}
 
-    markers: marker to "trait", "name", "number" or "limit". Traits are typed by dictionary(token, type): form, attribute, else
-    type. A limit's allowance is the first number before its marker's place.
+
+def extract_rules(df: DataFrame, markers: Mapping[str, str], dictionary: DataFrame, key: str = "card_id", text: str = "effect", quoted: str = r"[「\[]([^」\]]+)[」\]]", language: str = "language") -> DataFrame:
+    """(key, index, type, value, allowance) of a text's rules, which stand behind its language's rule mark, in the mark's line.
+
+    markers: marker to "trait", "name", "number" or "limit", looked for in this order, each in what stands before the one found
+    last. Traits are typed by dictionary(token, type): form, attribute, else type. A limit's allowance is the first number of
+    what was left when its marker was looked for. A text without a rule mark, or of another language, has no rules.
     """
     kinds = F.create_map(*[F.lit(x) for pair in markers.items() for x in pair])
-    rows = df.select(key, text, F.posexplode(split_markers(F.col(text), list(markers), quoted)).alias("place", "r")).withColumn("kind", kinds[F.col("r.marker")])
+    line = lambda mark: F.regexp_extract(text, f"{mark}.*", 0)
+    rule = F.coalesce(*[F.when((F.col(language) == name) & F.contains(F.col(text), F.lit(mark)), line(mark)) for name, marks in RULE_MARKS.items() for mark in marks])
+    rows = df.select(key, F.posexplode(split_markers(rule, list(markers), quoted)).alias("place", "r")).withColumn("kind", kinds[F.col("r.marker")])
     values = rows.where("kind <> 'limit'").select(key, "place", "kind", F.posexplode("r.values").alias("sub", "token"))
     typed = J.type_tokens(values.where("kind = 'trait'"), dictionary, ["form", "attribute", "type"], "type")
     named = values.where("kind <> 'trait'").withColumn("type", F.col("kind"))
     found = typed.unionByName(named).select(key, "place", "sub", "type", F.col("token").alias("value"), F.lit(None).cast("long").alias("allowance"))
-    limits = rows.where("kind = 'limit'").select(key, "place", F.lit(0).alias("sub"), F.lit("limit").alias("type"), F.lit(None).cast("string").alias("value"), first_int(F.col(text)).alias("allowance"))
+    limits = rows.where("kind = 'limit'").select(key, "place", F.lit(0).alias("sub"), F.lit("limit").alias("type"), F.lit(None).cast("string").alias("value"), first_int(F.col("r.before")).alias("allowance"))
     return A.with_index(found.unionByName(limits), [key], ["place", "sub"]).select(key, "index", "type", "value", "allowance")
 
 
@@ -99,9 +106,9 @@ def consolidate(df: DataFrame, image: str, by: Sequence[str], key: str, notes: s
     return A.reindex(rows, by, [key, image], column="parallel_id")
 
 
-def map_external(df: DataFrame, ext: DataFrame, block: Sequence[str], max_distance: int = 11) -> DataFrame:
-    """df(id, hash, block...) with external_id: the nearest of ext(id, hash, block...) in its block."""
-    near = J.nearest_hash(df, ext, block, max_distance)
+def map_external(df: DataFrame, ext: DataFrame, block: Sequence[str], max_distance: int = 11, own: bool = True) -> DataFrame:
+    """df(id, hash, block...) with external_id: the nearest of ext(id, hash, block...) in its block; where own is false, of another id."""
+    near = J.nearest_hash(df, ext, block, max_distance, own)
     return df.join(near.select("id", F.col("match").alias("external_id")), "id", "left")
 
 

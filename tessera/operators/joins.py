@@ -34,9 +34,8 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], fallback: tuple[s
 
 def fill_from_canonical(df: DataFrame, key: str, is_canonical: Column, order: Sequence[Column], fill: Sequence[str], force: Sequence[str] = ()) -> DataFrame:
     """Each key's canonical row (the last in order, if several) supplies missing values of `fill` and all of `force`."""
-    last = Window.partitionBy(key).orderBy(*order)
-    canonical = df.where(is_canonical).withColumn("__n", F.row_number().over(last)).where("__n = 1")
-    canonical = canonical.select(key, *[F.col(c).alias(f"__{c}") for c in (*fill, *force)])
+    last = F.max_by(F.struct(*fill, *force), F.struct(*order)).alias("__last")
+    canonical = df.where(is_canonical).groupBy(key).agg(last).select(key, *[F.col(f"__last.{c}").alias(f"__{c}") for c in (*fill, *force)])
     joined = df.join(canonical, key, "left")
     new = {c: F.coalesce(c, f"__{c}") for c in fill} | {c: F.coalesce(f"__{c}", c) for c in force}
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
@@ -105,9 +104,13 @@ def refs_to_release(df: DataFrame, release: DataFrame, key: str, notes: str, own
     return joined.select(*df.columns, F.coalesce("__code", "__name", own).alias("release"))
 
 
-def nearest_hash(a: DataFrame, b: DataFrame, block: Sequence[str], max_distance: int = 11) -> DataFrame:
-    """For each row of a(id, hash, block...) the nearest row of b in its block, by (distance, id), within the distance."""
+def nearest_hash(a: DataFrame, b: DataFrame, block: Sequence[str], max_distance: int = 11, own: bool = True) -> DataFrame:
+    """For each row of a(id, hash, block...) the nearest row of b in its block, by (distance, id), within the distance.
+
+    Where own is false, a row doesn't match its own id.
+    """
     pairs = a.select("id", "hash", *block).join(b.select(F.col("id").alias("match"), F.col("hash").alias("__h"), *block), list(block))
+    pairs = pairs if own else pairs.where("id <> match")
     near = pairs.withColumn("distance", distance(F.col("hash"), F.col("__h"))).where(F.col("distance") <= max_distance)
     return near.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("m")).select("id", "m.match", "m.distance")
 

@@ -58,11 +58,13 @@ def card_document(tables: Mapping[str, DataFrame]) -> DataFrame:
     card = tables["card"]
     releases = tables["card_release"].join(tables["release"], "release_id")
     out = nest(card, "card_id", {"colors": (tables["color"], ["index"], ["index", "color"]), "releases": (releases, ["date", "release_id"], ["release_id", "name"])})
-    number = card.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("language", "parallel_id", "card_id"))).alias("all"))
-    out = out.join(number, "number")
-    ids = lambda test: F.transform(F.filter("all", test), lambda x: x["card_id"])
-    variants = ids(lambda x: (x["language"] == F.col("language")) & (x["card_id"] != F.col("card_id")))
-    translations = ids(lambda x: (x["language"] != F.col("language")) & x["parallel_id"].eqNullSafe(F.col("parallel_id")))
+    # members of a language, and of a variant, of a number: no more than what documents list
+    same = card.groupBy("number", "language").agg(F.array_sort(F.collect_list(F.struct("parallel_id", "card_id"))).alias("__same"))
+    other = card.groupBy("number", F.col("parallel_id").alias("__p")).agg(F.array_sort(F.collect_list(F.struct("language", "parallel_id", "card_id"))).alias("__other"))
+    out = out.join(same, ["number", "language"]).join(other.withColumnRenamed("number", "__n"), (F.col("number") == F.col("__n")) & F.col("parallel_id").eqNullSafe(F.col("__p")))
+    ids = lambda rows, test: F.transform(F.filter(rows, test), lambda x: x["card_id"])
+    variants = ids("__same", lambda x: x["card_id"] != F.col("card_id"))
+    translations = ids("__other", lambda x: x["language"] != F.col("language"))
     release_ids = F.transform("releases", lambda r: r["release_id"])
     included = F.array_distinct(F.concat(F.transform(release_ids, lambda x: F.concat(F.lit("release/"), x.cast("string"))), F.transform(F.concat(variants, translations), lambda x: F.concat(F.lit("card/"), x.cast("string")))))
     plain = [c for c in card.columns if c != "card_id"]

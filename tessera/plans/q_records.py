@@ -138,12 +138,14 @@ def _(spark, d):
     return C.apply_revisions(part, rev, ["p_partkey"], "p_name", "RULE").select("p_partkey", "p_name")
 
 
-@register("e3_extract_rules", """SELECT p_partkey AS card_id, 0 AS index, CASE WHEN p_type = 'PROMO' THEN 'form' ELSE 'type' END AS type, p_type AS value, NULL::BIGINT AS allowance FROM part UNION ALL SELECT p_partkey, 1, 'name', p_name, NULL FROM part UNION ALL SELECT p_partkey, 2, 'limit', NULL, p_size FROM part""")
+@register("e3_extract_rules", """WITH t AS (SELECT * FROM part WHERE p_partkey % 3 <> 0) SELECT p_partkey AS card_id, 0 AS index, 'limit' AS type, NULL AS value, p_size::BIGINT AS allowance FROM t UNION ALL SELECT p_partkey, 1, 'name', p_name, NULL FROM t UNION ALL SELECT p_partkey, 2, CASE WHEN p_type = 'PROMO' THEN 'form' ELSE 'type' END, p_type, NULL FROM t""")
 def _(spark, d):
-    text = F.concat(F.lit("Rule Trait: ["), c("p_type"), F.lit("] Name: ["), c("p_name"), F.lit("] You can include up to "), c("p_size").cast("string"))
-    rows = _t(spark, d, "part").select(c("p_partkey").alias("card_id"), text.alias("effect"))
+    # numbers before the mark, behind the marker and in the next line; a third of the texts without a mark
+    mark = F.when(c("p_partkey") % 3 != 0, "⟨Rule⟩").otherwise("Rule:")
+    text = F.concat(F.lit("[On Play] Draw 7. "), mark, F.lit(" You can include up to "), c("p_size").cast("string"), F.lit(" copies in a deck of 50. Name: ["), c("p_name"), F.lit("] Trait: ["), c("p_type"), F.lit("]\nTrait: [other] 3"))
+    rows = _t(spark, d, "part").select(c("p_partkey").alias("card_id"), text.alias("effect"), F.lit("en").alias("language"))
     table = spark.createDataFrame([("PROMO", "form"), ("PROMO", "type"), ("SMALL", "type")], "token string, type string")
-    return C.extract_rules(rows, {"You can include up to": "limit", "Name:": "name", "Trait:": "trait"}, table)
+    return C.extract_rules(rows, {"Trait:": "trait", "Name:": "name", "You can include up to": "limit"}, table)
 
 
 @register("e4_extract_icons", """SELECT doc_id, 0 AS index, CASE WHEN doc_id % 2 = 0 THEN 'timing' WHEN (doc_id // 2) % 5 <= 3 THEN 'timing' END AS kind FROM documents WHERE doc_id < 2 * (SELECT count(*) // 2 FROM documents)""")
@@ -169,11 +171,11 @@ def _(spark, d):
 
 
 @register("e6_map_external", """WITH h AS (SELECT vec_id AS id, label, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE > list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64) AS b FROM embeddings),
-p AS (SELECT q.id AS id, r.id AS match, list_sum(list_transform(range(1, 65), lambda i: (q.b[i] <> r.b[i])::INTEGER)) AS distance FROM h q JOIN h r ON q.label = r.label AND q.id % 5 = 0 AND r.id % 5 <> 0)
-SELECT h.id, m.match AS external_id FROM h LEFT JOIN (SELECT id, arg_min(match, distance * 1000000 + match) AS match FROM p WHERE distance <= 26 GROUP BY id) m USING (id) WHERE h.id % 5 = 0""")
+p AS (SELECT q.id AS id, r.id AS match, list_sum(list_transform(range(1, 65), lambda i: (q.b[i] <> r.b[i])::INTEGER)) AS distance FROM h q JOIN h r ON q.label = r.label AND q.id % 100 = 0 AND r.id <> q.id)
+SELECT h.id, m.match AS external_id FROM h LEFT JOIN (SELECT id, arg_min(match, distance * 1000000 + match) AS match FROM p WHERE distance <= 26 GROUP BY id) m USING (id) WHERE h.id % 100 = 0""")
 def _(spark, d):
     h = _t(spark, d, "embeddings").select(c("vec_id").alias("id"), vector_signature(c("embedding")).alias("hash"), "label")
-    return C.map_external(h.where("id % 5 = 0"), h.where("id % 5 <> 0"), ["label"], 26).select("id", "external_id")
+    return C.map_external(h.where("id % 100 = 0"), h, ["label"], 26, own=False).select("id", "external_id")
 
 
 @register("e7_limitation_table")
@@ -184,22 +186,27 @@ def _(spark, d):
     return C.limitation_table(rows, {"banned": "ban", "restricted": "restrict"}).select("number", "language", "date", "type", "allowance", "index")
 
 
-@register("e8_card_document", """SELECT doc_id AS card_id, (SELECT count(*) FROM documents b WHERE b.source = a.source AND b.lang = a.lang AND b.doc_id <> a.doc_id) AS variants, (SELECT count(*) FROM documents b WHERE b.source = a.source AND b.lang <> a.lang AND b.doc_id % 3 = a.doc_id % 3) AS translations FROM documents a""")
+@register("e8_card_document", """SELECT o_orderkey AS card_id, o_orderstatus AS color, 'release/' || o_orderpriority AS release,
+  coalesce((SELECT string_agg(b.o_orderkey::VARCHAR, ',' ORDER BY b.o_orderkey % 3, b.o_orderkey) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = a.o_orderstatus AND b.o_orderkey <> a.o_orderkey), '') AS variants,
+  coalesce((SELECT string_agg(b.o_orderkey::VARCHAR, ',' ORDER BY b.o_orderstatus, b.o_orderkey) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus <> a.o_orderstatus AND b.o_orderkey % 3 = a.o_orderkey % 3), '') AS translations,
+  a.o_custkey::BIGINT AS number FROM orders a""")
 def _(spark, d):
-    card = _t(spark, d, "documents").select(c("doc_id").alias("card_id"), c("source").alias("number"), c("lang").alias("language"), (c("doc_id") % 3).alias("parallel_id"))
-    color = card.select("card_id", F.lit(0).alias("index"), F.lit("red").alias("color"))
-    release = card.select(c("number").alias("release_id"), c("number").alias("name")).distinct().withColumn("date", F.to_date(F.lit("2024-01-01")))
-    doc = N.card_document({"card": card, "color": color, "release": release, "card_release": card.select("card_id", c("number").alias("release_id"))})
-    parsed = F.from_json("document", "relationships struct<variants:array<bigint>,translations:array<bigint>>")["relationships"]
-    return doc.select("card_id", F.size(parsed["variants"]).cast("long").alias("variants"), F.size(parsed["translations"]).cast("long").alias("translations"))
+    orders = _t(spark, d, "orders")
+    card = orders.select(c("o_orderkey").alias("card_id"), c("o_custkey").alias("number"), c("o_orderstatus").alias("language"), (c("o_orderkey") % 3).alias("parallel_id"))
+    color = orders.select(c("o_orderkey").alias("card_id"), F.lit(0).alias("index"), c("o_orderstatus").alias("color"))
+    release = orders.select(c("o_orderpriority").alias("release_id"), c("o_orderpriority").alias("name")).distinct().withColumn("date", F.to_date(F.lit("2024-01-01")))
+    doc = N.card_document({"card": card, "color": color, "release": release, "card_release": orders.select(c("o_orderkey").alias("card_id"), c("o_orderpriority").alias("release_id"))})
+    schema = "id bigint, attributes struct<number:bigint,colors:array<string>>, relationships struct<variants:array<bigint>,translations:array<bigint>>, included array<string>"
+    x = F.from_json("document", schema)
+    joined = lambda a: F.array_join(a.cast("array<string>"), ",")
+    return doc.select("card_id", x["attributes"]["colors"][0].alias("color"), x["included"][0].alias("release"), joined(x["relationships"]["variants"]).alias("variants"), joined(x["relationships"]["translations"]).alias("translations"), x["attributes"]["number"].alias("number"))
 
 
-@register("e9_release_document", """SELECT o_orderkey AS release_id, '{"id":' || o_orderkey || ',"attributes":{"name":"' || o_orderpriority || '","n_cards":' || coalesce(n, 0) || '},"cards":[' || coalesce(cards, '') || ']}' AS document FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS cards FROM (SELECT l_orderkey, lpad(l_partkey::VARCHAR, 9, '0')::BIGINT AS l_partkey FROM lineitem WHERE l_linenumber = 1) GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(n, 0) <= 1""")
+@register("e9_release_document", """SELECT o_orderkey AS release_id, '{"id":' || o_orderkey || ',"attributes":{"name":"' || o_orderpriority || '","n_cards":' || coalesce(n, 0) || '},"cards":[' || coalesce(cards, '') || ']}' AS document FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS cards FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1) ON l_orderkey = o_orderkey""")
 def _(spark, d):
     release = _t(spark, d, "orders").select(c("o_orderkey").alias("release_id"), c("o_orderpriority").alias("name"))
-    bridge = _t(spark, d, "lineitem").where("l_linenumber = 1").select(c("l_orderkey").alias("release_id"), c("l_partkey").alias("card_id"))
-    single = bridge.groupBy("release_id").agg(F.countDistinct("card_id").alias("n")).where("n > 1")
-    return N.release_document({"release": release.join(single, "release_id", "left_anti"), "card_release": bridge})
+    bridge = _t(spark, d, "lineitem").select(c("l_orderkey").alias("release_id"), c("l_partkey").alias("card_id"))
+    return N.release_document({"release": release, "card_release": bridge})
 
 
 @register("e9_language_document", """SELECT o_orderstatus AS language, '{"language":"' || o_orderstatus || '","latest":"' || strftime(max(o_orderdate), '%Y-%m-%d') || '","releases":' || count(*) || '}' AS document FROM (SELECT DISTINCT o_orderstatus, o_orderdate, o_orderkey FROM orders) GROUP BY o_orderstatus""")
@@ -214,7 +221,7 @@ def _(spark, d):
 
 
 def _docs(spark, d):
-    return _t(spark, d, "documents").select(c("doc_id").alias("card_id"), c("source").alias("number"), c("lang").alias("language"), (c("doc_id") % 2).alias("parallel_id"), "text", "n_chars", F.substring("text", 1, 2).alias("lead"))
+    return _t(spark, d, "documents").select(c("doc_id").alias("card_id"), c("source").alias("number"), c("lang").alias("language"), (c("doc_id") % 2).alias("parallel_id"), "text", "n_chars")
 
 
 @register("q1_q7_audit_counts", "WITH k AS (SELECT o_custkey, o_orderkey, coalesce(string_agg(l_returnflag || n, ',' ORDER BY l_returnflag), '') AS counts FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL) ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_custkey AS number, count(DISTINCT counts) AS variants FROM k GROUP BY 1 HAVING count(DISTINCT counts) > 1")
@@ -229,22 +236,33 @@ def _(spark, d):
     return Q.audit_values(part, ["p_type", "p_size"])
 
 
-@register("q3_audit_translation", """WITH s AS (SELECT source AS number, lang AS language, arg_max(substr(text, 1, 2), doc_id) AS value FROM documents GROUP BY ALL), p AS (SELECT s.*, b.value AS base FROM s JOIN s b ON b.number = s.number AND b.language = 'en' WHERE s.language <> 'en'),
-u AS (SELECT language, value, base AS expected FROM (SELECT language, value, base, row_number() OVER (PARTITION BY language, value ORDER BY count(*) DESC, base) AS r FROM p GROUP BY language, value, base) WHERE r = 1)
-SELECT number, language, value, expected, base AS found FROM p JOIN u USING (language, value) WHERE base <> expected""")
+_DISCOUNTS = """WITH d AS (SELECT l_partkey AS number, l_orderkey * 10 + l_linenumber AS card_id, l_returnflag AS language, l_discount::VARCHAR AS value FROM lineitem)"""
+
+
+def _discounts(spark, d):
+    rows = _t(spark, d, "lineitem")
+    return rows.select(c("l_partkey").alias("number"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("card_id"), c("l_returnflag").alias("language"), c("l_discount").cast("string").alias("value"))
+
+
+@register("q3_audit_translation", f"""{_DISCOUNTS}, s AS (SELECT number, language, arg_max(value, card_id) AS value FROM d GROUP BY ALL), o AS (SELECT number, value AS base FROM s WHERE language = 'R'),
+f AS (SELECT language, value, arg_min(base, number) AS base FROM s JOIN o USING (number) WHERE language <> 'R' GROUP BY ALL),
+r AS (SELECT d.*, CASE WHEN d.language = 'R' THEN (SELECT max(base) FROM o WHERE o.base = d.value) ELSE f.base END AS found FROM d LEFT JOIN f ON f.language = d.language AND f.value = d.value),
+c AS (SELECT number, found, row_number() OVER (PARTITION BY number ORDER BY n DESC, found NULLS LAST) AS k, count(*) OVER (PARTITION BY number) AS texts FROM (SELECT number, found, count(*) AS n FROM r GROUP BY ALL))
+SELECT r.number, r.card_id, r.language, r.value, r.found, c.found AS expected FROM r JOIN c ON c.number = r.number AND k = 1 AND texts > 1 WHERE r.found IS DISTINCT FROM c.found""")
 def _(spark, d):
-    return Q.audit_translation(_docs(spark, d).withColumn("parallel_id", c("card_id")), "lead", base="en")
+    return Q.audit_translation(_discounts(spark, d), "value", base="R", variant="card_id")
 
 
-@register("q4_q18_audit_missing", """WITH r AS (SELECT DISTINCT source AS number, lang AS language, substr(text, 1, 2) AS lead FROM documents) SELECT a.number, a.language, b.lead FROM (SELECT DISTINCT number, language FROM r) a JOIN (SELECT DISTINCT number, lead FROM r) b USING (number) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.number = a.number AND r.language = a.language AND r.lead = b.lead)""")
+@register("q4_q18_audit_missing", f"""{_DISCOUNTS}, r AS (SELECT DISTINCT number, language, value FROM d) SELECT a.number, a.language, b.value FROM (SELECT DISTINCT number, language FROM r) a JOIN (SELECT DISTINCT number, value FROM r) b USING (number) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.number = a.number AND r.language = a.language AND r.value = b.value)""")
 def _(spark, d):
-    return Q.audit_missing_in_language(_docs(spark, d), "lead")
+    return Q.audit_missing_in_language(_discounts(spark, d), "value")
 
 
-@register("q5_audit_learned", """WITH t AS (SELECT source AS number, lang AS language, substr(text, 1, 1) AS text FROM documents), m AS (SELECT DISTINCT text, lower(text) AS base FROM t) SELECT DISTINCT t.number, t.language, t.text, m.base FROM t JOIN m ON m.text = t.text WHERE t.language <> 'en' AND NOT EXISTS (SELECT 1 FROM t e WHERE e.language = 'en' AND e.number = t.number AND lower(e.text) = m.base AND e.text = m.base)""")
+@register("q5_audit_learned", """WITH t AS (SELECT o_custkey AS number, o_orderstatus AS language, o_orderpriority AS text FROM orders), m AS (SELECT DISTINCT text, 'x' || text AS base FROM t) SELECT DISTINCT t.number, t.language, t.text, m.base FROM t JOIN m ON m.text = t.text WHERE t.language <> 'O' AND NOT EXISTS (SELECT 1 FROM t e WHERE e.language = 'O' AND e.number = t.number AND 'x' || e.text = m.base)""")
 def _(spark, d):
-    t = _docs(spark, d).select("number", "language", F.substring("text", 1, 1).alias("text"))
-    return Q.audit_learned(t, t.select("text", F.lower("text").alias("base")).distinct(), "en")
+    own = F.when(c("o_orderstatus") == "O", F.concat(F.lit("x"), c("o_orderpriority"))).otherwise(c("o_orderpriority"))
+    t = _t(spark, d, "orders").select(c("o_custkey").alias("number"), c("o_orderstatus").alias("language"), own.alias("text"), "o_orderpriority")
+    return Q.audit_learned(t.drop("o_orderpriority"), t.select(c("o_orderpriority").alias("text"), F.concat(F.lit("x"), "o_orderpriority").alias("base")).distinct(), "O")
 
 
 @register("q6_audit_first", "SELECT DISTINCT l_orderkey AS card_id, l_returnflag AS type FROM lineitem WHERE l_linenumber = 1 AND l_returnflag IN ('A', 'R')")
@@ -269,12 +287,12 @@ def _(spark, d):
     return Q.audit_neighbours(_t(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderstatus"]).select("o_orderkey")
 
 
-@register("q10_audit_errata", r"""WITH t AS (SELECT source, lang, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents), e AS (SELECT DISTINCT item_id, source, lang, trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')) AS c FROM benchmark b, (SELECT DISTINCT source, lang FROM documents))
+@register("q10_audit_errata", r"""WITH t AS (SELECT source, lang, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents), e AS (SELECT item_id, source, lang, trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')) AS c FROM benchmark b JOIN documents ON doc_id = item_id)
 SELECT item_id, source, lang FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.source = e.source AND t.lang = e.lang AND contains(t.t, e.c))""")
 def _(spark, d):
     docs = _t(spark, d, "documents")
-    keys = docs.select("source", "lang").distinct()
-    errata = _t(spark, d, "benchmark").join(keys).select("item_id", "source", "lang", F.regexp_replace("text", r"\s+", " ").alias("correction"))
+    errata = _t(spark, d, "benchmark").join(docs.select(c("doc_id").alias("item_id"), "source", "lang"), "item_id")
+    errata = errata.select("item_id", "source", "lang", F.regexp_replace("text", r"\s+", " ").alias("correction"))
     return Q.audit_errata(docs, errata, ["source", "lang"], ["text"]).select("item_id", "source", "lang")
 
 

@@ -41,19 +41,11 @@ def _(spark, d):
     return J.lookup(_t(spark, d, "customer"), nation, ["c_nationkey"]).select("c_custkey", "n_name")
 
 
-@register("j4_fill_canonical", """WITH k AS (SELECT source, n_chars AS kn, length(text) AS kl FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE lang = 'en') WHERE r = 1)
-SELECT doc_id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN n_chars END, kn) AS n_chars, coalesce(kl, length(text)) AS n_text FROM documents LEFT JOIN k USING (source)""")
+@register("j4_fill_canonical", """WITH r AS (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN n_chars END AS n FROM documents), k AS (SELECT source, n AS kn, length(text) AS kl FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM r WHERE lang = 'en') WHERE r = 1)
+SELECT doc_id, coalesce(n, kn) AS n_chars, coalesce(kl, length(text)) AS n_text FROM r LEFT JOIN k USING (source)""")
 def _(spark, d):
-    rows = docs(spark, d, F.when(c("doc_id") % 3 != 0, c("n_chars")).alias("n_chars"), F.length("text").cast("long").alias("n_text"), c("n_chars").alias("own"))
-    canonical = rows.withColumn("n_chars", F.when(c("language") == "en", c("own")).otherwise(c("n_chars")))
-    filled = J.fill_from_canonical(canonical.withColumn("gap", F.when(c("doc_id") % 3 != 0, c("own"))), "number", c("language") == "en", [c("doc_id")], ["n_chars"], ["n_text"])
-    return filled.select("doc_id", F.coalesce("gap", F.first("n_chars").over(_first_english())).alias("n_chars"), "n_text")
-
-
-def _first_english():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("number").orderBy((c("language") != "en").cast("int"), "doc_id")
+    rows = docs(spark, d, F.when(c("doc_id") % 3 != 0, c("n_chars")).alias("n_chars"), F.length("text").cast("long").alias("n_text"))
+    return J.fill_from_canonical(rows, "number", c("language") == "en", [c("doc_id")], ["n_chars"], ["n_text"]).select("doc_id", "n_chars", "n_text")
 
 
 @register("j5_siblings", """SELECT a.doc_id, coalesce(list(b.doc_id ORDER BY b.doc_id) FILTER (b.doc_id IS NOT NULL), []) AS siblings
@@ -114,19 +106,19 @@ def hashes(spark, d, bits=None):
 
 _H = """h AS (SELECT vec_id AS id, label, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE > list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64) AS b FROM embeddings),
 p AS (SELECT q.id AS id, r.id AS match, q.label AS ql, r.label AS rl, list_sum(list_transform(range(1, 65), lambda i: (q.b[i] <> r.b[i])::INTEGER))::INTEGER AS distance,
-  list_bool_or(list_transform(range(0, 64, 8), lambda k: q.b[k+1:k+8] = r.b[k+1:k+8])) AS band FROM h q, h r WHERE q.id % 7 = 0 AND r.id % 7 <> 0)"""
+  list_bool_or(list_transform(range(0, 64, 8), lambda k: q.b[k+1:k+8] = r.b[k+1:k+8])) AS band FROM h q, h r WHERE q.id % 100 = 0 AND r.id <> q.id)"""
 
 
 @register("j11_nearest_hash", f"WITH {_H} SELECT id, arg_min(match, distance * 1000000 + match) AS match, min(distance) AS distance FROM p WHERE ql = rl AND distance <= 24 GROUP BY id")
 def _(spark, d):
     h = hashes(spark, d)
-    return J.nearest_hash(h.where("id % 7 = 0"), h.where("id % 7 <> 0"), ["label"], 24)
+    return J.nearest_hash(h.where("id % 100 = 0"), h, ["label"], 24, own=False)
 
 
 @register("j12_band_join", f"WITH {_H} SELECT id, match, distance FROM p WHERE band AND distance <= 20")
 def _(spark, d):
     h = hashes(spark, d)
-    return J.band_join(h.where("id % 7 = 0"), h.where("id % 7 <> 0"), 20)
+    return J.band_join(h.where("id % 100 = 0"), h, 20).where("id <> match")
 
 
 @register("a7_vote", f"""WITH {_H}, m AS (SELECT ql AS session, rl AS candidate, distance FROM p WHERE band AND distance <= 22),
@@ -134,7 +126,7 @@ s AS (SELECT session, candidate, avg(distance) / count(*) AS score, count(*) AS
 SELECT session, score, candidate, votes FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score, candidate) AS n FROM s) WHERE n = 1""")
 def _(spark, d):
     h = hashes(spark, d)
-    near = J.band_join(h.where("id % 7 = 0"), h.where("id % 7 <> 0"), 22)
+    near = J.band_join(h.where("id % 100 = 0"), h, 22).where("id <> match")
     near = near.join(h.select("id", c("label").alias("session")), "id").join(h.select(c("id").alias("match"), c("label").alias("candidate")), "match")
     return A.vote(near, ["session"], "candidate", "distance")
 
@@ -220,20 +212,19 @@ def _(spark, d):
     return A.first_per_date(_t(spark, d, "orders"), ["o_custkey"], "o_orderdate", ["o_orderkey"]).select("o_orderkey", "index")
 
 
-@register("n6_learn_translations", """WITH w AS (SELECT doc_id, source AS grp, CASE WHEN doc_id % 2 = 0 THEN 'ja' ELSE 'en' END AS language, regexp_extract_all(text, '[^ \\n]+')[1:8] AS ws FROM documents),
+@register("n6_learn_translations", """WITH w AS (SELECT doc_id, source AS grp, CASE WHEN doc_id % 2 = 0 THEN 'ja' ELSE 'en' END AS language, regexp_extract_all(text, '[^ \\n]+') AS ws FROM documents),
 t AS (SELECT doc_id, grp, language, (doc_id // 40)::VARCHAR AS field, i - 1 AS index, ws[i] AS text, CASE WHEN language = 'ja' THEN CASE length(ws[i]) % 3 WHEN 0 THEN 'timing' WHEN 1 THEN 'precondition' ELSE 'mention' END END AS kind FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
-g AS (SELECT grp, dense_rank() OVER (ORDER BY grp) - 1 AS rank FROM (SELECT DISTINCT grp FROM t)),
+g AS (SELECT DISTINCT grp, grp AS rank FROM t),
 j AS (SELECT grp, field, index, arg_max(kind, text) AS ja FROM t WHERE language = 'ja' GROUP BY ALL),
 l AS (SELECT t.text, g.rank, t.field, t.index, j.ja FROM t JOIN g USING (grp) JOIN j ON j.grp = t.grp AND j.field = t.field AND j.index = t.index WHERE t.language = 'en' AND j.ja IN ('timing', 'precondition')),
 f AS (SELECT text, rank, ja FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY rank, field, index, ja) AS n FROM l) WHERE n = 1)
 SELECT t.doc_id, t.index, CASE WHEN t.language = 'en' THEN CASE WHEN t.text = 'The' THEN 'timing' WHEN f.rank <= g.rank THEN f.ja END END AS learned FROM t JOIN g USING (grp) LEFT JOIN f ON f.text = t.text""")
 def _(spark, d):
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), 0), 1, 8)
+    words = F.regexp_extract_all("text", F.lit(r"[^ \n]+"), 0)
     rows = _t(spark, d, "documents").select("doc_id", c("source").alias("group"), F.when(c("doc_id") % 2 == 0, "ja").otherwise("en").alias("language"), F.floor(c("doc_id") / 40).cast("string").alias("field"), F.posexplode(words).alias("index", "text"))
     kind = F.element_at(F.array(F.lit("timing"), F.lit("precondition"), F.lit("mention")), F.length("text") % 3 + 1)
     tokens = rows.withColumn("kind", F.when(c("language") == "ja", kind))
-    groups = tokens.select("group").distinct()
-    rank = groups.join(groups.select(c("group").alias("o")), c("o") < c("group"), "left").groupBy("group").agg(F.count("o").alias("rank"))  # a row per source: few
+    rank = tokens.select("group").distinct().withColumn("rank", c("group"))
     seeds = spark.createDataFrame([("The", "timing")], "text string, kind string")
     return A.learn_translations(tokens, rank, seeds).select("doc_id", "index", "learned")
 
