@@ -217,7 +217,10 @@ def distinct_flat(c: Column) -> Column:
 
 
 def missing_members(df: DataFrame, group: str, by: str, member: str) -> DataFrame:
-    """(group, by, member): members that another `by` of the group has and this one hasn't."""
+    """(group, by, member): members that another `by` of the group has and this one hasn't. Only members that some `by` lacks
+    meet the group's others, so that rows made are in proportion to what such members lack and have."""
     rows = df.select(group, by, member).distinct()
-    all_ = rows.select(group, by).distinct().join(rows.select(group, member).distinct(), group)
-    return all_.join(rows, [group, by, member], "left_anti")
+    bys = rows.select(group, by).distinct()
+    all_ = bys.groupBy(group).agg(F.count("*").alias("__all"))
+    short = rows.groupBy(group, member).agg(F.count("*").alias("__n")).join(all_, group).where("__n < __all").select(group, member)
+    return bys.join(short, group).join(rows, [group, by, member], "left_anti")

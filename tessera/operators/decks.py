@@ -214,7 +214,7 @@ def validate_decks(cards: DataFrame, decks: DataFrame | None = None, deck: str =
     rows = [
         cards.groupBy(deck, "section", "number", variant).count().where("count > 1").select(deck, F.lit("repeated").alias("problem")),
         bad(~F.coalesce(F.col("count").between(1, 255), F.lit(False)), "count"), bad(~variant.between(0, 7), "variant"),
-        bad(~F.coalesce(F.col("number").rlike(r"^[A-Z0-9]+-[0-9]+$"), F.lit(False)), "number"),
+        bad(~F.coalesce(F.col("number").rlike(r"^[A-Z|0-9]{1,4}-[0-9]{2,3}$"), F.lit(False)), "number"),
         cards.where("section = 'digi_eggs'").groupBy(deck).count().where("count > 7").select(deck, F.lit("eggs").alias("problem")),
         cards.where("section = 'sideboard'").groupBy(deck).count().where("count > 127").select(deck, F.lit("sideboard").alias("problem")),
     ]

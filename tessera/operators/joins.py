@@ -94,14 +94,24 @@ def match_by_suffix(a: DataFrame, b: DataFrame, a_name: str, b_name: str, tail:
     return left.join(right, (suffix(F.col(a_name)) == suffix(F.col(b_name))) & (F.col(a_name).endswith(F.col(b_name)) | F.col(b_name).endswith(F.col(a_name))))
 
 
-def refs_to_release(df: DataFrame, release: DataFrame, key: str, notes: str, own: str, code: str, name: str, lead: int = 8) -> DataFrame:
-    """Release of each row: that of a bracketed code in its notes, else one whose name starts with the notes, else its own."""
-    refs = df.select(key, F.explode(F.regexp_extract_all(notes, F.lit(r"\[([A-Z]+-?[0-9]+)\]"), 1)).alias(code))
-    by_code = refs.join(release.where(f"{code} is not null").select(code, name), code).groupBy(key).agg(F.min(name).alias("__code"))
-    begins = F.col(name).startswith(F.col(notes)) & (F.substring(name, 1, lead) == F.substring(notes, 1, lead))
-    by_name = df.where(F.length(notes) >= lead).join(release.select(name), begins).groupBy(key).agg(F.min(name).alias("__name"))
-    joined = df.join(by_code, key, "left").join(by_name, key, "left")
-    return joined.select(*df.columns, F.coalesce("__code", "__name", own).alias("release"))
+def refs_to_release(df: DataFrame, release: DataFrame, key: str = "card_id", notes: str = "notes", own: str = "release") -> DataFrame:
+    """Df with `releases`, names in order of date: those of the codes in square brackets in its notes, else those whose name
+    starts with the notes in any case, else its own. A code is compared without hyphens and leading zeros, behind a version that
+    the notes name.
+
+    release(code, name, date, listed): only listed ones are found by name. Names meet notes as prefixes, by an equi-join. Notes that
+    are null, empty or of a limited pack name no release. key is unique.
+    """
+    version = F.regexp_extract(notes, r"(?i)Ver\.?[0-9]\.[0-9]", 0)
+    codes = F.transform(F.regexp_extract_all(notes, F.lit(r"\[([^\]]+)\]"), 1), lambda s: F.concat(version, F.regexp_replace(F.replace(s, F.lit("-"), F.lit("")), "0([0-9]+)", "$1")))
+    by_code = df.select(key, F.explode(F.array_distinct(codes)).alias("code")).join(release.select("code", "name", "date"), "code")
+    starts = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.lower("name"), F.lit(1), i))
+    starts = release.where(F.col("listed") & (F.length("name") > 0)).select(F.explode(starts).alias("__start"), "name", "date")
+    asked = df.where(~F.lower(notes).contains("limited card pack")).select(key, F.lower(notes).alias("__start"))
+    ordered = F.array_sort(F.collect_set(F.struct(F.coalesce(F.col("date").cast("date"), F.to_date(F.lit("9999-12-31"))).alias("d"), "name")))
+    names = lambda found, c: found.groupBy(key).agg(F.transform(ordered, lambda r: r["name"]).alias(c))
+    joined = df.join(names(by_code, "__code"), key, "left").join(names(asked.join(starts, "__start"), "__name"), key, "left")
+    return joined.select(*df.columns, F.coalesce("__code", "__name", F.array(own)).alias("releases"))
 
 
 def nearest_hash(a: DataFrame, b: DataFrame, block: Sequence[str], max_distance: int = 11, own: bool = True) -> DataFrame:

@@ -61,18 +61,22 @@ def _(spark, d):
     return spark.read.schema("doc_id long, lang string").json(f"{path}/by")
 
 
-@register("w5_list_exports")
+@register("w5_list_exports", "SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, true AS filled, true AS undated FROM documents GROUP BY ALL")
 def _(spark, d):
     path = _folder(spark)
-    IO.bulk_export(_t(spark, d, "documents").select("doc_id", "lang"), path, "lang")
-    return IO.list_exports(spark, path).where("name like 'part-%'").select("name", "size", "time")
+    IO.bulk_export(_t(spark, d, "documents").select("doc_id", "lang"), f"{path}/all-20240131-120000", "lang")
+    files = IO.list_exports(spark, path).where("path like '%/by/lang=%' and name like 'part-%'")
+    lang = F.regexp_extract("path", "/lang=([^/]+)/", 1)
+    return files.groupBy(lang.alias("lang")).agg((F.min("size") > 0).alias("filled"), F.max(c("time").isNull()).alias("undated"))
+
 
+_SIGNATURES = """v AS (SELECT vec_id, label, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i]::DOUBLE > m THEN 1::HUGEINT << (64 - i)::INTEGER ELSE 0::HUGEINT END))::HUGEINT AS h FROM (SELECT *, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64 AS m FROM embeddings))"""
 
-@register("w6_hash_index", "WITH v AS (SELECT vec_id, label, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64 AS m FROM embeddings) SELECT label AS number, count(*) AS n, count(DISTINCT list_transform(embedding, lambda x: x::DOUBLE > m)) AS hashes FROM v GROUP BY label")
+
+@register("w6_hash_index", f"WITH {_SIGNATURES} SELECT h::VARCHAR AS hash, 'en' AS language, label AS number, vec_id % 3 AS parallel_id FROM v")
 def _(spark, d):
-    e = _t(spark, d, "embeddings").select(c("vec_id").alias("card_id"), c("label").alias("number"), F.lit("en").alias("language"), F.lit(0).alias("parallel_id"), vector_signature(c("embedding")).alias("hash"))
-    out = IO.hash_index(e.drop("hash"), e.select("card_id", "hash"))
-    return out.groupBy("number").agg(F.count("*").alias("n"), F.countDistinct(from_unsigned(c("hash"))).alias("hashes"))
+    e = _t(spark, d, "embeddings").select(c("vec_id").alias("card_id"), c("label").alias("number"), F.lit("en").alias("language"), (c("vec_id") % 3).alias("parallel_id"), vector_signature(c("embedding")).alias("hash"))
+    return IO.hash_index(e.drop("hash"), e.select("card_id", "hash"))
 
 
 @register("w7_explode_payload", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -115,6 +119,14 @@ def _(spark, d):
     grid = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / 4)), lambda i: F.slice("all", (i * 4 + 1).cast("int"), F.lit(4)))
     return IO.import_grid(rows.select("p_brand", grid.alias("grid")), "p_brand", "grid").select("panorama_id", "name", "order", "member")
 
+@register("w12_read_patches", "SELECT p_partkey::VARCHAR AS number, 'en' AS language, 'name' AS field, CASE WHEN p_size % 3 = 0 THEN 'set' ELSE 'replace' END AS op, CASE WHEN p_size % 3 = 1 THEN 'e' END AS old, p_name AS new FROM part WHERE p_size % 3 <> 2")
+def _(spark, d):
+    path = _folder(spark)
+    op = F.element_at(F.array(F.lit("set"), F.lit("replace"), F.lit("eval")), (c("p_size") % 3 + 1).cast("int"))
+    old = F.when(c("p_size") % 3 == 1, "e").alias("old")
+    _t(spark, d, "part").select(c("p_partkey").cast("string").alias("number"), F.lit("en").alias("language"), F.lit("name").alias("field"), op.alias("op"), old, c("p_name").alias("new"), F.lit(1).alias("more")).write.json(path)
+    return IO.read_patches(spark, path)
+
 
 
 @register("e1_apply_errata", "SELECT doc_id, CASE WHEN contains(text, e) AND NOT contains(text, 'CORRECTED') THEN replace(text, e, 'CORRECTED') ELSE text END AS text FROM (SELECT doc_id, text, trim(string_split(text, chr(10))[1]) AS e FROM documents)")
@@ -163,11 +175,12 @@ def _(spark, d):
     return out.select("doc_id", c("index").cast("int").alias("index"), kind.alias("kind"))
 
 
-@register("e5_consolidate", """WITH g AS (SELECT source, n_chars, min(doc_id) AS doc_id, string_agg(lang, ',' ORDER BY lang) AS langs FROM (SELECT DISTINCT source, n_chars, doc_id, lang FROM documents) GROUP BY source, n_chars)
-SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS parallel_id FROM g""")
+@register("e5_consolidate", """WITH l AS (SELECT source, n_chars, lang, min(doc_id) AS first FROM documents GROUP BY ALL),
+g AS (SELECT source, min(first) AS doc_id, string_agg(lang, chr(10) ORDER BY first) AS notes, string_agg(lang, ',' ORDER BY lang) AS releases FROM l GROUP BY source, n_chars)
+SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS parallel_id, notes, releases FROM g""")
 def _(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", c("source").alias("number"), F.concat_ws("/", "source", c("n_chars").cast("string")).alias("image"), c("lang").alias("notes"), F.array("lang").alias("releases"), F.lit(0).alias("parallel_id"))
-    return C.consolidate(docs, "image", ["number"], "doc_id", "notes", "releases").select("doc_id", "parallel_id")
+    return C.consolidate(docs, "image", ["number"], "doc_id", "notes", "releases").select("doc_id", "parallel_id", "notes", F.array_join("releases", ",").alias("releases"))
 
 
 @register("e6_map_external", """WITH h AS (SELECT vec_id AS id, label, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE > list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64) AS b FROM embeddings),
@@ -178,10 +191,15 @@ def _(spark, d):
     return C.map_external(h.where("id % 100 = 0"), h, ["label"], 26, own=False).select("id", "external_id")
 
 
-@register("e7_limitation_table")
+@register("e7_limitation_table", """WITH e AS (SELECT *, conv_id * 1000 + turn AS seq, sum((role <> 'assistant')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations),
+h AS (SELECT conv_id, section, min(CASE role WHEN 'user' THEN 'ban' WHEN 'system' THEN 'restrict' END) AS type FROM e WHERE role <> 'assistant' GROUP BY ALL),
+r AS (SELECT e.*, h.type, last_value(CASE WHEN turn % 4 = 1 THEN DATE '2024-01-01' + turn::INTEGER END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS date FROM e LEFT JOIN h USING (conv_id, section) WHERE role = 'assistant'),
+f AS (SELECT (conv_id % 7)::VARCHAR AS number, date, type, row_number() OVER (PARTITION BY conv_id % 7, date ORDER BY seq) AS n FROM r WHERE type IS NOT NULL),
+i AS (SELECT number, date, type, CASE type WHEN 'ban' THEN 0 ELSE 1 END::BIGINT AS allowance, row_number() OVER (PARTITION BY number ORDER BY date NULLS FIRST) - 1 AS index FROM f WHERE n = 1)
+SELECT number, unnest(['en', 'default']) AS language, date, type, allowance, index FROM i""")
 def _(spark, d):
     t = _t(spark, d, "conversations")
-    rows = t.select(c("conv_id").alias("page"), c("turn").alias("seq"), (c("role") != "assistant").alias("is_head"), F.when(c("role") == "user", "Banned").when(c("role") == "system", "Restricted").otherwise(c("text")).alias("text"),
+    rows = t.select(c("conv_id").alias("page"), (c("conv_id") * 1000 + c("turn")).alias("seq"), (c("role") != "assistant").alias("is_head"), F.when(c("role") == "user", "Banned").when(c("role") == "system", "Restricted").otherwise(c("text")).alias("text"),
                     F.when(c("turn") % 4 == 1, F.date_add(F.to_date(F.lit("2024-01-01")), c("turn").cast("int"))).alias("date"), (c("conv_id") % 7).cast("string").alias("number"), F.lit("en").alias("language"), F.lit(None).cast("long").alias("allowance"))
     return C.limitation_table(rows, {"banned": "ban", "restricted": "restrict"}).select("number", "language", "date", "type", "allowance", "index")
 
@@ -376,6 +394,24 @@ def _(spark, d):
     return D.validate_decks(cards)
 
 
+@register("d3_validate_rules", """WITH c AS (SELECT floor(sqrt(o_custkey))::BIGINT AS deck_id, CASE WHEN l_linenumber = 7 THEN 'digi_eggs' WHEN l_linenumber > 4 THEN 'sideboard' ELSE 'deck' END AS section, CASE WHEN l_orderkey % 89 = 0 THEN 'BT-0001' ELSE 'BT' || l_partkey % 12 || '-' || lpad((l_partkey % 150)::VARCHAR, 3, '0') END AS number,
+  CASE WHEN l_orderkey % 97 = 0 THEN 8 WHEN l_suppkey % 9 <> 0 THEN l_suppkey % 8 END AS parallel_id, CASE WHEN l_orderkey % 83 = 0 THEN 256 ELSE l_quantity END AS count FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT DISTINCT deck_id, 'repeated' AS problem FROM c GROUP BY deck_id, section, number, coalesce(parallel_id, 0) HAVING count(*) > 1
+UNION ALL SELECT DISTINCT deck_id, 'count' FROM c WHERE count > 255 UNION ALL SELECT DISTINCT deck_id, 'variant' FROM c WHERE parallel_id > 7 UNION ALL SELECT DISTINCT deck_id, 'number' FROM c WHERE length(string_split(number, '-')[2]) > 3
+UNION ALL SELECT deck_id, 'eggs' FROM c WHERE section = 'digi_eggs' GROUP BY ALL HAVING count(*) > 7 UNION ALL SELECT deck_id, 'sideboard' FROM c WHERE section = 'sideboard' GROUP BY ALL HAVING count(*) > 127
+UNION ALL SELECT DISTINCT floor(sqrt(c_custkey))::BIGINT, 'name' FROM customer WHERE floor(sqrt(c_custkey)) > 31""")
+def _(spark, d):
+    deck = lambda key: F.floor(F.sqrt(key)).alias("deck_id")
+    line = _t(spark, d, "lineitem").join(_t(spark, d, "orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    number = F.concat(F.lit("BT"), (c("l_partkey") % 12).cast("string"), F.lit("-"), F.lpad((c("l_partkey") % 150).cast("string"), 3, "0"))
+    cards = line.select(
+        deck("o_custkey"), F.when(c("l_linenumber") == 7, "digi_eggs").when(c("l_linenumber") > 4, "sideboard").otherwise("deck").alias("section"), F.when(c("l_orderkey") % 89 == 0, "BT-0001").otherwise(number).alias("number"),
+        F.when(c("l_orderkey") % 97 == 0, 8).when(c("l_suppkey") % 9 != 0, c("l_suppkey") % 8).cast("int").alias("parallel_id"), F.when(c("l_orderkey") % 83 == 0, 256).otherwise(c("l_quantity")).cast("int").alias("count"),
+    )
+    decks = _t(spark, d, "customer").select(deck("c_custkey")).distinct().withColumn("name", F.expr("repeat('é', cast(deck_id as int))"))
+    return D.validate_decks(cards, decks)
+
+
 @register("d4_expand_copies", "SELECT l_orderkey, l_linenumber, unnest(range(1, l_quantity::INTEGER + 1))::INTEGER AS copy FROM lineitem")
 def _(spark, d):
     return D.expand_copies(_t(spark, d, "lineitem"), "l_quantity").select("l_orderkey", "l_linenumber", "copy")
@@ -411,16 +447,29 @@ def hash_index(spark, d):
     return _t(spark, d, "embeddings").select(c("vec_id").alias("candidate"), vector_signature(c("embedding")).alias("hash"))
 
 
-@register("t1_match_frames")
+_MATCHES = f"""{_SIGNATURES}, x AS (SELECT a.vec_id AS i, b.vec_id AS candidate, xor(xor(a.h, 35::HUGEINT), b.h) AS x FROM v a, v b),
+n AS (SELECT i, candidate, bit_count(x)::INTEGER AS distance FROM x WHERE bit_count(x) <= 16 AND list_bool_or(list_transform(range(0, 64, 8), lambda k: (x >> k::INTEGER) & 255::HUGEINT = 0))),
+m AS (SELECT user_id AS session, ts, candidate, distance FROM events JOIN n ON i = trunc(value * 100)::BIGINT % (SELECT count(*) FROM embeddings))"""
+
+
+@register("t1_match_frames", f"WITH {_MATCHES} SELECT session, ts, candidate, distance FROM m")
 def _(spark, d):
-    return V.match_stream(frames(spark, d), hash_index(spark, d)).groupBy("session").agg(F.count("*").alias("matches"), F.min("distance").alias("nearest"))
+    return V.match_stream(frames(spark, d), hash_index(spark, d))
 
 
-@register("t2_vote_batch")
+@register("t2_vote_batch", f"""WITH {_MATCHES}, s AS (SELECT session, to_timestamp(floor(epoch(ts) / 21600) * 21600) AT TIME ZONE 'UTC' AS start, candidate, count(*) AS votes, avg(distance) / count(*) AS score FROM m GROUP BY ALL)
+SELECT session, start, candidate, votes, score FROM (SELECT *, row_number() OVER (PARTITION BY session, start ORDER BY score, candidate) AS n FROM s) WHERE n = 1""")
 def _(spark, d):
     return V.vote_batch(V.match_stream(frames(spark, d), hash_index(spark, d)), "6 hours").select("session", "start", "candidate", "votes", "score")
 
 
+@register("t2_vote_counts", f"""WITH {_MATCHES}, b AS (SELECT *, (row_number() OVER (PARTITION BY session ORDER BY ts, candidate, distance) - 1) // 60 AS block FROM m),
+f AS (SELECT session, block FROM b GROUP BY ALL HAVING count(*) = 60), s AS (SELECT session, block, candidate, count(*) AS votes, avg(distance) / count(*) AS score FROM b JOIN f USING (session, block) GROUP BY ALL)
+SELECT session, block, candidate, votes, score FROM (SELECT *, row_number() OVER (PARTITION BY session, block ORDER BY score, candidate) AS n FROM s) WHERE n = 1""")
+def _(spark, d):
+    return V.vote_counts(V.match_stream(frames(spark, d), hash_index(spark, d))).select("session", "block", "candidate", "votes", "score")
+
+
 @register("w6_unsigned_digits", "SELECT vec_id FROM embeddings")
 def _(spark, d):
     h = vector_signature(c("embedding"))

@@ -23,12 +23,14 @@ def documents(spark, d):
 def parts(spark, d):
     """Parts as records with costs; every third has a dual part."""
     c = F.col
-    dual = F.when(c("p_partkey") % 3 == 0, F.struct((c("p_size") + 7).cast("long").alias("play_cost"), (c("p_size") % 9).cast("long").alias("use_cost"), F.lit("option").alias("category"), F.array(c("p_type")).alias("colors")))
+    dual = F.when(c("p_partkey") % 3 == 0, F.struct((c("p_size") + 7).cast("long").alias("play_cost"), (c("p_size") % 9).cast("long").alias("use_cost"), F.lit("option").alias("category"), F.array(c("p_type")).alias("colors"), F.when(c("p_size") % 5 == 0, c("p_name")).alias("effect")))
     return _t(spark, d, "part").select(
         c("p_partkey").alias("card_id"), c("p_name").alias("name"), c("p_brand").alias("number"), F.lit("en").alias("language"), c("p_size").cast("long").alias("dp"), F.when(c("p_size") % 4 != 0, c("p_size").cast("long")).alias("play_cost"),
         F.when(c("p_size") % 5 == 0, (c("p_size") % 11).cast("long")).alias("use_cost"), F.element_at(F.array(*[F.lit(x) for x in S.RARITIES]), (c("p_size") % 7 + 1).cast("int")).alias("rarity"), F.when(c("p_size") > 25, F.lit("creature")).otherwise(F.lit("tamer")).alias("category"),
         F.array(c("p_type")).alias("colors"), dual.alias("dual"),
         F.when(c("p_size") % 6 != 0, F.array(F.struct((c("p_size") % 8).cast("long").alias("cost"), (c("p_size") % 7).cast("long").alias("level"), F.element_at(F.array(*[F.lit(x) for x in S.FORMS]), (c("p_size") % 4 + 1).cast("int")).alias("form"), F.lit("creature").alias("category"), F.array(c("p_type")).alias("colors")))).alias("requirements"),
+        F.when(c("p_size") % 3 == 0, "SP").alias("rarity_stamp"), F.when(c("p_size") % 2 == 0, c("p_type")).alias("form"), F.when(c("p_size") % 3 == 0, c("p_brand")).alias("attribute"), c("p_name").alias("type"), F.when(c("p_size") % 7 == 0, c("p_name")).alias("effect"), (c("p_partkey") % 3).alias("parallel_id"),
+        F.when(c("p_partkey") % 4 == 0, F.array(F.struct(F.lit("type").alias("type"), F.lit("Economist").alias("value")))).when(c("p_partkey") % 4 == 1, F.array(F.struct(F.lit("name").alias("type"), F.lit("Economy").alias("value")))).alias("rules"),
     )
 
 
@@ -73,6 +75,20 @@ _part_hits("f8_requirements", "r_cost <= 3 AND NOT coalesce(r_level = 2, false)"
 _part_hits("f10_rarity", "rarity_rank >= 4", P("rarity", ">=", "SR"))
 _part_hits("f11_requirement_form", "r_form >= 2", P("requirement_form", ">=", "ultimate"))
 _part_hits("f11_requirement_form_negated", "req AND NOT r_form >= 2", P("requirement_form", ">=", "ultimate", negate=True))
+_TRAITS = "(dp % 2 = 0 AND contains(lower(p_type), 'econ') OR dp % 3 = 0 AND contains(lower(number), 'econ') OR contains(lower(name), 'econ') OR card_id % 4 = 0)"
+_part_hits("f4_rarity_stamp", "dp % 3 = 0", P("rarity_stamp", "=", "sp"))
+_part_hits("f4_rarity_stamp_negated", "dp % 3 <> 0", P("rarity_stamp", "=", "SP", negate=True))
+_part_hits("f14_traits", _TRAITS, P("traits", ":", "Econ"))
+_part_hits("f14_traits_negated", f"NOT {_TRAITS}", P("traits", ":", "Econ", negate=True))
+_part_hits("f13_has_dual_part", "dual", P("has:dual"))
+_part_hits("f13_has_no_dual", "NOT dual", P("has:dual", negate=True))
+_part_hits("f13_has_effect", "dp % 7 = 0 OR dual AND dp % 5 = 0", P("has:effect"))
+_part_hits("f13_has_no_effect", "NOT (dp % 7 = 0 OR dual AND dp % 5 = 0)", P("has:effect", negate=True))
+_part_hits("f13_has_parallel", "card_id % 3 > 0", P("has:parallel"))
+_part_hits("f13_has_no_parallel", "card_id % 3 = 0", P("has:parallel", negate=True))
+_part_hits("f13_has_form_attribute", "dp % 2 = 0 AND dp % 3 <> 0", P("has:form"), P("has:attribute", negate=True))
+_part_hits("f13_has_use_cost", "use_cost IS NOT NULL OR d_use IS NOT NULL", P("has:use_cost"))
+_part_hits("f13_has_dp_type", "true", P("has:dp"), P("has:type"))
 _part_hits("f13_has_dual", "dual AND play_cost IS NULL AND d_play IS NULL OR NOT dual AND play_cost IS NULL", P("has:play_cost", negate=True))
 
 
@@ -88,6 +104,12 @@ def _(spark, d):
     return S.restricted(_t(spark, d, "customer"), limits, "c_custkey").select("c_custkey")
 
 
+@register("f13_banned", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus IN ('P', 'F'))""")
+def _(spark, d):
+    limits = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") == "P", "ban").when(F.col("o_orderstatus") == "F", "banned-pair").otherwise("restrict").alias("type"))
+    return S.has(_t(spark, d, "customer"), limits, "c_custkey", F.col("type").isin("ban", "banned-pair"), negate=True).select("c_custkey")
+
+
 @register("f18_image_language", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 OR lang = 'en'")
 def _(spark, d):
     image = F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.lit("en")).alias("language"))

@@ -109,6 +109,20 @@ p AS (SELECT q.id AS id, r.id AS match, q.label AS ql, r.label AS rl, list_sum(l
   list_bool_or(list_transform(range(0, 64, 8), lambda k: q.b[k+1:k+8] = r.b[k+1:k+8])) AS band FROM h q, h r WHERE q.id % 100 = 0 AND r.id <> q.id)"""
 
 
+@register("j10_refs_to_release", """WITH r AS (SELECT p_name AS name, 'BT' || min(p_partkey) % 50 AS code, DATE '2024-01-01' + (min(p_partkey) % 30)::INTEGER AS date, min(p_partkey) % 5 <> 0 AS listed FROM part GROUP BY p_name),
+a AS (SELECT p_partkey, string_agg(name, ';' ORDER BY date, name) AS names FROM part JOIN r ON p_size % 4 = 0 AND code = 'BT' || p_size GROUP BY 1),
+b AS (SELECT p_partkey, string_agg(name, ';' ORDER BY date, name) AS names FROM part JOIN r ON p_size % 4 = 1 AND listed AND starts_with(name, string_split(p_name, ' ')[1]) GROUP BY 1)
+SELECT p_partkey, coalesce(a.names, b.names, p_brand) AS releases FROM part LEFT JOIN a USING (p_partkey) LEFT JOIN b USING (p_partkey)""")
+def _(spark, d):
+    part = _t(spark, d, "part")
+    first = part.groupBy(c("p_name").alias("name")).agg(F.min("p_partkey").alias("k"))
+    release = first.select(F.concat(F.lit("BT"), (c("k") % 50).cast("string")).alias("code"), "name", F.date_add(F.to_date(F.lit("2024-01-01")), (c("k") % 30).cast("int")).alias("date"), (c("k") % 5 != 0).alias("listed"))
+    word = F.upper(F.element_at(F.split("p_name", " "), 1))
+    notes = F.when(c("p_size") % 4 == 0, F.concat(F.lit("Pack [BT-0"), c("p_size").cast("string"), F.lit("], [x]"))).when(c("p_size") % 4 == 1, word).when(c("p_size") % 4 == 2, "Limited Card Pack")
+    out = J.refs_to_release(part.select("p_partkey", c("p_brand").alias("release"), notes.alias("notes")), release, "p_partkey")
+    return out.select("p_partkey", F.array_join("releases", ";").alias("releases"))
+
+
 @register("j11_nearest_hash", f"WITH {_H} SELECT id, arg_min(match, distance * 1000000 + match) AS match, min(distance) AS distance FROM p WHERE ql = rl AND distance <= 24 GROUP BY id")
 def _(spark, d):
     h = hashes(spark, d)
@@ -182,7 +196,10 @@ def _(spark, d):
     return A.vocabulary(_t(spark, d, "part"), "p_name", " ")
 
 
-@register("n1_number_variants")
+@register("n1_number_variants", """WITH RECURSIVE r AS (SELECT event_id, user_id, event_type, date_trunc('day', ts) AS day, CASE WHEN event_id % 3 = 0 THEN trunc(value)::BIGINT % 4 END AS own, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY event_id) AS n FROM events),
+f AS (SELECT *, coalesce(own, 0)::BIGINT AS variant, [coalesce(own, 0)::BIGINT] AS ids FROM r WHERE n = 1
+  UNION ALL SELECT event_id, user_id, event_type, day, own, n, variant, list_append(ids, variant) FROM (SELECT r.*, CASE WHEN r.own IS NULL OR r.own = f.variant OR r.event_type = 'view' AND list_contains(f.ids, r.own) THEN f.variant + 1 ELSE r.own END AS variant, f.ids FROM f JOIN r ON r.user_id = f.user_id AND r.event_type = f.event_type AND r.day = f.day AND r.n = f.n + 1))
+SELECT event_id, variant FROM f""")
 def _(spark, d):
     events = _t(spark, d, "events").select("user_id", "event_id", "event_type", F.when(c("event_id") % 3 == 0, (c("value").cast("long") % 4)).alias("own"))
     # variants of one (user, type, hour) as of one record
@@ -279,6 +296,14 @@ def _(spark, d):
     return A.new_findings(found, saved, ["l_orderkey"], "lines").select("l_orderkey")
 
 
+@register("u3_union_arrays", """WITH w AS (SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN string_split(p_name, ' ') END AS a, CASE WHEN p_size % 4 <> 0 THEN [p_type, string_split(p_name, ' ')[1], p_type] END AS b FROM part)
+SELECT p_partkey, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), ',') END AS members FROM w""")
+def _(spark, d):
+    words = F.split("p_name", " ")
+    a, b = F.when(c("p_size") % 3 != 0, words), F.when(c("p_size") % 4 != 0, F.array("p_type", F.element_at(words, 1), "p_type"))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(A.union_arrays(a, b), ",").alias("members"))
+
+
 @register("u4_append_unmatched", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 2 <> 0")
 def _(spark, d):
     orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus")

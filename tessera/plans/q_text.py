@@ -130,7 +130,11 @@ def _(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.clean_notes(F.split("text", "\n")).alias("notes"))
 
 
-@register("p25_split_markers")
+@register("p25_split_markers", """WITH a AS (SELECT doc_id, text AS t1, instr(text, 'with ') AS i1 FROM documents), b AS (SELECT *, CASE WHEN i1 > 0 THEN substr(t1, 1, i1 - 1) ELSE t1 END AS t2 FROM a), c AS (SELECT *, instr(t2, 'than ') AS i2 FROM b),
+d AS (SELECT *, CASE WHEN i2 > 0 THEN substr(t2, 1, i2 - 1) ELSE t2 END AS t3 FROM c), e AS (SELECT *, instr(t3, 'this ') AS i3 FROM d),
+m AS (SELECT doc_id, 3 AS k, 'this ' AS marker, substr(t3, i3) AS tail FROM e WHERE i3 > 0 UNION ALL SELECT doc_id, 2, 'than ', substr(t2, i2) FROM e WHERE i2 > 0 UNION ALL SELECT doc_id, 1, 'with ', substr(t1, i1) FROM e WHERE i1 > 0),
+w AS (SELECT *, regexp_extract_all(tail, '([a-z]+tion)(?:[^a-zA-Z0-9_]|$)', 1) AS l FROM m)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) - 1 AS index, marker, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS values FROM w""")
 def _(spark, d):
     rows = T.split_markers(c("text"), ["with ", "than ", "this "], r"([a-z]+tion)\b")
     return _t(spark, d, "documents").select("doc_id", F.posexplode(rows).alias("index", "x")).select("doc_id", "index", "x.marker", F.array_join("x.values", ",").alias("values"))

@@ -47,10 +47,13 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, many: Sequence[str] = ()
     return joined.select(key, *[value(c).alias(c) for c in base.columns if c != key], *added)
 
 
-def bulk_export(df: DataFrame, path: str, by: str, format: str = "json") -> None:
-    """All rows under path/all and, one folder per value, under path/by."""
+def bulk_export(df: DataFrame, path: str, by: str, format: str = "json", rows: int = 1_000_000) -> None:
+    """All rows under path/all and, one folder per value, under path/by. Rows of one value go to as many tasks as the table has
+    multiples of `rows`, by a hash of their columns, so that a frequent value isn't written by one task."""
     df.write.format(format).save(f"{path}/all")
-    df.repartition(by).write.format(format).partitionBy(by).save(f"{path}/by")
+    slices = df.count() // rows + 1
+    slot = F.pmod(F.xxhash64(*df.columns), F.lit(slices))
+    df.repartition(by, slot).write.format(format).partitionBy(by).save(f"{path}/by")
 
 
 def list_exports(spark: SparkSession, path: str) -> DataFrame:

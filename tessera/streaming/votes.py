@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from tessera.functions.hashing import distance, hash_bands
 from tessera.operators.aggregates import vote
@@ -36,6 +37,14 @@ def vote_batch(matches: DataFrame, window: str = "1 hour") -> DataFrame:
     return vote(rows, ["session", "start"], "candidate", "distance")
 
 
+def vote_counts(matches: DataFrame, votes: int = VOTES) -> DataFrame:
+    """T2's batch twin: every full `votes` matches of a session, in order of time, give a winner, numbered by `block` from 0."""
+    order = Window.partitionBy("session").orderBy("ts", "candidate", "distance")
+    rows = matches.withColumn("block", F.floor((F.row_number().over(order) - 1) / votes))
+    full = rows.withColumn("__n", F.count("*").over(Window.partitionBy("session", "block"))).where(F.col("__n") == votes)
+    return vote(full, ["session", "block"], "candidate", "distance")
+
+
 def vote_windows(matches: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Sums per session, window and candidate, for streams: rows later than `late` are dropped with their state. The winner of a
     window is the least of avg / count, as in vote_batch."""
@@ -59,14 +68,16 @@ class Votes(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, out = self._rows(), []
+        count = sum(n for n, _ in held.values())
         for pdf in rows:
             for candidate, d in pdf.sort_values(["ts", "candidate", "distance"])[["candidate", "distance"]].itertuples(index=False):
                 n, total = held.get(int(candidate), (0, 0))
                 held[int(candidate)] = (n + 1, total + int(d))
-                if sum(n for n, _ in held.values()) >= self.votes:
+                count += 1
+                if count >= self.votes:
                     score, winner, n = min((t / n / n, c, n) for c, (n, t) in held.items())
                     out.append((key[0], winner, n, score))
-                    held = {}
+                    held, count = {}, 0
         self.seen.clear()
         for candidate, (n, total) in held.items():
             self.seen.updateValue((candidate,), (n, total))
