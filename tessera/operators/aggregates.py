@@ -18,7 +18,7 @@ def count_per(df: DataFrame, by: Sequence[str], distinct: str) -> DataFrame:
 def latest_per_language(df: DataFrame, language: str = "language", date: str = "date", release: str = "release_id") -> DataFrame:
     """A2: latest date and number of releases of each language, over distinct (language, date, release); latest first (K5)."""
     rows = df.select(language, date, release).distinct()
-    return rows.groupBy(language).agg(F.max(date).alias("latest"), F.count("*").alias("releases")).orderBy(F.desc("latest"), language)
+    return order_desc(rows.groupBy(language).agg(F.max(date).alias("latest"), F.count("*").alias("releases")), "latest", language)
 
 
 def group_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -175,9 +175,9 @@ def top1(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(best.alias("__r")).select(*by, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def order_desc(df: DataFrame, column: str) -> DataFrame:
-    """K5."""
-    return df.orderBy(F.desc(column))
+def order_desc(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """K5: the greatest first, ties in order of other columns."""
+    return df.orderBy(F.desc(column), *ties)
 
 
 def order_by_id(df: DataFrame, key: str) -> DataFrame:

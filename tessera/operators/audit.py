@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .aggregates import adjacent_diff, missing_members, most_common, new_findings
 
@@ -158,8 +157,3 @@ def run_audits(found: Mapping[str, tuple[DataFrame, str]], allowed: DataFrame) -
     """(audit, finding) of all audits {name: (violations, key)}, without those in allowed(audit, finding)."""
     rows = [df.select(F.lit(name).alias("audit"), F.col(key).cast("string").alias("finding")).distinct() for name, (df, key) in found.items()]
     return reduce(lambda a, b: a.unionByName(b), rows).join(allowed, ["audit", "finding"], "left_anti")
-
-
-def first_of(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

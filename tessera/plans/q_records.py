@@ -95,7 +95,9 @@ def _(spark, d):
     return W.extract_matches(_t(spark, d, "pages").drop("url"), r'<a href="([^"]*)"', "link")
 
 
-@register("w8_extract_records")
+@register("w8_extract_records", r"""WITH f AS (SELECT page_id, 'title' AS field, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1) AS l FROM pages UNION ALL SELECT page_id, 'heading', regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) FROM pages UNION ALL SELECT page_id, 'link', regexp_extract_all(html, '(?s)<li><a href="[^"]*">(.*?)</a>', 1) FROM pages),
+r AS (SELECT page_id, field, l, unnest(range(1, len(l) + 1)) AS i FROM f)
+SELECT page_id, field, i - 1 AS index, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(l[i], '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM r""")
 def _(spark, d):
     return W.extract_records(_t(spark, d, "pages"), {"title": "head/title", "link": "nav/ul/li/a", "heading": "article/h1"})
 
@@ -204,6 +206,11 @@ def _(spark, d):
     return C.limitation_table(rows, {"banned": "ban", "restricted": "restrict"}).select("number", "language", "date", "type", "allowance", "index")
 
 
+@register("e7_latest_limits", """SELECT o_orderkey AS index, o_custkey AS number, o_orderstatus AS language, o_orderdate AS date FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
+def _(spark, d):
+    return C.latest_limits(_t(spark, d, "orders").select(c("o_orderkey").alias("index"), c("o_custkey").alias("number"), c("o_orderstatus").alias("language"), c("o_orderdate").alias("date")))
+
+
 @register("e8_card_document", """SELECT o_orderkey AS card_id, o_orderstatus AS color, 'release/' || o_orderpriority AS release,
   coalesce((SELECT string_agg(b.o_orderkey::VARCHAR, ',' ORDER BY b.o_orderkey % 3, b.o_orderkey) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = a.o_orderstatus AND b.o_orderkey <> a.o_orderkey), '') AS variants,
   coalesce((SELECT string_agg(b.o_orderkey::VARCHAR, ',' ORDER BY b.o_orderstatus, b.o_orderkey) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus <> a.o_orderstatus AND b.o_orderkey % 3 = a.o_orderkey % 3), '') AS translations,
@@ -276,6 +283,11 @@ def _(spark, d):
     return Q.audit_missing_in_language(_discounts(spark, d), "value")
 
 
+@register("q18_audit_grids", """WITH r AS (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders) SELECT a.o_custkey, a.o_orderstatus, b.o_orderpriority FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM r) a JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM r) b USING (o_custkey) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.o_custkey = a.o_custkey AND r.o_orderstatus = a.o_orderstatus AND r.o_orderpriority = b.o_orderpriority)""")
+def _(spark, d):
+    return Q.audit_grids(_t(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
 @register("q5_audit_learned", """WITH t AS (SELECT o_custkey AS number, o_orderstatus AS language, o_orderpriority AS text FROM orders), m AS (SELECT DISTINCT text, 'x' || text AS base FROM t) SELECT DISTINCT t.number, t.language, t.text, m.base FROM t JOIN m ON m.text = t.text WHERE t.language <> 'O' AND NOT EXISTS (SELECT 1 FROM t e WHERE e.language = 'O' AND e.number = t.number AND 'x' || e.text = m.base)""")
 def _(spark, d):
     own = F.when(c("o_orderstatus") == "O", F.concat(F.lit("x"), c("o_orderpriority"))).otherwise(c("o_orderpriority"))

@@ -85,3 +85,35 @@ def test_dates(spark):
     df = spark.createDataFrame([("August 1st, 2024", "2024年8月1日"), ("Aug 2, 2024", "2024.8.2"), ("August 2024", "2024年8月"), ("soon", "")], "en string, ja string")
     got = df.select(iso_date(parse_date(F.col("en"), "en")).alias("en"), iso_date(parse_date(F.col("ja"), "ja")).alias("ja")).collect()
     assert [(r.en, r.ja) for r in got] == [("2024-08-01", "2024-08-01"), ("2024-08-02", "2024-08-02"), ("2024-08-01", "2024-08-01"), (None, None)]
+
+
+def test_releases_named_in_notes(spark):
+    from tessera.operators.joins import refs_to_release
+
+    release = spark.createDataFrame(
+        [("BT1", "Booster One", "2024-02-01", True), ("BT1", "Booster one again", "2024-01-01", False), ("Ver.1.5BT2", "Booster Two", None, True), (None, "", "2020-01-01", True), ("X", "Limited Card Pack 3", "2024-01-01", True)],
+        "code string, name string, date string, listed boolean",
+    )
+    notes = ["see [BT-01]", "Ver.1.5 [BT-2]", "[BT-2]", "BOOSTER", "booster two", "b", "Limited card pack", "", None, "Booster Three", "[BT-01] and [BT1]"]
+    rows = spark.createDataFrame([(i, n, "own") for i, n in enumerate(notes)], "card_id long, notes string, release string")
+    got = {r.card_id: r.releases for r in refs_to_release(rows, release).collect()}
+    both = ["Booster one again", "Booster One"]
+    assert got == {0: both, 1: ["Booster Two"], 2: ["own"], 3: ["Booster One", "Booster Two"], 4: ["Booster Two"], 5: ["Booster One", "Booster Two"], 6: ["own"], 7: ["own"], 8: ["own"], 9: ["own"], 10: both}
+    assert refs_to_release(rows.limit(0), release).count() == 0
+    assert all(r.releases == ["own"] for r in refs_to_release(rows, release.limit(0)).collect())
+
+
+def test_members_that_others_have(spark):
+    from tessera.operators.aggregates import missing_members
+
+    rows = [("g", "ja", "x"), ("g", "ja", "x"), ("g", "en", "x"), ("g", "ja", "y"), ("g", "ko", "z"), ("g", "ko", "x"), ("h", "ja", "x"), (None, "ja", "x")]
+    got = {tuple(r) for r in missing_members(spark.createDataFrame(rows, "number string, language string, member string"), "number", "language", "member").collect()}
+    assert got == {("g", "en", "y"), ("g", "ko", "y"), ("g", "ja", "z"), ("g", "en", "z")}
+
+
+def test_numbers_of_a_deck(spark):
+    from tessera.operators.decks import validate_decks
+
+    numbers = ["BT1-001", "ST10-02", "P-001", "ABCDE-01", "BT1-1", "BT1-0001", "bt1-01", "", None]
+    cards = spark.createDataFrame([(i, "deck", n, 1, None) for i, n in enumerate(numbers)], "deck_id long, section string, number string, count int, parallel_id int")
+    assert {r.deck_id for r in validate_decks(cards).where("problem = 'number'").collect()} == {3, 4, 5, 6, 7, 8}

@@ -35,6 +35,8 @@ def test_votes_of_a_session(spark, matches):
             score, winner, n = min((t / n / n, c, n) for c, (n, t) in counts.items())
             expected.append((s, winner, n))
     assert got == sorted(expected)
+    batch = V.vote_counts(spark.read.schema(V.MATCHES).parquet(path)).collect()
+    assert sorted((r.session, r.candidate, r.votes) for r in batch) == got and {r.block for r in batch} == {0, 1}
 
 
 def test_windows_equal_the_batch(spark, matches):
