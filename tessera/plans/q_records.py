@@ -26,8 +26,12 @@ def _t(spark, d, name):
 
 
 def _folder(spark):
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    """A new folder that driver and executors share; only a local session may leave it unnamed."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
