@@ -56,6 +56,11 @@ def _shingles(w: Words, i: int, k: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def _mark(s: np.ndarray) -> bytes:
+    """A 128-bit fingerprint of a set."""
+    return np.array([len(s) + (mix(s).sum()), mix(s ^ np.uint64(0xA0761D6478BD642F)).sum()], np.uint64).tobytes()
+
+
 def _sets(batch: pa.RecordBatch, k: int, keep: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
     data, at = utf8(batch.column("text"))
     for i, j in pieces(at):
@@ -126,7 +131,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Data
                 for r, s in enumerate(sets, at):
                     n[r] = size = len(s)
                     if size:
-                        marks[r] = np.array([size + (mix(s).sum()), mix(s ^ np.uint64(0xA0761D6478BD642F)).sum()], np.uint64).tobytes()
+                        marks[r] = _mark(s)
                     if size * 100 < percent * (size + 1):  # links to equal sets only
                         first.append(s[:0])
                         continue
@@ -143,24 +148,31 @@ def _prefixes(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Data
 
 
 def _sets_of(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents that pairs (a, b) name; their texts stay where they are."""
+    """(node, shingles) of the documents that pairs (a, b) name, once where rows repeat; their texts stay where they are."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     slot = bitmap_slot(F.col("doc_id"), NODE_BITS)
     bits = shared(docs.sparkSession, bitmap(wanted.select(bitmap_slot(F.col("node"), NODE_BITS).alias("slot")), "slot", NODE_BITS))
 
     def full(batches):
+        seen: set[tuple[int, bytes]] = set()  # a task passes a repeated row on once
         for batch in batches:
+            node = batch.column("doc_id").to_numpy()
             keep = in_bitmap(bits.value, batch.column("slot").to_numpy(zero_copy_only=False))
             for at, sets in _sets(batch, k, keep):
-                rows = [r for r in range(len(sets)) if keep[at + r] and len(sets[r])]
-                if rows:
+                new = {}
+                for r in range(len(sets)):
+                    if keep[at + r] and len(sets[r]) and (key := (int(node[at + r]), _mark(sets[r]))) not in seen:
+                        seen.add(key)
+                        new[r] = key
+                if rows := list(new):
                     yield pa.record_batch({
-                        "node": batch.column("doc_id").take(pa.array([at + r for r in rows])),
+                        "node": pa.array([new[r][0] for r in rows], pa.int64()), "fp": pa.array([new[r][1] for r in rows], pa.binary()),
                         "shingles": lists(np.concatenate([sets[r] for r in rows]).view(np.int64), np.array([len(sets[r]) for r in rows], np.int64), pa.int64()),
                     })
 
-    sets = mapped(docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")), full, "node long, shingles array<long>")
-    return materialize(sets.join(wanted, "node", "left_semi"), "sets")
+    sets = mapped(docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")), full, "node long, fp binary, shingles array<long>")
+    sets = sets.join(wanted, "node", "left_semi").groupBy("node", "fp").agg(F.first("shingles").alias("shingles"))
+    return materialize(sets.drop("fp"), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

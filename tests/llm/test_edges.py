@@ -8,7 +8,7 @@ import pytest
 
 from tessera.llm import decontaminate, flac, language_id, mixing, preference, queries, substring_dedup, token_count, token_store, warc
 from tessera.llm.components import components
-from tessera.llm.ngram_jaccard import jaccard_components
+from tessera.llm.ngram_jaccard import _sets_of, jaccard_components
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, token string, n long, size long, hash long"
@@ -73,6 +73,17 @@ def test_jaccard_components_are_exact(spark, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
+def test_jaccard_rows_repeated(spark):
+    texts = [t for t in _random_texts(8) if t]
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    several = once.union(once.where("doc_id % 3 = 0")).union(once.where("doc_id % 3 = 0")).repartition(7)
+    pairs = spark.createDataFrame([(0, 3), (3, 6)], "a long, b long")
+    assert sorted(r.node for r in _sets_of(several, 5, pairs).collect()) == [0, 3, 6]  # or each link is made once per pair of copies
+    alone = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(once, 5, 80).collect()}
+    rows = jaccard_components(several, 5, 80).collect()
+    assert len(rows) == several.count() and all(alone[r.doc_id] == (r.n_shingles, r.component_id) for r in rows)
+
+
 def test_jaccard_odd_rows(spark, odd, none):
     rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_components(odd).collect())
     assert rows[:4] == [(0, 2, None), (1, 0, 1), (2, 0, 2), (3, 0, 3)]
