@@ -167,11 +167,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of consecutive rows of text: first[i]..first[i+1] are the words of row i; start and end are byte offsets into data."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool):
+    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool, spaces: np.ndarray | None = None):
+        """spaces: for each of the 256 bytes, whether it stands between words; the bytes that WORD leaves out unless given."""
         lo, hi = int(at[0]), int(at[-1])
         self.data = b = data[lo:hi]
         at = at - lo
-        space = (b == 32) | ((b >= 9) & (b <= 13))
+        space = (b == 32) | ((b >= 9) & (b <= 13)) if spaces is None else spaces[b]
         edge = np.zeros(len(b) + 1, bool)  # a word may not run over the end of its row
         edge[at] = True
         word = ~space

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .collocations import collocations
 from .common import new_path, table
 from .decontaminate import find_leaks
 from .flac import archive_media
@@ -60,6 +61,10 @@ def op10_decontamination(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -134,6 +139,33 @@ o AS (
 SELECT chosen_id, rejected_id, n_common::INTEGER AS n_common, prompt, chosen, rejected, chosen_mask, rejected_mask FROM n JOIN o USING (pair)
 """
 
+OP12_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), q AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+s AS (SELECT id, lang, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM q),
+m AS (SELECT lang, x, lead(x) OVER z AS y, lead(x, 2) OVER z AS v FROM s WINDOW z AS (PARTITION BY id ORDER BY i)),
+g AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, 1 AS size, x AS phrase FROM m UNION ALL SELECT lang, 2, x || ' ' || y FROM m WHERE y IS NOT NULL
+    UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || v FROM m WHERE v IS NOT NULL
+  ) GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE size > 1 AND f >= 10),
+t AS (SELECT c.*, k, array_to_string(ws[:k], ' ') AS lp, array_to_string(ws[k+1:], ' ') AS rp FROM c, (VALUES (1), (2)) AS z(k) WHERE k < size),
+u AS (
+  SELECT t.lang, t.size, t.phrase, t.a, t.k, l.f AS l, r.f AS r, ((1000000::HUGEINT * t.a * t.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM t JOIN g l ON l.lang = t.lang AND l.phrase = t.lp JOIN g r ON r.lang = t.lang AND r.phrase = t.rp
+), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE size = 3),
+d AS (SELECT lang, phrase, max(a) AS most FROM x GROUP BY ALL),
+o AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+  FROM b LEFT JOIN d ON d.lang = b.lang AND d.phrase = b.phrase WHERE coalesce(100 * d.most < 50 * a, true)
+)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_warc": op2_warc,
@@ -145,10 +177,12 @@ QUERIES = {
     "op8_chat_preference": op8_chat_preference,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op12_collocations": op12_collocations,
 }
 ORACLE_SQL = {
     "op1_ngram_jaccard": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op8_chat_preference": OP8_SQL,
+    "op12_collocations": OP12_SQL,
 }
