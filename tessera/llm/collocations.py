@@ -12,12 +12,14 @@ other in a piece. A phrase's key is a hash of its language, length and words. Ke
 2. The texts are read again. Phrases whose key was left are counted exactly, by language and words; those seen less often go.
    The keys thin out phrases by a bitmap in proportion to them, or by a join where that would be too large to send.
 
-Keys that meet by chance only let a phrase through to the exact count.
+Keys that meet by chance only let a phrase through to the exact count; there, phrases of a task meet by 128 bits, those of
+different tasks by their words.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ ENDS, SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 UNDETERMINED = "und"
 #: Bytes of text for each partition of keys; phrases that a task counts at one time; capacity as a multiple of mass / least.
 PARTITION_BYTES, BUFFER, ROOM = 8 << 20, 1 << 22, 4
-#: Phrases whose exact counts a task holds at one time.
-SEEN = 1 << 18
+#: Entries, and bytes of text, that a task holds while it counts exactly.
+SEEN, MOST_TEXT = 1 << 20, 16 << 20
 #: Bits of the bitmap for each key that is left, and most bits of it in all (2^27: 16 MB); with more keys, a join takes its place.
 BITS_A_KEY, MOST_BITS = 8, 27
 
@@ -45,43 +47,116 @@ _BETWEEN[list(SPACES)] = True
 
 
 class Phrases:
-    """Phrases of consecutive rows of text: key, and the first word's place and the number of words of each."""
+    """Phrases of consecutive rows of text: key, and the first word's place and the number of words of each; with `twice`, a second
+    key `check`, which has nothing to do with the first."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lang: np.ndarray, longest: int):
-        self.words = w = Words(data, at, fold=True, spaces=_BETWEEN)
+    def __init__(self, data: np.ndarray, at: np.ndarray, lang: np.ndarray, longest: int, twice: bool = False):
+        self.words = w = Words(data, at, fold=True, spaces=_BETWEEN, twice=twice)
         row = np.repeat(np.arange(len(at) - 1), np.diff(w.first))
         ends = np.zeros(len(w.data) + 1, np.int32)
         np.cumsum(_ENDS[w.data], out=ends[1:])
         piece = ends[w.start]
-        h, keys, places, sizes = w.hash, [], [], []
+        h, c, keys, checks, places, sizes = w.hash, w.check, [], [], [], []
         for size in range(1, longest + 1):
             n = len(w.hash) - size + 1
             if n <= 0:
                 break
             if size > 1:
                 h = joined(h[:n], w.hash[size - 1 :])
+                c = joined(c[:n], w.check[size - 1 :]) if twice else c
             inside = np.flatnonzero((row[:n] == row[size - 1 :]) & (piece[:n] == piece[size - 1 :]))
             keys.append(mix(joined(h[inside], lang[row[inside]] + np.uint64(size))))
+            if twice:
+                checks.append(mix(joined(c[inside], lang[row[inside]] + np.uint64(size))))
             places.append(inside)
             sizes.append(np.full(len(inside), size, np.int8))
-        self.key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int8)
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.key, self.check, self.place, self.size = flat(keys, np.uint64), flat(checks, np.uint64), flat(places, np.int64), flat(sizes, np.int8)
 
-    def text(self, folded: bytes, i: int) -> str:
-        """Words of the i-th phrase, joined by one space."""
-        lo = int(self.place[i])
-        return " ".join(folded[self.words.start[k] : self.words.end[k]].decode() for k in range(lo, lo + int(self.size[i])))
 
-
-def _each(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[Phrases, np.ndarray, pa.RecordBatch]]:
+def _each(batches: Iterator[pa.RecordBatch], longest: int, twice: bool = False) -> Iterator[tuple[Phrases, np.ndarray, pa.RecordBatch]]:
     """Phrases of some rows at a time, the rows' places in the batch, and the batch."""
     for batch in batches:
         data, at = utf8(batch.column("text"))
         lang = batch.column("lang_key").to_numpy().view(np.uint64)
         for i, j in pieces(at):
             lo = int(at[i])
-            yield Phrases(data[lo : int(at[j])], at[i : j + 1] - lo, lang[i:j], longest), np.arange(i, j), batch
+            yield Phrases(data[lo : int(at[j])], at[i : j + 1] - lo, lang[i:j], longest, twice), np.arange(i, j), batch
+
+
+class _Counted:
+    """Different phrases of some pieces of text with their counts: found by key and check, told by where one of them stands."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.texts: list[np.ndarray] = []
+        self.size = self.base = 0
+        self.words: Counter[str] = Counter()
+
+    def add(self, phrases: Phrases, at: np.ndarray, lang: np.ndarray) -> None:
+        """Phrases at these places of the arrays; lang has the number of each row's language."""
+        w = phrases.words
+        place, size = phrases.place[at], phrases.size[at].astype(np.int64)
+        row = np.searchsorted(w.first, place, "right") - 1
+        rows = (phrases.key[at], phrases.check[at], np.ones(len(at), np.int64), w.start[place] + self.base, w.end[place + size - 1] + self.base, size, lang[row])
+        self.parts.append(self._merged(rows))
+        self.size += len(self.parts[-1][0])
+        self.texts.append(w.data)
+        self.base += len(w.data)
+
+    @staticmethod
+    def _merged(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        key, check = rows[0], rows[1]
+        order = np.argsort(key)
+        key, check = key[order], check[order]
+        same = key[1:] == key[:-1]
+        if (check[1:][same] != check[:-1][same]).any():  # keys that meet by chance
+            order = np.lexsort((rows[1], rows[0]))
+            key, check = rows[0][order], rows[1][order]
+            same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), ~same]))
+        pick = order[first]
+        counts = np.add.reduceat(rows[2][order], first) if len(first) else rows[2]
+        return (rows[0][pick], rows[1][pick], counts, *[x[pick] for x in rows[3:]])
+
+    def leave(self, names: list[str], parts: int) -> Iterator[pa.RecordBatch]:
+        """All of it as rows, and anew."""
+        for lang, n in self.words.items():
+            yield _rows([lang], [""], [0], [0], [n])
+        if self.parts:
+            key, _, n, start, end, size, lang = self._merged(tuple(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+            data = np.concatenate(self.texts)
+            data = np.where((data >= 65) & (data <= 90), data | 32, data)
+            for lo in range(0, len(key), 1 << 14):
+                some = slice(lo, lo + (1 << 14))
+                phrases = _phrases(data, start[some], end[some], size[some])
+                langs = pa.array(names, pa.string()).take(pa.array(lang[some]))
+                yield _rows(langs, phrases, size[some].astype(np.int32), _short(key[some], parts).view(np.int64), n[some])
+        self.__init__()
+
+
+def _rows(lang, phrase, size, key, f) -> pa.RecordBatch:
+    kinds = {"lang": pa.string(), "phrase": pa.string(), "size": pa.int32(), "key": pa.int64(), "f": pa.int64()}
+    values = zip((lang, phrase, size, key, f), kinds.values(), strict=True)
+    return pa.record_batch(dict(zip(kinds, [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in values], strict=True)))
+
+
+def _phrases(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The words from start to end, joined by one space each."""
+    length = end - start
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(length, out=at[1:])
+    own = data[np.repeat(start - at[:-1], length) + np.arange(at[-1])]
+    # nearly all stand in the text as they are to be; spaces in excess, and tabs, are cut out of the others
+    blank = np.concatenate([[0], np.cumsum((own == 32) | (own == 9))])
+    odd = np.flatnonzero((blank[at[1:]] - blank[at[:-1]] != size - 1) | (np.concatenate([[0], np.cumsum(own == 9)])[at[1:]] != np.concatenate([[0], np.cumsum(own == 9)])[at[:-1]]))
+    out = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(own)).cast(pa.string())
+    if not len(odd):
+        return out
+    texts = out.to_pylist()
+    for i in odd.tolist():
+        texts[i] = " ".join(x for x in texts[i].replace("\t", " ").split(" ") if x)
+    return pa.array(texts, pa.string())
 
 
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
@@ -168,35 +243,16 @@ def count_exactly(docs: DataFrame, left: DataFrame, parts: int, least: int, long
         sent = shared(docs.sparkSession, bitmap(mapped(keys, slots, "slot long"), "slot", bits))
 
     def count(batches: Iterator[pa.RecordBatch]):
-        seen: dict[tuple[str, int, str], list[int]] = {}
-        for phrases, rows, batch in _each(batches, longest):
-            short = _short(phrases.key, parts)
-            at = np.flatnonzero(in_bitmap(sent.value, _slot(short, bits))) if sent else np.arange(len(short))
-            _, first, n = np.unique(phrases.key[at], return_index=True, return_counts=True)
-            first = at[first]
-            for lang, k in zip(batch.column("lang").take(pa.array(rows)).to_pylist(), np.diff(phrases.words.first).tolist(), strict=True):
-                seen.setdefault((lang, 0, ""), [0, 0])[0] += k
-            folded = phrases.words.data.tobytes().lower()
-            langs = batch.column("lang").take(pa.array(rows[np.searchsorted(phrases.words.first, phrases.place[first], "right") - 1])).to_pylist()
-            for i, k, lang, key in zip(first.tolist(), n.tolist(), langs, short[first].view(np.int64).tolist(), strict=True):
-                what = (lang, int(phrases.size[i]), phrases.text(folded, i))
-                if what in seen:
-                    seen[what][0] += k
-                else:
-                    seen[what] = [k, key]
-            if len(seen) >= SEEN:
-                yield from leave(seen)
-                seen = {}
-        yield from leave(seen)
-
-    def leave(seen: dict):
-        rows = list(seen)
-        for lo in range(0, len(rows), 1 << 14):
-            some = rows[lo : lo + (1 << 14)]
-            yield pa.record_batch({
-                "lang": pa.array([x[0] for x in some], pa.string()), "phrase": pa.array([x[2] for x in some], pa.string()), "size": pa.array([x[1] for x in some], pa.int32()),
-                "key": pa.array([seen[x][1] for x in some], pa.int64()), "f": pa.array([seen[x][0] for x in some], pa.int64()),
-            })
+        held, numbers = _Counted(), {}
+        for phrases, rows, batch in _each(batches, longest, twice=True):
+            langs = batch.column("lang").take(pa.array(rows)).to_pylist()
+            for lang, k in zip(langs, np.diff(phrases.words.first).tolist(), strict=True):
+                held.words[lang] += k
+            at = np.flatnonzero(in_bitmap(sent.value, _slot(_short(phrases.key, parts), bits))) if sent else np.arange(len(phrases.key))
+            held.add(phrases, at, np.array([numbers.setdefault(lang, len(numbers)) for lang in langs], np.int64))
+            if held.size >= SEEN or held.base >= MOST_TEXT:
+                yield from held.leave(list(numbers), parts)
+        yield from held.leave(list(numbers), parts)
 
     found = mapped(docs.select("text", "lang", "lang_key"), count, "lang string, phrase string, size int, key long, f long")
     if not sent:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_OTHER_BYTE = np.random.Generator(np.random.PCG64(20240608)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Text that is hashed at one time, in bytes; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 18
@@ -167,8 +168,9 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of consecutive rows of text: first[i]..first[i+1] are the words of row i; start and end are byte offsets into data."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool, spaces: np.ndarray | None = None):
-        """spaces: for each of the 256 bytes, whether it stands between words; the bytes that WORD leaves out unless given."""
+    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool, spaces: np.ndarray | None = None, twice: bool = False):
+        """spaces: for each of the 256 bytes, whether it stands between words; the bytes that WORD leaves out unless given. twice: a
+        second hash, `check`, that has nothing to do with the first."""
         lo, hi = int(at[0]), int(at[-1])
         self.data = b = data[lo:hi]
         at = at - lo
@@ -186,15 +188,20 @@ class Words:
         if fold:
             b = np.where((b >= 65) & (b <= 90), b | 32, b)
         size = self.end - self.start
-        self.hash = np.zeros(0, np.uint64)
+        self.hash = self.check = np.zeros(0, np.uint64)
         if len(size):
             own = b[word]
             heads = np.zeros(len(size), np.int64)
             np.cumsum(size[:-1], out=heads[1:])
             place = np.arange(len(own), dtype=np.int32) - np.repeat(heads.astype(np.int32), size)
+            factor = _places(int(size.max()))[place]
             value = _BYTE[own]
-            value *= _places(int(size.max()))[place]
+            value *= factor
             self.hash = mix(np.add.reduceat(value, heads) + size.astype(np.uint64))
+            if twice:
+                value = _OTHER_BYTE[own]
+                value *= mix(factor)
+                self.check = mix(np.add.reduceat(value, heads))
 
     def row(self, i: int) -> slice:
         return slice(self.first[i], self.first[i + 1])

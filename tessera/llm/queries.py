@@ -9,9 +9,11 @@ from .common import new_path, table
 from .decontaminate import find_leaks
 from .flac import archive_media
 from .language_id import identify
+from .lexical import PATTERN, search_ranked
 from .mixing import mix_sources
 from .ngram_jaccard import jaccard_components
 from .preference import format_preferences, neighbour_pairs
+from .rule_ensemble import score_quality
 from .substring_dedup import remove_repeats
 from .token_count import count_tokens
 from .token_store import read_store, write_store
@@ -61,10 +63,18 @@ def op10_decontamination(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return search_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_rules(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -139,6 +149,23 @@ o AS (
 SELECT chosen_id, rejected_id, n_common::INTEGER AS n_common, prompt, chosen, rejected, chosen_mask, rejected_mask FROM n JOIN o USING (pair)
 """
 
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{PATTERN}') AS ts FROM documents
+), n AS (SELECT id, doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*) AS dn, sum(n)::BIGINT AS dl FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{PATTERN}')) AS term FROM benchmark),
+t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * dn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, dn),
+m AS (SELECT id, doc_id, 10 + (90 * n * dn) // dl AS m FROM n, s),
+r AS (
+  SELECT item_id, id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (id) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10
+"""
+
 OP12_SQL = rf"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
@@ -177,12 +204,15 @@ QUERIES = {
     "op8_chat_preference": op8_chat_preference,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked_search": op11_ranked_search,
     "op12_collocations": op12_collocations,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLE_SQL = {
     "op1_ngram_jaccard": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op8_chat_preference": OP8_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op12_collocations": OP12_SQL,
 }
