@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .places import MOST_ROWS, last_known, place, previous
+
 
 def count_per(df: DataFrame, by: Sequence[str], distinct: str) -> DataFrame:
     """A1: distinct values per group."""
@@ -27,12 +29,19 @@ def group_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], fields: S
 
 
 def merge_duplicates(df: DataFrame, key: str, order: str, notes: str, many: str) -> DataFrame:
-    """A4: one row per key: the first one's order value, notes joined by newlines where not contained yet, and the sorted union of an array column."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(notes).alias("n"))))
-    texts = F.filter(F.transform(rows, lambda r: r["n"]), lambda n: n.isNotNull())
-    # one array of texts per key: records of one key are few
+    """A4: one row per key: the first one's order value, notes joined by newlines where not contained yet, and the sorted union of an array column.
+
+    Rows are reduced to their different notes, each with its first order, and different values before anything is gathered: what
+    stands in one cell is bounded by these, whatever the number of rows of a key.
+    """
+    first = df.groupBy(key, notes).agg(F.min(order).alias("__o"))
+    values = df.select(key, F.explode(many).alias("__v")).distinct()
+    rows = first.select(key, "__o", F.when(F.col(notes).isNotNull(), F.struct(F.col("__o").alias("o"), F.col(notes).alias("n"))).alias("__note"), F.lit(None).cast(values.schema["__v"].dataType).alias("__v"), F.lit(False).alias("__value"))
+    rows = rows.union(values.select(key, F.lit(None).cast(df.schema[order].dataType), F.lit(None).cast(rows.schema["__note"].dataType), "__v", F.lit(True)))
+    texts = F.transform(F.array_sort(F.collect_list("__note")), lambda r: r["n"])
     fold = F.aggregate(texts, F.lit(""), lambda a, n: F.when(a == "", n).when(F.call_function("instr", a, n) > 0, a).otherwise(F.concat(a, F.lit("\n"), n)))
-    return df.groupBy(key).agg(F.min(order).alias(order), fold.alias(notes), F.array_sort(F.array_distinct(F.flatten(F.collect_list(many)))).alias(many))
+    listed = F.transform(F.collect_list(F.when(F.col("__value"), F.struct("__v"))), lambda r: r["__v"])
+    return rows.groupBy(key).agg(F.min("__o").alias(order), fold.alias(notes), F.array_sort(listed).alias(many))
 
 
 def most_common(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -82,14 +91,14 @@ def number_variants(df: DataFrame, by: Sequence[str], order: Sequence[str], own:
     return out.select("z.rows.__row.*", F.col("z.ids").alias("variant"))
 
 
-def reindex(df: DataFrame, by: Sequence[str], order: Sequence[str], exempt: DataFrame | None = None, column: str = "index") -> DataFrame:
-    """Places from 0 in each group; groups of `exempt` keep the column's value."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    new = (F.row_number().over(w) - 1).cast("long")
+def reindex(df: DataFrame, by: Sequence[str], order: Sequence[str], exempt: DataFrame | None = None, column: str = "index", rows: int = MOST_ROWS) -> DataFrame:
+    """Places from 0 in each group; groups of `exempt` keep the column's value. Groups of more than `rows` rows are spread."""
+    placed = place(df, by, order, "__place", rows)
+    new = F.col("__place") - 1
     if exempt is None:
-        return df.withColumn(column, new)
-    marked = df.join(exempt.select(*by).distinct().withColumn("__keep", F.lit(True)), list(by), "left")
-    return marked.withColumn(column, F.when(F.col("__keep"), F.col(column).cast("long")).otherwise(new)).drop("__keep")
+        return placed.withColumn(column, new).drop("__place")
+    marked = placed.join(exempt.select(*by).distinct().withColumn("__keep", F.lit(True)), list(by), "left")
+    return marked.withColumn(column, F.when(F.col("__keep"), F.col(column).cast("long")).otherwise(new)).drop("__keep", "__place")
 
 
 with_index = reindex
@@ -101,10 +110,9 @@ def group_suffix(df: DataFrame, by: str, column: str, suffix: str) -> DataFrame:
     return df.withColumn(column, F.when(flag & ~F.col(column).endswith(suffix), F.concat(column, F.lit(f" {suffix}"))).otherwise(F.col(column)))
 
 
-def fill_forward(df: DataFrame, column: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """A null takes the last value before it in its group."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+def fill_forward(df: DataFrame, column: str, order: Sequence[str], by: Sequence[str], rows: int = MOST_ROWS) -> DataFrame:
+    """A null takes the last value before it in its group. Groups of more than `rows` rows are spread."""
+    return last_known(df, by, order, column, rows)
 
 
 def first_per_date(df: DataFrame, by: Sequence[str], date: str, order: Sequence[str]) -> DataFrame:
@@ -155,17 +163,18 @@ def pair_lists(df: DataFrame, by: Sequence[str], order: str, question: Column, a
 
 
 def blank_repeats(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Later rows with the same key stay but lose it."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(key, F.when(F.row_number().over(w) == 1, F.col(key)))
-
-
-def adjacent_diff(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Names of the columns in which a row differs from the one before it in its group; the first has none."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    names = [F.when(~first & ~F.col(c).eqNullSafe(F.lag(c).over(w)), F.lit(c)) for c in columns]
-    return df.withColumn("differs", F.array_compact(F.array(*names)))
+    """Later rows with the same key stay but lose it. order is total; only a key's first row is looked for, with partial minima,
+    so that a frequent key makes no large task."""
+    row = F.struct(*order)
+    first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(row).alias("__first"))
+    return df.join(first, F.col(key) == F.col("__key"), "left").withColumn(key, F.when(row == F.col("__first"), F.col(key))).drop("__key", "__first")
+
+
+def adjacent_diff(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], rows: int = MOST_ROWS) -> DataFrame:
+    """Names of the columns in which a row differs from the one before it in its group; the first has none. Groups of more than
+    `rows` rows are spread."""
+    names = [F.when(F.col("__before").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"__before.{c}")), F.lit(c)) for c in columns]
+    return previous(df, by, order, columns, "__before", rows).withColumn("differs", F.array_compact(F.array(*names))).drop("__before")
 
 
 def top1(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -83,15 +83,31 @@ def audit_majority(df: DataFrame, column: str, number: str = "number", key: str
     return df.join(usual, number).where(~F.col(column).eqNullSafe(F.col("majority"))).select(number, key, F.col(column).alias("value"), "majority")
 
 
-def audit_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Q10: errata no line of whose correction stands in any of the columns, lower-cased and with blanks folded."""
+#: Q10: bytes of corrections that go to all tasks at one time.
+ERRATA_BYTES = 16 << 20
+
+
+def audit_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns: Sequence[str], most_bytes: int = ERRATA_BYTES) -> DataFrame:
+    """Q10: errata no line of whose correction stands in any of the columns, lower-cased and with blanks folded.
+
+    Corrections go to where the texts are, in passes of about most_bytes (their size is counted first), so that no text is moved;
+    only the different (keys, correction) that stand come back.
+    """
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    texts = df.select(*[F.col(k).alias(f"__{k}") for k in keys], fold(F.concat_ws(" ", *columns)).alias("__text"))
     lines = F.filter(F.transform(F.split("correction", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))), lambda x: x != "")
-    known = errata.join(df.select(*keys).distinct(), list(keys), "left_semi").withColumn("__lines", lines)
+    asked = errata.select(*keys, "correction").distinct()
+    passes = (asked.agg(F.sum(F.octet_length("correction") + 64)).first()[0] or 0) // most_bytes + 1
+    texts = df.select(*[F.col(k).alias(f"__{k}") for k in keys], fold(F.concat_ws(" ", *columns)).alias("__text"))
     stands = F.exists("__lines", lambda line: F.contains(F.col("__text"), line))
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
-    return known.join(texts, [*same, stands], "left_anti").drop("__lines")
+
+    def found(k: int) -> DataFrame:
+        some = asked.where(F.pmod(F.xxhash64(*keys, "correction"), F.lit(passes)) == k).withColumn("__lines", lines)
+        return texts.join(F.broadcast(some), [*same, stands]).select(*keys, "correction").distinct()
+
+    standing = reduce(DataFrame.union, [found(k) for k in range(passes)])
+    known = errata.join(df.select(*keys).distinct(), list(keys), "left_semi")
+    return known.join(standing, [*keys, "correction"], "left_anti").select(*errata.columns)
 
 
 def audit_requirements(df: DataFrame, key: str = "card_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +16,19 @@ from . import joins as J
 
 
 def _lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.replace(c, F.lit("…"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def apply_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns: Sequence[str], titles: Mapping[str, str] | None = None) -> DataFrame:
+def apply_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns: Sequence[str], titles: Mapping[str, str] | None = None, part: str | None = None) -> DataFrame:
     """errata(keys..., error, correction) applied to text columns.
 
-    Both are split into trimmed lines. In each column the first error line that it contains is replaced by the correction's
-    line at the same place, unless that is there already. Lines that are a title ("[Title]" by column, in titles) don't count
-    as text; where an erratum has titles, a line only applies to the column of the title before it. errata has one row per key.
+    Both are split into trimmed lines, without their ellipses. In each column the first error line that it contains is replaced
+    by the correction's line at the same place, unless that is there already. Lines that are a title ("[Title]" by column, in
+    titles) don't count as text; where an erratum has titles, a line only applies to the column of the title before it. errata
+    has one row per key.
+
+    part names a struct column, the other half of a dual record. Its fields of the columns' names are texts of the same columns:
+    the line is the first that either text contains, and it is replaced in both. A field whose own column is null stays.
     """
     titles = dict(titles or {})
     names = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair]) if titles else None
@@ -43,13 +48,24 @@ def apply_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns:
 
     joined = joined.withColumn("__p", F.zip_with(labelled(F.col("__e")), labelled(F.col("__c")), lambda e, c: F.struct(e["t"].alias("t"), e["x"].alias("e"), c["x"].alias("c"))))
 
-    def corrected(column: str) -> Column:
-        text = F.col(column)
-        usable = lambda p: p["e"].isNotNull() & p["c"].isNotNull() & (p["t"].isNull() | (p["t"] == F.lit(column))) & (F.call_function("instr", text, p["e"]) > 0)
+    fields = [f.name for f in df.schema[part].dataType.fields if f.name in columns] if part else []
+    holds = lambda text, line: F.coalesce(F.call_function("instr", text, line) > 0, F.lit(False))
+
+    def corrected(text: Column, column: str) -> Column:
+        texts = [F.col(column), *([F.col(part)[column]] if column in fields else [])]
+        usable = lambda p: p["e"].isNotNull() & p["c"].isNotNull() & (p["t"].isNull() | (p["t"] == F.lit(column))) & reduce(lambda x, y: x | y, [holds(t, p["e"]) for t in texts])
         first = F.try_element_at(F.filter("__p", usable), F.lit(1))
-        return F.when(first.isNull() | (F.call_function("instr", text, first["c"]) > 0), text).otherwise(F.replace(text, first["e"], first["c"]))
+        return F.when(first.isNotNull() & holds(text, first["e"]) & ~holds(text, first["c"]), F.replace(text, first["e"], first["c"])).otherwise(text)
+
+    def other_half() -> Column:
+        own = F.col(part)
+        texts = {f: F.when(F.col(f).isNull(), own[f]).otherwise(corrected(own[f], f)) for f in fields}
+        return F.when(own.isNotNull(), F.struct(*[texts.get(f.name, own[f.name]).alias(f.name) for f in df.schema[part].dataType.fields]))
 
-    return joined.select(*[corrected(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+    new = {c: corrected(F.col(c), c) for c in columns} | ({part: other_half()} if fields else {})
+    # under other names first: inside a lambda, a column's name would else mean what it has just been given
+    found = joined.select("*", *[v.alias(f"__new_{c}") for c, v in new.items()])
+    return found.select(*[F.col(f"__new_{c}").alias(c) if c in new else F.col(c) for c in df.columns])
 
 
 def apply_revisions(df: DataFrame, revisions: DataFrame, keys: Sequence[str], column: str, marker: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,16 +43,26 @@ def fill_from_canonical(df: DataFrame, key: str, is_canonical: Column, order: Se
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
-def siblings(df: DataFrame, same: Sequence[str], key: str, differ: Column | None = None) -> DataFrame:
-    """Sorted keys of the other rows that agree in `same`; rows without any have an empty array.
+def sibling_groups(df: DataFrame, same: Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """groups(same..., group, n_members) and members(group, key) of the rows that agree in `same`, null with nothing: each row is one
+    member once, whatever the group's size. group is the group's smallest key."""
+    known = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in same])).select(*same, key)
+    groups = known.groupBy(*same).agg(F.min(key).alias("group"), F.count("*").alias("n_members"))
+    return groups, known.join(groups, list(same)).select("group", key)
 
-    differ, over columns "a.x" and "b.x", narrows the pairs. Groups are records of one number: small.
+
+def siblings(df: DataFrame, same: Sequence[str], key: str, named: DataFrame | None = None, differ: Column | None = None) -> DataFrame:
+    """(key, siblings) of the rows of df whose key is in named(key), or of all: sorted keys of the other rows that agree in
+    `same`; rows without any have an empty array. For all rows of large groups use `sibling_groups`.
+
+    differ, over columns "a.x" and "b.x", narrows the pairs.
     """
+    asked = df if named is None else df.join(named.select(key).distinct(), key, "left_semi")
     other = F.col(f"a.{key}") != F.col(f"b.{key}")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in same] + [other if differ is None else other & differ]
-    pairs = df.alias("a").join(df.alias("b"), on).groupBy(F.col(f"a.{key}").alias(key)).agg(F.array_sort(F.collect_list(f"b.{key}")).alias("siblings"))
+    pairs = asked.alias("a").join(df.alias("b"), on).groupBy(F.col(f"a.{key}").alias(key)).agg(F.array_sort(F.collect_list(f"b.{key}")).alias("siblings"))
     empty = F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")
-    return df.join(pairs, key, "left").withColumn("siblings", F.coalesce("siblings", empty))
+    return asked.join(pairs, key, "left").withColumn("siblings", F.coalesce("siblings", empty))
 
 
 def apply_patches(df: DataFrame, patches: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -94,6 +106,46 @@ def match_by_suffix(a: DataFrame, b: DataFrame, a_name: str, b_name: str, tail:
     return left.join(right, (suffix(F.col(a_name)) == suffix(F.col(b_name))) & (F.col(a_name).endswith(F.col(b_name)) | F.col(b_name).endswith(F.col(a_name))))
 
 
+#: Characters of the pieces by which names that contain each other meet.
+PIECE = 3
+
+
+def contained_names(short: DataFrame, long: DataFrame, name: str, other: str, piece: int = PIECE) -> DataFrame:
+    """(name, other): different names of short(name) that stand anywhere in long's other, equal ones too.
+
+    Each name is looked for by the one of its pieces of `piece` characters that the fewest others have (a shorter name is its only
+    piece), and then compared. Null and empty names match nothing.
+    """
+    names, others = (df.select(c).where(F.length(c) > 0).distinct() for df, c in ((short, name), (long, other)))
+
+    def pieces(c: str, sizes: Column) -> Column:
+        places = lambda n: F.sequence(F.lit(1), F.length(c) - n + 1)
+        return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(places(n), lambda i: F.substring(F.col(c), i, n)))))
+
+    own = names.select(name, F.explode(pieces(name, F.array(F.least(F.length(name), F.lit(piece))))).alias("__piece"))
+    theirs = others.select(other, F.explode(pieces(other, F.sequence(F.lit(1), F.least(F.length(other), F.lit(piece))))).alias("__piece"))
+    theirs = theirs.join(own.select("__piece").distinct(), "__piece", "left_semi")
+    counts = theirs.groupBy("__piece").agg(F.count("*").alias("__n"))
+    # a piece that no other name has settles that nothing holds the name
+    rarest = own.join(counts, "__piece", "left").groupBy(name).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__piece")).alias("r"))
+    rarest = rarest.where("r.n > 0").select(name, F.col("r.__piece").alias("__piece"))
+    return rarest.join(theirs, "__piece").where(F.col(other).contains(F.col(name))).select(name, other)
+
+
+def match_by_containment(a: DataFrame, b: DataFrame, a_name: str, b_name: str, piece: int = PIECE) -> DataFrame:
+    """Rows of a and b one of whose names contains the other."""
+    names = contained_names(a, b, a_name, b_name, piece).union(contained_names(b, a, b_name, a_name, piece).select(a_name, b_name)).distinct()
+    return a.join(names, a_name).join(b, b_name)
+
+
+def first_containing(products: DataFrame, releases: DataFrame, name: str, release_name: str, key: str, order: str) -> DataFrame:
+    """Products with the first release, by `order`, whose name contains theirs or is contained in it; without one they stay
+    alone. key is unique among products; the columns of releases must have other names."""
+    met = match_by_containment(products.select(key, name), releases, name, release_name)
+    first = met.groupBy(key).agg(F.min_by(F.struct(*releases.columns), order).alias("__r"))
+    return products.join(first, key, "left").select(*products.columns, *[F.col(f"__r.{c}").alias(c) for c in releases.columns])
+
+
 def refs_to_release(df: DataFrame, release: DataFrame, key: str = "card_id", notes: str = "notes", own: str = "release") -> DataFrame:
     """Df with `releases`, names in order of date: those of the codes in square brackets in its notes, else those whose name
     starts with the notes in any case, else its own. A code is compared without hyphens and leading zeros, behind a version that
@@ -102,6 +154,7 @@ def refs_to_release(df: DataFrame, release: DataFrame, key: str = "card_id", not
     release(code, name, date, listed): only listed ones are found by name. Names meet notes as prefixes, by an equi-join. Notes that
     are null, empty or of a limited pack name no release. key is unique.
     """
+    # fixed values of the rule: the version's pattern, the zeros left out of codes, the name of a limited pack
     version = F.regexp_extract(notes, r"(?i)Ver\.?[0-9]\.[0-9]", 0)
     codes = F.transform(F.regexp_extract_all(notes, F.lit(r"\[([^\]]+)\]"), 1), lambda s: F.concat(version, F.regexp_replace(F.replace(s, F.lit("-"), F.lit("")), "0([0-9]+)", "$1")))
     by_code = df.select(key, F.explode(F.array_distinct(codes)).alias("code")).join(release.select("code", "name", "date"), "code")
@@ -114,28 +167,93 @@ def refs_to_release(df: DataFrame, release: DataFrame, key: str = "card_id", not
     return joined.select(*df.columns, F.coalesce("__code", "__name", F.array(own)).alias("releases"))
 
 
+#: A 64-bit hash is cut in so many parts to be probed; the most bits in which a part may differ (2: 137 neighbours).
+PARTS, MOST_PROBED = 4, 2
+
+
+def _neighbours(bits: int, most: int) -> list[int]:
+    """Masks of `bits` bits with at most so many set, those with fewer first."""
+    return [sum(1 << k for k in places) for n in range(most + 1) for places in combinations(range(bits), n)]
+
+
+def _parts(h: Column) -> Column:
+    width = 64 // PARTS
+    return F.array(*[F.shiftrightunsigned(h, width * k).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for k in range(PARTS)])
+
+
+def _near_by_probing(a: DataFrame, b: DataFrame, block: Sequence[str], max_distance: int) -> DataFrame:
+    """Pairs of a(hash, block...) and b(__h, block...), rows of different hashes each, within the distance.
+
+    Two hashes within it differ by at most max_distance / PARTS bits in some part; so each part of a's is probed with all its
+    neighbours of so many bits. A pair is met once, at its first such part.
+    """
+    most = max_distance // PARTS
+    probes = F.transform(_parts(F.col("hash")), lambda v: F.transform(F.array(*[F.lit(m) for m in _neighbours(64 // PARTS, most)]), lambda m: v.bitwiseXOR(m)))
+    left = a.select("hash", *block, F.posexplode(probes).alias("__part", "__values")).select("hash", *block, "__part", F.explode("__values").alias("__value"))
+    right = b.select("*", F.posexplode(_parts(F.col("__h"))).alias("__part", "__value"))
+    met = left.join(right, [*block, "__part", "__value"])
+    differ = F.transform(_parts(F.col("hash").bitwiseXOR(F.col("__h"))), lambda v: F.bit_count(v) <= most)
+    return met.where((F.array_position(differ, F.lit(True)) == F.col("__part") + 1) & (distance(F.col("hash"), F.col("__h")) <= max_distance)).drop("__part", "__value")
+
+
 def nearest_hash(a: DataFrame, b: DataFrame, block: Sequence[str], max_distance: int = 11, own: bool = True) -> DataFrame:
     """For each row of a(id, hash, block...) the nearest row of b in its block, by (distance, id), within the distance.
 
-    Where own is false, a row doesn't match its own id.
+    Where own is false, a row doesn't match its own id. Equal hashes of a block are searched once, and found as the two smallest
+    ids that have them, so that copies make no pairs. Within 11 bits hashes meet by multi-index probing; a greater distance, of
+    which no part tells enough, compares a block's different hashes. Rows without a hash or a block value match nothing.
+    """
+    few = 1 if own else 2
+    asked = a.select("hash", *block).distinct()
+    order = Window.partitionBy("__h", *block).orderBy("match")
+    held = b.select(F.col("id").alias("match"), F.col("hash").alias("__h"), *block).distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= few).drop("__n")
+    hashes = held.select("__h", *block).distinct()
+    if max_distance // PARTS <= MOST_PROBED:
+        near = _near_by_probing(asked, hashes, block, max_distance)
+    else:
+        near = asked.join(hashes, list(block)).where(distance(F.col("hash"), F.col("__h")) <= max_distance)
+    near = near.withColumn("distance", distance(F.col("hash"), F.col("__h"))).join(held, ["__h", *block])
+    best = Window.partitionBy("hash", *block).orderBy("distance", "match")
+    best = near.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= few).drop("__h")
+    found = a.select("id", "hash", *block).join(best, ["hash", *block])
+    found = found if own else found.where("id <> match")
+    return found.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("m")).select("id", "m.match", "m.distance")
+
+
+#: Rows of a byte at a place that a tile holds of either side.
+TILE = 1 << 14
+
+
+def _tiled(q: DataFrame, index: DataFrame, keys: Sequence[str], tile: int) -> tuple[DataFrame, DataFrame]:
+    """q and index with columns __i, __j to be joined on beside the keys, so that a task meets about tile x tile rows at most.
+
+    Keys with more rows are cut in tiles: a row of q is in one row of tiles and goes to all its columns, a row of index the
+    other way. Keys have few values (J12: 2,048), so their counts are broadcast.
     """
-    pairs = a.select("id", "hash", *block).join(b.select(F.col("id").alias("match"), F.col("hash").alias("__h"), *block), list(block))
-    pairs = pairs if own else pairs.where("id <> match")
-    near = pairs.withColumn("distance", distance(F.col("hash"), F.col("__h"))).where(F.col("distance") <= max_distance)
-    return near.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("m")).select("id", "m.match", "m.distance")
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    cuts = count(q, "__a").join(count(index, "__b"), list(keys))
+    cuts = F.broadcast(cuts.select(*keys, F.ceil(F.col("__a") / tile).cast("int").alias("__a"), F.ceil(F.col("__b") / tile).cast("int").alias("__b")))
+    one = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(cuts, list(keys)).withColumn("__i", one(q, "__a")).withColumn("__j", every("__b")).drop("__a", "__b")
+    right = index.join(cuts, list(keys)).withColumn("__j", one(index, "__b")).withColumn("__i", every("__a")).drop("__a", "__b")
+    return left, right
 
 
-def band_join(q: DataFrame, index: DataFrame, max_distance: int = 16) -> DataFrame:
+def band_join(q: DataFrame, index: DataFrame, max_distance: int = 16, tile: int = TILE) -> DataFrame:
     """Pairs of q(id, hash) and index(id, hash) with an equal byte at one of the 8 places, within the distance.
 
-    Each pair is met once, at its first equal byte; within 7 bits no pair can be missed.
+    Each pair is met once, at its first equal byte; within 7 bits no pair can be missed. Bytes that many rows share at a place are
+    cut in tiles, so that no task has more than a tile of each side to compare; the distance is part of the join's condition.
     """
     banded = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("hash").alias(f"{p}_hash"), F.posexplode(hash_bands(F.col("hash"))).alias("place", "byte"))
-    met = banded(q, "q").join(banded(index, "i"), ["place", "byte"])
+    left, right = _tiled(banded(q, "q"), banded(index, "i"), ["place", "byte"], tile)
+    keys = ("place", "byte", "__i", "__j")
+    right = right.withColumnsRenamed({k: f"i_{k}" for k in keys})
     differ = F.col("q_hash").bitwiseXOR(F.col("i_hash"))
     first = F.array_position(hash_bands(differ), F.lit(0)) == F.col("place") + 1
-    near = met.where(first).withColumn("distance", F.bit_count(differ).cast("int")).where(F.col("distance") <= max_distance)
-    return near.select(F.col("q_id").alias("id"), F.col("i_id").alias("match"), "distance")
+    met = left.join(right, [*[F.col(k) == F.col(f"i_{k}") for k in keys], F.bit_count(differ) <= max_distance, first])
+    return met.select(F.col("q_id").alias("id"), F.col("i_id").alias("match"), F.bit_count(differ).cast("int").alias("distance"))
 
 
 def by_language(keys: DataFrame, card: DataFrame, on: Sequence[str], languages: Sequence[str], value: str) -> DataFrame:

@@ -18,6 +18,24 @@ FIXES = (("literal", "﻿", ""), ("regex", r"\.{2,}", "."))
 FILL = ("rarity", "level", "dp", "play_cost", "use_cost")
 
 
+def rules(card: DataFrame) -> DataFrame:
+    """E3 with a dictionary of the cards' own traits."""
+    traits = [card.select(F.explode(F.split(c, "[/,]")).alias("token"), F.lit(c).alias("type")) for c in ("form", "attribute", "type")]
+    dictionary = traits[0].union(traits[1]).union(traits[2]).where("token is not null").distinct()
+    markers = {"特徴:": "trait", "Trait:": "trait", "名称:": "name", "Name:": "name", "You can include up to": "limit", "枚まで入れられる": "limit"}
+    return C.extract_rules(card, markers, dictionary)
+
+
+def icons(card: DataFrame, release: DataFrame, card_release: DataFrame) -> DataFrame:
+    """E4 with numbers ranked by the date of their first release."""
+    first = card_release.join(release, "release_id").join(card.select("card_id", "number"), "card_id").groupBy("number").agg(F.min("date").alias("date"))
+    order = card.select("number").distinct().join(first, "number", "left").select("number", F.coalesce("date", F.to_date(F.lit("9999-12-31"))).alias("date"))
+    # ranks by (date, number), as text: the order is all that counts, so that no task has to number all of them
+    ranks = order.select(F.col("number").alias("group"), F.concat_ws(" ", F.date_format("date", "yyyy-MM-dd"), "number").alias("rank"))
+    seeds = card.sparkSession.createDataFrame([("Your Turn", "timing"), ("Once Per Turn", "precondition")], "text string, kind string")
+    return C.extract_icons(card, ["effect", "inherited_effect", "security_effect"], "card_id", "number", ranks, seeds)
+
+
 def build_catalog(sources: Mapping[str, DataFrame], keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
     """Tables card, icon and rule from card, patch, errata, rule_revision, release, card_release and saved (cards of before).
 
@@ -38,15 +56,7 @@ def build_catalog(sources: Mapping[str, DataFrame], keep: Callable[[DataFrame, s
     if "rule_revision" in sources:
         card = C.apply_revisions(card, sources["rule_revision"], ["number", "language"], "effect", "〈ルール〉")
     card = keep(card, "corrected")
-    traits = [card.select(F.explode(F.split(c, "[/,]")).alias("token"), F.lit(c).alias("type")) for c in ("form", "attribute", "type")]
-    dictionary = traits[0].union(traits[1]).union(traits[2]).where("token is not null").distinct()
-    rule = C.extract_rules(card, {"特徴:": "trait", "Trait:": "trait", "名称:": "name", "Name:": "name", "You can include up to": "limit", "枚まで入れられる": "limit"}, dictionary)
-    first = sources["card_release"].join(sources["release"], "release_id").join(card.select("card_id", "number"), "card_id").groupBy("number").agg(F.min("date").alias("date"))
-    order = card.select("number").distinct().join(first, "number", "left").select("number", F.coalesce("date", F.to_date(F.lit("9999-12-31"))).alias("date"))
-    # ranks by (date, number), as text: the order is all that counts, so that no task has to number all of them
-    ranks = order.select(F.col("number").alias("group"), F.concat_ws(" ", F.date_format("date", "yyyy-MM-dd"), "number").alias("rank"))
-    seeds = card.sparkSession.createDataFrame([("Your Turn", "timing"), ("Once Per Turn", "precondition")], "text string, kind string")
-    icon = C.extract_icons(card, ["effect", "inherited_effect", "security_effect"], "card_id", "number", ranks, seeds)
+    rule, icon = rules(card), icons(card, sources["release"], sources["card_release"])
     if "saved" in sources:
         card = upsert(sources["saved"], card, "card_id")
     return {"card": card, "rule": rule, "icon": keep(icon, "icon")}

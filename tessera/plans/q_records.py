@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import from_unsigned, unsigned, vector_signature
@@ -14,6 +11,7 @@ from tessera.operators import decks as D
 from tessera.operators import nest as N
 from tessera.sources import io as IO
 from tessera.sources import pages as W
+from tessera.sources.shared import new_path, written
 from tessera.streaming import votes as V
 
 from .registry import register
@@ -26,13 +24,7 @@ def _t(spark, d, name):
 
 
 def _folder(spark):
-    """A new folder that driver and executors share; only a local session may leave it unnamed."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return new_path(spark, "query")
 
 
 @register("w1_read_catalog", "SELECT p_partkey, p_name, p_size FROM part")
@@ -149,6 +141,19 @@ def _(spark, d):
     return C.apply_errata(part, errata, ["p_partkey"], ["p_name", "p_type"], {"[Name]": "p_name", "[Type]": "p_type"})
 
 
+@register("e1_apply_errata_dual", """WITH t AS (SELECT doc_id, coalesce(text, '') AS own, lang || ' of ' || source AS dual FROM documents),
+u AS (SELECT *, contains(own, 'sher') OR contains(dual, 'sher') AS a, contains(own, 'of') OR contains(dual, 'of') AS b FROM t)
+SELECT doc_id, CASE WHEN a AND contains(own, 'sher') AND NOT contains(own, 'SHER') THEN replace(own, 'sher', 'SHER') WHEN NOT a AND b AND contains(own, 'of') AND NOT contains(own, 'OF') THEN replace(own, 'of', 'OF') ELSE own END AS text,
+  CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN NOT a AND b AND NOT contains(dual, 'OF') THEN replace(dual, 'of', 'OF') ELSE dual END END AS dual_text, CASE WHEN doc_id % 3 <> 0 THEN source END AS dual_name
+FROM u JOIN documents USING (doc_id) WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id, CASE WHEN contains(own, 'sher') THEN CASE WHEN contains(own, 'SHER') THEN own ELSE replace(own, 'sher', 'SHER') END WHEN contains(own, 'of') AND NOT contains(own, 'OF') THEN replace(own, 'of', 'OF') ELSE own END, NULL, NULL FROM t WHERE doc_id % 3 = 0""")
+def _(spark, d):
+    half = F.struct(F.concat_ws(" of ", "lang", "source").alias("text"), c("source").alias("name"))
+    docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(c("doc_id") % 3 != 0, half).alias("dual"))
+    errata = docs.select("doc_id", F.lit("…sher\n of…").alias("error"), F.lit("SHER…\nOF ").alias("correction"))
+    return C.apply_errata(docs, errata, ["doc_id"], ["text"], part="dual").select("doc_id", "text", c("dual.text").alias("dual_text"), c("dual.name").alias("dual_name"))
+
+
 @register("e2_apply_revisions", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || chr(10) || 'RULE x' WHEN p_size % 3 = 1 AND NOT contains(p_name, 'RED') THEN replace(p_name, 'red', 'RED') ELSE p_name END AS p_name FROM part")
 def _(spark, d):
     part = _t(spark, d, "part").select("p_partkey", "p_name", "p_size")
@@ -486,6 +491,15 @@ def _(spark, d):
     return V.vote_counts(V.match_stream(frames(spark, d), hash_index(spark, d))).select("session", "block", "candidate", "votes", "score")
 
 
+@register("t2_vote_reset", f"""WITH {_MATCHES}, g AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 43200000000, false)::INTEGER AS idle FROM m WINDOW w AS (PARTITION BY session ORDER BY ts, candidate, distance)),
+r AS (SELECT *, sum(idle) OVER (PARTITION BY session ORDER BY ts, candidate, distance ROWS UNBOUNDED PRECEDING) AS run FROM g),
+b AS (SELECT *, (row_number() OVER (PARTITION BY session, run ORDER BY ts, candidate, distance) - 1) // 3 AS block FROM r),
+f AS (SELECT session, run, block FROM b GROUP BY ALL HAVING count(*) = 3), s AS (SELECT session, run, block, candidate, count(*) AS votes, avg(distance) / count(*) AS score FROM b JOIN f USING (session, run, block) GROUP BY ALL)
+SELECT session, run::BIGINT AS run, block, candidate, votes, score FROM (SELECT *, row_number() OVER (PARTITION BY session, run, block ORDER BY score, candidate) AS n FROM s) WHERE n = 1""")
+def _(spark, d):
+    return V.vote_counts(V.match_stream(frames(spark, d), hash_index(spark, d)), 3, 43_200_000).select("session", "run", "block", "candidate", "votes", "score")
+
+
 @register("w6_unsigned_digits", "SELECT vec_id FROM embeddings")
 def _(spark, d):
     h = vector_signature(c("embedding"))
@@ -509,3 +523,58 @@ def _(spark, d):
     icons = out["icon"].groupBy("card_id").agg(F.count("*").alias("icons"))
     rules = out["rule"].groupBy("card_id").agg(F.count("*").alias("rules"))
     return out["card"].join(icons, "card_id", "left").join(rules, "card_id", "left").select("card_id", "number", "language", "parallel_id", "level", "play_cost", "icons", "rules")
+
+
+@register("e11_staged_build", r"""WITH e AS (SELECT event_id, event_id // 4 AS slot, event_id % 4 AS l, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+j AS (SELECT slot, k, (slot * 12) % 7 AS cost FROM e WHERE l = 0),
+b AS (SELECT 'e' || lpad(event_id::VARCHAR, 12, '0') AS card_id, 'ST1-' || slot AS number, ['ja', 'en', 'zh-Hans', 'ko'][l + 1] AS language, slot, l, event_id,
+    CASE WHEN l = 0 THEN e.k WHEN l = 1 AND slot % 50 = 49 THEN 99 ELSE j.k END AS level, CASE WHEN l = 3 THEN coalesce(j.cost, (event_id * 3) % 7) ELSE (event_id * 3) % 7 END AS use_cost,
+    'Draw ' || coalesce(e.k % 10, 0) || '.' AS effect, j.slot IS NOT NULL AS known FROM e LEFT JOIN j USING (slot)),
+c AS (SELECT *, CASE WHEN l = 1 AND slot % 5 = 0 THEN CASE WHEN contains(effect, 'Draw 1') THEN replace(effect, 'Draw 1', 'Pull 1') ELSE replace(effect, 'Draw 2', 'Pull 2') END WHEN l = 3 AND slot % 7 = 0 THEN effect || chr(10) || '〈ルール〉 x' ELSE effect END AS text FROM b),
+f AS (SELECT number FROM b GROUP BY number HAVING count(DISTINCT level) + max((level IS NULL)::INTEGER) > 1 OR (count(*) = 1 AND min(language) <> 'ja')),
+x AS (SELECT number FROM c WHERE l = 1 AND slot % 5 = 0 AND NOT (contains(text, 'Pull 1') OR contains(text, 'Pull 2')))
+SELECT card_id, number, language, 0 AS parallel_id, level, use_cost, text AS effect, CASE WHEN l = 1 AND slot % 10 = 0 THEN 'first' || chr(10) || 'reprint' WHEN l = 1 THEN 'first' END AS notes,
+  CASE WHEN event_id % 100 = 0 THEN 'SR' WHEN slot = 3 AND l = 1 THEN 'P' END AS rarity, CASE WHEN slot % 3 = 0 THEN CASE WHEN known THEN 10 ELSE 10 + l END END AS cost,
+  number IN (SELECT number FROM f UNION SELECT number FROM x) AS stopped, NULL AS name FROM c
+UNION ALL SELECT 'p' || lpad(page_id::VARCHAR, 12, '0'), 'PG-' || page_id, 'ja', 0, NULL, NULL, NULL, NULL, NULL, NULL, false,
+  (trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) NOT IN ('', '-'))::VARCHAR FROM pages
+UNION ALL SELECT 'x' || event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'SR', NULL, false, NULL FROM events WHERE event_id % 100 = 0""")
+def _(spark, d):
+    """Cards of pages and events: reprints share an image, every fiftieth English level is wrong and stops the first run."""
+    from .staged import BuildStopped, build_staged, cards_from_pages
+
+    wide = lambda x, p: F.concat(F.lit(p), F.lpad(x.cast("string"), 12, "0"))
+    pages = _t(spark, d, "pages").select("page_id", "html", wide(c("page_id"), "p").alias("card_id"), F.concat(F.lit("PG-"), c("page_id").cast("string")).alias("number"), F.lit("ja").alias("language"))
+    payload = _t(spark, d, "events").select("event_id", F.concat(F.lit('{"list":['), c("props"), F.lit("]}")).alias("payload"))
+    e = IO.explode_payload(payload, "payload", "list array<struct<k:long>>", "list").withColumns({"slot": F.floor(c("event_id") / 4), "l": c("event_id") % 4})
+    number, language = F.concat(F.lit("ST1-"), c("slot").cast("string")), F.element_at(F.array(*[F.lit(x) for x in ("ja", "en", "zh-Hans", "ko")]), (c("l") + 1).cast("int"))
+    picture = F.when(c("l") == 1, F.struct(language.alias("language"), F.concat(F.lit("img/"), c("slot").cast("string")).alias("source"), F.lit(None).cast("string").alias("path")))
+    cards = e.select(
+        wide(c("event_id"), "e").alias("card_id"), number.alias("number"), language.alias("language"), F.when(c("l") == 0, c("k")).when((c("l") == 1) & (c("slot") % 50 == 49), 99).alias("level"),
+        ((c("event_id") * 3) % 7).alias("use_cost"), F.concat(F.lit("Draw "), F.coalesce(c("k") % 10, F.lit(0)).cast("string"), F.lit(".")).alias("effect"), picture.alias("image"),
+        F.when(c("l") == 1, "first").alias("notes"), "slot", "l", "event_id",
+    )
+    reprints = cards.where("l = 1 and slot % 10 = 0").withColumns({"card_id": wide(c("event_id"), "r"), "notes": F.lit("reprint")})
+    english = cards.where("l = 1 and slot % 5 = 0").select("number", "language")
+    sources = {
+        "page_card": cards_from_pages(pages, {"name": "head/title"}), "payload_card": cards.unionByName(reprints),
+        "patch": cards.where("slot = 3 and l = 1").select("number", "language", F.lit("rarity").alias("field"), F.lit("set").alias("op"), F.lit(None).cast("string").alias("old"), F.lit("P").alias("new")),
+        "requirement": cards.where("slot % 3 = 0").select("card_id", F.lit(0).cast("long").alias("index"), (c("l") + 10).alias("cost")),
+        "errata": english.select("number", "language", F.to_date(F.lit("2024-01-01")).alias("date"), F.lit("Draw 1…\nDraw 2…").alias("error"), F.lit("Pull 1\nPull 2").alias("correction")),
+        "rule_revision": cards.where("l = 3 and slot % 7 = 0").select("number", "language", F.lit(None).cast("string").alias("before"), F.lit("〈ルール〉 x").alias("after")),
+        "release": cards.select(c("number").alias("release_id"), c("number").alias("name"), F.to_date(F.lit("2024-01-01")).alias("date"), F.lit("set").alias("genre")).distinct(),
+        "card_release": cards.select("card_id", c("number").alias("release_id")),
+        "saved": e.where("event_id % 100 = 0").select(F.explode(F.array(wide(c("event_id"), "e"), F.concat(F.lit("x"), c("event_id").cast("string")))).alias("card_id"), F.lit("SR").alias("rarity")),
+    }
+    folder, allowed = _folder(spark), spark.createDataFrame([], "audit string, finding string")
+    try:
+        out = build_staged(spark, sources, folder)
+    except BuildStopped as stop:
+        allowed = written(stop.findings, "findings")
+        out = build_staged(spark, sources | {"allowed": allowed}, folder)
+    stopped = allowed.select(c("finding").alias("number"), F.lit(True).alias("stopped")).distinct()
+    cost = out["requirements"].groupBy("card_id").agg(F.min("cost").alias("cost"))
+    rows = out["card"].join(stopped, "number", "left").join(cost, "card_id", "left")
+    flag = F.coalesce("stopped", F.lit(False))
+    named = F.when(c("card_id").startswith("p"), c("name").isNotNull().cast("string"))
+    return rows.select("card_id", "number", "language", "parallel_id", "level", "use_cost", "effect", "notes", "rarity", "cost", flag.alias("stopped"), named.alias("name"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import code_parts, rank_of
 from tessera.operators import search as S
+from tessera.operators.places import place
 from tessera.operators.search import Predicate as P
 
 from .registry import register
@@ -145,9 +146,7 @@ def _(spark, d):
 
 @register("k1_catalog_order", f"WITH c AS ({_ALL}) SELECT doc_id, row_number() OVER (PARTITION BY number ORDER BY {_KEY}) AS place FROM c")
 def _(spark, d):
-    from pyspark.sql.window import Window
-
-    return documents(spark, d).select("doc_id", F.row_number().over(Window.partitionBy("number").orderBy(*S.catalog_order(tie=["doc_id"]))).cast("long").alias("place"))
+    return place(documents(spark, d), ["number"], S.catalog_order(tie=["doc_id"]), "place").select("doc_id", "place")
 
 
 @register("k2_page_3", f"WITH c AS ({_ALL}) SELECT doc_id FROM c ORDER BY {_KEY} LIMIT 60 OFFSET 120")

@@ -54,6 +54,13 @@ def _(spark, d):
     return J.siblings(docs(spark, d, "n_chars"), ["number", "language", "n_chars"], "doc_id").select("doc_id", "siblings")
 
 
+@register("j5_sibling_groups", """WITH g AS (SELECT source, lang, n_chars, min(doc_id) AS "group", count(*) AS n_members FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL GROUP BY ALL)
+SELECT doc_id, "group", n_members FROM documents JOIN g USING (source, lang, n_chars)""")
+def _(spark, d):
+    groups, members = J.sibling_groups(docs(spark, d, "n_chars"), ["number", "language", "n_chars"], "doc_id")
+    return members.join(groups.select("group", "n_members"), "group").select("doc_id", "group", "n_members")
+
+
 @register("j6_apply_patches", """SELECT p_partkey, CASE WHEN p_size % 10 = 1 THEN 'patched' WHEN p_size % 10 = 2 THEN replace(p_name, 'e', 'E') ELSE p_name END AS p_name, CASE WHEN p_size % 10 = 3 THEN 99 ELSE p_size END AS p_size FROM part""")
 def _(spark, d):
     part = _t(spark, d, "part")
@@ -92,6 +99,27 @@ def _(spark, d):
     return J.match_by_suffix(a, b, "a", "b", 4).select("a", "b").distinct()
 
 
+@register("j9_match_by_containment", """WITH a AS (SELECT DISTINCT p_name AS a FROM part), b AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS b FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT p_name || ' ' || p_size FROM part)
+SELECT a, b FROM a, b WHERE a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a))""")
+def _(spark, d):
+    part = _t(spark, d, "part")
+    a = part.select(c("p_name").alias("a")).distinct()
+    b = part.select(F.explode(F.split("p_name", " ")).alias("b")).union(part.select("p_type")).union(part.select(F.concat_ws(" ", "p_name", c("p_size").cast("string")))).distinct()
+    return J.match_by_containment(a, b, "a", "b").select("a", "b")
+
+
+@register("j9_first_containing", """WITH r AS (SELECT o_orderkey AS release_id, o_orderpriority || ' ' || o_orderstatus AS release_name, o_orderdate AS date FROM orders WHERE o_orderkey % 100 = 0),
+p AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'none' WHEN p_size % 3 = 1 THEN p_size % 5 + 1 || '-' ELSE 'Pack 1-URGENT O ' || p_size END AS name FROM part)
+SELECT p_partkey, name, arg_min(release_id, (date, release_id)) AS release_id FROM p LEFT JOIN r ON contains(name, release_name) OR contains(release_name, name) GROUP BY ALL""")
+def _(spark, d):
+    # every hundredth order stands for a release: an order that begins one
+    releases = _t(spark, d, "orders").where("o_orderkey % 100 = 0").select(c("o_orderkey").alias("release_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("release_name"), c("o_orderdate").alias("date"))
+    name = F.when(c("p_size") % 3 == 0, "none").when(c("p_size") % 3 == 1, F.concat((c("p_size") % 5 + 1).cast("string"), F.lit("-"))).otherwise(F.concat(F.lit("Pack 1-URGENT O "), c("p_size").cast("string")))
+    products = _t(spark, d, "part").select("p_partkey", name.alias("name"))
+    first = releases.withColumn("place", F.struct("date", "release_id"))
+    return J.first_containing(products, first, "name", "release_name", "p_partkey", "place").select("p_partkey", "name", "release_id")
+
+
 @register("p22_vector_signature", """WITH v AS (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64 AS m FROM embeddings)
 SELECT vec_id, list_transform(range(0, 64, 8), lambda k: list_sum(list_transform(range(1, 9), lambda i: CASE WHEN embedding[k + i]::DOUBLE > m THEN (1 << (8 - i)) ELSE 0 END))::INTEGER) AS bands FROM v""")
 def _(spark, d):
@@ -129,6 +157,18 @@ def _(spark, d):
     return J.nearest_hash(h.where("id % 100 = 0"), h, ["label"], 24, own=False)
 
 
+#: The bits of a hash that the query below keeps, so that near ones are there: every fourth.
+_KEPT = 0x1111111111111111
+
+
+@register("j11_nearest_within_11", """WITH h AS (SELECT vec_id AS id, label, list_transform(range(1, 65), lambda i: i % 4 = 0 AND embedding[i]::DOUBLE > list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64) AS b FROM embeddings),
+p AS (SELECT q.id AS id, r.id AS match, list_sum(list_transform(range(1, 65), lambda i: (q.b[i] <> r.b[i])::INTEGER))::INTEGER AS distance FROM h q, h r WHERE q.id % 100 = 0 AND r.id <> q.id AND q.label = r.label)
+SELECT id, arg_min(match, distance * 1000000 + match) AS match, min(distance) AS distance FROM p WHERE distance <= 11 GROUP BY id""")
+def _(spark, d):
+    h = hashes(spark, d).withColumn("hash", c("hash").bitwiseAND(F.lit(_KEPT)))
+    return J.nearest_hash(h.where("id % 100 = 0"), h, ["label"], 11, own=False)
+
+
 @register("j12_band_join", f"WITH {_H} SELECT id, match, distance FROM p WHERE band AND distance <= 20")
 def _(spark, d):
     h = hashes(spark, d)

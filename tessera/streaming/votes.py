@@ -18,17 +18,26 @@ MATCHES = "session long, ts timestamp, candidate long, distance int"
 WINNER = "session long, candidate long, votes long, score double"
 
 
-def match_stream(frames: DataFrame, index: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+#: Rows of the index that a byte has at a place in one tile.
+TILE = 1 << 14
+
+
+def match_stream(frames: DataFrame, index: DataFrame, max_distance: int = MAX_DISTANCE, tile: int = TILE) -> DataFrame:
     """Matches (session, ts, candidate, distance) of frames(session, ts, hash), static or streaming, with index(candidate, hash).
 
-    Both meet at equal bytes, each pair at its first one; the index is small beside the stream and static.
+    Both meet at equal bytes, each pair at its first one. The index is static: bytes that many of its rows share at a place are
+    cut in tiles, to all of which a frame goes, so that no task holds more of the index than a tile a byte.
     """
     banded = index.select("candidate", F.col("hash").alias("i_hash"), F.posexplode(hash_bands(F.col("hash"))).alias("place", "byte"))
-    met = frames.select("session", "ts", "hash", F.posexplode(hash_bands(F.col("hash"))).alias("place", "byte")).join(banded, ["place", "byte"])
+    # 2,048 rows at most
+    cuts = banded.groupBy("place", "byte").agg(F.ceil(F.count("*") / tile).cast("int").alias("__tiles"))
+    tiled = banded.join(F.broadcast(cuts), ["place", "byte"]).withColumn("__tile", F.pmod(F.xxhash64("candidate", "i_hash"), F.col("__tiles")).cast("int")).drop("__tiles")
+    asked = frames.select("session", "ts", "hash", F.posexplode(hash_bands(F.col("hash"))).alias("place", "byte"))
+    asked = asked.join(F.broadcast(cuts), ["place", "byte"]).select("session", "ts", "hash", "place", "byte", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"))
     differ = F.col("hash").bitwiseXOR(F.col("i_hash"))
-    first = F.array_position(hash_bands(differ), F.lit(0)) == F.col("place") + 1
-    near = met.where(first).select("session", "ts", "candidate", distance(F.col("hash"), F.col("i_hash")).alias("distance"))
-    return near.where(F.col("distance") <= max_distance)
+    met = asked.join(tiled, ["place", "byte", "__tile"])
+    near = met.where((F.bit_count(differ) <= max_distance) & (F.array_position(hash_bands(differ), F.lit(0)) == F.col("place") + 1))
+    return near.select("session", "ts", "candidate", distance(F.col("hash"), F.col("i_hash")).alias("distance"))
 
 
 def vote_batch(matches: DataFrame, window: str = "1 hour") -> DataFrame:
@@ -37,12 +46,23 @@ def vote_batch(matches: DataFrame, window: str = "1 hour") -> DataFrame:
     return vote(rows, ["session", "start"], "candidate", "distance")
 
 
-def vote_counts(matches: DataFrame, votes: int = VOTES) -> DataFrame:
-    """T2's batch twin: every full `votes` matches of a session, in order of time, give a winner, numbered by `block` from 0."""
-    order = Window.partitionBy("session").orderBy("ts", "candidate", "distance")
-    rows = matches.withColumn("block", F.floor((F.row_number().over(order) - 1) / votes))
-    full = rows.withColumn("__n", F.count("*").over(Window.partitionBy("session", "block"))).where(F.col("__n") == votes)
-    return vote(full, ["session", "block"], "candidate", "distance")
+def vote_counts(matches: DataFrame, votes: int = VOTES, reset_ms: int | None = None) -> DataFrame:
+    """T2's batch twin: every full `votes` matches of a session, in order of time, give a winner, numbered by `block` from 0.
+
+    With reset_ms, a match that comes more than that after the one before it begins a new run, and what the last run had is
+    dropped; then (session, run, block) name a vote.
+    """
+    order = ["ts", "candidate", "distance"]
+    by, rows = ["session"], matches
+    if reset_ms is not None:
+        w, at = Window.partitionBy("session").orderBy(*order), F.unix_micros(F.col("ts").cast("timestamp"))
+        idle = at - F.lag(at).over(w) > reset_ms * 1000
+        rows = rows.withColumn("__idle", F.coalesce(idle, F.lit(False)).cast("int"))
+        rows = rows.withColumn("run", F.sum("__idle").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__idle")
+        by = ["session", "run"]
+    rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / votes))
+    full = rows.withColumn("__n", F.count("*").over(Window.partitionBy(*by, "block"))).where(F.col("__n") == votes)
+    return vote(full, [*by, "block"], "candidate", "distance")
 
 
 def vote_windows(matches: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -54,7 +74,8 @@ def vote_windows(matches: DataFrame, window: str = "1 hour", late: str = "10 min
 
 
 class Votes(StatefulProcessor):
-    """Collects a session's matches until there are enough, gives the winner and begins anew; a timer drops what stays idle."""
+    """Collects a session's matches until there are enough, gives the winner and begins anew. A match that comes more than
+    reset_ms of event time after the one before it begins anew, too; a timer drops what the watermark has left behind so far."""
 
     def __init__(self, votes: int = VOTES, reset_ms: int | None = 1000):
         self.votes, self.reset_ms = votes, reset_ms
@@ -62,6 +83,7 @@ class Votes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getMapState("seen", "candidate long", "n long, total long")
+        self.last = handle.getValueState("last", "micros long")
 
     def _rows(self) -> dict[int, tuple[int, int]]:
         return {k[0]: (v[0], v[1]) for k, v in self.seen.iterator()} if self.seen.exists() else {}
@@ -69,38 +91,47 @@ class Votes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, out = self._rows(), []
         count = sum(n for n, _ in held.values())
-        for pdf in rows:
-            for candidate, d in pdf.sort_values(["ts", "candidate", "distance"])[["candidate", "distance"]].itertuples(index=False):
-                n, total = held.get(int(candidate), (0, 0))
-                held[int(candidate)] = (n + 1, total + int(d))
-                count += 1
-                if count >= self.votes:
-                    score, winner, n = min((t / n / n, c, n) for c, (n, t) in held.items())
-                    out.append((key[0], winner, n, score))
-                    held, count = {}, 0
+        last = self.last.get()[0] if self.last.exists() else None
+        batch = pd.concat(list(rows)).sort_values(["ts", "candidate", "distance"])
+        micros = (batch["ts"].astype("datetime64[us]").astype("int64")).tolist()
+        for at, candidate, d in zip(micros, batch["candidate"].tolist(), batch["distance"].tolist(), strict=True):
+            if self.reset_ms is not None and last is not None and at - last > self.reset_ms * 1000:
+                held, count = {}, 0
+            last = at if last is None else max(at, last)
+            n, total = held.get(int(candidate), (0, 0))
+            held[int(candidate)] = (n + 1, total + int(d))
+            count += 1
+            if count >= self.votes:
+                score, winner, n = min((t / n / n, c, n) for c, (n, t) in held.items())
+                out.append((key[0], winner, n, score))
+                held, count = {}, 0
         self.seen.clear()
         for candidate, (n, total) in held.items():
             self.seen.updateValue((candidate,), (n, total))
         if self.reset_ms is not None:
+            self.last.update((last,))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if held:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.reset_ms)
+            self.handle.registerTimer(last // 1000 + self.reset_ms + 1)
         yield pd.DataFrame(out, columns=["session", "candidate", "votes", "score"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
+        self.last.clear()
         yield pd.DataFrame(columns=["session", "candidate", "votes", "score"])
 
     def close(self) -> None:
         pass
 
 
-def vote_stream(matches: DataFrame, votes: int = VOTES, reset_ms: int | None = 1000) -> DataFrame:
+def vote_stream(matches: DataFrame, votes: int = VOTES, reset_ms: int | None = 1000, late: str = "10 seconds") -> DataFrame:
     """(session, candidate, votes, score) whenever a session has enough matches; needs the RocksDB state store.
 
-    A session that has been idle for reset_ms begins anew (None: it waits for ever, and no timers are kept).
+    A session that has been idle for more than reset_ms of event time begins anew (None: it waits for ever, and no timers are
+    kept). Matches more than `late` behind the newest are dropped; those that come in order of time give what vote_counts gives.
     """
+    if reset_ms is not None:
+        matches = matches.withWatermark("ts", late)
     return matches.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=Votes(votes, reset_ms), outputStructType=WINNER, outputMode="append", timeMode="none" if reset_ms is None else "processingTime"
+        statefulProcessor=Votes(votes, reset_ms), outputStructType=WINNER, outputMode="append", timeMode="none" if reset_ms is None else "eventTime"
     )

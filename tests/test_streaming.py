@@ -71,3 +71,24 @@ def test_band_join_misses_nothing_within_seven_bits(spark):
     every = {(a, b, bits(x, y)) for a, x in asked for b, y in index if bits(x, y) <= 16}
     assert len(got) == len(set(got)) and set(got) <= every
     assert {t for t in every if t[2] <= 7} <= set(got)
+
+
+def test_an_idle_session_begins_anew(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    rows = [(1, at(i), 1, i % 3) for i in range(7)] + [(1, at(40 + i), 2, 1) for i in range(12)] + [(2, at(5 * i), i % 2, i % 4) for i in range(30)] + [(9, at(300), 5, 5)]
+    rows.sort(key=lambda r: r[1])
+    for k in range(4):  # a file each time, in order of time
+        spark.createDataFrame(rows[k * 13 : k * 13 + 13] if k < 3 else rows[39:], V.MATCHES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(V.MATCHES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = V.vote_stream(stream, 10, 8000).writeStream.format("memory").queryName("anew").outputMode("append").trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(200), query.lastProgress
+    finally:
+        query.stop()
+    got = sorted((r.session, r.candidate, r.votes, round(r.score, 6)) for r in spark.table("anew").collect())
+    batch = V.vote_counts(spark.read.schema(V.MATCHES).parquet(f"{tmp_path}/in"), 10, 8000)
+    assert got == sorted((r.session, r.candidate, r.votes, round(r.score, 6)) for r in batch.collect())
+    # the 7 matches of session 1 before its pause aren't counted; with them, its votes would be full at the third after it
+    assert [r for r in got if r[0] == 1] == [(1, 2, 10, 0.1)] and len([r for r in got if r[0] == 2]) == 3
+    assert len(V.vote_counts(spark.read.schema(V.MATCHES).parquet(f"{tmp_path}/in"), 10).where("session = 1").collect()) == 1
