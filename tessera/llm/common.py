@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,11 +9,12 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import new_path
+
 #: Words are runs of characters other than these: 0x09-0x0D and 0x20.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,36 +27,22 @@ PIECE_BYTES = 1 << 18
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(2 << 20))}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local session that names none gets a temporary one; others must name it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def drop(path: str) -> None:
     """Delete a folder of the shared store, if it is there."""
-    store, root = fs.FileSystem.from_uri(path)
-    if store.get_file_info(root).type != fs.FileType.NotFound:
-        store.delete_dir(root)
+    spark = SparkSession.getActiveSession()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-_scratch: ContextVar[tuple[str, list[Broadcast]] | None] = ContextVar("scratch", default=None)
+_scratch: ContextVar[tuple[str, list[Broadcast], str | None] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialized and values that are shared inside go when it ends; what is returned from it has to be kept()."""
-    path, values = new_path(spark, "scratch"), []
-    token = _scratch.set((path, values))
+    """Tables that are materialized and values that are shared inside go when it ends; what is returned from it has to be kept().
+    Inside another one, what is kept goes with that."""
+    path, values, outer = new_path(spark, "scratch"), [], _scratch.get()
+    token = _scratch.set((path, values, outer and outer[0]))
     try:
         yield
     finally:
@@ -103,7 +89,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The same, to stay when the scratch tables go."""
-    return _written(df, new_path(df.sparkSession, name))
+    inside = _scratch.get()
+    return _written(df, f"{inside[2]}/{name}-{uuid.uuid4().hex}" if inside and inside[2] else new_path(df.sparkSession, name))
 
 
 def bounded(df: DataFrame, rows: int = 1 << 20) -> DataFrame:

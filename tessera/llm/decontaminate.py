@@ -7,6 +7,9 @@ matches and E errors (substitutions, gaps) and scores 2 M - E >= s. At most E /
 errors or more, and each other step is a pair of the item and a pair of the passage; these are M - 1 - floor(E / 2) >=
 ceil(s / 2) - 1 =: t. Diagonals (place in the document less place in the item) of one alignment differ by E <= 2 m - s at most.
 
+A copy has LEAST_WORDS matches at least, or all words of a shorter item: with the score that so many matches have, an item of
+fewer than 2 LEAST_WORDS words asks for more than half of the best score.
+
 1. One pass over all texts counts the pairs that are also in a test item.
 2. The pairs from m - 1 - t + k of an item's m - 1 places are its seeds, rarest first; as t places have a hit, k seeds do. Counts
    only order the places: with any other order the results would be the same.
@@ -26,8 +29,10 @@ from pyspark.sql.window import Window
 
 from .common import Words, bitmap, bitmap_slot, bounded, in_bitmap, joined, kept, lists, mapped, materialize, mix, pieces, rolling, scratch, shared, utf8
 
-#: Least words of an item, and bits of the bitmaps of pairs and of candidate documents.
-SEED, SEED_BITS, DOC_BITS = 3, 22, 22
+#: Least words of an item that is looked for inside texts; matched words of a copy at least.
+SEED, LEAST_WORDS = 3, 8
+#: Least and most bits of the bitmaps of pairs and of candidate documents; bits for each of these.
+LEAST_BITS, MOST_BITS, BITS_EACH = 22, 27, 16
 #: Seeds that a candidate has (k), where alignments are sure to hold as many.
 LEAST_SEEDS = 4
 #: Alignment scores, and the share of the best possible score from which a passage is a copy.
@@ -53,7 +58,8 @@ def _pairs(w: Words, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         place = np.flatnonzero(row[:-gap] == row[gap:])
         gram = mix(joined(w.hash[place], w.hash[place + gap]))
         if bits is not None:
-            keep = in_bitmap(bits, (gram >> np.uint64(64 - SEED_BITS)).astype(np.int64))
+            size = (32 * len(bits)).bit_length() - 1
+            keep = in_bitmap(bits, (gram >> np.uint64(64 - size)).astype(np.int64))
             gram, place = gram[keep], place[keep]
         grams.append(gram)
         places.append(place)
@@ -81,7 +87,7 @@ def _pair_rows(df: DataFrame, key: str, bits=None) -> DataFrame:
 
 
 def _whole_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """(key, whole): a hash of all words of each text of 1 to seed - 1 words."""
+    """(key, text_key, whole): a hash of all words of each text of 1 to seed - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -93,9 +99,10 @@ def _whole_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
                 rows = np.flatnonzero((size > 0) & (size < seed))
                 if len(rows):
                     whole = np.array([rolling(w.hash[w.row(r)], int(size[r]))[0] for r in rows.tolist()], np.uint64)
-                    yield pa.record_batch({key: batch.column(key).take(pa.array(rows + i)), "whole": pa.array(whole.view(np.int64))})
+                    own = pa.array(rows + i)
+                    yield pa.record_batch({key: batch.column(key).take(own), "text_key": batch.column("text_key").take(own), "whole": pa.array(whole.view(np.int64))})
 
-    return mapped(df.select(key, "text"), run, f"{key} long, whole long").distinct()
+    return mapped(df.select(key, "text_key", "text"), run, f"{key} long, text_key long, whole long").distinct()
 
 
 def _pair_counts(docs: DataFrame, bits) -> DataFrame:
@@ -136,7 +143,7 @@ def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def _seeds(pairs: DataFrame, counts: DataFrame, threshold: float, seed: int) -> DataFrame:
     """(gram, item_id, item_key, size, item_place, least, width): the pairs of each item that alignments are looked for by."""
     pairs = pairs.where(F.col("size") >= seed).join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    score = F.ceil(F.col("size") * F.lit(MATCH * threshold) - F.lit(1e-9))
+    score = F.greatest(F.ceil(F.col("size") * F.lit(MATCH * threshold) - F.lit(1e-9)), F.least(F.col("size"), F.lit(LEAST_WORDS)) * MATCH)
     sure = F.ceil(score / MATCH) - 1
     least = F.least(F.lit(LEAST_SEEDS), sure)
     mine = Window.partitionBy("item_id", "item_key").orderBy("cost", "place")
@@ -164,28 +171,40 @@ def _candidates(hits: DataFrame, seeds: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
     """(doc_id, item_id, n_seeds, score) of each document of docs(doc_id, text) with a copy of an item of benchmark(item_id, text).
 
-    score is the best alignment of any passage over the best possible one (0 to 1), at least `threshold` (0.5 or more); n_seeds are
-    the seeds of that passage. Inside a text, items of fewer than `seed` words can't be told from chance: they match (with 0 seeds)
+    score is the best alignment of any passage over the best possible one (0 to 1), at least `threshold` (0.5 or more), and at least
+    that of LEAST_WORDS matches, or of the whole item where it is shorter; n_seeds are the seeds of that passage. Inside a text, items of fewer than `seed` words can't be told from chance: they match (with 0 seeds)
     the texts that have just their words. Null and empty texts match nothing; rows without an id are left out. Repeated rows give one result. Very long texts are searched whole.
     """
     if threshold < THRESHOLD or seed < SEED:
         raise ValueError(f"below a score of {THRESHOLD} or {SEED} words an alignment may hold no seed")
     with scratch(docs.sparkSession):
-        return kept(_leaks(docs, benchmark, threshold, seed), "leaks")
+        found = _leaks(docs, benchmark, threshold, seed).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "n_seeds")).alias("b"))
+        return kept(found.select("doc_id", "item_id", F.col("b.n_seeds").alias("n_seeds"), F.col("b.score").alias("score")), "leaks")
+
+
+def _bits(n: int) -> int:
+    """Bits of a bitmap of n entries."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """(doc_id, text_key, item_id, n_seeds, score), one row for each passage that is a copy."""
     key = F.xxhash64("text").alias("text_key")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", key)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).select("*", key).distinct()
     spark = docs.sparkSession
     pairs = materialize(_pair_rows(items, "item_id").withColumnRenamed("text_key", "item_key"), "item-pairs")
-    slots_of = lambda df: shared(spark, bitmap(df.select(F.shiftrightunsigned("gram", 64 - SEED_BITS).alias("slot")), "slot", SEED_BITS))
+
+    def slots_of(df: DataFrame):
+        bits = _bits(df.count())
+        return shared(spark, bitmap(df.select(F.shiftrightunsigned("gram", 64 - bits).alias("slot")), "slot", bits))
+
     counts = _pair_counts(docs, slots_of(pairs)).join(bounded(pairs.select("gram").distinct()), "gram", "left_semi")
     seeds = materialize(_seeds(pairs, materialize(counts, "pair-counts"), threshold, seed), "seeds")
     found = materialize(_candidates(_pair_rows(docs, "doc_id", slots_of(seeds)), seeds), "candidates")
 
-    slots = shared(spark, bitmap(found.select(bitmap_slot(F.col("doc_id"), DOC_BITS).alias("slot")), "slot", DOC_BITS))
+    bits = _bits(found.count())
+    slots = shared(spark, bitmap(found.select(bitmap_slot(F.col("doc_id"), bits).alias("slot")), "slot", bits))
 
     def some(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -193,16 +212,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -
             if keep.any():
                 yield batch.filter(pa.array(keep)).select(["doc_id", "text_key", "text"])
 
-    texts = mapped(docs.withColumn("slot", bitmap_slot(F.col("doc_id"), DOC_BITS)), some, "doc_id long, text_key long, text string").distinct()
+    texts = mapped(docs.withColumn("slot", bitmap_slot(F.col("doc_id"), bits)), some, "doc_id long, text_key long, text string").distinct()
     spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "item_key", "from", "to", "seeds")).alias("spans"))
-    passages = texts.join(spans, ["doc_id", "text_key"]).select("doc_id", "text", "spans")
-    passages = mapped(passages, _passages, "doc_id long, item_id long, item_key long, seeds long, passage array<long>")
+    passages = texts.join(spans, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
+    passages = mapped(passages, _passages, "doc_id long, text_key long, item_id long, item_key long, seeds long, passage array<long>")
     rows = passages.join(bounded(items.select("item_id", F.col("text_key").alias("item_key"), "text"), 1 << 16), ["item_id", "item_key"])
-    scored = mapped(rows.select("doc_id", "item_id", "seeds", "passage", "text"), _scores, "doc_id long, item_id long, n_seeds long, score double")
-    short = _whole_rows(items, "item_id", seed).join(_whole_rows(docs, "doc_id", seed), "whole")
-    scored = scored.union(short.select("doc_id", "item_id", F.lit(0).cast("long"), F.lit(1.0)))
-    best = scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "n_seeds")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_seeds").alias("n_seeds"), F.col("b.score").alias("score"))
+    scored = mapped(rows.select("doc_id", "text_key", "item_id", "seeds", "passage", "text"), _scores, "doc_id long, text_key long, item_id long, n_seeds long, score double")
+    short = _whole_rows(items, "item_id", seed).drop("text_key").join(_whole_rows(docs, "doc_id", seed), "whole")
+    short = short.select("doc_id", "text_key", "item_id", F.lit(0).cast("long").alias("n_seeds"), F.lit(1.0).alias("score"))
+    return scored.where(F.col("score") >= threshold).unionByName(short)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]):
@@ -213,13 +231,14 @@ def _passages(batches: Iterator[pa.RecordBatch]):
         for i, j in pieces(at):
             lo = int(at[i])
             w = Words(_fold(data[lo : int(at[j])]), at[i : j + 1] - lo, fold=False)
-            out = {"doc_id": [], "item_id": [], "item_key": [], "seeds": []}
+            out = {"doc_id": [], "text_key": [], "item_id": [], "item_key": [], "seeds": []}
             parts = []
             for r in range(i, j):
                 h = w.hash[w.row(r - i)]
                 for span in spans[r].as_py():
                     parts.append(h[span["from"] : span["to"]])
-                    out["doc_id"].append(batch.column("doc_id")[r].as_py())
+                    for c in ("doc_id", "text_key"):
+                        out[c].append(batch.column(c)[r].as_py())
                     for c in ("item_id", "item_key", "seeds"):
                         out[c].append(span[c])
             if parts:
@@ -242,14 +261,19 @@ def _scores(batches: Iterator[pa.RecordBatch]):
             best[i:j] = smith_waterman(items[i:j], found[i:j])
             i = j
         size = np.array([max(1, len(x)) for x in items])
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "item_id": batch.column("item_id"), "n_seeds": batch.column("seeds"), "score": pa.array(best / (MATCH * size))})
+        own = {c: batch.column(c) for c in ("doc_id", "text_key", "item_id")}
+        found = pa.record_batch({**own, "n_seeds": batch.column("seeds"), "score": pa.array(best / (MATCH * size))})
+        yield found.filter(pa.array(best >= MATCH * np.minimum(size, LEAST_WORDS)))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that copy a benchmark item, whatever their doc_id; all columns stay, and repeated rows.
 
-    Rows are judged by a number that equal texts share, so that null and repeated ids neither hide nor condemn a text.
+    Rows are judged by two hashes of their text, 128 bits, so that null and repeated ids neither hide nor condemn a text.
     """
-    number = F.xxhash64(F.col("text").cast("string"))
-    leaks = find_leaks(docs.select(number.alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bounded(leaks), number == F.col("__leak"), "left_anti")
+    text = F.col("text").cast("string")
+    number, text_key = F.xxhash64(F.lit(1), text), F.xxhash64(text)
+    with scratch(docs.sparkSession):
+        leaks = _leaks(docs.select(number.alias("doc_id"), "text"), benchmark, threshold, SEED)
+        leaks = kept(leaks.select(F.col("doc_id").alias("__leak"), F.col("text_key").alias("__leak_key")).distinct(), "leaks")
+    return docs.join(bounded(leaks), (number == F.col("__leak")) & (text_key == F.col("__leak_key")), "left_anti")

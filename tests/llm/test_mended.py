@@ -115,3 +115,56 @@ def test_pipeline_stages_on_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         none = stage(spark, none, sf)
         assert none.count() == 0
+
+
+def test_mixing_tells_nulls_from_values(spark, sf):
+    import corpus_pipeline
+
+    text = "some words that stand here for a document of the corpus"
+    rows = [(None, text, "en", "1", 1), (1, text, "en", None, 1), (1, text, "en", "", 1), (11, text, "en", "a", 1), (1, text, "en", "1a", 1), (2, None, "en", "1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline._numbered(docs, "doc_id", "source", "text").select(corpus_pipeline.NUMBER).distinct().count() == 6
+    counts = Counter((r.doc_id, r.source, r.text) for r in corpus_pipeline.mixing(spark, docs, sf).collect())
+    assert max(counts.values()) <= 2 and counts[2, "1", None] == 1 and 6 <= sum(counts.values()) <= 10
+
+
+def test_short_items_leave_their_neighbours(spark):
+    texts = ["I wonder what is going on in this quiet town ...", "you know what the weather does", "And what is the matter?", "what is, the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ten = "one two three four five six seven eight nine ten".split()
+    more = spark.createDataFrame([(10, "so " + " ".join(ten[:8]) + " so"), (11, " ".join(ten[:7]) + " and so on"), (12, " ".join(ten))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "What is the?"), (2, " ".join(ten))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(docs.union(more), benchmark).collect()}
+    assert found == {(2, 1), (3, 1), (10, 2), (12, 2)}
+    assert {r.doc_id for r in drop_leaks(docs.union(more), benchmark).collect()} == {0, 1, 11}
+
+
+def test_token_output_on_odd_rows_and_a_long_text_through_all_stages(spark, sf):
+    import corpus_pipeline
+
+    some = spark.read.parquet(f"{sf}/documents.parquet")
+    long = " ".join(r.text for r in some.where("lang = 'en' and length(text) > 3000").orderBy("doc_id").limit(12).collect()) * 3
+    rows = [(None, "no id", "en", None, 1), (5_000_000, None, None, None, None), (5_000_001, "", "en", "s", 0), (5_000_001, "", "en", "s", 0), (5_000_002, long, "en", "src0", len(long))]
+    docs = some.union(spark.createDataFrame(rows, some.schema))
+    out = corpus_pipeline.token_output(spark, docs, sf).collect()
+    assert len(out) == docs.count()
+    assert sorted(r.n_tokens for r in out if r.doc_id in (5_000_000, 5_000_001)) == [1, 1, 1]
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        if name == "language_id":
+            assert kept.where("doc_id = 5000002").count() == 1
+    assert kept.where(f"length(text) = {len(long)}").count() <= 2
+
+
+def test_what_a_run_of_the_pipeline_leaves(spark, sf):
+    import os
+
+    import corpus_pipeline
+    from tessera.sources.shared import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
+    assert left == ["stage-token_output", "token-store"]
