@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import bounded, kept, materialize, new_path, scratch, table
+from tessera.llm.common import bounded, drop, kept, materialize, new_path, scratch, table
 from tessera.llm.decontaminate import drop_leaks
 from tessera.llm.language_id import UNDETERMINED, fit_languages, predict_languages
 from tessera.llm.mixing import mix_sources
@@ -28,8 +28,17 @@ NUMBER, ADDED = "__number", "__"
 
 
 def _numbered(docs: DataFrame, *columns: str) -> DataFrame:
-    """docs with a number that only rows with equal values in the columns share, whether they have a doc_id or not."""
-    return docs.withColumn(NUMBER, F.xxhash64(*[F.col(c).cast("string") for c in columns]))
+    """docs with a number that only rows with equal values in the columns share, null apart from every value, whether they have a
+    doc_id or not. Where rows that differ have one number by chance, all but one kind of them take a second one, so that rows are
+    told apart by 128 bits."""
+    parts = [x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())]
+    rows = docs.withColumns({NUMBER: F.xxhash64(*parts), "__second": F.xxhash64(F.lit(1), *parts)})
+    twice = rows.groupBy(NUMBER).agg(F.min("__second").alias("__lo"), F.max("__second").alias("__hi")).where("__lo <> __hi")
+    # of n different rows n^2 / 2^65 pairs meet, 270 of 10^11
+    twice = materialize(twice.select(F.col(NUMBER).alias("__twice"), "__lo"), "twice")
+    rows = rows.join(bounded(twice), F.col(NUMBER) == F.col("__twice"), "left")
+    number = F.when(F.col("__second") > F.col("__lo"), F.col("__second")).otherwise(F.col(NUMBER))
+    return rows.withColumn(NUMBER, number).select(*docs.columns, NUMBER)
 
 
 def _one_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -97,7 +106,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's table goes when the next one's is written, and all else that a stage wrote with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scratch(spark), scratch(spark):  # what a stage keeps, too, is only needed until its rows are written
+            made = stage(spark, docs, sf_dir)
+            made.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            drop(before)
+        before = path
     return docs
