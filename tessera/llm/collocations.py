@@ -148,8 +148,10 @@ def _phrases(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndar
     np.cumsum(length, out=at[1:])
     own = data[np.repeat(start - at[:-1], length) + np.arange(at[-1])]
     # nearly all stand in the text as they are to be; spaces in excess, and tabs, are cut out of the others
-    blank = np.concatenate([[0], np.cumsum((own == 32) | (own == 9))])
-    odd = np.flatnonzero((blank[at[1:]] - blank[at[:-1]] != size - 1) | (np.concatenate([[0], np.cumsum(own == 9)])[at[1:]] != np.concatenate([[0], np.cumsum(own == 9)])[at[:-1]]))
+    tabs = np.concatenate([[0], np.cumsum(own == 9)])
+    blanks = np.concatenate([[0], np.cumsum(own == 32)]) + tabs
+    within = lambda sums: sums[at[1:]] - sums[at[:-1]]
+    odd = np.flatnonzero((within(blanks) != size - 1) | (within(tabs) > 0))
     out = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(own)).cast(pa.string())
     if not len(odd):
         return out
@@ -256,7 +258,7 @@ def count_exactly(docs: DataFrame, left: DataFrame, parts: int, least: int, long
 
     found = mapped(docs.select("text", "lang", "lang_key"), count, "lang string, phrase string, size int, key long, f long")
     if not sent:
-        found = found.join(keys, "key", "left_semi").union(found.where("size = 0"))
+        found = found.join(keys, "key", "left_semi").unionByName(found.where("size = 0"))
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
