@@ -171,12 +171,47 @@ def rewrite_uri(c: Column, base: str, moves: Mapping[str, str]) -> Column:
     return F.regexp_replace(s, r"\.png$", ".webp")
 
 
+#: P19, fixed values: Latin letters of kana in the order of their code points from U+3041 on; "~" joins a small sign to the one
+#: before it, "^" doubles the next consonant.
+KANA = (
+    "~a a ~i i ~u u ~e e ~o o ka ga ki gi ku gu ke ge ko go sa za shi ji su zu se ze so zo ta da chi ji ^ tsu zu te de to do na ni nu ne no "
+    "ha ba pa hi bi pi fu bu pu he be pe ho bo po ma mi mu me mo ~ya ya ~yu yu ~yo yo ra ri ru re ro ~wa wa wi we wo n vu ka ke"
+).split()
+#: P19, fixed values: the parts of a Hangul syllable in Latin letters, in the order that its code point counts them.
+HANGUL_INITIALS = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
+HANGUL_VOWELS = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(" ")
+HANGUL_FINALS = "- g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j ch k t p h".replace("-", "").split(" ")
+_FIRST_KANA, _FIRST_HANGUL, _LAST_HANGUL = 0x3041, 0xAC00, 0xD7A3
+_HIRAGANA = "".join(chr(_FIRST_KANA + i) for i in range(len(KANA)))
+_KATAKANA = "".join(chr(ord(x) + 0x60) for x in _HIRAGANA)
+
+
+def transliterate(c: Column) -> Column:
+    """Kana and Hangul syllables in Latin letters, all else as it is. Long vowels count once, doubled consonants twice."""
+
+    def letter(x: Column) -> Column:
+        code = F.ascii(x)
+        at = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int") + 1)
+        syllable = code - _FIRST_HANGUL
+        hangul = F.concat(at(HANGUL_INITIALS, F.floor(syllable / 588)), at(HANGUL_VOWELS, F.floor(syllable % 588 / 28)), at(HANGUL_FINALS, syllable % 28))
+        kana = at(KANA, code - _FIRST_KANA)
+        return F.when(code.between(_FIRST_HANGUL, _LAST_HANGUL), hangul).when(code.between(_FIRST_KANA, _FIRST_KANA + len(KANA) - 1), kana).otherwise(x)
+
+    s = F.translate(F.translate(c, _KATAKANA, _HIRAGANA), "~^ー", "--")
+    s = F.array_join(F.transform(F.split(s, ""), letter), "")
+    s = F.regexp_replace(F.regexp_replace(s, "(sh|ch|j)i~y", "$1"), "i~y", "y")
+    s = F.regexp_replace(F.replace(F.regexp_replace(s, "[aeiou]~([aeiou])", "$1"), F.lit("~"), F.lit("")), r"\^ch", "tch")
+    return F.replace(F.regexp_replace(s, r"\^([b-df-hj-np-tv-z])", "$1$1"), F.lit("^"), F.lit(""))
+
+
 def slugify(c: Column) -> Column:
-    """The bracketed set code if there is one, else the name, with a version; Latin letters folded, all else hyphens."""
+    """The bracketed set code if there is one, else the name, with a version; Latin letters folded, kana and Hangul
+    transliterated, all else hyphens. Chinese characters, whose letters no rule of moderate size tells, are hyphens, too."""
     code = F.nullif(F.regexp_extract(c, r"\[([A-Za-z]+-?[0-9]+)\]", 1), F.lit(""))
     version = F.nullif(F.regexp_extract(c, r"(?i)\bv(?:er)?\.?\s*([0-9]+\.[0-9]+)", 1), F.lit(""))
     s = F.concat_ws(" ", F.coalesce(code, c), F.when(code.isNotNull() & version.isNotNull(), F.concat(F.lit("v"), version)))
     s = F.translate(F.lower(s), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    s = F.when(s.rlike("[\u3041-\u30fc\uac00-\ud7a3]"), transliterate(s)).otherwise(s)
     return F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.]+", "-"), r"^-+|-+$", "")
 
 

@@ -40,6 +40,23 @@ def _(spark, d):
     return IO.upsert(orders, keys.select("o_orderkey", status), "o_orderkey")
 
 
+@register("w2_upsert_buckets", """SELECT coalesce(o_orderkey, k) AS o_orderkey, CASE WHEN k IS NOT NULL AND k % 2 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, CASE WHEN k IS NOT NULL THEN 'new' END AS note
+FROM orders FULL JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 1000 = 0 UNION ALL SELECT o_orderkey + 10000000 FROM orders WHERE o_orderkey % 2000 = 0) ON o_orderkey = k""")
+def _(spark, d):
+    orders, path = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), _folder(spark)
+    IO.write_buckets(orders, path, "o_orderkey", 64)
+    keys = orders.where("o_orderkey % 1000 = 0").select("o_orderkey").union(orders.where("o_orderkey % 2000 = 0").select(c("o_orderkey") + 10000000))
+    IO.upsert_buckets(spark, path, keys.select("o_orderkey", F.when(c("o_orderkey") % 2 == 0, "X").alias("o_orderstatus"), F.lit("new").alias("note")), "o_orderkey", 64)
+    return IO.read_buckets(spark, path)
+
+
+@register("w4_bulk_all", "SELECT doc_id, lang, n_chars FROM documents")
+def _(spark, d):
+    path = _folder(spark)
+    IO.bulk_export(_t(spark, d, "documents").select("doc_id", "lang", "n_chars"), path, "lang")
+    return spark.read.schema("doc_id long, lang string, n_chars long").json(f"{path}/all")
+
+
 @register("w3_j8_to_documents", """SELECT c_custkey, string_agg(o_orderkey || ':' || coalesce(items, ''), ';' ORDER BY o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, string_agg(l_linenumber || '-' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY c_custkey""")
 def _(spark, d):
     items = _t(spark, d, "lineitem").select(c("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")

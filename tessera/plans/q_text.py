@@ -119,6 +119,12 @@ def _(spark, d):
     return _t(spark, d, "part").select("p_partkey", T.slugify(name).alias("slug"))
 
 
+@register("p19_transliterate", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'dejimon-' WHEN 1 THEN 'busutapakku-' WHEN 2 THEN 'dijimon-' ELSE 'shatchi-' END || p_size AS slug FROM part""")
+def _(spark, d):
+    name = F.when(c("p_size") % 4 == 0, "デジモン ").when(c("p_size") % 4 == 1, "ブースターパック ").when(c("p_size") % 4 == 2, "디지몬 ").otherwise("シャッチー ")
+    return _t(spark, d, "part").select("p_partkey", T.slugify(F.concat(name, c("p_size").cast("string"))).alias("slug"))
+
+
 @register("p20_p24_json", """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' AS document, sha1('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS fingerprint FROM customer""")
 def _(spark, d):
     row = F.struct("c_custkey", "c_mktsegment", F.lit(None).cast("string").alias("none"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .shared import written
+
 _CARD = (
     "card_id string, number string, language string, parallel_id int, name string, category string, level long, dp long, play_cost long, use_cost long, form string, attribute string, "
     "type string, rarity string, block_icon long, effect string, inherited_effect string, security_effect string, notes string, pack_type string, image struct<language:string,source:string,path:string>, "
@@ -47,6 +49,37 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, many: Sequence[str] = ()
     return joined.select(key, *[value(c).alias(c) for c in base.columns if c != key], *added)
 
 
+BUCKET = "__bucket"
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """A table in folders by a hash of its key, so that an upsert can rewrite some of them. Choose as many that one fits a task."""
+    _bucketed(df, key, buckets).repartition(buckets, BUCKET).write.partitionBy(BUCKET).parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The table under path, with the columns of all its buckets."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop(BUCKET)
+
+
+def upsert_buckets(spark: SparkSession, path: str, delta: DataFrame, key: str, buckets: int, many: Sequence[str] = ()) -> list[int]:
+    """Upsert delta into the table that write_buckets made under path. Only the buckets that delta's keys are in are read, joined
+    and overwritten; returns these, at most `buckets` numbers. What they will hold is written beside first, so that a job that is
+    lost leaves the table as it was, or some buckets done, and can be run again."""
+    delta = written(_bucketed(delta, key, buckets), "delta")
+    touched = sorted(r[0] for r in delta.select(BUCKET).distinct().collect())
+    if not touched:
+        return []
+    base = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    new = written(_bucketed(upsert(base, delta.drop(BUCKET), key, many), key, buckets), "upsert")
+    new.repartition(len(touched), BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return touched
+
+
 def bulk_export(df: DataFrame, path: str, by: str, format: str = "json", rows: int = 1_000_000) -> None:
     """All rows under path/all and, one folder per value, under path/by. Rows of one value go to as many tasks as the table has
     multiples of `rows`, by a hash of their columns, so that a frequent value isn't written by one task."""

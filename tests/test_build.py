@@ -93,3 +93,37 @@ def test_errata_of_dual_records(spark):
 def test_shared_folder(spark):
     assert qualified(spark, "/tmp/x/") == "file:///tmp/x" and qualified(spark, "hdfs://h/a/") == "hdfs://h/a"
     assert shared_folder(spark).startswith("file:///")
+
+
+def test_upsert_rewrites_only_the_buckets_it_touches(spark):
+    import os
+
+    path = new_path(spark, "table")
+    base = spark.range(10_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), F.array((F.col("id") % 3).cast("int")).alias("m"))
+    IO.write_buckets(base, path, "k", 64)
+    files = lambda: {f"{d}/{f}" for d, _, names in os.walk(path.removeprefix("file://")) for f in names if f.endswith(".parquet")}
+    before = files()
+    delta = spark.createDataFrame([(5, None, [9], "x"), (77, 100, None, "y"), (123_456, 1, [2], None)], "k long, v long, m array<int>, extra string")
+    touched = IO.upsert_buckets(spark, path, delta, "k", 64, ["m"])
+    assert 1 <= len(touched) <= 3
+    assert len(before & files()) == 64 - len(touched)
+    kept = {f for f in before & files()}
+    assert not any(f"__bucket={b}/" in f for f in kept for b in touched)
+    plain = IO.upsert(base, delta, "k", ["m"])
+    rows = lambda df: sorted(map(repr, df.select("k", "v", "m", "extra").collect()))
+    assert rows(IO.read_buckets(spark, path)) == rows(plain)
+    assert IO.upsert_buckets(spark, path, delta.where("false"), "k", 64) == []
+    assert IO.upsert_buckets(spark, path, delta, "k", 64, ["m"]) == touched  # again: nothing new
+    assert rows(IO.read_buckets(spark, path)) == rows(plain)
+
+
+def test_slugs_of_other_scripts(spark):
+    from tessera.functions.text import slugify, transliterate
+
+    names = {
+        "デジモン": "dejimon", "ブースターパック【BT-1】": "busutapakku-bt-1", "シャッチー": "shatchi", "ティラノモン": "tiranomon", "ヴァルキリモン": "varukirimon", "とっきゅう きょうと": "tokkyuu-kyouto", "あんい": "ani",
+        "디지몬 카드": "dijimon-kadeu", "한글 값": "hangeul-gabs", "Name É [BT-5] Ver.1.0": "bt-5-v1.0", "Plain Name": "plain-name", "宣传卡P": "p", "a~^b": "a-b", "ッ": "", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in [*names, None]], "s string")
+    assert {r.s: r.slug for r in df.select("s", slugify(F.col("s")).alias("slug")).collect()} == names | {None: ""}
+    assert df.select(transliterate(F.lit("ッ ~ー")).alias("x")).first().x.strip() == "-"
