@@ -137,8 +137,8 @@ class KernelClassifier:
         size = lambda m: np.sqrt(np.maximum(m.sum(axis=1), 1, dtype=np.float32))
         return (x @ marks.T.astype(np.float32)) / size(x)[:, None] / size(marks.astype(np.float32))[None, :]
 
-    def predict(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score (0 to 1), and whether it is strange to all languages, of each text."""
+    def predict(self, texts: list[str | None], batch: int = 256, judge: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score (0 to 1), and, where they are to be judged, whether it is strange to all languages, of each text."""
         names, scores, strange = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         x = np.zeros((min(batch, max(1, len(texts))), FEATURES), np.float32)
         for lo in range(0, len(texts), batch):
@@ -147,8 +147,8 @@ class KernelClassifier:
             for i, text in enumerate(texts[lo : lo + batch]):
                 c = code_points(text) if text else np.zeros(0, np.uint32)
                 if c.any():
-                    hits, total = features(c, x[i], self.known)
-                    strange[lo + i] = hits + GIVEN * self.clean < STRANGE * self.clean * (total + GIVEN)
+                    hits, total = features(c, x[i], self.known if judge else None)
+                    strange[lo + i] = judge and hits + GIVEN * self.clean < STRANGE * self.clean * (total + GIVEN)
                     rows.append(i)
             if rows and self.languages:
                 f = self._kernel(x[rows], self.landmarks) @ self.weights
@@ -183,26 +183,27 @@ def fit_languages(docs: DataFrame) -> KernelClassifier:
     return KernelClassifier.fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def predict_languages(docs: DataFrame, model: KernelClassifier, added: str = "", texts: bool = True) -> DataFrame:
-    """docs(doc_id, text, ...) with lang_pred, score and strange, whose names begin with `added`; only the text is looked at.
+def predict_languages(docs: DataFrame, model: KernelClassifier, added: str = "", texts: bool = True, judge: bool = True) -> DataFrame:
+    """docs(doc_id, text, ...) with lang_pred, score and, where `judge` is set, strange, whose names begin with `added`; only the text
+    is looked at.
 
     All columns stay, in order, but for those of the same names, and the text where `texts` is false. A null text, or one without
     a letter, is `und` with score 0 and strange; a text of any length is read whole. Where nothing could be learned, every text
     is `und`.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [added + c for c in ("lang_pred", "score", "strange")]
+    names = [added + c for c in ("lang_pred", "score", "strange")[: 3 if judge else 2]]
     stay = [c for c in docs.columns if c not in names and (texts or c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, len(whole), 256)):
-            found = sent.value.predict(batch.column("text").to_pylist())
+            found = sent.value.predict(batch.column("text").to_pylist(), judge=judge)
             kinds = (pa.string(), pa.float64(), pa.bool_())
-            yield pa.record_batch({**{c: batch.column(c) for c in stay}, **{c: pa.array(v, k) for c, v, k in zip(names, found, kinds, strict=True)}})
+            yield pa.record_batch({**{c: batch.column(c) for c in stay}, **{c: pa.array(v, k) for c, v, k in zip(names, found, kinds)}})
 
     docs = docs.select(*stay, *([] if texts else ["text"]))
     fields = [f for f in docs.schema.fields if f.name in stay]
-    fields += [T.StructField(c, t()) for c, t in zip(names, (T.StringType, T.DoubleType, T.BooleanType), strict=True)]
+    fields += [T.StructField(c, t()) for c, t in zip(names, (T.StringType, T.DoubleType, T.BooleanType))]
     return mapped(docs, run, T.StructType(fields))
 
 
@@ -211,4 +212,4 @@ def identify(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit_languages(docs)
     rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return predict_languages(rows, model, texts=False).select("doc_id", "held_out", "lang_pred", "score")
+    return predict_languages(rows, model, texts=False, judge=False).select("doc_id", "held_out", "lang_pred", "score")
