@@ -45,12 +45,26 @@ class Counter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), round(score * SCALE), len(piece.encode()) if k == unknown_id else 0))
         self.automaton.make_automaton()
-        self.named = len(pieces[unknown_id][0].encode())
+        self.name = pieces[unknown_id][0]
+        self.named = len(self.name.encode())
+        self.alphabet = {piece for piece, _ in pieces if len(piece) == 1 and piece != self.name}
         self.unknown = min(round(score * SCALE) for _, score in pieces) - UNKNOWN_PENALTY * SCALE
         self.counts: dict[str, int] = {}
         self.scores: dict[str, int] = {}
 
+    def known(self, word: str) -> tuple[int, int]:
+        """viterbi of a word all of whose characters are pieces, and that has no unknown piece's name: nothing in it is unknown."""
+        best, count, done = [0] * (len(word) + 1), [0] * (len(word) + 1), 0
+        for last, (size, score, _) in self.automaton.iter(word):  # by end, and from the longest to the shortest
+            start, end = last + 1 - size, last + 1
+            total = best[start] + score
+            if end > done or total > best[end]:
+                best[end], count[end], done = total, count[start] + 1, end
+        return best[-1], count[-1]
+
     def viterbi(self, word: str) -> tuple[int, int]:
+        if self.alphabet.issuperset(word) and (not self.name or self.name not in word):
+            return self.known(word)
         n = len(word)
         best, count = [0] * (n + 1), [0] * (n + 1)
         lone, run = [False] * (n + 1), [False] * (n + 1)  # what ends here is the unknown piece's own name alone, or unknown
