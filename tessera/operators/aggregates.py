@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,7 +128,7 @@ def default_rows(df: DataFrame, language: str = "en") -> DataFrame:
     return df.unionByName(copy)
 
 
-def learn_translations(tokens: DataFrame, groups: DataFrame, seeds: DataFrame) -> DataFrame:
+def learn_translations(tokens: DataFrame, groups: DataFrame, seeds: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Kinds of English tokens, learned from the Japanese token at the same place.
 
     tokens(group, language, field, index, text, kind), groups(group, rank) with a rank of first appearance from 0, and
@@ -136,9 +136,10 @@ def learn_translations(tokens: DataFrame, groups: DataFrame, seeds: DataFrame) -
     (field, index) if it is a timing or precondition. The first group that teaches a text wins, and a text is known from that
     group on. Returns tokens with `learned`.
 
-    A known text is never learned again, so that the first teaching, by (rank, place), is all that counts.
+    A known text is never learned again, so that the first teaching, by (rank, place), is all that counts. keep may write the
+    tokens with their ranks, which are read three times, and return them as read.
     """
-    placed = tokens.join(groups, "group")
+    placed = keep(tokens.join(groups, "group"))
     unknown = placed.where("language = 'en' and kind is null")
     japanese = placed.where("language = 'ja'").groupBy("group", "field", "index").agg(F.max_by("kind", "text").alias("ja_kind"))
     taught = unknown.join(japanese, ["group", "field", "index"]).where(F.col("ja_kind").isin("timing", "precondition"))

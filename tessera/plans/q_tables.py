@@ -8,6 +8,7 @@ from tessera.functions.hashing import hash_bands, vector_signature
 from tessera.operators import aggregates as A
 from tessera.operators import joins as J
 from tessera.operators import search as S
+from tessera.sources.shared import written
 
 from .registry import register
 
@@ -281,9 +282,9 @@ def _(spark, d):
     rows = _t(spark, d, "documents").select("doc_id", c("source").alias("group"), F.when(c("doc_id") % 2 == 0, "ja").otherwise("en").alias("language"), F.floor(c("doc_id") / 40).cast("string").alias("field"), F.posexplode(words).alias("index", "text"))
     kind = F.element_at(F.array(F.lit("timing"), F.lit("precondition"), F.lit("mention")), F.length("text") % 3 + 1)
     tokens = rows.withColumn("kind", F.when(c("language") == "ja", kind))
-    rank = tokens.select("group").distinct().withColumn("rank", c("group"))
+    rank = _t(spark, d, "documents").select(c("source").alias("group")).distinct().withColumn("rank", c("group"))
     seeds = spark.createDataFrame([("The", "timing")], "text string, kind string")
-    return A.learn_translations(tokens, rank, seeds).select("doc_id", "index", "learned")
+    return A.learn_translations(tokens, rank, seeds, lambda df: written(df, "placed")).select("doc_id", "index", "learned")
 
 
 @register("n7_sections", "SELECT conv_id, turn, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS section FROM conversations")
