@@ -131,7 +131,9 @@ def mix_sources(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float
 
     size: words of the text, 0 for a null one. taken: copies of the document times its size, with at most `most` copies when
     that is a whole number. A null source is a source of its own; documents of size 0 are taken 0 words. Rows that agree in
-    doc_id, source and size are interchangeable; they are numbered, and each is rounded on its own. An empty table gives no rows.
+    doc_id, source and size are interchangeable; they are numbered, and each is rounded on its own. Sources of equal ratio of cap and weight are settled in
+    order of code points, null last. A text of any length is counted whole and copied whole. Other columns are ignored. An empty
+    table gives no rows.
     """
     with scratch(docs.sparkSession):
         return kept(_mix(docs, weights, share, most), "mixed")

@@ -246,7 +246,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     Words are lower-cased in A-Z only. component_id: smallest doc_id reachable by links of Jaccard >= percent / 100, its own
     where it has none. A null or wordless text has 0 shingles and no links; a null doc_id gets its shingle count and, where
     the set also belongs to a named document, that one's component (else null). Repeated rows stay repeated. Other columns
-    are ignored.
+    are ignored. A text of any length is one set, whole; a task needs memory for the longest. An empty table gives no rows.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent is from 50 to 100")

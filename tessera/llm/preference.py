@@ -35,6 +35,7 @@ def format_preferences(turns: DataFrame, pairs: DataFrame, trained: str = "assis
     are, null equal to null. A mask lists the spans "from-to" of characters to train on: the texts of `trained` turns with
     their end mark. Equal conversations have empty completions; a null or unknown id has no turns. A pair without a rejected
     side (null id) has no common turns. Turns with a null conv_id belong to no conversation. Repeated pairs stay repeated.
+    Turns of any length are rendered whole; other columns are ignored; without pairs there are no rows.
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     whole = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))

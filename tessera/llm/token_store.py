@@ -116,7 +116,11 @@ def top_hash(tree: DataFrame) -> str | None:
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Encode docs(doc_id, text) into a store under path. Ties in doc_id stand in order of their contents; null ids come first."""
+    """Encode docs(doc_id, text) into a store under path. Ties in doc_id stand in order of their contents; null ids come first.
+
+    A null or empty text is the end id alone. Texts of any length are encoded whole, a bounded piece at a time. Repeated rows are
+    documents of their own, which share chunks. Other columns are ignored; an empty table gives a store without documents.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scratch(docs.sparkSession):
         _write(docs, path, tokenizer, end_id)

@@ -151,6 +151,16 @@ def test_flac_round_trip_and_damage():
             flac.decode([bytes(broken)])
 
 
+def test_flac_streams_tell_their_own_bytes(monkeypatch):
+    payloads = [flac.payload_of(p) for p in (b"plain words " * 1000, bytes(range(256)) * 30)]
+    before = flac.encode(payloads)
+    monkeypatch.setattr(flac, "FREQUENT", b"zyx wv")
+    monkeypatch.setattr(flac, "_SAMPLE", flac._tables(b"zyx wv")[0])
+    after = flac.encode(payloads)
+    assert before != after and [read for read, _ in flac.decode(before + after)] == payloads * 2
+    assert flac.read_samples(before[0], 5000, 300) == flac.read_samples(after[0], 5000, 300) == payloads[0][5000:5300]
+
+
 def test_flac_odd_rows(spark, odd, none):
     rows = flac.media_features(flac.encode_column(odd)).collect()
     assert len(rows) == 9 and {r.payload_bytes for r in rows if r.doc_id in (1, 2)} == {64}
@@ -160,7 +170,7 @@ def test_flac_odd_rows(spark, odd, none):
 
 
 def test_flac_query_stores_streams_and_blocks(spark, odd, sf, tmp_path, monkeypatch):
-    monkeypatch.setattr("tessera.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr("tessera.sources.shared.shared_folder", lambda spark: f"file://{tmp_path}")
     rows = queries.op3_flac(spark, sf).collect()
     (streams,) = tmp_path.glob("flac-streams-*")
     media = {r.doc_id: r.media for r in spark.read.parquet(str(streams)).collect()}
