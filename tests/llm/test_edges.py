@@ -213,6 +213,36 @@ def test_language_odd_rows(spark, odd, none):
     assert language_id.identify(unlabelled.selectExpr("doc_id", "text", "cast(null as string) as lang")).first().lang_pred == "und"
 
 
+def test_language_scores_are_brute_force_kernels(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit_languages(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + ["Ünder  den Linden, 1 2!", "a", None, "..."]
+
+    def present(text):
+        out = set()
+        letters = [(ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0 for c in text]
+        folded = [c for k, c in enumerate(letters) if c or not k or letters[k - 1]]
+        for n in range(1, language_id.LONGEST + 1):
+            for i in range(len(folded) - n + 1):
+                h = 0
+                for k in range(n):  # the hash takes one more letter at each length
+                    h = (h + folded[i + k] + k + 1) * 0x9E3779B1 & 0xFFFFFFFF
+                g = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+                out.add(g >> 32 - language_id.FEATURES.bit_length() + 1)
+        return out
+
+    marks = [set(np.flatnonzero(m).tolist()) for m in model.landmarks]
+    names, scores, _ = model.predict(texts)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (name, score) == (language_id.UNDETERMINED, 0)
+            continue
+        own = present(text)
+        kernel = np.array([len(own & m) / (max(1, len(own)) ** 0.5 * max(1, len(m)) ** 0.5) for m in marks])
+        out = kernel @ model.weights
+        assert name == model.languages[int(out.argmax())] and score == pytest.approx(min(1, max(0, (out.max() + 1) / 2)), abs=1e-4)
+
+
 def test_language_stage_drops_foreign_scripts_and_junk(spark, sf):
     import corpus_pipeline
 
