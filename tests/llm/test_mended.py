@@ -168,3 +168,24 @@ def test_what_a_run_of_the_pipeline_leaves(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
     assert left == ["stage-token_output", "token-store"]
+
+
+def test_pivotal_rounding_is_exact_and_fair():
+    import itertools
+
+    import numpy as np
+
+    size, p = np.array([3.0, 5.0, 2.0]), np.array([0.3, 0.6, 0.55])
+    grid = (np.arange(24) + 0.5) / 24
+    ends = []
+    for luck in itertools.product(grid, repeat=2):
+        out, hand = mixing._pair(size, p, np.array([0.5, *luck]))
+        assert abs((out * size).sum() - (p * size).sum()) < 1e-9  # every pair only moves mass
+        assert sum(0 < x < 1 for x in out) <= 1 and (hand < 0 or 0 < out[hand] < 1)
+        assert ((out >= 0) & (out <= 1)).all()
+        ends.append(out)
+    assert np.abs(np.mean(ends, axis=0) - p).max() < 0.03  # over all luck a document keeps its probability
+    settled = [mixing._settle(size, p, np.array(luck)) for luck in itertools.product(grid, repeat=3)]
+    assert all(set(out.tolist()) <= {0.0, 1.0} for out in settled)
+    assert max(abs((out * size).sum() - (p * size).sum()) for out in settled) <= size.max()
+    assert np.abs(np.mean(settled, axis=0)[1] - p[1]) < 0.03  # the largest is rounded by its own probability
