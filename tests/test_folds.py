@@ -62,3 +62,12 @@ def test_empty_tables(spark):
     assert A.last_per_key(none, ["k"], ["o"]).count() == 0
     assert A.most_common(none, ["k"], "v").count() == 0
     assert A.number_variants(none.withColumn("own", F.lit(None).cast("int")), ["k"], ["o"], "own").count() == 0
+
+
+def test_orders_are_those_of_the_rows(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").repartition(5)
+    rows = orders.collect()
+    assert [tuple(r) for r in A.order_desc(orders, "o_custkey", "o_orderkey").collect()] == sorted(map(tuple, rows), key=lambda r: (-r[1], r[0]))
+    assert [r.o_orderkey for r in A.order_by_id(orders, "o_orderkey").collect()] == sorted(r.o_orderkey for r in rows)
+    latest = A.latest_per_language(orders.selectExpr("o_custkey % 7 as language", "o_custkey as date", "o_orderkey as release_id")).collect()
+    assert [r.latest for r in latest] == sorted((r.latest for r in latest), reverse=True)
