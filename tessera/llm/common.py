@@ -29,7 +29,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spa
 
 def drop(path: str) -> None:
     """Delete a folder of the shared store, if it is there."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
