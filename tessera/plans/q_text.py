@@ -142,7 +142,7 @@ m AS (SELECT doc_id, 3 AS k, 'this ' AS marker, substr(t3, i3) AS tail FROM e WH
 w AS (SELECT *, regexp_extract_all(tail, '([a-z]+tion)(?:[^a-zA-Z0-9_]|$)', 1) AS l FROM m)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) - 1 AS index, marker, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS values FROM w""")
 def _(spark, d):
-    rows = T.split_markers(c("text"), ["with ", "than ", "this "], r"([a-z]+tion)\b")
+    rows = T.split_markers(c("text"), ["with ", "than ", "this "], rf"([a-z]+tion){T.WORD_END}")
     return _t(spark, d, "documents").select("doc_id", F.posexplode(rows).alias("index", "x")).select("doc_id", "index", "x.marker", F.array_join("x.values", ",").alias("values"))
 
 
