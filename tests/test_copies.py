@@ -35,3 +35,11 @@ def test_first_containing(spark, most_rows):
     releases = spark.range(800).select(F.col("id").alias("rid"), F.lit("One").alias("rname"), (-F.col("id")).alias("place"))
     rows, most = most_rows(J.first_containing(products, releases, "name", "rname", "id", "place"))
     assert len(rows) == 900 and {r.rid for r in rows} == {799} and most <= 2000
+
+
+def test_match_products(spark, most_rows):
+    a = spark.range(900).select(F.col("id").alias("a_id"), F.when(F.col("id") < 890, "k").alias("a_k"))
+    b = spark.range(800).select(F.col("id").alias("b_id"), F.when(F.col("id") < 700, "k").when(F.col("id") < 790, "other").alias("b_k"), F.when(F.col("id") > 5, F.col("id") < 300).alias("p"))
+    rows, most = most_rows(J.match_products(a, b, F.col("a_k"), F.col("b_k"), F.col("p"), "a_id", "b_id"))
+    assert sorted((r.a_id is None, r.a_id, r.b_id) for r in rows if r.a_id is not None) == [(False, i, 299 if i < 890 else None) for i in range(900)]
+    assert sorted(r.b_id for r in rows if r.a_id is None) == list(range(700, 800)) and most <= 2000
