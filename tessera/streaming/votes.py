@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from tessera.functions.hashing import distance, hash_bands
 from tessera.operators.aggregates import vote
+from tessera.operators.places import spread
+from tessera.sources.shared import written
 
 VOTES, MAX_DISTANCE = 60, 16
 MATCHES = "session long, ts timestamp, candidate long, distance int"
@@ -35,15 +37,17 @@ def match_stream(frames: DataFrame, index: DataFrame, max_distance: int = MAX_DI
     asked = frames.select("session", "ts", "hash", F.posexplode(hash_bands(F.col("hash"))).alias("place", "byte"))
     asked = asked.join(F.broadcast(cuts), ["place", "byte"]).select("session", "ts", "hash", "place", "byte", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"))
     differ = F.col("hash").bitwiseXOR(F.col("i_hash"))
-    met = asked.join(tiled, ["place", "byte", "__tile"])
+    # frames pass by the index and aren't sorted
+    met = asked.join(tiled.hint("shuffle_hash"), ["place", "byte", "__tile"])
     near = met.where((F.bit_count(differ) <= max_distance) & (F.array_position(hash_bands(differ), F.lit(0)) == F.col("place") + 1))
     return near.select("session", "ts", "candidate", distance(F.col("hash"), F.col("i_hash")).alias("distance"))
 
 
 def vote_batch(matches: DataFrame, window: str = "1 hour") -> DataFrame:
     """The batch twin: one vote per session and tumbling window of event time."""
-    rows = matches.select("session", F.window("ts", window)["start"].alias("start"), "candidate", "distance")
-    return vote(rows, ["session", "start"], "candidate", "distance")
+    held = written(matches, "matches")
+    rows = held.select("session", F.window("ts", window)["start"].alias("start"), "candidate", "distance")
+    return vote(spread(rows, ["session", "start"], held.count()), ["session", "start"], "candidate", "distance")
 
 
 def vote_counts(matches: DataFrame, votes: int = VOTES, reset_ms: int | None = None) -> DataFrame:
@@ -52,17 +56,20 @@ def vote_counts(matches: DataFrame, votes: int = VOTES, reset_ms: int | None = N
     With reset_ms, a match that comes more than that after the one before it begins a new run, and what the last run had is
     dropped; then (session, run, block) name a vote.
     """
-    order = ["ts", "candidate", "distance"]
-    by, rows = ["session"], matches
+    held = written(matches, "matches")
+    w = Window.partitionBy("session").orderBy("ts", "candidate", "distance")
+    # all windows have one order, and all groups are in their session's part: rows are shuffled and sorted once
+    by, rows = ["session"], spread(held, ["session"], held.count()).withColumn("__place", F.row_number().over(w))
+    start = F.lit(1)
     if reset_ms is not None:
-        w, at = Window.partitionBy("session").orderBy(*order), F.unix_micros(F.col("ts").cast("timestamp"))
-        idle = at - F.lag(at).over(w) > reset_ms * 1000
-        rows = rows.withColumn("__idle", F.coalesce(idle, F.lit(False)).cast("int"))
-        rows = rows.withColumn("run", F.sum("__idle").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__idle")
-        by = ["session", "run"]
-    rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / votes))
-    full = rows.withColumn("__n", F.count("*").over(Window.partitionBy(*by, "block"))).where(F.col("__n") == votes)
-    return vote(full, [*by, "block"], "candidate", "distance")
+        by, at, before = ["session", "run"], F.unix_micros(F.col("ts").cast("timestamp")), w.rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("__idle", F.coalesce(at - F.lag(at).over(w) > reset_ms * 1000, F.lit(False)))
+        rows = rows.withColumns({"run": F.sum(F.col("__idle").cast("int")).over(before), "__start": F.max(F.when(F.col("__idle"), F.col("__place"))).over(before)})
+        start = F.coalesce("__start", F.lit(1))
+    rows = rows.withColumn("block", F.floor((F.col("__place") - start) / votes))
+    scores = rows.groupBy(*by, "block", "candidate").agg((F.avg("distance") / F.count("*")).alias("score"), F.count("*").alias("votes"))
+    won = scores.groupBy(*by, "block").agg(F.sum("votes").alias("__n"), F.min(F.struct("score", "candidate", "votes")).alias("w"))
+    return won.where(F.col("__n") == votes).select(*by, "block", "w.*")
 
 
 def vote_windows(matches: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import aggregates as A
 from tessera.operators import joins as J
+from tessera.operators import places as P
+from tessera.streaming import votes as V
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +46,25 @@ def test_match_products(spark, most_rows):
     rows, most = most_rows(J.match_products(a, b, F.col("a_k"), F.col("b_k"), F.col("p"), "a_id", "b_id"))
     assert sorted((r.a_id is None, r.a_id, r.b_id) for r in rows if r.a_id is not None) == [(False, i, 299 if i < 890 else None) for i in range(900)]
     assert sorted(r.b_id for r in rows if r.a_id is None) == list(range(700, 800)) and most <= 2000
+
+
+def _parts_of(df):
+    """Numbers of rows of the parts that a task each reads."""
+    return [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+
+
+def test_rows_of_tasks_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_ROWS", 100)
+    df = spark.range(20000).select("id", F.lit("x").alias("v"))
+    assert max(_parts_of(P.spread(df, ["id"], 20000))) < 200
+
+
+def test_votes_sort_once_and_tokens_never(spark):
+    matches = spark.range(600).select((F.col("id") % 5).alias("session"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 3).alias("candidate"), F.lit(1).alias("distance"))
+    plan = V.vote_counts(matches, 3, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    tokens = spark.createDataFrame([("g", "en", "f", 0, "a", None), ("g", "ja", "f", 0, "b", "timing")], "group string, language string, field string, index int, text string, kind string")
+    seeds = spark.createDataFrame([("The", "timing")], "text string, kind string")
+    rows = A.learn_translations(tokens, spark.createDataFrame([("g", "0")], "group string, rank string"), seeds)
+    assert {r.text: r.learned for r in rows.collect()} == {"a": "timing", "b": None}
+    assert "ShuffledHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
