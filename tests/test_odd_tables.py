@@ -45,3 +45,9 @@ def test_records_with_cut_references_and_other_blanks(spark, equal):
     df = spark.createDataFrame(pages, "page_id long, html string").withColumn("url", F.lit(""))
     rows = {(r[0], r[1]): r[3] for r in equal(spark, "w8_extract_records", pages=df)}
     assert rows[0, "title"] == "a & b&amp" and rows[1, "link"] == "AT&T & &notit; &quotx;" and rows[2, "link"] == "1 &lt 2 > 1"
+
+
+def test_odd_texts_are_normalised_as_sql_does(spark, equal):
+    texts = ["a 　b", "a\tb \t c  d", "x 」 . y\n ］ z \n.", "（a) 　（b (", "［a] [b", " . 」", "１Ｘ＋：＆！’，　", "-", "  ", "", "、 ", "a .", None, "plain words. Here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert len(equal(spark, "p1_normalize_text", documents=docs)) == len(texts)
