@@ -68,3 +68,19 @@ def test_votes_sort_once_and_tokens_never(spark):
     rows = A.learn_translations(tokens, spark.createDataFrame([("g", "0")], "group string, rank string"), seeds)
     assert {r.text: r.learned for r in rows.collect()} == {"a": "timing", "b": None}
     assert "ShuffledHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_hashes_are_not_sorted_pair_by_pair(spark, most_rows):
+    b = spark.range(400).select("id", (F.col("id") % 256).alias("hash"), F.lit(1).alias("block"))
+    rows = J.nearest_hash(b, b, ["block"], 11, own=False)
+    assert sum(r.distance for r in rows.collect()) == 112  # 256 to 399 copy 0 to 143; the others are 1 bit away
+    # after the join that makes pairs, hash aggregation is the first step
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "ShuffledHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_row_passes_over_its_id_under_another_hash(spark):
+    a = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "id long, hash long, block int")
+    b = spark.createDataFrame([(1, 1, 1), (5, 1, 1), (7, 3, 1)], "id long, hash long, block int")
+    for most in (11, 14):
+        assert sorted(map(tuple, J.nearest_hash(a, b, ["block"], most, own=False).collect())) == [(1, 5, 1), (2, 1, 1)]
