@@ -1,4 +1,4 @@
-"""Decks as compact strings, decoded and encoded as columns: byte arrays are folded with `aggregate`, no Python per row.
+"""Decks as compact strings, decoded and encoded as columns: the cards of an Arrow batch are read and written side by side.
 
 Format (fixed values): prefix DCG, then URL-safe base64 of
   version << 4 | eggs, checksum, name length, [side cards from version 2], card sets, name.
@@ -11,6 +11,11 @@ of the sum of the bytes between header and name.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +23,18 @@ PREFIX, VERSION = "DCG", 5
 LANGUAGES = ("ja", "en", "zh-Hans", "ko")
 BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_STATE = "struct<mode:int,set:string,padding:int,left:bigint,count:int,variant:int,value:bigint,shift:int,last:bigint,cards:array<struct<number:string,count:int,parallel_id:int>>>"
+_CARDS = "array<struct<number:string,count:int,parallel_id:int>>"
 _SET, _PAD, _SET_COUNT, _CARD, _OFFSET, _REST = range(6)
+#: Bits that the groups of a number may reach; beyond, a code isn't whole.
+_MOST_BITS = 56
 
 
 def _bytes(code: Column) -> Column:
-    """Array of byte values after the prefix; null where it isn't base64."""
+    """The bytes after the prefix; null where it isn't base64."""
     body = F.translate(F.substring(code, len(PREFIX) + 1, 1 << 20), "-_", "+/")
     padded = F.concat(body, F.repeat(F.lit("="), (F.lit(4) - F.length(body) % 4) % 4))
-    hexed = F.hex(F.call_function("try_to_binary", padded, F.lit("base64")))
-    return F.when(F.length(hexed) > 0, F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.conv(F.substr(hexed, i, F.lit(2)), 16, 10).cast("int")))
+    data = F.call_function("try_to_binary", padded, F.lit("base64"))
+    return F.when(F.length(data) > 0, data)
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -35,55 +42,133 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _put(s: Column, **new) -> Column:
-    names = ("mode", "set", "padding", "left", "count", "variant", "value", "shift", "last", "cards")
-    return F.struct(*[(new[n] if isinstance(new[n], Column) else F.lit(new[n])).alias(n) if n in new else s[n].alias(n) for n in names])
-
-
-def _step(version: Column):
-    def done(s: Column, value: Column, **new) -> Column:
-        """A card is complete."""
-        last = s["last"] + value
-        digits = last.cast("string")
-        number = F.concat(s["set"], F.lit("-"), F.when(F.length(digits) < s["padding"], F.lpad(digits, s["padding"], F.lit("0"))).otherwise(digits))
-        card = F.struct(number.alias("number"), (new.get("count", s["count"])).alias("count"), (new.get("variant", s["variant"])).alias("parallel_id"))
-        over = s["left"] <= 1
-        return _put(s, mode=F.when(over, _SET).otherwise(_CARD), set=F.when(over, F.lit("")).otherwise(s["set"]), left=s["left"] - 1, last=last, cards=F.concat(s["cards"], F.array(card)))
-
-    def number(b: Column, bits: int) -> Column:
-        return b.bitwiseAND((1 << (bits - 1)) - 1).cast("long")
-
-    def carry(b: Column, bits: int) -> Column:
-        return b.bitwiseAND(1 << (bits - 1)) != 0
-
-    def counted(s: Column, n: Column, padding: Column) -> Column:
-        return _put(s, mode=F.when(n > 0, _CARD).otherwise(_SET), set=F.when(n > 0, s["set"]).otherwise(F.lit("")), padding=padding, left=n, last=F.lit(0).cast("long"), value=F.lit(0).cast("long"))
-
-    def step(s: Column, b: Column) -> Column:
-        old = version == 0
-        # a character of the set
-        char = F.when(old, F.char(b)).otherwise(F.substr(F.lit(BASE36), b.bitwiseAND(63) + 1, F.lit(1)))
-        grown = F.concat(s["set"], char)
-        more = F.when(old, F.length(grown) < 4).otherwise(b.bitwiseAND(128) != 0)
-        in_set = _put(s, mode=F.when(more, _SET).otherwise(_PAD), set=F.when(more, grown).otherwise(F.when(old, F.trim(grown)).otherwise(grown)))
-        # padding and count of the set
-        padding = F.shiftright(b, 6) + 1
-        in_pad = F.when(version < 2, counted(s, b.bitwiseAND(63).cast("long"), padding)).when(
-            carry(b, 6), _put(s, mode=_SET_COUNT, padding=padding, value=number(b, 6), shift=5)
-        ).otherwise(counted(s, number(b, 6), padding))
-        grow = s["value"] + F.call_function("shiftleft", b.bitwiseAND(127).cast("long"), s["shift"])
-        in_count = F.when(b.bitwiseAND(128) != 0, _put(s, value=grow, shift=s["shift"] + 7)).otherwise(counted(s, grow, s["padding"]))
-        # a card: one byte in version 0, else two
-        v0_count, v0_variant = F.shiftright(b, 6) + 1, F.shiftright(b, 3).bitwiseAND(7)
-        in_v0 = F.when(carry(b, 3), _put(s, mode=_REST, count=v0_count, variant=v0_variant, value=number(b, 3), shift=2)).otherwise(done(s, number(b, 3), count=v0_count, variant=v0_variant))
-        in_card = F.when(old, in_v0).otherwise(_put(s, mode=_OFFSET, count=b + 1))
-        variant = F.shiftright(b, 5)
-        in_offset = F.when(carry(b, 5), _put(s, mode=_REST, variant=variant, value=number(b, 5), shift=4)).otherwise(done(s, number(b, 5), variant=variant))
-        in_rest = F.when(b.bitwiseAND(128) != 0, _put(s, value=grow, shift=s["shift"] + 7)).otherwise(done(s, grow))
-        m = s["mode"]
-        return F.when(m == _SET, in_set).when(m == _PAD, in_pad).when(m == _SET_COUNT, in_count).when(m == _CARD, in_card).when(m == _OFFSET, in_offset).otherwise(in_rest)
-
-    return step
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where each value begins and ends in them; a null value is empty."""
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    end = np.cumsum(size)
+    return np.frombuffer(b"".join(v for v in column.to_pylist() if v), np.uint8), end - size, end
+
+
+def _numbers(sets: list[str], owner: np.ndarray, padding: np.ndarray, last: np.ndarray) -> pa.Array:
+    """SET-012 for each card: its set by place, and its number in `padding` digits at least."""
+    digits = pa.array(last).cast(pa.string())
+    for width in (2, 3, 4):
+        digits = pc.if_else(pa.array(padding == width), pc.utf8_lpad(digits, width, "0"), digits)
+    return pc.binary_join_element_wise(pc.take(pa.array(sets, pa.string()), pa.array(owner)), digits, "-")
+
+
+def _read_cards(body: pa.Array, version: pa.Array) -> pa.Array:
+    """Sum of a body's bytes, whether its sets and cards end with it, and the cards. Bodies are read side by side, a byte at a time."""
+    data, begin, end = _spans(body)
+    version = np.asarray(pc.fill_null(version, -1)).astype(np.int64)
+    n = len(begin)
+    upto = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+    total = upto[end] - upto[begin] & 255
+    at = np.minimum(begin + (version >= 2), end)
+    mode, left, count, variant, value, shift, last, padding, first, chars = (np.zeros(n, np.int64) for _ in range(10))
+    broken = np.zeros(n, bool)
+    cards, sets = [], []  # rows (body, set, padding, number, count, variant); (body, first byte, byte behind) of sets
+    current, n_sets = np.zeros(n, np.int64), 0
+    live = np.flatnonzero(at < end)
+    while len(live):
+        b, m, old = data[at[live]].astype(np.int64), mode[live], version[live] == 0
+        low, more = b & 127, b >= 128
+        ready, go_on = np.zeros(len(live), bool), np.full(len(live), -1, np.int64)  # a card is complete; cards of a set are counted
+
+        s = m == _SET
+        if s.any():
+            i = live[s]
+            starts = chars[i] == 0
+            first[i[starts]] = at[i[starts]]
+            chars[i] += 1
+            ends = np.where(old[s], chars[i] == 4, ~more[s])
+            i = i[ends]
+            mode[i] = _PAD
+            current[i] = n_sets + np.arange(len(i))
+            n_sets += len(i)
+            sets.append(np.stack([i, first[i], at[i] + 1], 1))
+        s = m == _PAD
+        if s.any():
+            i, early = live[s], version[live[s]] < 2
+            padding[i] = (b[s] >> 6) + 1
+            carried = ~early & (b[s] & 32 != 0)
+            mode[i[carried]], value[i[carried]], shift[i[carried]] = _SET_COUNT, b[s][carried] & 31, 5
+            go_on[s] = np.where(carried, -1, np.where(early, b[s] & 63, b[s] & 31))
+        s = (m == _SET_COUNT) | (m == _REST)
+        if s.any():
+            i = live[s]
+            broken[i[shift[i] >= _MOST_BITS]] = True
+            value[i] += low[s] << np.minimum(shift[i], _MOST_BITS - 1)
+            shift[i] += 7
+            done = s & ~more
+            ready |= done & (m == _REST)
+            go_on = np.where(done & (m == _SET_COUNT), value[live], go_on)
+        s = (m == _CARD) & old
+        if s.any():
+            i, carried = live[s], b[s] & 4 != 0
+            count[i], variant[i], value[i], shift[i] = (b[s] >> 6) + 1, b[s] >> 3 & 7, b[s] & 3, 2
+            mode[i[carried]] = _REST
+            ready[s] = ~carried
+        s = (m == _CARD) & ~old
+        count[live[s]], mode[live[s]] = b[s] + 1, _OFFSET
+        s = m == _OFFSET
+        if s.any():
+            i, carried = live[s], b[s] & 16 != 0
+            variant[i], value[i], shift[i] = b[s] >> 5, b[s] & 15, 4
+            mode[i[carried]] = _REST
+            ready[s] = ~carried
+
+        i = live[go_on >= 0]
+        left[i], last[i], value[i] = go_on[go_on >= 0], 0, 0
+        mode[i] = np.where(left[i] > 0, _CARD, _SET)
+        chars[i] = 0
+        i = live[ready]
+        last[i] += value[i]
+        cards.append(np.stack([i, current[i], padding[i], last[i], count[i], variant[i]], 1))
+        left[i] -= 1
+        mode[i] = np.where(left[i] > 0, _CARD, _SET)
+        at[live] += 1
+        live = live[(at[live] < end[live]) & ~broken[live]]
+    rows = np.concatenate([np.zeros((0, 6), np.int64), *cards])
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    names, seen, raw = [], {}, data.tobytes()
+    for i, lo, hi in np.concatenate([np.zeros((0, 3), np.int64), *sets]).tolist():
+        key = raw[lo:hi], version[i] == 0
+        if key not in seen:
+            seen[key] = key[0].decode("latin-1").strip(" ") if key[1] else "".join(BASE36[x & 63 : (x & 63) + 1] for x in key[0])
+        names.append(seen[key])
+    card = pa.StructArray.from_arrays([_numbers(names, rows[:, 1], rows[:, 2], rows[:, 3]), pa.array(rows[:, 4], pa.int32()), pa.array(rows[:, 5], pa.int32())], ["number", "count", "parallel_id"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[:, 0], minlength=n))])
+    whole = (mode == _SET) & (chars == 0) & ~broken
+    return pa.StructArray.from_arrays([pa.array(total, pa.int32()), pa.array(whole), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), card)], ["sum", "whole", "cards"])
+
+
+def _parsed(df: DataFrame, column: str) -> DataFrame:
+    """df with version, __cards, __eggs, __main, __side (how many cards are in each section), __icon, __text, __language and error."""
+    out = _once(df, "__b", F.when(F.col(column).startswith(PREFIX), _bytes(F.col(column))))
+    b, size = F.col("__b"), F.length("__b")
+    at = lambda i: F.conv(F.nullif(F.hex(F.substring(b, i + 1, 1)), F.lit("")), 16, 10).cast("int")
+    out = _once(out, "__h", F.struct(*[at(i).alias(f"b{i}") for i in range(4)]))
+    at = lambda i: F.col(f"__h.b{i}")
+    out = out.withColumn("version", F.shiftright(at(0), 4))
+    version = F.col("version")
+    eggs = at(0).bitwiseAND(F.when(version.between(3, 4), 7).otherwise(15))
+    length = F.when(version >= 5, at(2).bitwiseAND(63)).otherwise(at(2))
+    number = F.when(version >= 5, F.shiftright(at(2), 6)).when(version >= 3, F.shiftright(at(0), 3).bitwiseAND(1))
+    side = F.when(version >= 2, at(3)).otherwise(F.lit(0))
+    out = out.withColumns({"__eggs": eggs, "__name": length, "__language": number, "__side": F.when(version >= 4, side.bitwiseAND(127)).otherwise(side), "__icon": (version >= 4) & (F.shiftright(side, 7) > 0)})
+    body = F.substring(b, F.lit(4), F.greatest(size - 3 - F.col("__name"), F.lit(0)))
+    out = out.withColumn("__s", F.arrow_udf(_read_cards, f"struct<sum:int,whole:boolean,cards:{_CARDS}>")(body, version))
+    n = F.size("__s.cards")
+    whole = F.col("__s.whole") & (n >= F.col("__eggs") + F.col("__side"))
+    error = (
+        F.when(~F.col(column).startswith(PREFIX) | F.col(column).isNull(), "prefix").when(b.isNull() | (size < 3), "base64").when(version > VERSION, "version")
+        .when(~F.coalesce(F.col("__s.sum") == at(1), F.lit(False)), "checksum").when(~F.coalesce(whole, F.lit(False)), "cards")
+    )
+    start = size - F.col("__name") + 1
+    name = F.when((F.col("__name") > 0) & (start != 0) & (start >= -size), F.decode(F.substring(b, start, F.col("__name")), "UTF-8")).otherwise(F.lit(""))
+    main = F.greatest(n - F.col("__eggs") - F.col("__side"), F.lit(0))
+    return _once(out, "error", error).withColumns({"__text": name, "__main": main, "__cards": F.col("__s.cards")})
 
 
 def parse_decks(df: DataFrame, column: str) -> DataFrame:
@@ -91,115 +176,137 @@ def parse_decks(df: DataFrame, column: str) -> DataFrame:
 
     error is "prefix", "base64", "version", "checksum" or "cards"; null where all is well.
     """
-    at = lambda b, i: F.try_element_at(b, F.lit(i + 1))
-    out = _once(df, "__b", F.when(F.col(column).startswith(PREFIX), _bytes(F.col(column))))
-    b = F.col("__b")
-    out = out.withColumn("version", F.shiftright(at(b, 0), 4))
-    version = F.col("version")
-    eggs = at(b, 0).bitwiseAND(F.when(version.between(3, 4), 7).otherwise(15))
-    length = F.when(version >= 5, at(b, 2).bitwiseAND(63)).otherwise(at(b, 2))
-    number = F.when(version >= 5, F.shiftright(at(b, 2), 6)).when(version >= 3, F.shiftright(at(b, 0), 3).bitwiseAND(1))
-    side = F.when(version >= 2, at(b, 3)).otherwise(F.lit(0))
-    out = out.withColumn("__eggs", eggs).withColumn("__name", length).withColumn("__side", F.when(version >= 4, side.bitwiseAND(127)).otherwise(side))
-    out = out.withColumn("__icon", (version >= 4) & (F.shiftright(side, 7) > 0))
-    body_size = F.greatest(F.size("__b") - 3 - F.col("__name"), F.lit(0))
-    body = F.slice("__b", F.lit(4), body_size)
-    total = F.aggregate(body, F.lit(0), lambda a, x: a + x).bitwiseAND(255)
-    skip = F.when(version >= 2, 1).otherwise(0)
-    cards_bytes = F.slice(body, skip + 1, F.greatest(F.size(body) - skip, F.lit(0)))
-    start = F.struct(*[x for x in (F.lit(_SET).alias("mode"), F.lit("").alias("set"), F.lit(0).alias("padding"), F.lit(0).cast("long").alias("left"), F.lit(0).alias("count"), F.lit(0).alias("variant"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("last"), F.array().cast("array<struct<number:string,count:int,parallel_id:int>>").alias("cards"))]).cast(_STATE)
-    out = _once(out.withColumn("__sum", total == at(b, 1)), "__s", F.aggregate(cards_bytes, start, _step(version)))
-    whole = (F.col("__s.mode") == _SET) & (F.col("__s.set") == "") & (F.size("__s.cards") >= F.col("__eggs") + F.col("__side"))
-    error = (
-        F.when(~F.col(column).startswith(PREFIX) | F.col(column).isNull(), "prefix").when(b.isNull() | (F.size(b) < 3), "base64").when(version > VERSION, "version")
-        .when(~F.coalesce(F.col("__sum"), F.lit(False)), "checksum").when(~F.coalesce(whole, F.lit(False)), "cards")
-    )
-    hexed = F.array_join(F.transform(F.slice("__b", F.size("__b") - F.col("__name") + 1, F.col("__name")), lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")
-    name = F.when(F.col("__name") > 0, F.decode(F.unhex(hexed), "UTF-8")).otherwise(F.lit(""))
-    cards, n = F.col("__s.cards"), F.size("__s.cards")
-    main = F.greatest(n - F.col("__eggs") - F.col("__side"), F.lit(0))
-    out = _once(out, "error", error).withColumn("__text", name)
-    ok = F.col("error").isNull()
+    out, ok, cards = _parsed(df, column), F.col("error").isNull(), F.col("__cards")
     return out.select(
-        *df.columns, F.when(ok, version).alias("version"), F.when(ok, F.trim(F.when(F.col("__icon"), F.substring("__text", 9, 1 << 20)).otherwise(F.col("__text")))).alias("name"),
-        F.when(ok & F.col("__icon"), F.trim(F.substring("__text", 1, 8))).alias("icon"), F.when(ok, F.try_element_at(F.array(*[F.lit(x) for x in LANGUAGES]), number + 1)).alias("language"),
-        F.when(ok, F.slice(cards, F.lit(1), F.col("__eggs"))).alias("digi_eggs"), F.when(ok, F.slice(cards, F.col("__eggs") + 1, main)).alias("deck"),
-        F.when(ok, F.slice(cards, F.col("__eggs") + main + 1, F.col("__side"))).alias("sideboard"), "error",
+        *df.columns, F.when(ok, F.col("version")).alias("version"), F.when(ok, F.trim(F.when(F.col("__icon"), F.substring("__text", 9, 1 << 20)).otherwise(F.col("__text")))).alias("name"),
+        F.when(ok & F.col("__icon"), F.trim(F.substring("__text", 1, 8))).alias("icon"), F.when(ok, F.try_element_at(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("__language") + 1)).alias("language"),
+        F.when(ok, F.slice(cards, F.lit(1), F.col("__eggs"))).alias("digi_eggs"), F.when(ok, F.slice(cards, F.col("__eggs") + 1, F.col("__main"))).alias("deck"),
+        F.when(ok, F.slice(cards, F.col("__eggs") + F.col("__main") + 1, F.col("__side"))).alias("sideboard"), "error",
     )
 
 
 def decode_decks(df: DataFrame, column: str) -> DataFrame:
     """A row per card: df's columns, section, position, number, parallel_id, count; bad codes give one row with their error."""
-    parsed = parse_decks(df, column)
-    tagged = lambda section: F.transform(section, lambda c, i: F.struct(F.lit(section).alias("section"), i.alias("position"), c["number"].alias("number"), c["parallel_id"].alias("parallel_id"), c["count"].alias("count")))
-    return parsed.select(*df.columns, "error", F.explode_outer(F.concat(*[tagged(s) for s in ("digi_eggs", "deck", "sideboard")])).alias("c")).select(*df.columns, "error", "c.*")
+    cards = _parsed(df, column).select(*df.columns, "error", "__eggs", "__main", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("__cards"))).alias("__at", "c"))
+    at, main = F.col("__at") - F.col("__eggs"), F.col("__main")
+    section = F.when(at < 0, "digi_eggs").when(at < main, "deck").when(at >= main, "sideboard")
+    position = F.when(at < 0, F.col("__at")).when(at < main, at).otherwise(at - main)
+    return cards.select(*df.columns, "error", section.alias("section"), position.alias("position"), "c.number", "c.parallel_id", "c.count")
 
 
 def _hex(n: Column) -> Column:
     return F.lpad(F.hex(n.cast("long")), 2, "0")
 
 
-def _varint(value: Column, bits: int, high: Column) -> Column:
-    """Hex of the first bits, with `high` in front of them, and of the 7-bit groups that follow (values up to 2^33)."""
-    limit = 1 << (bits - 1)
-    out = _hex(high + value % limit + F.when(value >= limit, limit).otherwise(0))
-    rest = F.floor(value / limit)
-    for _ in range(4):
-        out = F.concat(out, F.when(rest > 0, _hex(rest % 128 + F.when(rest >= 128, 128).otherwise(0))).otherwise(""))
-        rest = F.floor(rest / 128)
-    return out
-
-
-def _section(cards: Column, version: Column) -> Column:
-    """Hex of a section: cards in order of number and variant, runs of one set and padding together, distances inside a run."""
-    parts = lambda c: F.struct(c["number"].alias("number"), F.coalesce(c["parallel_id"], F.lit(0)).alias("variant"), c["count"].alias("count"))
-    rows = F.array_sort(F.transform(F.coalesce(cards, F.array().cast("array<struct<number:string,count:int,parallel_id:int>>")), parts))
-    split = F.transform(rows, lambda c: F.struct(F.substring_index(c["number"], "-", 1).alias("set"), F.length(F.substring_index(c["number"], "-", -1)).alias("padding"), F.substring_index(c["number"], "-", -1).cast("long").alias("n"), c["variant"].alias("variant"), c["count"].alias("count")))
-    start = F.expr("cast(named_struct('out', '', 'run', '', 'set', '', 'padding', 0, 'size', 0, 'last', 0) as struct<out:string,run:string,set:string,padding:int,size:bigint,last:bigint>)")
-
-    def flush(s: Column) -> Column:
-        base = lambda x, more: _hex(F.call_function("instr", F.lit(BASE36), x) - 1 + more)
-        new_set = F.array_join(F.transform(F.sequence(F.lit(1), F.length(s["set"])), lambda i: base(F.substr(s["set"], i, F.lit(1)), F.when(i < F.length(s["set"]), 128).otherwise(0))), "")
-        old_set = F.hex(F.rpad(s["set"], 4, " ").cast("binary"))
-        high = (s["padding"] - 1) * 64
-        head = F.concat(F.when(version == 0, old_set).otherwise(new_set), F.when(version < 2, _hex(high + s["size"])).otherwise(_varint(s["size"], 6, high)))
-        return F.when(s["size"] > 0, F.concat(s["out"], head, s["run"])).otherwise(s["out"])
-
-    def step(s: Column, c: Column) -> Column:
-        same = (s["set"] == c["set"]) & (s["padding"] == c["padding"]) & (s["size"] > 0)
-        far = c["n"] - F.when(same, s["last"]).otherwise(0)
-        card = F.when(version == 0, _varint(far, 3, (c["count"] - 1) * 64 + c["variant"] * 8)).otherwise(F.concat(_hex(c["count"] - 1), _varint(far, 5, c["variant"] * 32)))
-        return F.struct(
-            F.when(same, s["out"]).otherwise(flush(s)).alias("out"), F.when(same, F.concat(s["run"], card)).otherwise(card).alias("run"), c["set"].alias("set"), c["padding"].alias("padding"),
-            (F.when(same, s["size"]).otherwise(F.lit(0)) + 1).cast("long").alias("size"), c["n"].alias("last"),
-        )
-
-    return F.aggregate(split, start, step, flush)
+def _groups(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bits of each number, with their carry, and how many groups of 7 bits follow."""
+    rest, n = value >> bits - 1, np.zeros(len(value), np.int64)
+    first = (value & (1 << bits - 1) - 1) | np.where(rest > 0, 1 << bits - 1, 0)
+    while (rest > 0).any():
+        n += rest > 0
+        rest = rest >> 7
+    return first, n
+
+
+def _put_groups(out: np.ndarray, at: np.ndarray, value: np.ndarray, bits: int, n: np.ndarray) -> None:
+    """Write the groups that follow the first bits, from `at` on."""
+    for k in range(int(n.max(initial=0))):
+        on = n > k
+        out[at[on] + k] = value[on] >> bits - 1 + 7 * k & 127 | np.where(n[on] > k + 1, 128, 0)
+
+
+def _split_number(number: str | None, version: int) -> tuple[bytes | None, int, int]:
+    """A number's set in bytes, its digits and its value; no set where the format can't hold it."""
+    name, _, digits = (number or "").partition("-")
+    fits = digits.isascii() and digits.isdigit() and len(digits) <= 4
+    if version == 0:
+        own = name.encode().ljust(4) if name.isascii() and len(name) <= 4 else None
+    else:
+        own = bytes(BASE36.index(x) | (128 if i < len(name) - 1 else 0) for i, x in enumerate(name)) if name and set(name) <= set(BASE36) else None
+    return (own, len(digits), int(digits)) if fits and own else (None, 1, 0)
+
+
+def _write_cards(decks: pa.Array, version: pa.Array) -> pa.Array:
+    """Bytes of a section and their sum: cards in order of number, variant and count, runs of one set and padding together, and
+    distances inside a run. null where the format can't hold a card."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(decks), 0)).astype(np.int64)
+    v = version[0].as_py() if len(version) else VERSION
+    cards = decks.flatten()
+    owner = np.repeat(np.arange(len(decks)), sizes)
+    number = pc.struct_field(cards, "number").dictionary_encode()
+    known = [_split_number(x, v) for x in number.dictionary.to_pylist()]
+    order = np.empty(len(known) + 1, np.int64)  # codes of numbers, null first, by their bytes
+    order[1 + np.array(sorted(range(len(known)), key=lambda i: number.dictionary[i].as_py().encode()), np.int64)] = np.arange(len(known))
+    which = np.asarray(pc.fill_null(number.indices, -1)).astype(np.int64) + 1
+    known = [(None, 1, 0), *known]
+    place = {own: i for i, own in enumerate(dict.fromkeys(x[0] for x in known))}
+    group, padding, value = (np.array(x, np.int64) for x in zip(*((place[own], p, n) for own, p, n in known), strict=True))
+    variant, count = (np.asarray(pc.fill_null(pc.struct_field(cards, f), missing)).astype(np.int64) for f, missing in (("parallel_id", 0), ("count", 0)))
+    bad = (group[which] == place[None]) | (variant < 0) | (variant > 7) | (count < 1) | (count > (256 if v else 4))
+    order[0] = -1
+    rank = np.lexsort((count, variant, order[which], owner))
+    owner, which, variant, count, bad = (x[rank] for x in (owner, which, variant, count, bad))
+    group, padding, value = group[which], padding[which], value[which]
+    starts = np.ones(len(owner), bool)
+    starts[1:] = (owner[1:] != owner[:-1]) | (group[1:] != group[:-1]) | (padding[1:] != padding[:-1])
+    far = value - np.where(starts, 0, np.concatenate([[0], value[:-1]])[: len(value)])
+    bits = 5 if v else 3
+    low, groups = _groups(np.maximum(far, 0), bits)
+    run = np.flatnonzero(starts)
+    length = np.diff(np.append(run, len(owner)))
+    names = list(place)
+    heads = [names[i] or b"" for i in group[run].tolist()]
+    head = np.array([len(x) for x in heads], np.int64)
+    first, more = _groups(length, 6) if v >= 2 else (length, np.zeros(len(run), np.int64))
+    if v < 2:
+        bad[run[length > 63]] = True
+    take = (2 if v else 1) + groups
+    take[run] += head + 1 + more
+    stop = np.cumsum(take)
+    out = np.zeros(int(take.sum()), np.uint8)
+    at = stop - take
+    spread = np.repeat(at[run] - (np.cumsum(head) - head), head) + np.arange(int(head.sum()))
+    out[spread] = np.frombuffer(b"".join(heads), np.uint8)
+    out[at[run] + head] = (padding[run] - 1) * 64 + first & 255
+    _put_groups(out, at[run] + head + 1, length, 6, more)
+    at = stop - groups
+    if v:
+        out[at - 2], out[at - 1] = (count - 1) & 255, (variant * 32 + low) & 255
+    else:
+        out[at - 1] = (count - 1) * 64 + variant * 8 + low & 255
+    _put_groups(out, at, np.maximum(far, 0), bits, groups)
+    per = np.bincount(owner, take, len(decks)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(per)])
+    upto = np.concatenate([[0], np.cumsum(out, dtype=np.int64)])
+    null = np.bincount(owner, bad, len(decks)) > 0
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(decks), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+    return pa.StructArray.from_arrays([pa.array(upto[ends[1:]] - upto[ends[:-1]], pa.int32()), pc.if_else(pa.array(null), None, data)], ["sum", "data"])
 
 
 def encode_decks(decks: DataFrame, version: int = VERSION) -> DataFrame:
     """Decks with `code`, from name, language, icon, digi_eggs, deck and sideboard (missing columns are empty).
 
-    The name is cut to 63 bytes, and its length is counted in bytes.
+    The name is cut to 63 bytes, and its length is counted in bytes. A deck with a card that the format can't hold has no code.
     """
     have = lambda name, kind: F.col(name) if name in decks.columns else F.lit(None).cast(kind)
-    v = F.lit(version)
-    sections = [_section(have(s, "array<struct<number:string,count:int,parallel_id:int>>"), v) for s in ("digi_eggs", "deck", "sideboard")]
-    size = lambda name: F.coalesce(F.size(have(name, "array<int>")), F.lit(0)) if name in decks.columns else F.lit(0)
+    sections = [s for s in ("digi_eggs", "deck", "sideboard") if s in decks.columns]
+    size = lambda name: F.coalesce(F.size(name), F.lit(0)) if name in decks.columns else F.lit(0)
     language = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), have("language", "string")) - 1, F.lit(1))
     icon = have("icon", "string")
     name = F.coalesce(have("name", "string"), F.lit(""))
     if version >= 4:
         name = F.when(icon.isNotNull(), F.concat(F.rpad(icon, 8, " "), name)).otherwise(name)
     name_hex = F.substring(F.hex(name.cast("binary")), 1, 126)
-    eggs = size("digi_eggs")
-    first = version * 16 + eggs + (language * 8 if 3 <= version <= 4 else F.lit(0))
-    side = F.concat(_hex(size("sideboard") + (F.when(icon.isNotNull(), 128).otherwise(0) if version >= 4 else F.lit(0)))) if version >= 2 else F.lit("")
-    out = _once(decks, "__body", F.concat(side, *sections)).withColumn("__name", name_hex)
+    first = version * 16 + size("digi_eggs") + (language * 8 if 3 <= version <= 4 else F.lit(0))
+    side = size("sideboard") + (F.when(icon.isNotNull(), 128).otherwise(0) if version >= 4 else F.lit(0))
+    write = F.arrow_udf(_write_cards, "struct<sum:int,data:binary>")
+    out = decks.withColumns({f"__{s}": write(s, F.lit(version)) for s in sections})
+    out = _once(out.withColumn("__name", name_hex), "__side", side)
     length = F.length("__name") / 2 + (language * 64 if version >= 5 else F.lit(0))
-    total = F.when(F.length("__body") > 0, F.aggregate(F.sequence(F.lit(1), F.length("__body"), F.lit(2)), F.lit(0), lambda a, i: a + F.conv(F.substr(F.col("__body"), i, F.lit(2)), 16, 10).cast("int"))).otherwise(0)
-    whole = F.concat(_hex(first), _hex(total.bitwiseAND(255)), _hex(length), F.col("__body"), F.col("__name"))
-    code = F.concat(F.lit(PREFIX), F.rtrim(F.translate(F.base64(F.unhex(whole)), "+/=\r\n", "-_ ")))
+    total = reduce(lambda a, b: a + b, [F.col(f"__{s}.sum") for s in sections], F.conv(_hex(F.col("__side")), 16, 10).cast("int") if version >= 2 else F.lit(0))
+    head = F.concat(_hex(first), _hex(total.bitwiseAND(255)), _hex(length), _hex(F.col("__side")) if version >= 2 else F.lit(""))
+    whole = F.concat(F.unhex(head), *[F.col(f"__{s}.data") for s in sections], F.unhex("__name"))
+    code = F.concat(F.lit(PREFIX), F.rtrim(F.translate(F.base64(whole), "+/=\r\n", "-_ ")))
     return _once(out, "code", code).select(*decks.columns, "code")
 
 

@@ -48,3 +48,15 @@ def test_generated_decks_round_trip(spark):
     for i, name, language, eggs, deck in decks:
         assert (back[i].name, back[i].language, back[i].error) == (name, language, None)
         assert key(back[i].digi_eggs) == key(eggs) and key(back[i].deck) == key(deck)
+
+
+def test_decks_are_neither_folded_nor_written_wrongly(spark):
+    df = spark.createDataFrame([(1, [("BT1-001", 4, None)]), (2, [("BT1-00001", 4, 0)]), (3, [("BT1-001", 300, 0)]), (4, [("bt1-001", 1, 0), ("BT1-001", 1, 0)]), (5, None), (6, [("A-B-01", 1, 0)])], f"i int, deck {CARDS}")
+    codes = D.encode_decks(df)
+    assert {r.i for r in codes.collect() if r.code is not None} == {1, 5}  # no code rather than another deck's
+    # a byte's step isn't an expression: it took several microseconds, and all bytes were decoded anew for each
+    plan = D.decode_decks(codes, "code")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "aggregate(" not in plan
+    long = [("ST1-01", 1 + i % 4, i % 8) for i in range(8)] + [(f"BT{i % 30}-{i % 999:03d}", 1, i % 7) for i in range(20_000)]
+    back = D.parse_decks(D.encode_decks(spark.createDataFrame([(1, long)], f"i int, deck {CARDS}")), "code").first()
+    assert back.error is None and sorted(tuple(x) for x in back.deck) == sorted(long)
