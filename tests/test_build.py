@@ -127,3 +127,19 @@ def test_slugs_of_other_scripts(spark):
     df = spark.createDataFrame([(k,) for k in [*names, None]], "s string")
     assert {r.s: r.slug for r in df.select("s", slugify(F.col("s")).alias("slug")).collect()} == names | {None: ""}
     assert df.select(transliterate(F.lit("ッ ~ー")).alias("x")).first().x.strip() == "-"
+
+
+def test_the_catalog_normalises_texts_once(spark, monkeypatch):
+    from tessera.plans import build as B
+
+    made = [{"card_id": f"a{i}", "number": f"N{i // 2}", "language": ("ja", "en")[i % 2], "parallel_id": 0, "level": 1, "effect": "Ｘ １ [Your Turn] one．．"} for i in range(6)]
+    card = _cards(spark, made)
+    sources = {"card": card, "release": spark.createDataFrame([("r", dt.date(2024, 1, 1))], "release_id string, date date"), "card_release": spark.createDataFrame([("a1", "r")], "card_id string, release_id string")}
+    out = B.build_catalog(sources)
+    lazy = B.build_catalog(sources, lambda df, name: df)
+    for name in ("card", "icon", "rule"):
+        assert sorted(map(repr, out[name].collect())) == sorted(map(repr, lazy[name].collect()))
+    for name in ("card", "icon"):
+        plan = out[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "translate(" not in plan and "regexp_extract_all" not in plan
+    assert out["card"].first().effect == "X 1 [Your Turn] one．．"
