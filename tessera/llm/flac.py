@@ -1,7 +1,7 @@
 """FLAC media columns: bytes as 8-bit samples, losslessly coded, decoded and verified in batches of frames.
 
-A byte's sample is small where the byte is frequent in texts, so that Rice codes of the samples themselves are short; predictors
-are tried on frames where they could be shorter.
+A byte's sample is small where the byte is frequent in texts, so that Rice codes of the samples themselves are short; all fixed
+predictors and a linear one are tried on every frame, and the shortest form is taken.
 
 Streams are standard FLAC (one channel, 8 bits): STREAMINFO with the MD5 of the samples, an APPLICATION block with the frequent
 bytes that the samples count from, so that a stream tells its own bytes, a SEEKTABLE with every frame's first
@@ -29,8 +29,6 @@ BLOCK, RATE, ORDER, PRECISION = 4096, 8000, 8, 10
 SAMPLES = 4 << 20
 #: Frequent bytes of texts in their order; 0, 1, -1, 2, -2, ... are the samples of these and of all others behind them.
 FREQUENT = b" eniarstodlhuc" + bytes([0xC3]) + b"mgpbvfwzykjqx.,EDASTIMC0123456789|#$%&*-'\n"
-#: Bits of a sample from which on a linear predictor is tried.
-TRY_BITS = 6
 #: Fixed values of the format: predictors of order 0 to 4.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -141,19 +139,28 @@ def _encode_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[
     """Frames of the rows of x (8-bit samples in int32, zeros behind `size`)."""
     inside = np.arange(x.shape[1])[None, :] < size[:, None]
     z0, k0, bits0 = _rice(x, inside)
-    coef, shift = np.zeros((len(x), ORDER), np.int32), np.zeros(len(x), np.int64)
-    valid, z, k, bits = inside.copy(), z0.copy(), k0.copy(), bits0 + 8 * ORDER + 9 + ORDER * PRECISION
+    fixed, residual = np.zeros(len(x), np.int64), x
+    for o in range(1, 5):  # a fixed predictor's residuals are differences of those of the order below
+        residual = np.diff(residual, axis=1, prepend=np.int32(0))
+        use = np.flatnonzero(size > o)
+        known = inside[use]
+        known[:, :o] = False
+        z, k, b = _rice(residual[use], known)
+        b += 8 * o
+        better = b < bits0[use]
+        on = use[better]
+        z0[on], k0[on], bits0[on], fixed[on] = z[better], k[better], b[better], o
+    valid = inside.copy()
     valid[:, :ORDER] = False
-    far = np.flatnonzero(bits0 > TRY_BITS * size)
-    if len(far):
-        coef[far], shift[far] = _lpc(x[far], size[far])
-        guess = np.zeros_like(x[far])
-        for j in range(ORDER):
-            guess[:, j + 1 :] += coef[far, j, None] * x[far, : x.shape[1] - j - 1]
-        z[far], k[far], bits[far] = _rice(x[far] - (guess >> shift[far, None].astype(np.int32)), valid[far])
-        bits[far] += 8 * ORDER + 9 + ORDER * PRECISION
+    coef, shift = _lpc(x, size)
+    guess = np.zeros_like(x)
+    for j in range(ORDER):
+        guess[:, j + 1 :] += coef[:, j, None] * x[:, : x.shape[1] - j - 1]
+    z, k, bits = _rice(x - (guess >> shift[:, None].astype(np.int32)), valid)
+    bits += 8 * ORDER + 9 + ORDER * PRECISION
+    own = inside & (np.arange(x.shape[1])[None, :] >= fixed[:, None])  # what a fixed predictor's residuals cover
     flat = x.max(axis=1, initial=-128, where=inside) == x.min(axis=1, initial=127, where=inside)
-    # 0 constant, 1 verbatim, 2 fixed of order 0, 3 linear
+    # 0 constant, 1 verbatim, 2 fixed, 3 linear
     kind = np.where(flat, 0, np.where(np.minimum(bits, bits0) >= 8 * size, 1, np.where(bits0 <= bits, 2, 3)))
     heads: list[bytes] = []
     head_bits = np.zeros(len(x), np.int64)
@@ -166,7 +173,10 @@ def _encode_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[
         elif kind[i] == 1:
             value, width = 0b00000010, 8
         elif kind[i] == 2:
-            value, width = 0b00010000 << 10 | int(k0[i]), 18
+            value, width = (0b001000 | int(fixed[i])) << 1, 8
+            for s in x[i, : fixed[i]].tolist():
+                value, width = value << 8 | s & 255, width + 8
+            value, width = value << 10 | int(k0[i]), width + 10
         else:
             value, width = (0b100000 | ORDER - 1) << 1, 8
             for s in x[i, :ORDER].tolist():
@@ -177,7 +187,7 @@ def _encode_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[
             value, width = value << 10 | int(k[i]), width + 10
         head_bits[i] = 8 * len(head) + width
         heads.append(head + (value << -width % 8).to_bytes((width + 7) // 8, "big"))
-    body = np.where(kind == 0, 0, np.where(kind == 1, 8 * size, np.where(kind == 2, bits0, bits - (8 * ORDER + 9 + ORDER * PRECISION))))
+    body = np.where(kind == 0, 0, np.where(kind == 1, 8 * size, np.where(kind == 2, bits0 - 8 * fixed, bits - (8 * ORDER + 9 + ORDER * PRECISION))))
     whole = (head_bits + body + 7) // 8 + 2
     begin = np.cumsum(whole) - whole
     out = np.zeros(int(whole.sum()) * 8, np.uint8)
@@ -192,7 +202,7 @@ def _encode_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[
             out[at : at + 8 * size[i]] = np.unpackbits(x[i, : size[i]].astype(np.int8).view(np.uint8))
     coded = kind >= 2
     if coded.any():
-        use = np.where((kind == 2)[:, None], inside, valid) & coded[:, None]
+        use = np.where((kind == 2)[:, None], own, valid) & coded[:, None]
         folded = np.where((kind == 2)[:, None], z0, z)[use].astype(np.int64)
         param = np.where(kind == 2, k0, k)
         per = use.sum(axis=1)

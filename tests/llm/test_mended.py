@@ -189,3 +189,19 @@ def test_pivotal_rounding_is_exact_and_fair():
     assert all(set(out.tolist()) <= {0.0, 1.0} for out in settled)
     assert max(abs((out * size).sum() - (p * size).sum()) for out in settled) <= size.max()
     assert np.abs(np.mean(settled, axis=0)[1] - p[1]) < 0.03  # the largest is rounded by its own probability
+
+
+def test_every_frame_is_tried_with_every_predictor():
+    import random
+
+    from tessera.llm import flac
+
+    r = random.Random(3)
+    steps = b"".join(bytes([c]) * r.randint(30, 90) for c in r.choices(b" eniarstodlhucmgp", k=200))  # under 6 bits a sample as it is
+    noise = bytes(r.randrange(256) for _ in range(9000))
+    short = [steps[: 4096 + n] for n in range(1, 12)]  # last frames with fewer samples than a predictor asks for
+    payloads = [steps, noise, bytes(range(256)) * 40, *short]
+    streams = flac.encode(payloads)
+    assert [p for p, _ in flac.decode(streams)] == payloads
+    assert len(streams[0]) < len(steps) / 4  # samples without a predictor took more than half of it
+    assert flac.read_samples(streams[0], 4000, 300) == steps[4000:4300]
