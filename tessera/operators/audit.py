@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .aggregates import adjacent_diff, missing_members, most_common, new_findings
+from .places import TASK_ROWS, largest
 
 
 def audit_counts(df: DataFrame, child: DataFrame, types: str = "type", number: str = "number", key: str = "card_id", exclude: Sequence[str] = ()) -> DataFrame:
@@ -21,6 +23,10 @@ def audit_counts(df: DataFrame, child: DataFrame, types: str = "type", number: s
 
 def audit_values(df: DataFrame, columns: Sequence[str], number: str = "number") -> DataFrame:
     """Q2, Q14: numbers whose rows disagree in any of the columns, null apart from values; returns (number, column, values)."""
+    if all(isinstance(df.schema[c].dataType, IntegralType) for c in columns):  # whole numbers differ where their extremes do
+        differs = lambda c: (F.min(c) < F.max(c)) | (F.max(F.col(c).isNull()) & (F.count(c) > 0))
+        some = df.groupBy(F.col(number).alias("__number")).agg(reduce(lambda a, b: a | b, [F.coalesce(differs(c), F.lit(False)) for c in columns]).alias("__differs"))
+        df = df.join(some.where("__differs"), F.col(number).eqNullSafe(F.col("__number")), "left_semi")
     rows = df.select(number, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select(number, "x.*")
     found = rows.groupBy(number, "column").agg((F.countDistinct("value") + F.max(F.col("value").isNull().cast("int"))).alias("values"))
     return found.where("values > 1")
@@ -87,11 +93,12 @@ def audit_majority(df: DataFrame, column: str, number: str = "number", key: str
 ERRATA_BYTES = 16 << 20
 
 
-def audit_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns: Sequence[str], most_bytes: int = ERRATA_BYTES) -> DataFrame:
+def audit_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns: Sequence[str], most_bytes: int = ERRATA_BYTES, most_rows: int = TASK_ROWS) -> DataFrame:
     """Q10: errata no line of whose correction stands in any of the columns, lower-cased and with blanks folded.
 
-    Corrections go to where the texts are, in passes of about most_bytes (their size is counted first), so that no text is moved;
-    only the different (keys, correction) that stand come back.
+    Corrections of up to about most_bytes (their size is counted first) go to where the texts are, so that no text is moved. More of
+    them meet the texts by their keys, so that these are read once whatever there is to correct; but where one key has more than
+    most_rows texts, corrections go to the texts in several passes. Only the different (keys, correction) that stand come back.
     """
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     lines = F.filter(F.transform(F.split("correction", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))), lambda x: x != "")
@@ -101,11 +108,14 @@ def audit_errata(df: DataFrame, errata: DataFrame, keys: Sequence[str], columns:
     stands = F.exists("__lines", lambda line: F.contains(F.col("__text"), line))
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
 
+    def met() -> DataFrame:
+        return texts.join(asked.withColumn("__lines", lines), [*same, stands]).select(*keys, "correction").distinct()
+
     def found(k: int) -> DataFrame:
         some = asked.where(F.pmod(F.xxhash64(*keys, "correction"), F.lit(passes)) == k).withColumn("__lines", lines)
         return texts.join(F.broadcast(some), [*same, stands]).select(*keys, "correction").distinct()
 
-    standing = reduce(DataFrame.union, [found(k) for k in range(passes)])
+    standing = met() if passes > 1 and largest(df, keys) <= most_rows else reduce(DataFrame.union, [found(k) for k in range(passes)])
     known = errata.join(df.select(*keys).distinct(), list(keys), "left_semi")
     return known.join(standing, [*keys, "correction"], "left_anti").select(*errata.columns)
 
@@ -124,8 +134,11 @@ def audit_expectations(df: DataFrame, expected: DataFrame, prefix: Column, value
 
 
 def audit_lonely(df: DataFrame, number: str = "number", language: str = "language", base: str = "ja") -> DataFrame:
-    """Q13: numbers with a single row that isn't in the base language."""
-    return df.groupBy(number).agg(F.count("*").alias("n"), F.first(language).alias("language")).where((F.col("n") == 1) & (F.col("language") != base)).select(number, "language")
+    """Q13: numbers with a single row that isn't in the base language. Rows are counted without their languages: a text among the
+    aggregates makes Spark sort all rows."""
+    others = F.count(F.when(F.col(language) != base, 1))
+    lonely = df.groupBy(F.col(number).alias("__number")).agg(F.count("*").alias("n"), others.alias("others")).where("n = 1 and others = 1")
+    return df.join(lonely, F.col(number).eqNullSafe(F.col("__number")), "left_semi").select(number, language)
 
 
 def audit_limits(df: DataFrame, limits: DataFrame, key: str = "card_id", number: str = "number", variant: str = "parallel_id") -> DataFrame:
@@ -169,7 +182,8 @@ def audit_neighbours(df: DataFrame, by: Sequence[str], order: Sequence[str], col
     return adjacent_diff(df, by, order, columns).where(F.size("differs") > 0)
 
 
-def run_audits(found: Mapping[str, tuple[DataFrame, str]], allowed: DataFrame) -> DataFrame:
-    """(audit, finding) of all audits {name: (violations, key)}, without those in allowed(audit, finding)."""
+def run_audits(found: Mapping[str, tuple[DataFrame, str]], allowed: DataFrame | None = None) -> DataFrame:
+    """(audit, finding) of all audits {name: (violations, key)}, without those in allowed(audit, finding), if given."""
     rows = [df.select(F.lit(name).alias("audit"), F.col(key).cast("string").alias("finding")).distinct() for name, (df, key) in found.items()]
-    return reduce(lambda a, b: a.unionByName(b), rows).join(allowed, ["audit", "finding"], "left_anti")
+    both = reduce(lambda a, b: a.unionByName(b), rows)
+    return both if allowed is None else both.join(allowed, ["audit", "finding"], "left_anti")
