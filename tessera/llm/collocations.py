@@ -10,7 +10,8 @@ other in a piece. A phrase's key is a hash of its language, length and words. Ke
    no key seen `least` times is lost, and a key is let go where its count and all that was taken are less than `least`.
    Partitions grow in number with the text, not in size.
 2. The texts are read again. Phrases whose key was left are counted exactly, by language and words; those seen less often go.
-   The keys thin out phrases by a bitmap in proportion to them, or by a join where that would be too large to send.
+   The keys thin out phrases by a bitmap in proportion to them; where there are too many for its size, it lets more of the others
+   through to the count, which settles them.
 
 Keys that meet by chance only let a phrase through to the exact count; there, phrases of a task meet by 128 bits, those of
 different tasks by their words.
@@ -37,7 +38,7 @@ UNDETERMINED = "und"
 PARTITION_BYTES, BUFFER, ROOM = 8 << 20, 1 << 22, 4
 #: Entries, and bytes of text, that a task holds while it counts exactly.
 SEEN, MOST_TEXT = 1 << 20, 16 << 20
-#: Bits of the bitmap for each key that is left, and most bits of it in all (2^27: 16 MB); with more keys, a join takes its place.
+#: Bits of the bitmap for each key that is left, and most bits of it in all (2^27: 16 MB).
 BITS_A_KEY, MOST_BITS = 8, 27
 
 _ENDS = np.zeros(256, bool)
@@ -237,12 +238,9 @@ def count_exactly(docs: DataFrame, left: DataFrame, parts: int, least: int, long
     """(lang, phrase, size, f) of the phrases of docs(text, lang, lang_key) that are seen `least` times; left(keys) has their
     short keys and any others. The rows of size 0 are the languages' numbers of words."""
     n = left.agg(F.sum(F.size("keys"))).first()[0] or 0
-    bits = max(10, math.ceil(math.log2(BITS_A_KEY * n + 1)))
-    keys = left.select(F.explode("keys").alias("key"))
-    sent = None
-    if bits <= MOST_BITS:
-        slots = lambda batches: (pa.record_batch({"slot": pa.array(_slot(b.column("key").to_numpy().view(np.uint64), bits))}) for b in batches)
-        sent = shared(docs.sparkSession, bitmap(mapped(keys, slots, "slot long"), "slot", bits))
+    bits = max(10, min(MOST_BITS, math.ceil(math.log2(BITS_A_KEY * n + 1))))
+    slots = lambda batches: (pa.record_batch({"slot": pa.array(_slot(b.column("key").to_numpy().view(np.uint64), bits))}) for b in batches)
+    sent = shared(docs.sparkSession, bitmap(mapped(left.select(F.explode("keys").alias("key")), slots, "slot long"), "slot", bits))
 
     def count(batches: Iterator[pa.RecordBatch]):
         held, numbers = _Counted(), {}
@@ -250,15 +248,13 @@ def count_exactly(docs: DataFrame, left: DataFrame, parts: int, least: int, long
             langs = batch.column("lang").take(pa.array(rows)).to_pylist()
             for lang, k in zip(langs, np.diff(phrases.words.first).tolist(), strict=True):
                 held.words[lang] += k
-            at = np.flatnonzero(in_bitmap(sent.value, _slot(_short(phrases.key, parts), bits))) if sent else np.arange(len(phrases.key))
+            at = np.flatnonzero(in_bitmap(sent.value, _slot(_short(phrases.key, parts), bits)))
             held.add(phrases, at, np.array([numbers.setdefault(lang, len(numbers)) for lang in langs], np.int64))
             if held.size >= SEEN or held.base >= MOST_TEXT:
                 yield from held.leave(list(numbers), parts)
         yield from held.leave(list(numbers), parts)
 
     found = mapped(docs.select("text", "lang", "lang_key"), count, "lang string, phrase string, size int, key long, f long")
-    if not sent:
-        found = found.join(keys, "key", "left_semi").unionByName(found.where("size = 0"))
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 

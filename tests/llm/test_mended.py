@@ -1,11 +1,14 @@
 """Words made to have equal hashes, an index opened again, rows that share ids, and names that clash."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing, preference, substring_dedup, warc
+from tessera.llm import common, mixing, preference, substring_dedup, warc
 from tessera.llm.decontaminate import drop_leaks, find_leaks
 from tessera.llm.ngram_jaccard import jaccard_components
 
@@ -205,3 +208,17 @@ def test_every_frame_is_tried_with_every_predictor():
     assert [p for p, _ in flac.decode(streams)] == payloads
     assert len(streams[0]) < len(steps) / 4  # samples without a predictor took more than half of it
     assert flac.read_samples(streams[0], 4000, 300) == steps[4000:4300]
+
+
+def test_a_bitmap_reaches_the_driver_without_an_object_for_each_word(spark):
+    bits = 21
+    df = spark.range(1 << 18).select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("slot"))
+    expected = np.unique(df.toArrow().column("slot").to_numpy())
+    tracemalloc.start()
+    try:
+        got = common.bitmap(df, "slot", bits)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(np.flatnonzero(common.in_bitmap(got, np.arange(1 << bits))), expected)
+    assert most < 8 * (1 << bits >> 3)
