@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
+from tessera.plans import q_tables, registry
 
 
 def test_number_variants_is_the_sequential_rule(spark):
@@ -71,3 +73,28 @@ def test_orders_are_those_of_the_rows(spark, sf):
     assert [r.o_orderkey for r in A.order_by_id(orders, "o_orderkey").collect()] == sorted(r.o_orderkey for r in rows)
     latest = A.latest_per_language(orders.selectExpr("o_custkey % 7 as language", "o_custkey as date", "o_orderkey as release_id")).collect()
     assert [r.latest for r in latest] == sorted((r.latest for r in latest), reverse=True)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_learned_kinds_are_the_same_by_sending_and_by_moving(spark, most):
+    r = random.Random(most)
+    tokens = [(g, language, "effect", index, r.choice([None, "t0", "often", "often", *map(str, range(30))]), r.choice(["timing", "mention", None]) if language == "ja" else r.choice([None, None, "timing"]), g % 7) for g in range(40) for language in ("ja", "en", None) for index in range(6)]
+    df = spark.createDataFrame(tokens, "group int, language string, field string, index int, text string, kind string, rank int")
+    groups, seeds = df.select("group", "rank").distinct(), spark.createDataFrame([("t0", "timing"), ("x", "mention")], "text string, kind string")
+    plain = sorted(map(str, A.learn_translations(df.drop("rank"), groups, seeds).collect()))
+    dealt = df.repartition(5, "group")
+    assert len(plain) == len(tokens) and sum("learned='timing'" in x for x in plain) > 30
+    assert sorted(map(str, A.learn_translations(df.drop("rank"), groups, seeds, most=most).collect())) == plain
+    assert sorted(map(str, A.learn_translations(df, None, seeds, dealt=dealt, most=most).drop("rank").collect())) == plain
+
+
+def test_learning_writes_texts_and_moves_few_tokens(spark, sf, monkeypatch):
+    held, write = [], q_tables.written
+    monkeypatch.setattr(q_tables, "written", lambda df, name: held.append(write(df, name)) or held[-1])
+    rows = registry.queries()["n6_learn_translations"](spark, sf)
+    n = rows.count()
+    # one row a text, not one a token
+    assert held[0].count() < n / 4 and held[0].groupBy("text").count().where("count > 1").isEmpty()
+    # tokens are moved only to the texts that weren't sent to them
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and plan.count("strategy=broadcast") >= 2
