@@ -28,19 +28,28 @@ def match_stream(frames: DataFrame, index: DataFrame, max_distance: int = MAX_DI
     """Matches (session, ts, candidate, distance) of frames(session, ts, hash), static or streaming, with index(candidate, hash).
 
     Both meet at equal bytes, each pair at its first one. The index is static: bytes that many of its rows share at a place are
-    cut in tiles, to all of which a frame goes, so that no task holds more of the index than a tile a byte.
+    cut in tiles, to all of which a frame goes, so that no task holds more of the index than a tile a byte. Of static frames, each
+    different hash meets the index once, and frames take what their hash has met.
     """
+    if not frames.isStreaming:
+        near = _near(frames.select("hash").distinct(), index, max_distance, tile)
+        return frames.select("session", "ts", "hash").join(near.hint("shuffle_hash"), "hash").select("session", "ts", "candidate", "distance")
+    return _near(frames.select("session", "ts", "hash"), index, max_distance, tile).select("session", "ts", "candidate", "distance")
+
+
+def _near(frames: DataFrame, index: DataFrame, max_distance: int, tile: int) -> DataFrame:
+    """Frames (hash and any columns) with candidate and distance, a row for each match."""
     banded = index.select("candidate", F.col("hash").alias("i_hash"), F.posexplode(hash_bands(F.col("hash"))).alias("place", "byte"))
     # 2,048 rows at most
     cuts = banded.groupBy("place", "byte").agg(F.ceil(F.count("*") / tile).cast("int").alias("__tiles"))
     tiled = banded.join(F.broadcast(cuts), ["place", "byte"]).withColumn("__tile", F.pmod(F.xxhash64("candidate", "i_hash"), F.col("__tiles")).cast("int")).drop("__tiles")
-    asked = frames.select("session", "ts", "hash", F.posexplode(hash_bands(F.col("hash"))).alias("place", "byte"))
-    asked = asked.join(F.broadcast(cuts), ["place", "byte"]).select("session", "ts", "hash", "place", "byte", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"))
+    asked = frames.select("*", F.posexplode(hash_bands(F.col("hash"))).alias("place", "byte"))
+    asked = asked.join(F.broadcast(cuts), ["place", "byte"]).select(*frames.columns, "place", "byte", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"))
     differ = F.col("hash").bitwiseXOR(F.col("i_hash"))
     # frames pass by the index and aren't sorted
     met = asked.join(tiled.hint("shuffle_hash"), ["place", "byte", "__tile"])
     near = met.where((F.bit_count(differ) <= max_distance) & (F.array_position(hash_bands(differ), F.lit(0)) == F.col("place") + 1))
-    return near.select("session", "ts", "candidate", distance(F.col("hash"), F.col("i_hash")).alias("distance"))
+    return near.select(*frames.columns, "candidate", distance(F.col("hash"), F.col("i_hash")).alias("distance"))
 
 
 def vote_batch(matches: DataFrame, window: str = "1 hour") -> DataFrame:

@@ -1,5 +1,7 @@
 """Rows that share a key are settled once: no operator here makes pairs of them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,13 @@ def test_a_row_passes_over_its_id_under_another_hash(spark):
     b = spark.createDataFrame([(1, 1, 1), (5, 1, 1), (7, 3, 1)], "id long, hash long, block int")
     for most in (11, 14):
         assert sorted(map(tuple, J.nearest_hash(a, b, ["block"], most, own=False).collect())) == [(1, 5, 1), (2, 1, 1)]
+
+
+def test_frames_of_one_hash_meet_the_index_once(spark, most_rows):
+    r = random.Random(3)
+    index = [(i, r.getrandbits(63)) for i in range(60)]
+    frames = spark.createDataFrame([(index[k][1],) for k in range(4)], "hash long").crossJoin(spark.range(500)).select(F.col("id").alias("session"), F.timestamp_seconds("id").alias("ts"), F.col("hash").bitwiseXOR(F.lit(35)).alias("hash"))
+    rows, most = most_rows(V.match_stream(frames, spark.createDataFrame(index, "candidate long, hash long")))
+    assert len(rows) == 2000 and {x.candidate for x in rows} == {0, 1, 2, 3} and {x.distance for x in rows} == {3}
+    # a row for each frame at most, where 8 bytes of each would make 16,000
+    assert most <= 2000

@@ -52,6 +52,20 @@ def test_windows_equal_the_batch(spark, matches):
     assert best == batch
 
 
+def test_static_frames_match_as_streamed_ones(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    index = spark.createDataFrame([(i, i * 3 % 17) for i in range(100)] + [(900, None)], "candidate long, hash long")
+    shots = [(i % 5, start + dt.timedelta(seconds=i % 40), i % 4) for i in range(200)] + [(1, start, None)]
+    spark.createDataFrame(shots, "session long, ts timestamp, hash long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    frames = spark.read.parquet(f"{tmp_path}/in")
+    expected = sorted((s, t, i, bin(h ^ i * 3 % 17).count("1")) for s, t, h in shots if h is not None for i in range(100) if bin(h ^ i * 3 % 17).count("1") <= 3)
+    assert sorted(map(tuple, V.match_stream(frames, index, 3).collect())) == expected
+    stream = spark.readStream.schema(frames.schema).parquet(f"{tmp_path}/in")
+    query = V.match_stream(stream, index, 3).writeStream.format("memory").queryName("met").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("met").collect())) == expected
+
+
 def test_band_join_misses_nothing_within_seven_bits(spark):
     import random
 
