@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import aggregates as A
 from tessera.operators import joins as J
 from tessera.operators import places as P
+from tessera.plans import registry
 from tessera.streaming import votes as V
 
 
@@ -96,3 +97,22 @@ def test_frames_of_one_hash_meet_the_index_once(spark, most_rows):
     assert len(rows) == 2000 and {x.candidate for x in rows} == {0, 1, 2, 3} and {x.distance for x in rows} == {3}
     # a row for each frame at most, where 8 bytes of each would make 16,000
     assert most <= 2000
+
+
+def test_every_row_asks_for_its_nearest(spark, sf):
+    rows = registry.queries()["j11_nearest_within_11"](spark, sf).collect()
+    assert sorted(x.id for x in rows) == sorted(x.vec_id for x in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    assert "% 100" not in registry.oracle_sql()["j11_nearest_within_11"]
+
+
+def test_hashes_with_a_near_partner_are_not_probed_farther(spark, monkeypatch):
+    steps, write = [], J.written
+    monkeypatch.setattr(J, "written", lambda df, name: steps.append(write(df, name)) or steps[-1])
+    # partners 3, 2, 0, 8 and 6 bits away (one bit at least in each part of the latter), and one without any
+    hashes = [0, 7, 0x0F0F0F0F, 0x0F0F0F3F, 0xFF << 40, 0xFF << 40, 0x7F << 56, (0x7F << 56) ^ 0x0003000300030003, 0xAAAA << 16, (0xAAAA << 16) ^ 0x0001000100030003, (1 << 62) - 1]
+    b = spark.createDataFrame([(i, h, i // 2) for i, h in enumerate(hashes)], "id long, hash long, block int")
+    got = sorted(map(tuple, J.nearest_hash(b, b, ["block"], 11, own=False).collect()))
+    assert got == sorted((i, i ^ 1, (h ^ hashes[i ^ 1]).bit_count()) for i, h in enumerate(hashes[:10]))
+    found = [{x.hash for x in step.where("distance > 0").collect()} for step in steps]
+    assert found == [set(hashes[:4]), set(hashes[8:10]), set(hashes[6:8])]
+    assert {x.hash for x in steps[2].collect()} == {*hashes[6:8], hashes[10]}  # the last one only finds itself
